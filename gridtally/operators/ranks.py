@@ -25,18 +25,17 @@ def order_buckets(df: DataFrame, keys: list[str], value: str, bucket_rows: int |
     ``value`` may be any orderable column, also a struct. Rows with equal values share a bucket.
     """
     bucket_rows = bucket_rows or BUCKET_ROWS
+    buckets = F.least(F.ceil(F.col("_n") / bucket_rows), F.lit(MAX_BUCKETS))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket_rows)
-    sizes = sizes.select(
-        *keys,
-        F.ceil(F.col("_n") / F.least(F.ceil(F.col("_n") / bucket_rows), F.lit(MAX_BUCKETS))).alias("_step"),
-    )
+    sizes = sizes.select(*keys, F.ceil(F.col("_n") / buckets).alias("_step"))
+    narrow = df.select(*keys, value)
+    stepped = join_keys(narrow, sizes, keys) if keys else narrow.withColumn("_step", sizes.scalar())
     cuts = (
-        join_keys(df.select(*keys, value), sizes, keys)
-        .where(F.pmod(F.xxhash64(value), F.col("_step")) == 0)
+        stepped.where(F.pmod(F.xxhash64(value), F.col("_step")) == 0)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_set(value)).alias("_cuts"))
     )
-    out = join_keys(df, cuts, keys, "left")
+    out = join_keys(df, cuts, keys, "left") if keys else df.withColumn("_cuts", cuts.scalar())
     below = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
     return out.withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
 

@@ -213,10 +213,10 @@ def bin_summary(df: DataFrame, count_col: str = "gt_count") -> DataFrame:
         {"median": (v, 0.5)},
     )
     dim = df.sparkSession.createDataFrame([(b, i) for i, b in enumerate(DENSITY_LABELS)], "density_bin string, ord int")
-    total = binned.agg(F.count(F.lit(1)).alias("_all"))
+    total = binned.agg(F.count(F.lit(1)).alias("_all")).scalar()
     return (
         dim.join(got, "density_bin", "left")
-        .crossJoin(total)
+        .withColumn("_all", total)
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("pct", ratio(100.0 * F.col("n"), F.col("_all")))
         .drop("_all")
@@ -318,12 +318,12 @@ def loss_by_burden(df: DataFrame, edges: list, labels: list[str]) -> DataFrame:
     return agg_with_quantiles(x, ["burden"], aggs, {"median_retention": (F.col("_ret"), 0.5)})
 
 
-def burden_correlation(df: DataFrame) -> DataFrame:
-    """Spearman and Pearson correlation of retention and truth size, and the spread of retention."""
-    x = df.withColumn("_ret", ratio(F.col("kept"), F.col("gt_count"))).withColumn("_all", F.lit(1))
-    cor = correlations(x.where(F.col("_ret").isNotNull()), ["_all"], "_ret", "gt_count")
-    spread = x.groupBy("_all").agg(F.stddev_samp("_ret").alias("retention_sd"))
-    return join_keys(cor, spread, ["_all"]).drop("_all")
+def burden_correlation(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Pearson and Spearman correlation of retention and truth size, and the spread of retention."""
+    x = df.withColumn("_ret", ratio(F.col("kept"), F.col("gt_count")))
+    cor = correlations(x.where(F.col("_ret").isNotNull()), keys, "_ret", "gt_count")
+    spread = x.groupBy(*keys).agg(F.stddev_samp("_ret").alias("retention_sd"))
+    return join_keys(cor, spread, keys)
 
 
 def subset_bands(df: DataFrame, subsets: dict[str, Column], value: str) -> DataFrame:
@@ -367,10 +367,10 @@ def sensitivity_range(grid: DataFrame, canonical: dict[str, float]) -> DataFrame
         [F.count(F.lit(1)).alias("n_grid"), F.min(f).alias("f1_min"), F.max(f).alias("f1_max"), F.max(F.when(is_canon, f)).alias("f1_canonical")],
         {"f1_q25": (f, 0.25), "f1_median": (f, 0.5), "f1_q75": (f, 0.75)},
     )
-    size = got.agg(F.min("n_grid").alias("_a"), F.max("n_grid").alias("_b"))
-    same = F.when(F.col("_a") == F.col("_b"), F.col("n_grid")).otherwise(F.raise_error(F.lit("models cover different grids")).cast("bigint"))
+    sizes = grid.groupBy("model").agg(F.count(F.lit(1)).alias("k")).agg(F.countDistinct("k").alias("kinds")).scalar()
+    same = F.when(F.col("_kinds") == 1, F.col("n_grid")).otherwise(F.raise_error(F.lit("models cover different grids")).cast("bigint"))
     return (
-        got.crossJoin(size).withColumn("n_grid", same).drop("_a", "_b")
+        got.withColumn("_kinds", sizes).withColumn("n_grid", same).drop("_kinds")
         .withColumn("f1_range", F.col("f1_max") - F.col("f1_min"))
         .withColumn("canonical_minus_median", F.col("f1_canonical") - F.col("f1_median"))
     )

@@ -245,11 +245,11 @@ def _(spark, sf):
     return R.loss_by_burden(region_rows(spark, sf), [0, 250, 300, None], ["low", "mid", "high"])
 
 
-@query("f21_burden_correlation", REGION + f""", x as (select cast(kept as double) / nullif(gt_count, 0) as ret, gt_count from r),
- y as (select *, rank() over (order by ret) + (count(*) over (partition by ret) - 1) / 2.0 as rr, rank() over (order by gt_count) + (count(*) over (partition by gt_count) - 1) / 2.0 as rg from x where ret is not null)
- select {corr_sql('gt_count', 'ret')} as count_pearson_r, {corr_sql('rg', 'rr')} as count_spearman_rho, stddev_samp(ret) as retention_sd from y""")
+@query("f21_burden_correlation", REGION + f""", x as (select model, cast(kept as double) / nullif(gt_count, 0) as ret, gt_count from r),
+ y as (select *, rank() over (partition by model order by ret) + (count(*) over (partition by model, ret) - 1) / 2.0 as rr, rank() over (partition by model order by gt_count) + (count(*) over (partition by model, gt_count) - 1) / 2.0 as rg from x where ret is not null)
+ select model, {corr_sql('gt_count', 'ret')} as count_pearson_r, {corr_sql('rg', 'rr')} as count_spearman_rho, stddev_samp(ret) as retention_sd from y group by model""")
 def _(spark, sf):
-    return R.burden_correlation(region_rows(spark, sf))
+    return R.burden_correlation(region_rows(spark, sf), ["model"])
 
 
 @query("f22_subset_bands", REGION + f""", t as (select 'all' as subset, iou from r union all select 'held_out', iou from r where split in ('val', 'test') union all select 'dense', iou from r where gt_count >= 280)
