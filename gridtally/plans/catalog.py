@@ -5,5 +5,6 @@ from gridtally.plans import (  # noqa: F401
     catalog_keys,
     catalog_quality,
     catalog_rollups,
+    catalog_spatial,
 )
 from gridtally.plans.registry import ORACLE, QUERIES  # noqa: F401

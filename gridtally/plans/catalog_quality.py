@@ -318,8 +318,8 @@ def _(spark, sf):
 def runs_of(u):
     """Every group held out once, as one long table of (run, grp, role, rows); groups are few, units are not paired."""
     a = u.where("model = 'A'").groupBy("grp", "split").agg(F.count(F.lit(1)).alias("n"))
-    held = a.select(F.col("grp").alias("run")).distinct()
-    x = a.crossJoin(F.broadcast(held))
+    held = a.agg(F.collect_set("grp").alias("runs")).scalar()
+    x = a.withColumn("run", F.explode(held))
     role = F.when(F.col("grp") == F.col("run"), "eval").when(F.col("split").isin("train", "val"), F.col("split"))
     return x.withColumn("role", role).where("role is not null").groupBy("run", "grp", "role").agg(F.sum("n").alias("n_units"))
 

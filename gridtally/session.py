@@ -49,7 +49,9 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     for k in keys:
         c = left[k].eqNullSafe(renamed[f"__r_{k}"])
         cond = c if cond is None else cond & c
-    out = left.crossJoin(renamed) if cond is None else left.join(renamed, cond, how)
+    if cond is None:
+        raise ValueError("join_keys needs at least one key")
+    out = left.join(renamed, cond, how)
     if how in ("full", "full_outer", "outer"):
         return out.select(
             *[F.coalesce(F.col(k), F.col(f"__r_{k}")).alias(k) for k in keys],
