@@ -1,10 +1,12 @@
 """Ranks, quantiles and running values that survive one dominating group.
 
 Everything here starts from a histogram: rows are pre-aggregated to one row per (group, value), so a
-value held by many rows costs one row. The histogram of a large group is then cut into ordered buckets at
-values picked by hash from the group itself. The cut depends on the data alone, so a lost task that is
-run again cuts at the same places. Windows run per bucket; only the bucket totals (at most a few hundred
-rows per group) pass through a window over the whole group.
+value held by many rows costs one row. The histogram is checkpointed, which means the source is read once
+however many results are taken from it. Groups up to ``BUCKET_ROWS`` distinct values are ranked by a plain
+window. When a group is larger, it is cut into ordered buckets at values picked by hash from the group
+itself: the cut depends on the data alone, so a lost task that is run again cuts at the same places. Windows
+then run per bucket; only the bucket totals (at most a few hundred rows per group) pass through a window
+over the whole group.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridtally.session import join_keys
+from gridtally.session import cut_lineage, join_keys
 
 BUCKET_ROWS = 200_000
 MAX_BUCKETS = 512
@@ -40,42 +42,44 @@ def order_buckets(df: DataFrame, keys: list[str], value: str, bucket_rows: int |
     return out.withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
 
 
+def _largest_group(df: DataFrame, keys: list[str]) -> int:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+
+
+def _over(keys: list[str]):
+    return W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+
+
 def ranked_histogram(
     df: DataFrame,
     keys: list[str],
     value: str,
     counts: dict[str, Column] | None = None,
+    weight: str | None = None,
     bucket_rows: int | None = None,
 ) -> DataFrame:
     """One row per (keys, value): ``cnt``, extra sums, rows before it, average rank, group size.
 
-    ``counts`` names extra columns summed per value (for instance how many rows come from one arm).
-    NULL values are left out, as in a rank over observed values.
+    ``counts`` names extra columns summed per value (for instance how many rows come from one arm), and
+    ``weight`` a column that says how many observations a row stands for. NULL values are left out, as in
+    a rank over observed values.
     """
     extra = counts or {}
-    hist = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(n) for n, c in extra.items()])
-    )
-    hist = order_buckets(hist, keys, value, bucket_rows)
-    per_bucket = hist.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bn"))
-    over = W.partitionBy(*keys).orderBy("_b") if keys else W.partitionBy(F.lit(0)).orderBy("_b")
-    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    offsets = per_bucket.select(
-        *keys,
-        "_b",
-        (F.sum("_bn").over(over.rowsBetween(W.unboundedPreceding, 0)) - F.col("_bn")).alias("_off"),
-        F.sum("_bn").over(whole).alias("n_total"),
-    )
-    run = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    out = join_keys(hist, offsets, [*keys, "_b"])
-    before = F.col("_off") + F.sum("cnt").over(run) - F.col("cnt")
-    return (
-        out.withColumn("cum_before", before)
-        .withColumn("avg_rank", F.col("cum_before") + (F.col("cnt") + 1) / F.lit(2.0))
-        .drop("_off", "_b")
-    )
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("cnt"), *[F.sum(c).alias(n) for n, c in extra.items()])
+    hist = cut_lineage(hist)
+    if _largest_group(hist, keys) <= (bucket_rows or BUCKET_ROWS):
+        up = _over(keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        out = hist.withColumn("cum_before", F.sum("cnt").over(up) - F.col("cnt")).withColumn("n_total", F.sum("cnt").over(_over(keys)))
+    else:
+        hist = order_buckets(hist, keys, value, bucket_rows)
+        per_bucket = hist.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bn"))
+        up = _over(keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+        offsets = per_bucket.select(*keys, "_b", (F.sum("_bn").over(up) - F.col("_bn")).alias("_off"), F.sum("_bn").over(_over(keys)).alias("n_total"))
+        run = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        out = join_keys(hist, offsets, [*keys, "_b"])
+        out = out.withColumn("cum_before", F.col("_off") + F.sum("cnt").over(run) - F.col("cnt")).drop("_off", "_b")
+    return out.withColumn("avg_rank", F.col("cum_before") + (F.col("cnt") + 1) / F.lit(2.0))
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "avg_rank") -> DataFrame:
@@ -84,7 +88,7 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "avg_ran
     return join_keys(df, ranks, [*keys, value], "left")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], specs: dict[str, tuple[Column, float]]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], specs: dict[str, tuple[Column, float]], weight: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles of several columns per group.
 
     ``specs`` maps an output name to (value column, probability). One pass serves all of them: equal value
@@ -99,13 +103,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], specs: dict[str, tuple[Colum
             variables[token] = len(cols)
             cols.append(col)
         plan.append((name, variables[token], float(p)))
+    carried = [F.col(weight).alias("_w")] if weight else []
     long = df.select(
-        *keys,
+        *keys, *carried,
         F.explode(
             F.array(*[F.struct(F.lit(i).alias("v"), c.cast("double").alias("x")) for i, c in enumerate(cols)])
         ).alias("_s"),
-    ).select(*keys, F.col("_s.v").alias("_v"), F.col("_s.x").alias("_x"))
-    hist = ranked_histogram(long, [*keys, "_v"], "_x")
+    ).select(*keys, *(["_w"] if weight else []), F.col("_s.v").alias("_v"), F.col("_s.x").alias("_x"))
+    hist = ranked_histogram(long, [*keys, "_v"], "_x", weight="_w" if weight else None)
     aggs = []
     for i, (_, v, p) in enumerate(plan):
         pos = F.lit(p) * (F.col("n_total") - 1)
@@ -147,17 +152,20 @@ def running(
     Descending runs from the last row back, which gives suffix aggregates.
     """
     fn = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
-    rows = df.withColumn("_o", F.struct(*order))
+    rows = cut_lineage(df.withColumn("_o", F.struct(*order)))
+    turn = F.desc if descending else F.asc
+    if _largest_group(rows, keys) <= (bucket_rows or BUCKET_ROWS):
+        inside = _over(keys).orderBy(turn("_o")).rowsBetween(W.unboundedPreceding, 0)
+        return rows.select("*", *[fn[f](c).over(inside).alias(n) for n, (f, c) in out.items()]).drop("_o")
     rows = order_buckets(rows, keys, "_o", bucket_rows)
     per = rows.groupBy(*keys, "_b").agg(*[fn[f](c).alias(f"_t_{n}") for n, (f, c) in out.items()])
-    base = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    b_order = base.orderBy(F.desc("_b") if descending else F.asc("_b"))
+    b_order = _over(keys).orderBy(turn("_b"))
     before = b_order.rowsBetween(W.unboundedPreceding, -1)
     merge = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
     offs = per.select(
         *keys, "_b", *[merge[f](f"_t_{n}").over(before).alias(f"_p_{n}") for n, (f, _) in out.items()]
     )
-    inside = W.partitionBy(*keys, "_b").orderBy(F.desc("_o") if descending else F.asc("_o"))
+    inside = W.partitionBy(*keys, "_b").orderBy(turn("_o"))
     inside = inside.rowsBetween(W.unboundedPreceding, 0)
     join = {
         "min": lambda a, b: F.least(a, b),

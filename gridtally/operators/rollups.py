@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridtally.functions import metrics as M
 from gridtally.functions.keys import cut, density_bin
 from gridtally.operators.ranks import agg_with_quantiles, exact_quantiles, ranked_histogram
-from gridtally.session import join_keys, ratio
+from gridtally.session import cut_lineage, join_keys, ratio
 
 OBJ = ["obj_tp", "obj_fp", "obj_fn"]
 OBJ_ALL = [*OBJ, "obj_ignored"]
@@ -61,15 +61,25 @@ def error_metrics(df: DataFrame, keys: list[str], pred: str = "pred_count", gt:
     )
 
 
+def _joint(df: DataFrame, keys: list[str], pred: str, gt: str, weight: str | None = None) -> DataFrame:
+    """Joint histogram of (pred, gt) per group: all that count metrics need, and the source is read once."""
+    h = df.groupBy(*keys, F.col(pred).cast("double").alias("_p"), F.col(gt).cast("double").alias("_g"))
+    h = h.agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_w"))
+    return cut_lineage(h.withColumn("_err", F.col("_p") - F.col("_g")).withColumn("_ae", F.abs("_err")))
+
+
+def _trimmed(h: DataFrame, q: DataFrame, keys: list[str]) -> DataFrame:
+    kept = F.col("_ae").between(F.col("_lo"), F.col("_hi"))
+    return join_keys(h, q, keys).groupBy(*keys).agg(
+        ratio(F.sum(F.when(kept, F.col("_ae") * F.col("_w"))), F.sum(F.when(kept, F.col("_w")))).alias("count_trimmed_mae")
+    )
+
+
 def trimmed_mae(df: DataFrame, keys: list[str], pred: str = "pred_count", gt: str = "gt_count", trim: float = 0.05) -> DataFrame:
     """F8: mean of the absolute errors between their inclusive ``trim`` and ``1 - trim`` quantiles."""
-    e = _errors(df, pred, gt)
-    q = exact_quantiles(e, keys, {"_lo": (F.col("_ae"), trim), "_hi": (F.col("_ae"), 1.0 - trim)})
-    return (
-        join_keys(e, q, keys)
-        .groupBy(*keys)
-        .agg(F.avg(F.when(F.col("_ae").between(F.col("_lo"), F.col("_hi")), F.col("_ae"))).alias("count_trimmed_mae"))
-    )
+    h = _joint(df, keys, pred, gt)
+    q = exact_quantiles(h, keys, {"_lo": (F.col("_ae"), trim), "_hi": (F.col("_ae"), 1.0 - trim)}, weight="_w")
+    return _trimmed(h, q, keys)
 
 
 def ape(pred: Column, gt: Column, zero_gt: str = "ignore") -> Column:
@@ -87,52 +97,43 @@ def mdape(df: DataFrame, keys: list[str], pred: str = "pred_count", gt: str = "g
     return agg_with_quantiles(x, keys, [F.count("_ape").alias("n_used")], {"count_mdape": (F.col("_ape"), 0.5)})
 
 
-def _spearman_ranks(df: DataFrame, keys: list[str], pred: str, gt: str) -> DataFrame:
-    """Joint histogram of (gt, pred) with both average ranks: one row per distinct pair of values."""
-    pairs = (
-        df.where(F.col(pred).isNotNull() & F.col(gt).isNotNull())
-        .groupBy(*keys, F.col(pred).cast("double").alias("_p"), F.col(gt).cast("double").alias("_g"))
-        .agg(F.count(F.lit(1)).alias("_w"))
-    )
-    for c, r in (("_p", "_rp"), ("_g", "_rg")):
-        counted = _ranks_of(pairs, keys, c).select(*keys, c, F.col("avg_rank").alias(r))
-        pairs = join_keys(pairs, counted, [*keys, c])
-    return pairs
+def _correlations(h: DataFrame, keys: list[str]) -> DataFrame:
+    x = h.where(F.col("_p").isNotNull() & F.col("_g").isNotNull())
+    long = x.select(*keys, "_w", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("_p").alias("x")), F.struct(F.lit(1).alias("v"), F.col("_g").alias("x")))).alias("s"))
+    ranks = ranked_histogram(long.select(*keys, "_w", "s.v", "s.x"), [*keys, "v"], "x", weight="_w")
+    for v, c in enumerate(("_p", "_g")):
+        r = ranks.where(F.col("v") == v).select(*keys, F.col("x").alias(c), F.col("avg_rank").alias(f"_r{c}"))
+        x = join_keys(x, r, [*keys, c])
+    w = F.col("_w").cast("double")
 
+    def pearson(a: str, b: str) -> Column:
+        n, ma, mb = F.col("_n"), F.col(f"_m{a}"), F.col(f"_m{b}")
+        da, db = F.col(a) - ma, F.col(b) - mb
+        va, vb = F.sum(w * da * da) / F.sum(w), F.sum(w * db * db) / F.sum(w)
+        return F.when((F.sum(w) >= 2) & (va > 1e-16) & (vb > 1e-16), F.sum(w * da * db) / F.sum(w) / F.sqrt(va * vb))
 
-def _ranks_of(pairs: DataFrame, keys: list[str], c: str) -> DataFrame:
-    h = pairs.groupBy(*keys, c).agg(F.sum("_w").alias("w"))
-    from gridtally.operators.ranks import order_buckets, running
-
-    run = running(h, keys, [c], {"upto": ("sum", "w")})
-    return run.withColumn("avg_rank", F.col("upto") - F.col("w") + (F.col("w") + 1) / F.lit(2.0))
+    means = x.groupBy(*keys).agg(F.sum("_w").alias("_n"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"_m{c}") for c in ("_p", "_g", "_r_p", "_r_g")])
+    return join_keys(x, means, keys).groupBy(*keys).agg(pearson("_p", "_g").alias("count_pearson_r"), pearson("_r_p", "_r_g").alias("count_spearman_rho"))
 
 
 def correlations(df: DataFrame, keys: list[str], pred: str = "pred_count", gt: str = "gt_count") -> DataFrame:
     """guarded Pearson and Spearman (Pearson of average ranks), NULL where undefined."""
-    pear = df.groupBy(*keys).agg(M.guarded_corr(F.col(gt), F.col(pred)).alias("count_pearson_r"))
-    rk = _spearman_ranks(df, keys, pred, gt)
-    w, x, y = F.col("_w").cast("double"), F.col("_rp"), F.col("_rg")
-    mean = (F.sum("_w") + 1) / F.lit(2.0)
-    vx = F.sum(w * x * x) / F.sum(w) - mean * mean
-    vy = F.sum(w * y * y) / F.sum(w) - mean * mean
-    cov = F.sum(w * x * y) / F.sum(w) - mean * mean
-    ok = (F.sum("_w") >= 2) & (vx > 1e-16) & (vy > 1e-16)
-    spear = rk.groupBy(*keys).agg(F.when(ok, cov / F.sqrt(vx * vy)).alias("count_spearman_rho"))
-    return join_keys(pear, spear, keys, "left")
-
-
-def count_metrics(df: DataFrame, keys: list[str], pred: str = "pred_count", gt: str = "gt_count") -> DataFrame:
-    """every count metric of a group."""
-    e = _errors(df, pred, gt).withColumn("_ape", ape(F.col(pred), F.col(gt)))
-    aggs = [
-        F.avg("_ae").alias("count_mae"),
-        F.sqrt(F.avg(F.col("_err") * F.col("_err"))).alias("count_rmse"),
-        F.avg("_err").alias("count_bias"),
-    ]
-    base = agg_with_quantiles(e, keys, aggs, {"count_mdape": (F.col("_ape"), 0.5)})
-    base = join_keys(base, trimmed_mae(df, keys, pred, gt), keys, "left")
-    return join_keys(base, correlations(df, keys, pred, gt), keys, "left")
+    h = _joint(df, keys, pred, gt)
+    return join_keys(h.select(*keys).distinct(), _correlations(h, keys), keys, "left")
+
+
+def count_metrics(df: DataFrame, keys: list[str], pred: str = "pred_count", gt: str = "gt_count", weight: str | None = None) -> DataFrame:
+    """every count metric of a group, all from one joint histogram."""
+    h = _joint(df, keys, pred, gt, weight).withColumn("_ape", ape(F.col("_p"), F.col("_g")))
+    w = F.col("_w")
+    mean = lambda c: ratio(F.sum(c * w), F.sum(F.when(c.isNotNull(), w)))
+    base = h.groupBy(*keys).agg(
+        mean(F.col("_ae")).alias("count_mae"), F.sqrt(mean(F.col("_err") * F.col("_err"))).alias("count_rmse"), mean(F.col("_err")).alias("count_bias")
+    )
+    q = exact_quantiles(h, keys, {"count_mdape": (F.col("_ape"), 0.5), "_lo": (F.col("_ae"), 0.05), "_hi": (F.col("_ae"), 0.95)}, weight="_w")
+    out = join_keys(base, q.drop("_lo", "_hi"), keys, "left")
+    out = join_keys(out, _trimmed(h, q, keys), keys, "left")
+    return join_keys(out, _correlations(h, keys), keys, "left")
 
 
 def unit_metrics(counts: DataFrame) -> DataFrame:
@@ -169,11 +170,13 @@ def aggregate_benchmark(df: DataFrame) -> DataFrame:
         .drop("_s")
         .where(F.col("scope_value").isNotNull())
     )
+    long = cut_lineage(long.groupBy("model", "scope", "scope_value", "pred_count", "gt_count").agg(F.count(F.lit(1)).alias("_k"), *_sums([*OBJ_ALL, *PIX])))
     keys = ["model", "scope", "scope_value"]
-    counts = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"), *_sums([*OBJ_ALL, "pred_count", "gt_count", *PIX]))
+    many = [F.sum(F.col(c) * F.col("_k")).cast("bigint").alias(c) for c in ("pred_count", "gt_count")]
+    counts = long.groupBy(*keys).agg(F.sum("_k").alias("n_units"), *_sums([*OBJ_ALL, *PIX]), *many)
     counts = _with(counts, M.pooled(*[F.col(c) for c in OBJ]), "obj_")
     counts = _with(counts, M.pixel_metrics(*[F.col(c) for c in PIX[:3]]), "pix_")
-    return join_keys(counts, count_metrics(long, keys), keys)
+    return join_keys(counts, count_metrics(long, keys, weight="_k"), keys)
 
 
 def rank_models(overall: DataFrame) -> DataFrame:
@@ -619,3 +622,19 @@ def median_with_iqr(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def pooled_ratio(df: DataFrame, keys: list[str], num: str, den: str) -> DataFrame:
     """a ratio of sums, without spread."""
     return df.groupBy(*keys).agg(ratio(F.sum(num), F.sum(den)).alias("pooled"))
+
+
+def roi_cost_summary(a: DataFrame, b: DataFrame, keys: list[str], p: bool = True) -> DataFrame:
+    """two runs of the same units (uid, keys, f1, err) compared per subset, with a signed-rank test."""
+    from gridtally.operators.joins import paired_runs
+    from gridtally.operators.stats import wilcoxon_signed_rank
+
+    x = paired_runs(a, b, ["uid", *keys])
+    got = x.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_units"), F.avg("f1_a").alias("f1_a"), F.avg("f1_b").alias("f1_b"), F.avg(F.col("f1_b") - F.col("f1_a")).alias("d_f1"),
+        F.avg(F.abs("err_a")).alias("mae_a"), F.avg(F.abs("err_b")).alias("mae_b"), F.avg("err_a").alias("bias_a"), F.avg("err_b").alias("bias_b"),
+    )
+    if not p:
+        return got
+    t = wilcoxon_signed_rank(x, keys, F.col("f1_b"), F.col("f1_a")).select(*keys, F.col("p_value").alias("p_f1"))
+    return join_keys(got, t, keys, "left")

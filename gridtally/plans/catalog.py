@@ -6,5 +6,6 @@ from gridtally.plans import (  # noqa: F401
     catalog_quality,
     catalog_rollups,
     catalog_spatial,
+    catalog_stats,
 )
 from gridtally.plans.registry import ORACLE, QUERIES  # noqa: F401
