@@ -5,6 +5,7 @@ from gridtally.plans import (  # noqa: F401
     catalog_keys,
     catalog_quality,
     catalog_rollups,
+    catalog_sources,
     catalog_spatial,
     catalog_stats,
 )
