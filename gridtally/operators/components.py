@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridtally.session import cut_lineage
 
 TILE = 256
+BIN_RUNS = 60_000
 MAX_ROUNDS = 60
 
 
@@ -81,21 +82,21 @@ def runs_from_pixels(pixels: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _label_tile(k: int):
-    """Labels the runs of one tile by the position of the first run of their component."""
+def _label_tiles(tile_keys: list[str], k: int):
+    """Labels the runs of a batch of tiles by the position of the first run of their component in the tile."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x0"], kind="stable")
-        y, x0, x1 = (pdf[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
-        wide = int(x1.max()) + 4
-        lo = np.searchsorted(y * wide + x1, (y + 1) * wide + np.maximum(x0 - k, 0), "left")
-        hi = np.searchsorted(y * wide + x0, (y + 1) * wide + x1 + k, "right")
+        pdf = pdf.assign(_t=pdf.groupby(tile_keys, sort=False, dropna=False).ngroup()).sort_values(["_t", "y", "x0"], kind="stable")
+        y, x0, x1, t = (pdf[c].to_numpy(np.int64) for c in ("y", "x0", "x1", "_t"))
+        wide, tall = int(x1.max()) + 4, int(y.max()) + 3
+        row = t * tall + y
+        lo = np.searchsorted(row * wide + x1, (row + 1) * wide + np.maximum(x0 - k, 0), "left")
+        hi = np.searchsorted(row * wide + x0, (row + 1) * wide + x1 + k, "right")
         n = np.maximum(hi - lo, 0)
         a = np.repeat(np.arange(len(y)), n)
         b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         lab = smallest_labels(len(y), a, b)
-        pdf["node"] = y[lab] * np.int64(1 << 31) + x0[lab]
-        return pdf
+        return pdf.assign(node=y[lab] * np.int64(1 << 31) + x0[lab]).drop(columns=["_t", "_bin"])
 
     return run
 
@@ -104,7 +105,8 @@ def label_runs(runs: DataFrame, keys: list[str], connectivity: int = 8, tile: in
     """Runs cut at tile borders, each with the label ``comp`` of its component.
 
     A tile holds at most ``tile * tile / 2`` runs, so labelling inside tiles is bounded work however large
-    an image or a group of images is. Only pixels on tile borders enter the graph that joins the tiles.
+    an image or a group of images is. Tiles are packed into bins of about ``BIN_RUNS`` runs, as many bins as
+    the data needs. Only pixels on tile borders enter the graph that joins the tiles.
     """
     if connectivity not in (4, 8):
         raise ValueError(f"connectivity must be 4 or 8, got {connectivity}")
@@ -119,7 +121,13 @@ def label_runs(runs: DataFrame, keys: list[str], connectivity: int = 8, tile: in
     )
     group = [*keys, "ty", "tx"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", node bigint"
-    labelled = pieces.groupBy(*group).applyInPandas(_label_tile(1 if connectivity == 8 else 0), schema)
+    pieces = cut_lineage(pieces)
+    bins = max(1, -(-pieces.count() // BIN_RUNS))
+    labelled = (
+        pieces.withColumn("_bin", F.pmod(F.xxhash64(*group), F.lit(bins)))
+        .groupBy("_bin")
+        .applyInPandas(_label_tiles(group, 1 if connectivity == 8 else 0), schema)
+    )
     labelled = cut_lineage(labelled)
 
     on_edge = (F.col("y") % t).isin(0, tile - 1) | (F.col("x0") % t == 0) | (F.col("x1") % t == tile - 1)
