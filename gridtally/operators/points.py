@@ -326,8 +326,11 @@ def kernel_sum(cells: DataFrame, weights: list[float], frame: tuple[int, int], k
 def detect_points(
     cells: DataFrame, frame: tuple[int, int], threshold: float, r: int, nms_dist: float, sigma: float = 0.0, roi: DataFrame | None = None, border: int = 0, max_points: int | None = None, keys: list[str] = ["uid"],
 ) -> DataFrame:
-    """Smooth, apply the region, find maxima, suppress neighbours, in this order."""
-    x = kernel_sum(cells, gauss_weights(sigma), frame, keys) if sigma > 0 else cells
+    """Smooth, apply the region, find maxima, suppress neighbours, in this order.
+
+    Smoothed values are rounded to nine decimals, so that the order of a floating-point sum cannot break a plateau.
+    """
+    x = kernel_sum(cells, gauss_weights(sigma), frame, keys).withColumn("p", F.round("p", 9)) if sigma > 0 else cells
     if roi is not None:
         x = region_mask(x, roi, keys)
     return greedy_nms(cut_lineage(local_maxima(x, threshold, r, border, frame, keys)), nms_dist, keys, max_points)

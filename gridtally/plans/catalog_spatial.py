@@ -12,7 +12,7 @@ from gridtally.operators import rollups as R
 from gridtally.operators import spatial as SP
 from gridtally.plans.registry import query
 from gridtally.session import cut_lineage, ratio
-from gridtally.sources.views import FRAME, box_view, cell_view, obj_view, object_pixel_view, pixel_view, table, with_views
+from gridtally.sources.views import FRAME, VIEW_SQL, box_view, cell_view, obj_view, object_pixel_view, pixel_view, table, with_views
 
 FR = (FRAME, FRAME)
 B = with_views("box_view")
@@ -212,7 +212,20 @@ def _(spark, sf):
     return X.match_boxes_to_points(boxes(spark, sf, "pred"), boxes(spark, sf, "gt"), ["m"], 20.0)
 
 
-@query("e16_merge_close_objects")
+# The ordered merge in SQL: one step looks at the next object of a unit, closes the current one or opens the next.
+MERGE = with_views("box_view", recursive=True) + """, o as (select uid, obj_id, cy, cx, y1, x1, y2, x2, cast((y2 - y1) * (x2 - x1) as double) as area, row_number() over (partition by uid order by obj_id) as k, count(*) over (partition by uid) as n from box_view where side = 'pred'),
+ st as (select uid, k as i, k as j, n, obj_id, cy, cx, y1, x1, y2, x2, area, cast(1 as bigint) as n_merged, [k] as taken, false as closed from o where k = 1
+  union all select s.uid, case when s.closed then o.k else s.i end, case when s.closed then o.k when s.j < s.n then s.j + 1 else s.j end, s.n, case when s.closed then o.obj_id else s.obj_id end,
+   case when s.closed then o.cy when s.hit then (s.cy + o.cy) / 2 else s.cy end, case when s.closed then o.cx when s.hit then (s.cx + o.cx) / 2 else s.cx end,
+   case when s.closed then o.y1 when s.hit then least(s.y1, o.y1) else s.y1 end, case when s.closed then o.x1 when s.hit then least(s.x1, o.x1) else s.x1 end,
+   case when s.closed then o.y2 when s.hit then greatest(s.y2, o.y2) else s.y2 end, case when s.closed then o.x2 when s.hit then greatest(s.x2, o.x2) else s.x2 end,
+   case when s.closed then o.area when s.hit then s.area + o.area else s.area end, case when s.closed then 1 when s.hit then s.n_merged + 1 else s.n_merged end,
+   case when s.closed or s.hit then list_append(s.taken, o.k) else s.taken end, not s.closed and s.j = s.n
+  from (select st.*, x.k as xk, not st.closed and st.j < st.n and not list_contains(st.taken, x.k) and sqrt((st.cy - x.cy) * (st.cy - x.cy) + (st.cx - x.cx) * (st.cx - x.cx)) < 12 as hit
+   from st left join o x on x.uid = st.uid and x.k = case when st.closed then list_filter(range(st.i + 1, st.n + 1), lambda q: not list_contains(st.taken, q))[1] when st.j < st.n then st.j + 1 end where not (st.closed and x.k is null)) s left join o on o.uid = s.uid and o.k = s.xk)"""
+
+
+@query("e16_merge_close_objects", MERGE + " select uid, obj_id, cy, cx, y1, x1, y2, x2, area, n_merged from st where closed")
 def _(spark, sf):
     return P.merge_close_objects(boxes(spark, sf, "pred"), 12.0, ["uid"])
 
@@ -293,23 +306,33 @@ def _(spark, sf):
     return P.local_maxima(cell_view(spark, sf), 0.3, 8, 4, FR)
 
 
-@query("e25_greedy_nms")
-def _(spark, sf):
-    return P.greedy_nms(cell_view(spark, sf), 25.0)
+def nms_sql(src, dist):
+    """The ordered suppression in SQL: peaks of a unit are visited by score, the kept ones travel along as a list."""
+    return f"""pk as (select *, row_number() over (partition by uid order by p desc, y, x) as rn, count(*) over (partition by uid) as n from {src}),
+ st as (select uid, rn, n, [struct_pack(y := y, x := x, p := p)] as kept from pk where rn = 1
+  union all select st.uid, pk.rn, pk.n, case when len(list_filter(st.kept, lambda k: (k.y - pk.y) * (k.y - pk.y) + (k.x - pk.x) * (k.x - pk.x) < {dist * dist})) = 0 then list_append(st.kept, struct_pack(y := pk.y, x := pk.x, p := pk.p)) else st.kept end from st join pk on pk.uid = st.uid and pk.rn = st.rn + 1),
+ kept as (select uid, k.y as y, k.x as x, k.p as p from (select uid, unnest(kept) as k from st where rn = n))"""
 
 
-@query("e26_detect_points")
+@query("e25_greedy_nms", with_views("cell_view", recursive=True) + f", {nms_sql('cell_view', 25)} select * from kept")
 def _(spark, sf):
-    return P.detect_points(cell_view(spark, sf), FR, 0.02, 2, 6.0, sigma=1.0, roi=roi_pixels(spark, sf, "pred", "b"))
+    return P.greedy_nms(cell_view(spark, sf), 25.0)
 
 
 KW = P.gauss_weights(1.0)
 KR = len(KW) // 2
 KV = ", ".join(f"({i - KR}, {w!r}::double)" for i, w in enumerate(KW))
+KERNEL = f"""k(d, w) as (values {KV}), mass as (select n, sum(w) as m from range(256) r(n) join k on n + d between 0 and 255 group by n),
+ sm as (select uid, c.y + a.d as y, c.x + b.d as x, sum(p * a.w * b.w) / any_value(my.m * mx.m) as p from cell_view c cross join k a cross join k b join mass my on my.n = c.y + a.d join mass mx on mx.n = c.x + b.d group by 1, 2, 3)"""
+
+
+@query("e26_detect_points", ROI.replace("with ", "with recursive ", 1) + f""", cell_view as ({VIEW_SQL['cell_view']}), {KERNEL}, ms as (select uid, y, x, round(p, 9) as p from sm join rb using (uid, y, x)),
+ mx as (select a.uid, a.y, a.x, any_value(a.p) as p from ms a join ms b on a.uid = b.uid and b.y between a.y - 2 and a.y + 2 and b.x between a.x - 2 and a.x + 2 where a.p >= 0.02 group by a.uid, a.y, a.x having any_value(a.p) = max(b.p)), {nms_sql('mx', 6)} select * from kept""")
+def _(spark, sf):
+    return P.detect_points(cell_view(spark, sf), FR, 0.02, 2, 6.0, sigma=1.0, roi=roi_pixels(spark, sf, "pred", "b"))
 
 
-@query("e27_kernel_sum", CE + f""", k(d, w) as (values {KV}), mass as (select n, sum(w) as m from range(256) r(n) join k on n + d between 0 and 255 group by n)
- select uid, c.y + a.d as y, c.x + b.d as x, sum(p * a.w * b.w) / any_value(my.m * mx.m) as p from cell_view c cross join k a cross join k b join mass my on my.n = c.y + a.d join mass mx on mx.n = c.x + b.d group by 1, 2, 3""")
+@query("e27_kernel_sum", CE + f", {KERNEL} select * from sm")
 def _(spark, sf):
     return P.kernel_sum(cell_view(spark, sf), KW, FR)
 
