@@ -121,13 +121,26 @@ def _solve_bin(keys: list[str]):
     return run
 
 
+def _component_labels(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges with the component ``_comp`` they belong to and its number of edges ``_n``."""
+    node = lambda side, c: F.struct(*keys, F.lit(side).alias("side"), F.col(c).alias("id"))
+    roots = graph_components(edges.select(node(0, "gt_id").alias("a"), node(1, "pred_id").alias("b")))
+    of_gt = roots.where(F.col("node.side") == 0).select(
+        *[F.col("node")[k].alias(k) for k in keys], F.col("node.id").alias("gt_id"), F.col("root.id").cast("bigint").alias("_comp")
+    )
+    labelled = edges.join(of_gt, [*keys, "gt_id"])
+    sizes = labelled.groupBy(*keys, "_comp").agg(F.count(F.lit(1)).alias("_n"))
+    return labelled.join(sizes, [*keys, "_comp"])
+
+
 def assign_one_to_one(pairs: DataFrame, keys: list[str], max_solver_edges: int = MAX_SOLVER_EDGES) -> DataFrame:
     """(keys, pred_id, gt_id) with most valid pairs first, then the smallest total cost.
 
     Both goals separate over the components of the graph of assignable pairs. Components that are a star
-    around one object need only its cheapest pair and are settled by aggregates, whatever their size. Of the
-    rest, components of up to ``max_solver_edges`` pairs are packed into bins and solved inside tasks; larger
-    ones are augmented path by path as Spark joins, never inside one task.
+    around one object need only its cheapest pair and are settled by aggregates, whatever their size. Units with
+    up to ``max_solver_edges`` remaining pairs are packed into bins and solved inside tasks. Larger units are
+    first split into their components; a component that is still larger is augmented path by path as Spark
+    joins, never inside one task.
     """
     e = pairs.where("valid and cost is not null").select(*keys, "pred_id", "gt_id", "cost")
     pk, gk = [*keys, "pred_id"], [*keys, "gt_id"]
@@ -143,13 +156,13 @@ def assign_one_to_one(pairs: DataFrame, keys: list[str], max_solver_edges: int =
     rest = cut_lineage(rest)
     if rest.isEmpty():
         return stars
-    node = lambda side, c: F.struct(*keys, F.lit(side).alias("side"), F.col(c).alias("id"))
-    roots = graph_components(rest.select(node(0, "gt_id").alias("a"), node(1, "pred_id").alias("b")))
-    of_gt = roots.where(F.col("node.side") == 0).select(*[F.col("node")[k].alias(k) for k in keys], F.col("node.id").alias("gt_id"), F.col("root.id").alias("_comp"))
-    labelled = rest.join(of_gt, gk)
-    sizes = labelled.groupBy(*keys, "_comp").agg(F.count(F.lit(1)).alias("_n"))
-    labelled = cut_lineage(labelled.join(sizes, [*keys, "_comp"]))
-    tally = labelled.agg(F.count(F.lit(1)).alias("n"), F.max("_n").alias("m")).first()
+    units = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    labelled = rest.join(units, keys).withColumn("_comp", F.lit(0).cast("bigint"))
+    tally = units.agg(F.sum("_n").alias("n"), F.max("_n").alias("m")).first().asDict()
+    if tally["m"] > max_solver_edges:
+        small = labelled.where(F.col("_n") <= max_solver_edges)
+        labelled = cut_lineage(small.unionByName(_component_labels(labelled.where(F.col("_n") > max_solver_edges).drop("_n", "_comp"), keys)))
+        tally["m"] = labelled.agg(F.max("_n").alias("m")).first()["m"]
     bins = max(1, -(-tally["n"] // BIN_EDGES), min(tally["n"] // 2000, 64))
     kinds = {f.name: f.dataType.simpleString() for f in labelled.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "pred_id", "gt_id"])

@@ -49,6 +49,7 @@ def gray(channels: Column) -> Column:
 # ---- E16-E19, E32: objects -----------------------------------------------------------------------
 
 MAX_MERGE_OBJECTS = 100_000
+SMALL_UNIT = 400
 OBJECT_COLS = ["obj_id", "cy", "cx", "y1", "x1", "y2", "x2", "area"]
 
 
@@ -89,20 +90,28 @@ def merge_close_objects(objects: DataFrame, dist: float, keys: list[str], max_ob
 
     An absorbed object lies within ``dist`` of the moving centroid, which lies within ``dist / 2`` of the
     object absorbed last, so all merges stay inside components of the graph with edges below ``1.5 * dist``.
-    Objects without an edge pass through; components are packed into bins for the ordered pass. Components
-    above ``max_objects`` advance by joins instead, one absorption per component and round.
+    Units up to ``SMALL_UNIT`` objects take the ordered pass as a whole. In larger ones objects without an edge
+    pass through and components take the pass, packed into bins. Components above ``max_objects`` advance by
+    joins instead, one absorption per component and round.
     """
     o = objects.select(*keys, "obj_id", "cy", "cx", "y1", "x1", "y2", "x2", F.col("area").cast("double").alias("area"))
-    a = o.select(*keys, "obj_id", "cy", "cx")
-    b = o.select(*keys, F.col("obj_id").alias("other"), F.col("cy").alias("ry"), F.col("cx").alias("rx"))
-    e = distance_pairs(a, b, keys, 1.5 * dist, strict=True).where("obj_id < other")
-    node = lambda c: F.struct(*keys, F.col(c).alias("id"))
-    roots = graph_components(e.select(node("obj_id").alias("a"), node("other").alias("b")))
-    comp = roots.select(*[F.col("node")[k].alias(k) for k in keys], F.col("node.id").alias("obj_id"), F.col("root.id").alias("_comp"))
-    x = o.join(comp, [*keys, "obj_id"], "left")
-    single = x.where("_comp is null").drop("_comp").withColumn("n_merged", F.lit(1).cast("bigint"))
-    sizes = comp.groupBy(*keys, "_comp").agg(F.count(F.lit(1)).alias("_n"))
-    group = cut_lineage(x.where("_comp is not null").join(sizes, [*keys, "_comp"]))
+    units = o.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    o = cut_lineage(o.join(units, keys))
+    whole = min(SMALL_UNIT, max_objects)
+    group = o.where(F.col("_n") <= whole).withColumn("_comp", F.lit(0).cast("bigint"))
+    large = o.where(F.col("_n") > whole).drop("_n")
+    single = large.withColumn("n_merged", F.lit(1).cast("bigint"))
+    if not large.isEmpty():
+        a = large.select(*keys, "obj_id", "cy", "cx")
+        b = large.select(*keys, F.col("obj_id").alias("other"), F.col("cy").alias("ry"), F.col("cx").alias("rx"))
+        e = distance_pairs(a, b, keys, 1.5 * dist, strict=True).where("obj_id < other")
+        node = lambda c: F.struct(*keys, F.col(c).alias("id"))
+        roots = graph_components(e.select(node("obj_id").alias("a"), node("other").alias("b")))
+        comp = roots.select(*[F.col("node")[k].alias(k) for k in keys], F.col("node.id").alias("obj_id"), F.col("root.id").cast("bigint").alias("_comp"))
+        x = large.join(comp, [*keys, "obj_id"], "left")
+        single = x.where("_comp is null").drop("_comp").withColumn("n_merged", F.lit(1).cast("bigint"))
+        sizes = comp.groupBy(*keys, "_comp").agg(F.count(F.lit(1)).alias("_n"))
+        group = cut_lineage(group.unionByName(x.where("_comp is not null").join(sizes, [*keys, "_comp"])))
     tally = group.agg(F.count(F.lit(1)).alias("n"), F.max("_n").alias("m")).first()
     bins = max(1, -(-tally["n"] // 50_000), min(tally["n"] // 500, 64))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in single.schema.fields)
