@@ -285,16 +285,16 @@ def quota_sql(n, src="pool", part=""):
  q0 as (select grp, cnt, ({n} * cnt) // t as q, ({n} * cnt) % t as r from cnt, tot), quota as (select grp, cnt, q + case when row_number() over (order by r desc, grp) <= {n} - sum(q) over () then 1 else 0 end as quota from q0)"""
 
 
-@query("l2_quotas", U + f", pool as (select * from unit_view where model = 'A' and split = 'train'), {quota_sql(157)} select grp, cnt, cast(quota as bigint) as quota from quota")
+@query("l2_quotas", U + f", pool as (select * from unit_view where model = 'A' and split = 'train'), {quota_sql(97)} select grp, cnt, cast(quota as bigint) as quota from quota")
 def _(spark, sf):
     c = unit_view(spark, sf).where("model = 'A' and split = 'train'").groupBy("grp").agg(F.count(F.lit(1)).alias("cnt"))
-    return L.quotas(c, "grp", 157)
+    return L.quotas(c, "grp", 97)
 
 
-@query("l2_stratified_sample", U + f", pool as (select uid, grp from unit_view where model = 'A' and split = 'train'), {quota_sql(157)}, n as (select *, row_number() over (partition by grp order by md5('42:' || uid), uid) as rn from pool) select uid, n.grp from n join quota using (grp) where rn <= quota")
+@query("l2_stratified_sample", U + f", pool as (select uid, grp from unit_view where model = 'A' and split = 'train'), {quota_sql(97)}, n as (select *, row_number() over (partition by grp order by md5('42:' || uid), uid) as rn from pool) select uid, n.grp from n join quota using (grp) where rn <= quota")
 def _(spark, sf):
     p = unit_view(spark, sf).where("model = 'A' and split = 'train'").select("uid", "grp")
-    return L.stratified_sample(p, 157, 42)
+    return L.stratified_sample(p, 97, 42)
 
 
 @query("l3_size_matched_control", U + """, a as (select uid, grp, split, gt_count from unit_view where model = 'A'), sz as (select split, count(*) as want from a where grp <> 'Brand#7' group by split), pool as (select * from a where split in ('train', 'val')),

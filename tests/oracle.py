@@ -80,6 +80,20 @@ def compare(rows_a, cols_a, rows_b, cols_b):
     return None
 
 
+def family(kind: str) -> str:
+    """Coarse type of a column, the same names for both engines."""
+    k = kind.lower()
+    if any(t in k for t in ("array", "list", "[]", "struct", "map")):
+        return "nested"
+    for names, fam in (
+        (("tinyint", "smallint", "bigint", "int", "integer", "long", "short", "byte"), "int"),
+        (("double", "float", "real"), "float"), (("varchar", "string"), "string"), (("boolean", "bool"), "bool"), (("timestamp", "timestamp_ntz", "date"), "time"),
+    ):
+        if k in names:
+            return fam
+    return k
+
+
 def check(spark, con, name, fn, sql, sf_dir):
     """Return (seconds, rows, problem or None)."""
     t = time.time()
@@ -90,7 +104,13 @@ def check(spark, con, name, fn, sql, sf_dir):
         return sec, len(rows), None
     cur = con.execute(sql)
     cols = [d[0] for d in cur.description]
-    return sec, len(rows), compare([tuple(r) for r in rows], df.columns, cur.fetchall(), cols)
+    problem = compare([tuple(r) for r in rows], df.columns, cur.fetchall(), cols)
+    if problem is None:
+        ours = {c: family(t) for c, t in df.dtypes}
+        theirs = {d[0]: family(str(d[1])) for d in cur.description}
+        odd = {c: (ours[c], theirs[c]) for c in ours if ours[c] != theirs[c]}
+        problem = f"types differ: {odd}" if odd else None
+    return sec, len(rows), problem
 
 
 def main(argv):
