@@ -22,7 +22,7 @@ def session(cores: int = 8):
         .appName("check")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
