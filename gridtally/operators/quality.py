@@ -117,26 +117,32 @@ def coverage_check(status: DataFrame, tol: float = 0.10) -> DataFrame:
 
 
 def validate_listing(lines: DataFrame, header: list[str], required: list[str], path_col: str, prefixes: list[str], expected_rows: int | None = None) -> DataFrame:
-    """K8: violations of a tab-separated listing given as (line_no, line) rows, one row per rule broken."""
-    first = lines.where("line_no = 1").select(F.lit("header").alias("rule"), "line_no", "line").where(F.col("line") != "\t".join(header))
-    body = lines.where("line_no > 1")
-    blank = body.where(F.trim("line") == "").select(F.lit("blank_line").alias("rule"), "line_no", "line")
-    rows = body.where(F.trim("line") != "").withColumn("_c", F.split("line", "\t"))
-    ragged = rows.where(F.size("_c") != len(header)).select(F.lit("ragged").alias("rule"), "line_no", "line")
-    fit = rows.where(F.size("_c") == len(header)).select("line_no", "line", *[F.col("_c")[i].alias(h) for i, h in enumerate(header)])
-    p = F.col(path_col)
-    one = lambda rule, cond: fit.where(cond).select(F.lit(rule).alias("rule"), "line_no", "line")
-    parts = [
-        first, blank, ragged,
-        one("illegal_path", p.contains("\\") | p.rlike(r"^(/|\./|\.\./)") | p.endswith("/")),
-        one("disallowed_character", p.rlike(r"[^A-Za-z0-9!\-_.*'()/ ]")),
-        one("outside_prefix", ~reduce(lambda a, b: a | b, [p.startswith(x) for x in prefixes])),
-        *[one(f"empty_{c}", F.trim(F.coalesce(F.col(c), F.lit(""))) == "") for c in required],
-    ]
+    """K8: violations of a tab-separated listing given as (line_no, line) rows, one row per rule broken.
+
+    All rules about a single line are tested in one pass; only repeated paths and the row count aggregate.
+    """
+    width = len(header)
+    text = F.trim("line") != ""
+    body = F.col("line_no") > 1
+    x = lines.withColumn("_c", F.split("line", "\t")).withColumn("_fit", body & text & (F.size("_c") == width))
+    field = {h: F.when(F.col("_fit"), F.get("_c", F.lit(i))) for i, h in enumerate(header)}
+    p = field[path_col]
+    tests = {
+        "header": (F.col("line_no") == 1) & (F.col("line") != "\t".join(header)),
+        "blank_line": body & ~text,
+        "ragged": body & text & (F.size("_c") != width),
+        "illegal_path": p.contains("\\") | p.rlike(r"^(/|\./|\.\./)") | p.endswith("/"),
+        "disallowed_character": p.rlike(r"[^A-Za-z0-9!\-_.*'()/ ]"),
+        "outside_prefix": ~reduce(lambda m, n: m | n, [p.startswith(v) for v in prefixes]),
+        **{f"empty_{c}": F.trim(field[c]) == "" for c in required},
+    }
+    broken = F.array_compact(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in tests.items()]))
+    parts = [x.select(F.explode(broken).alias("rule"), "line_no", "line")]
+    fit = x.where("_fit").select("line_no", "line", p.alias(path_col))
     firsts = fit.groupBy(path_col).agg(F.min("line_no").alias("_f"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     parts.append(fit.join(firsts, path_col).where("line_no > _f").select(F.lit("duplicate_path").alias("rule"), "line_no", "line"))
     if expected_rows is not None:
-        n = rows.agg(F.count(F.lit(1)).alias("n"))
+        n = x.agg(F.count_if(body & text).alias("n"))
         parts.append(n.where(F.col("n") != expected_rows).select(F.lit("row_count").alias("rule"), F.lit(0).cast("bigint").alias("line_no"), F.col("n").cast("string").alias("line")))
     return reduce(lambda a, b: a.unionByName(b), [x.withColumn("line_no", F.col("line_no").cast("bigint")) for x in parts])
 
@@ -213,14 +219,14 @@ def reconcile_counts(pooled: DataFrame, locked: DataFrame, key: str, cols: list[
 def verify_published(summary: DataFrame, expected: DataFrame, key: str, digits: dict[str, int]) -> DataFrame:
     """MATCH when a value lies within half a unit of the last published digit."""
     x = expected.join(summary, key, "left")
-    parts = [
-        x.select(
-            key, F.lit(c).alias("metric"), F.col(f"pub_{c}").alias("published"), F.col(c).alias("computed"),
+    rows = [
+        F.struct(
+            F.lit(c).alias("metric"), F.col(f"pub_{c}").cast("double").alias("published"), F.col(c).cast("double").alias("computed"),
             F.when(F.abs(F.col(c) - F.col(f"pub_{c}")) <= 0.5 * 10.0 ** (-d) + 1e-9, "MATCH").otherwise("DIFFERS").alias("verdict"),
         )
         for c, d in digits.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return x.select(key, F.explode(F.array(*rows)).alias("s")).select(key, "s.*")
 
 
 def detect_convention(blocks: DataFrame, tol: float) -> DataFrame:

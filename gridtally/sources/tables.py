@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridtally.functions import keys as K
+from gridtally.session import cut_lineage
 
 # Fields of an annotation document that hold its points.
 POINT_FIELDS = ["coords", "coordinates", "points", "centroids", "xy"]
@@ -126,6 +127,7 @@ FROZEN = {"summary_overall": "overall", "summary_by_split": "by_split", "summary
 def write_frozen_results(agg: DataFrame, root: str, mode: str) -> dict[str, str]:
     """The summary tables of one policy under ``{mode}_matching``, ranked models included."""
     base = f"{root.rstrip('/')}/{mode}_matching"
+    agg = cut_lineage(agg)
     out = {}
     for name, scope in FROZEN.items():
         out[name] = f"{base}/{name}"
