@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark context.
+
+    Functions that run in Python workers refer to the package by name, so every worker must be able to
+    import it whatever the working folder of the cluster is.
+    """
+    sc = spark.sparkContext
+    here = os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_gridtally_shipped", False) or not os.path.isdir(here):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "gridtally.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(target)
+    sc._gridtally_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, from ``spark.checkpoint.dir``.
 
