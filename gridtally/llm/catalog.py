@@ -33,7 +33,7 @@ def shingle_sql(table_name: str, key: str, width: int) -> str:
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
     return f"""
         SELECT {key}, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
-            ELSE list_distinct(list_transform(range(1, len(ws) - {width - 2}), i -> array_to_string(ws[i : i + {width - 1}], ' '))) END AS sh
+            ELSE list_distinct(list_transform(range(1, len(ws) - {width - 2}), lambda i: array_to_string(ws[i : i + {width - 1}], ' '))) END AS sh
         FROM (SELECT {key}, {words} AS ws FROM {table_name})"""
 
 
