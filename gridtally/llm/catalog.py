@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import minhash, quality, toxicity
+from gridtally.llm import decontaminate, embeddings, minhash, packing, quality, toxicity, urlfilter, warc
 from gridtally.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,62 @@ def near_duplicate_sql(source: str, width: int) -> str:
             FROM s LEFT JOIN c ON a = doc_id)"""
 
 
+def contaminated_sql(source: str) -> str:
+    """CTEs ending in hit(doc_id, item_id, item_shingles, shared_shingles) over the table ``source``."""
+    return f"""
+        bs AS ({shingle_sql("benchmark", "item_id", 5)}),
+        ds AS ({shingle_sql(source, "doc_id", 5)}),
+        be AS (SELECT item_id, len(sh) AS q, unnest(sh) AS g FROM bs),
+        de AS (SELECT doc_id, unnest(sh) AS g FROM ds),
+        hit AS (SELECT doc_id, item_id, q AS item_shingles, count(*) AS shared_shingles FROM be JOIN de USING (g) GROUP BY 1, 2, 3 HAVING 100 * count(*) >= 80 * q)"""
+
+
+@query("op2_benchmark_decontamination", f"WITH {contaminated_sql('documents')} SELECT * FROM hit")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.98),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""
+
+
+@query("op3_embedding_near_dedup", EMBEDDING_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: (host, path, verdict) of the rules that the query applies.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+URL_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(h, q, verdict) AS (VALUES {", ".join(str(r) for r in RULES)}),
+m AS (SELECT page_id, host, path, h || q AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC, length(h) DESC) AS i
+    FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE i = 1"""
+
+
+@query("op6_url_filters", URL_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
+@query("op7_warc")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(table(spark, sf_dir, "documents"))
+
+
 @query("op9_minhash_near_dedup", f"WITH RECURSIVE {near_duplicate_sql('documents', 2)} SELECT * FROM near")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
