@@ -131,7 +131,8 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         on[j] = True
         while True:
             at = np.flatnonzero(on)
-            s = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            some = a[:, at]
+            s = np.linalg.solve(some.T @ some + 1e-9 * np.eye(len(at)), some.T @ b)
             if len(s) and s.min() > 0:
                 x[:] = 0
                 x[at] = s
