@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -28,6 +27,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0)).cast("int")
@@ -40,11 +47,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased, as UTF-8 bytes."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def grouped(frames: Iterable[pd.DataFrame], keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Apply ``fn`` to each run of equal keys of sorted batches; only the open run is carried over."""
     rest: list[pd.DataFrame] = []
@@ -72,7 +74,3 @@ def grouped(frames: Iterable[pd.DataFrame], keys: list[str], fn: Callable[[pd.Da
             yield pd.concat(done, ignore_index=True)
     if rest:
         yield fn(pd.concat(rest, ignore_index=True))
-
-
-def crc(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))

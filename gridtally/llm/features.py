@@ -84,8 +84,8 @@ class Words:
 def quality_ngrams(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     """Words, word pairs and shape 1- to 3-grams; a word equal to the one before has a shape of its own."""
     w, s, t = words.whole(), words.shapes(), words.text
-    s[1:][w[1:] == w[:-1]] = np.uint64(61)
     two, three = t[1:] == t[:-1], t[2:] == t[:-2]
+    s[1:][(w[1:] == w[:-1]) & two] = np.uint64(61)
     u = np.uint64
     return [
         (t, w), (t, s + u(1 << 33)),

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtally.llm.common import unused
 from gridtally.llm.features import BITS, calibration, feature_sets, held_out, labelled_sample, logistic, margins, quality_ngrams
 from gridtally.session import ship_package
 
@@ -21,14 +22,18 @@ FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 PER_CLASS = 3_000
 
 
-def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    """Log-ratio per feature of its share among the indicators of class 1 and of class 0."""
+def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, shrink: float = 0.0) -> np.ndarray:
+    """Log-ratio per feature of its share among the indicators of class 1 and of class 0.
+
+    Each ratio is drawn towards zero by ``shrink`` of its standard errors, which mutes rare features.
+    """
     counts = np.full((2, 1 << BITS), alpha)
     for x, label in zip(rows, y):
         counts[int(label)][x] += 1
     seen = counts.sum(axis=0) >= 2 * alpha + 2
     n1, n0 = max((y > 0).sum(), 1), max((y <= 0).sum(), 1)
     r = np.log(counts[1] / (n1 + 2 * alpha)) - np.log(counts[0] / (n0 + 2 * alpha))
+    r = np.sign(r) * np.maximum(np.abs(r) - shrink * np.sqrt((1 / counts).sum(axis=0)), 0.0)
     return np.where(seen, r, 0.0)
 
 
@@ -86,10 +91,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds:
     return {"ratio": np.frombuffer(found["ratio"], "float32"), "weight": np.frombuffer(found["weight"], "float32"), "fitted": list(found["fitted"])}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1 for the whole text; null counts as empty.
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """``docs`` with ``name``, the probability of label 1 for the whole text; null counts as empty.
 
-    Every column of ``docs`` stays; a column already named ``score`` is replaced.
+    Every column of ``docs`` stays, but one of that name is replaced.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -99,10 +104,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         m = shared.value
         b, slope, offset = m["fitted"]
         for pdf in frames:
-            yield pdf.assign(score=logistic(slope * margins(list(pdf["text"]), quality_ngrams, m["weight"], m["ratio"], b) + offset))
+            yield pdf.assign(**{name: logistic(slope * margins(list(pdf["text"]), quality_ngrams, m["weight"], m["ratio"], b) + offset)})
 
-    kept = docs.drop("score").withColumn("text", F.col("text").cast("string"))
-    return kept.mapInPandas(run, schema=kept.withColumn("score", F.lit(0.0)).schema)
+    kept = docs.drop(name).withColumn("text", F.col("text").cast("string"))
+    return kept.mapInPandas(run, schema=kept.withColumn(name, F.lit(0.0)).schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -120,4 +125,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
 def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The documents predicted to be of good quality, with their columns unchanged."""
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), per_class)
-    return score(docs, model).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    name = unused(docs, "_score")
+    return score(docs, model, name).where(F.col(name) >= THRESHOLD).select(*docs.columns)

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtally.llm.common import unused
 from gridtally.llm.features import BITS, calibration, feature_sets, held_out, labelled_sample, logistic, margins, stem_ngrams
 from gridtally.llm.quality import log_count_ratios
 from gridtally.session import ship_package
@@ -22,6 +23,10 @@ from gridtally.session import ship_package
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Training documents of each class at most; the one bound of the model, see README.
 PER_CLASS = 3_000
+#: Standard errors by which a feature's log-ratio is drawn towards zero.
+SHRINK = 1.5
+#: Weight of the counterfactual penalty.
+FAIRNESS = 10.0
 #: Terms of one line can stand for each other in a sentence.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"), ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
@@ -54,15 +59,17 @@ def counterfactuals(text: str) -> Iterator[tuple[str, str]]:
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], fairness: float, rounds: int = 6, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by adaptive gradient steps over documents, with the pairs' penalty between them."""
+    """Weights and bias by adaptive gradient steps over the documents; after each round over them the pairs' scores are drawn together.
+
+    The step for a pair is the exact minimiser of its penalty, ``fairness`` times the squared score difference, plus the
+    squared distance from the weights so far.
+    """
     share = min(max((y > 0).mean(), 1e-6), 1 - 1e-6)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
     w, g2, b, gb = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6), 0.0, 1e-6
     order = np.random.default_rng(11)
-    every = max(1, len(rows) // max(len(pairs), 1))
-    turn = 0
     for _ in range(rounds):
-        for n, i in enumerate(order.permutation(len(rows))):
+        for i in order.permutation(len(rows)):
             x, v = rows[i], r[rows[i]]
             norm = np.sqrt((v * v).sum()) or 1.0
             v = v / norm
@@ -73,18 +80,16 @@ def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, pairs: list[tu
             w[x] -= 0.5 * g / np.sqrt(g2[x])
             gb += d * d
             b -= 0.5 * d / np.sqrt(gb)
-            if pairs and n % every == 0:
-                left, right = pairs[turn % len(pairs)]
-                turn += 1
-                gap = float((w[left] * r[left]).sum() - (w[right] * r[right]).sum())
-                for side, sign in ((left, 1.0), (right, -1.0)):
-                    size = (r[left] ** 2).sum() + (r[right] ** 2).sum()
-                    if size > 0:
-                        w[side] -= sign * min(fairness, 1.0) * gap * r[side] / size
+        for left, right in pairs if fairness > 0 else ():
+            gap = (w[left] * r[left]).sum() - (w[right] * r[right]).sum()
+            size = (r[left] ** 2).sum() + (r[right] ** 2).sum()
+            step = fairness * gap / (1 + fairness * size)
+            w[left] -= step * r[left]
+            w[right] += step * r[right]
     return w, b
 
 
-def fit(pdf: pd.DataFrame, fairness: float = 1.0) -> pd.DataFrame:
+def fit(pdf: pd.DataFrame, fairness: float = FAIRNESS) -> pd.DataFrame:
     """One row with the weights, bias and calibration learnt from (y, text) rows.
 
     The log-ratio of a feature's counts in the classes scales its indicator. For each pair only the features
@@ -96,7 +101,7 @@ def fit(pdf: pd.DataFrame, fairness: float = 1.0) -> pd.DataFrame:
     if not len(y) or y.min() == y.max():
         slope, offset = calibration(np.zeros(len(y)), y)
         return pd.DataFrame({"weight": [np.zeros(1 << BITS, "float32").tobytes()], "ratio": [np.zeros(1 << BITS, "float32").tobytes()], "fitted": [[0.0, slope, offset]]})
-    r = log_count_ratios(rows, y)
+    r = log_count_ratios(rows, y, shrink=SHRINK)
     swaps = [p for t in pdf["text"] for p in counterfactuals(t)]
     sides = zip(feature_sets([s for s, _ in swaps], stem_ngrams), feature_sets([c for _, c in swaps], stem_ngrams))
     pairs = [(np.setdiff1d(s, c), np.setdiff1d(c, s)) for s, c in sides]
@@ -105,7 +110,7 @@ def fit(pdf: pd.DataFrame, fairness: float = 1.0) -> pd.DataFrame:
     return pd.DataFrame({"weight": [w.astype("float32").tobytes()], "ratio": [r.astype("float32").tobytes()], "fitted": [[b, slope, offset]]})
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fairness: float = 1.0) -> dict:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fairness: float = FAIRNESS) -> dict:
     """The model learnt from the labelled rows outside the held-out fold, as plain arrays of fixed size."""
     ship_package(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, per_class)
@@ -116,10 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fairne
     return {"ratio": np.frombuffer(found["ratio"], "float32"), "weight": np.frombuffer(found["weight"], "float32"), "fitted": list(found["fitted"])}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``score``, the probability that the whole text is toxic; null counts as empty.
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """``docs`` with ``name``, the probability that the whole text is toxic; null counts as empty.
 
-    Every column of ``docs`` stays; a column already named ``score`` is replaced.
+    Every column of ``docs`` stays, but one of that name is replaced.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -129,10 +134,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         m = shared.value
         b, slope, offset = m["fitted"]
         for pdf in frames:
-            yield pdf.assign(score=logistic(slope * margins(list(pdf["text"]), stem_ngrams, m["weight"], m["ratio"], b) + offset))
+            yield pdf.assign(**{name: logistic(slope * margins(list(pdf["text"]), stem_ngrams, m["weight"], m["ratio"], b) + offset)})
 
-    kept = docs.drop("score").withColumn("text", F.col("text").cast("string"))
-    return kept.mapInPandas(run, schema=kept.withColumn("score", F.lit(0.0)).schema)
+    kept = docs.drop(name).withColumn("text", F.col("text").cast("string"))
+    return kept.mapInPandas(run, schema=kept.withColumn(name, F.lit(0.0)).schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -150,4 +155,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
 def keep_civil(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The documents not predicted to be toxic, with their columns unchanged."""
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), per_class)
-    return score(docs, model).where(F.col("score") < THRESHOLD).select(*docs.columns)
+    name = unused(docs, "_score")
+    return score(docs, model, name).where(F.col(name) < THRESHOLD).select(*docs.columns)
