@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridtally.llm.common import unused
 from gridtally.llm.features import BITS, calibration, feature_sets, held_out, labelled_sample, logistic, margins, stem_ngrams
-from gridtally.llm.quality import log_count_ratios
+from gridtally.llm.quality import log_count_ratios, scaled
 from gridtally.session import ship_package
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -58,6 +58,15 @@ def counterfactuals(text: str) -> Iterator[tuple[str, str]]:
                 yield s, changed
 
 
+def difference(one: np.ndarray, two: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features and values by which the scaled indicators of two sentences differ."""
+    x = np.union1d(one, two)
+    d = np.zeros(len(x))
+    d[np.searchsorted(x, one)] += scaled(one, r)
+    d[np.searchsorted(x, two)] -= scaled(two, r)
+    return x[d != 0], d[d != 0]
+
+
 def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], fairness: float, rounds: int = 6, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias by adaptive gradient steps over the documents; after each round over them the pairs' scores are drawn together.
 
@@ -80,20 +89,15 @@ def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, pairs: list[tu
             w[x] -= 0.5 * g / np.sqrt(g2[x])
             gb += d * d
             b -= 0.5 * d / np.sqrt(gb)
-        for left, right in pairs if fairness > 0 else ():
-            gap = (w[left] * r[left]).sum() - (w[right] * r[right]).sum()
-            size = (r[left] ** 2).sum() + (r[right] ** 2).sum()
-            step = fairness * gap / (1 + fairness * size)
-            w[left] -= step * r[left]
-            w[right] += step * r[right]
+        for x, d in pairs if fairness > 0 else ():
+            w[x] -= fairness * (w[x] @ d) / (1 + fairness * (d @ d)) * d
     return w, b
 
 
 def fit(pdf: pd.DataFrame, fairness: float = FAIRNESS) -> pd.DataFrame:
     """One row with the weights, bias and calibration learnt from (y, text) rows.
 
-    The log-ratio of a feature's counts in the classes scales its indicator. For each pair only the features
-    that differ between its sentences enter the penalty.
+    The log-ratio of a feature's counts in the classes scales its indicator.
     """
     pdf = pdf.sort_values(["_id", "y", "text"], kind="stable")
     rows = feature_sets(list(pdf["text"]), stem_ngrams)
@@ -104,7 +108,7 @@ def fit(pdf: pd.DataFrame, fairness: float = FAIRNESS) -> pd.DataFrame:
     r = log_count_ratios(rows, y, shrink=SHRINK)
     swaps = [p for t in pdf["text"] for p in counterfactuals(t)]
     sides = zip(feature_sets([s for s, _ in swaps], stem_ngrams), feature_sets([c for _, c in swaps], stem_ngrams))
-    pairs = [(np.setdiff1d(s, c), np.setdiff1d(c, s)) for s, c in sides]
+    pairs = [difference(s, c, r) for s, c in sides]
     w, b = descend(rows, y, r, pairs, fairness)
     slope, offset = calibration(margins(list(pdf["text"]), stem_ngrams, w, r, b), y)
     return pd.DataFrame({"weight": [w.astype("float32").tobytes()], "ratio": [r.astype("float32").tobytes()], "fitted": [[b, slope, offset]]})
