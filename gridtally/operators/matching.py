@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridtally.operators.components import graph_components
 from gridtally.operators.spatial import distance_pairs, pairwise_geometry, points_in_box
-from gridtally.session import cut_lineage
+from gridtally.session import cut_lineage, join_keys
 
 # Matching parameters.
 D_MAX, IOU_MIN, ALPHA, BIG_COST = 20.0, 0.1, 0.5, 1.0e6
@@ -21,15 +21,14 @@ BIN_EDGES = 50_000
 
 def check_parameters(d_max: float, min_iou: float, alpha: float, policy: str, cap: float | None = None) -> None:
     if policy not in ("OR", "AND"):
-        raise ValueError(f"policy must be 'OR' or 'AND', got {policy!r}")
-    if d_max <= 0:
-        raise ValueError(f"d_max must be > 0, got {d_max}")
+        raise ValueError(f"unknown gate policy {policy!r}")
+    if not d_max > 0:
+        raise ValueError(f"distance gate {d_max} is not positive")
     if cap is not None and d_max > cap + 1e-9:
-        raise ValueError(f"d_max={d_max} exceeds the distance cap {cap} of the pairs")
-    if not 0.0 <= min_iou <= 1.0:
-        raise ValueError(f"min_iou must be in [0, 1], got {min_iou}")
-    if not 0.0 <= alpha <= 1.0:
-        raise ValueError(f"alpha must be in [0, 1], got {alpha}")
+        raise ValueError(f"pairs were only formed up to a distance of {cap}, below the gate {d_max}")
+    for name, share in (("overlap gate", min_iou), ("cost blend", alpha)):
+        if not 0.0 <= share <= 1.0:
+            raise ValueError(f"{name} {share} is not a share between 0 and 1")
 
 
 def valid_pairs(pairs: DataFrame, d_max: Column | float, min_iou: Column | float, policy: Column | str) -> DataFrame:
@@ -108,7 +107,7 @@ def cheapest_matching(edges: list[list[tuple[int, float]]], n_gt: int) -> list[i
 def _solve_bin(keys: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in pdf.groupby("_comp", sort=False):
+        for _, part in pdf.groupby([*keys, "_comp"], sort=False, dropna=False):
             preds, p_at = pd.factorize(part["pred_id"].to_numpy(), sort=True)
             gts, g_at = pd.factorize(part["gt_id"].to_numpy(), sort=True)
             rows: list[list[tuple[int, float]]] = [[] for _ in p_at]
@@ -128,9 +127,9 @@ def _component_labels(edges: DataFrame, keys: list[str]) -> DataFrame:
     of_gt = roots.where(F.col("node.side") == 0).select(
         *[F.col("node")[k].alias(k) for k in keys], F.col("node.id").alias("gt_id"), F.col("root.id").cast("bigint").alias("_comp")
     )
-    labelled = edges.join(of_gt, [*keys, "gt_id"])
+    labelled = join_keys(edges, of_gt, [*keys, "gt_id"])
     sizes = labelled.groupBy(*keys, "_comp").agg(F.count(F.lit(1)).alias("_n"))
-    return labelled.join(sizes, [*keys, "_comp"])
+    return join_keys(labelled, sizes, [*keys, "_comp"])
 
 
 def assign_one_to_one(pairs: DataFrame, keys: list[str], max_solver_edges: int = MAX_SOLVER_EDGES) -> DataFrame:
@@ -145,19 +144,19 @@ def assign_one_to_one(pairs: DataFrame, keys: list[str], max_solver_edges: int =
     e = pairs.where("valid and cost is not null").select(*keys, "pred_id", "gt_id", "cost")
     pk, gk = [*keys, "pred_id"], [*keys, "gt_id"]
     p_deg = e.groupBy(*pk).agg(F.count(F.lit(1)).alias("pd"))
-    e1 = e.join(p_deg, pk)
+    e1 = join_keys(e, p_deg, pk)
     by_gt = e1.groupBy(*gk).agg(F.count(F.lit(1)).alias("gd"), F.max("pd").alias("gt_max"), F.min(F.struct("cost", "pred_id")).alias("gt_best"))
-    e2 = e1.join(by_gt.select(*gk, "gd", "gt_max"), gk)
+    e2 = join_keys(e1, by_gt.select(*gk, "gd", "gt_max"), gk)
     by_pred = e2.groupBy(*pk).agg(F.max("gd").alias("pred_max"), F.first("pd").alias("pd"), F.min(F.struct("cost", "gt_id")).alias("pred_best"))
     gt_stars = by_gt.where("gt_max = 1").select(*keys, F.col("gt_best.pred_id").alias("pred_id"), "gt_id")
     pred_stars = by_pred.where("pred_max = 1 and pd > 1").select(*keys, "pred_id", F.col("pred_best.gt_id").alias("gt_id"))
     stars = gt_stars.unionByName(pred_stars)
-    rest = e2.where("gt_max > 1").join(by_pred.where("pred_max > 1").select(*pk), pk).select(*keys, "pred_id", "gt_id", "cost")
+    rest = join_keys(e2.where("gt_max > 1"), by_pred.where("pred_max > 1").select(*pk, F.lit(True).alias("_open")), pk).select(*keys, "pred_id", "gt_id", "cost")
     rest = cut_lineage(rest)
     if rest.isEmpty():
         return stars
     units = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    labelled = rest.join(units, keys).withColumn("_comp", F.lit(0).cast("bigint"))
+    labelled = join_keys(rest, units, keys).withColumn("_comp", F.lit(0).cast("bigint"))
     tally = units.agg(F.sum("_n").alias("n"), F.max("_n").alias("m")).first().asDict()
     if tally["m"] > max_solver_edges:
         small = labelled.where(F.col("_n") <= max_solver_edges)
@@ -166,10 +165,9 @@ def assign_one_to_one(pairs: DataFrame, keys: list[str], max_solver_edges: int =
     bins = max(1, -(-tally["n"] // BIN_EDGES), min(tally["n"] // 2000, 64))
     kinds = {f.name: f.dataType.simpleString() for f in labelled.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "pred_id", "gt_id"])
-    comp_id = F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, "_comp"]])
     solved = (
         labelled.where(F.col("_n") <= max_solver_edges)
-        .select(*keys, "pred_id", "gt_id", "cost", comp_id.alias("_comp"), F.pmod(F.xxhash64(*keys, "_comp"), F.lit(bins)).alias("_bin"))
+        .select(*keys, "pred_id", "gt_id", "cost", "_comp", F.pmod(F.xxhash64(*keys, "_comp"), F.lit(bins)).alias("_bin"))
         .groupBy("_bin")
         .applyInPandas(_solve_bin(keys), schema)
     )
@@ -188,10 +186,10 @@ def bucket_predictions(pred: DataFrame, gt: DataFrame, pairs: DataFrame, matches
     """
     has = pairs.where("valid").select(*keys, "pred_id").distinct().withColumn("_c", F.lit(True))
     m = matches.select(*keys, "pred_id", "gt_id")
-    p = pred.select(*keys, F.col("obj_id").alias("pred_id")).join(m, [*keys, "pred_id"], "left").join(has, [*keys, "pred_id"], "left")
+    p = join_keys(join_keys(pred.select(*keys, F.col("obj_id").alias("pred_id")), m, [*keys, "pred_id"], "left"), has, [*keys, "pred_id"], "left")
     bucket = F.when(F.col("gt_id").isNotNull(), "tp").when(F.col("_c"), "ignored").otherwise("fp")
     pp = p.select(*keys, F.lit("pred").alias("side"), F.col("pred_id").alias("obj_id"), bucket.alias("bucket"), F.col("gt_id").alias("partner_id"))
-    g = gt.select(*keys, F.col("obj_id").alias("gt_id")).join(m, [*keys, "gt_id"], "left")
+    g = join_keys(gt.select(*keys, F.col("obj_id").alias("gt_id")), m, [*keys, "gt_id"], "left")
     gg = g.select(*keys, F.lit("gt").alias("side"), F.col("gt_id").alias("obj_id"), F.when(F.col("pred_id").isNotNull(), "tp").otherwise("fn").alias("bucket"), F.col("pred_id").alias("partner_id"))
     return pp.unionByName(gg)
 
@@ -250,10 +248,11 @@ def match_boxes_to_points(pred: DataFrame, points: DataFrame, models: list[str],
     return bucket_predictions(pred, per_model(points, models), pairs, matches, ["uid", "model"], ["uid"])
 
 
-def sweep_matching(pairs: DataFrame, pred: DataFrame, gt: DataFrame, models: list[str], d_max: list[float], min_iou: list[float], policies: list[str], cap: float, alpha: float = ALPHA) -> DataFrame:
+def sweep_matching(pairs: DataFrame, pred: DataFrame, gt: DataFrame, models: list[str], d_max: list[float], min_iou: list[float], policies: list[str], cap: float, alpha: float = ALPHA, units: DataFrame | None = None) -> DataFrame:
     """The parameter sweep: one row per unit, model and grid point, from pairs computed once.
 
-    The grid point is part of the key, so all cells share the same stages.
+    The grid point is part of the key, so all cells share the same stages. ``units`` (uid and columns to pass through) names
+    all units; one without any object has a row of zero counts. Without it only units with objects have rows.
     """
     for d in d_max:
         for i in min_iou:
@@ -271,7 +270,7 @@ def sweep_matching(pairs: DataFrame, pred: DataFrame, gt: DataFrame, models: lis
     cand = x.groupBy(*keys).agg(F.countDistinct("pred_id").alias("n_cand"))
     n_gt = gt.groupBy("uid").agg(F.count(F.lit(1)).alias("n_gt"))
     n_pred = pred.groupBy("uid", "model").agg(F.count(F.lit(1)).alias("n_pred"))
-    units = per_model(pred.select("uid").union(gt.select("uid")).distinct(), models)
+    units = per_model(units if units is not None else pred.select("uid").union(gt.select("uid")).distinct(), models)
     units = units.join(n_pred, ["uid", "model"], "left").join(n_gt, ["uid"], "left").fillna(0, ["n_pred", "n_gt"])
     rows = cross_grid(units, **axes).join(tp, keys, "left").join(cand, keys, "left").fillna(0, ["tp", "n_cand"])
     from gridtally.functions.metrics import object_metrics_from_counts

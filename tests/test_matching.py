@@ -159,3 +159,11 @@ def test_boxes_to_points(spark):
     assert (c["tp"], c["fp"], c["fn"]) == (1, 1, 1)
     c = X.bucket_counts(X.match_boxes_to_points(p, g, ["m"], 20.0, require_inside=False), ["uid"]).first()
     assert c["tp"] == 2
+
+
+def test_units_with_like_joined_names_stay_apart(spark):
+    units = [("a|b", "c"), ("a", "b|c"), (None, "c"), ("", "c"), ("a", None)]
+    rows = [(u, m, p, g, 0.1 + 0.2 * (p != g), True) for u, m in units for p in (1, 2) for g in (1, 2)]
+    df = spark.createDataFrame(rows, "uid string, model string, pred_id bigint, gt_id bigint, cost double, valid boolean")
+    got = X.assign_one_to_one(df, ["uid", "model"]).collect()
+    assert sorted((str(r["uid"]), str(r["model"]), r["pred_id"], r["gt_id"]) for r in got) == sorted((str(u), str(m), i, i) for u, m in units for i in (1, 2))
