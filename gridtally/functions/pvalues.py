@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Sample sizes up to which untied samples use the exact distribution.
+# Sample sizes (for the rank sum of the smaller sample) up to which untied samples use the exact distribution.
 EXACT_SIGNED_RANK = 50
 EXACT_RANK_SUM = 8
 
@@ -32,19 +32,30 @@ def signed_rank_counts(n: int) -> tuple[float, ...]:
     return tuple(c / 2.0**n)
 
 
-@lru_cache(maxsize=256)
-def rank_sum_counts(n1: int, n2: int) -> tuple[float, ...]:
-    """Share of arrangements of two untied samples with each U."""
-    c = np.zeros((n1 + 1, n1 * n2 + 1))
-    c[0, 0] = 1.0
-    for v in range(1, n1 + n2 + 1):
-        for k in range(min(v, n1), 0, -1):
-            low = v - k
-            if low <= n1 * n2:
-                c[k, low:] += c[k - 1, : n1 * n2 + 1 - low]
-    # c[k][u] now counts k-subsets of 1..n1+n2 with rank sum excess u.
-    got = c[n1, : n1 * n2 + 1]
-    return tuple(got / got.sum())
+def rank_sum_tail(n1: int, n2: int, top: int) -> float:
+    """Share of arrangements of two untied samples with U of at least ``top``.
+
+    U is symmetric, so this is the share with U up to ``n1 * n2 - top``. The counts are the coefficients of the Gaussian
+    binomial, a product of (1 - q^(n2 + i)) over (1 - q^i) for i up to the smaller size: one shifted difference and one strided
+    running sum each, on only as many coefficients as the tail has.
+    """
+    n1, n2 = sorted((n1, n2))
+    last = n1 * n2 - top
+    if last < 0:
+        return 0.0
+    if last >= n1 * n2:
+        return 1.0
+    c = np.zeros(last + 1, dtype=np.longdouble)
+    c[0] = 1.0
+    for i in range(1, n1 + 1):
+        shift = n2 + i
+        if shift <= last:
+            c[shift:] = c[shift:] - c[: last + 1 - shift]
+        rows = -(-(last + 1) // i)
+        padded = np.zeros(rows * i, dtype=np.longdouble)
+        padded[: last + 1] = c
+        c = np.cumsum(padded.reshape(rows, i), axis=0).reshape(-1)[: last + 1]
+    return float(c.sum() / np.longdouble(math.comb(n1 + n2, n1)))
 
 
 def signed_rank_p(r_plus: float, n: float, ties: float, has_zero: bool, alternative: str) -> float | None:
@@ -71,8 +82,7 @@ def rank_sum_p(u: float, n1: float, n2: float, ties: float) -> float | None:
     n1, n2 = int(n1), int(n2)
     top = max(u, n1 * n2 - u)
     if min(n1, n2) <= EXACT_RANK_SUM and ties == 0:
-        c = np.array(rank_sum_counts(min(n1, n2), max(n1, n2)))
-        return min(1.0, 2 * float(c[int(round(top)) :].sum()))
+        return min(1.0, 2 * rank_sum_tail(n1, n2, int(round(top))))
     n = n1 + n2
     var = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))
     if var <= 0:

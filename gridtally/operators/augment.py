@@ -7,6 +7,8 @@ nothing is ever collected into a task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from gridtally.operators.spatial import centroid_distance
 from gridtally.session import cut_lineage
 
 
-def augment_by_joins(edges: DataFrame, comp: list[str], max_rounds: int = 1_000_000) -> DataFrame:
+def augment_by_joins(edges: DataFrame, comp: list[str]) -> DataFrame:
     """Most pairs, then least cost, per component, as (comp, pred_id, gt_id).
 
     Starts from the cheapest pair of each truth object that is also the cheapest of its prediction, which is
@@ -29,7 +31,7 @@ def augment_by_joins(edges: DataFrame, comp: list[str], max_rounds: int = 1_000_
     first = e.groupBy(*pk).agg(F.min(F.struct("cost", "gt_id")).alias("b")).select(*pk, F.col("b.gt_id").alias("gt_id"))
     match = cut_lineage(first.groupBy(*gk).agg(F.min("pred_id").alias("pred_id")).join(e, [*gk, "pred_id"]).select(*pk, "gt_id", "cost"))
     waiting = cut_lineage(e.select(*pk).distinct().join(match, pk, "left_anti"))
-    for _ in range(max_rounds):
+    while True:
         start = cut_lineage(waiting.groupBy(*comp).agg(F.min("pred_id").alias("pred_id")))
         if start.isEmpty():
             return match.select(*pk, "gt_id")
@@ -65,7 +67,6 @@ def augment_by_joins(edges: DataFrame, comp: list[str], max_rounds: int = 1_000_
             match = cut_lineage(match.join(now.select(*pk), pk, "left_anti").select(*pk, "gt_id", "cost").unionByName(now))
             cursor = nxt
         waiting = cut_lineage(waiting.join(start, pk, "left_anti"))
-    raise RuntimeError("assignment not settled")
 
 
 def _same(a: DataFrame, b: DataFrame, cols: list[str]):
@@ -76,13 +77,13 @@ def _same(a: DataFrame, b: DataFrame, cols: list[str]):
     return cond
 
 
-def merge_by_joins(objects: DataFrame, comp: list[str], dist: float, max_rounds: int = 1_000_000) -> DataFrame:
+def merge_by_joins(objects: DataFrame, comp: list[str], dist: float) -> DataFrame:
     """Greedy merge in id order per component, one absorption or one finished object per component and round."""
     left = cut_lineage(objects)
     cols = ["obj_id", "cy", "cx", "y1", "x1", "y2", "x2", "area"]
     done = []
     cur = None
-    for _ in range(max_rounds):
+    while True:
         if cur is None:
             if left.isEmpty():
                 break
@@ -94,6 +95,8 @@ def merge_by_joins(objects: DataFrame, comp: list[str], dist: float, max_rounds:
         take = cut_lineage(cand.where(near).groupBy(*comp).agg(F.min("o").alias("o")))
         closed = cut_lineage(cur.join(take.select(*comp), comp, "left_anti").drop("last"))
         done.append(closed)
+        if len(done) == 16:  # a plan of bounded size, however many rounds there are
+            done = [cut_lineage(reduce(DataFrame.unionByName, done))]
         o = lambda c: F.col(f"o.{c}")
         grown = cur.join(take, comp).select(
             *comp, "obj_id", ((F.col("cy") + o("cy")) / 2.0).alias("cy"), ((F.col("cx") + o("cx")) / 2.0).alias("cx"),
@@ -109,7 +112,4 @@ def merge_by_joins(objects: DataFrame, comp: list[str], dist: float, max_rounds:
         left = cut_lineage(left.join(cur.select(*comp, "obj_id"), [*comp, "obj_id"], "left_anti"))
         if cur.isEmpty():
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return reduce(DataFrame.unionByName, done)

@@ -12,7 +12,6 @@ from gridtally.session import cut_lineage
 
 TILE = 256
 BIN_RUNS = 60_000
-MAX_ROUNDS = 60
 
 
 def smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,17 +30,17 @@ def smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lab
 
 
-def graph_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def graph_components(edges: DataFrame) -> DataFrame:
     """Component of every node of an edge table (a, b), as (node, root) with the smallest node as root.
 
     Alternates large-star and small-star rounds (Kiveris et al., 2014). Neighbourhoods are only ever
-    reduced by ``min``, so a node of any degree stays an ordinary aggregate. Each round is checkpointed, the
-    number of rounds grows with the logarithm of the diameter, and running out of rounds is an error.
+    reduced by ``min``, so a node of any degree stays an ordinary aggregate. Each round is checkpointed, and rounds go
+    on until nothing changes; their number grows with the logarithm of the diameter.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = cut_lineage(e)
     seen = None
-    for _ in range(max_rounds):
+    while True:
         mark = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if (mark["n"], mark["h"]) == seen or mark["n"] == 0:
             break
@@ -57,8 +56,6 @@ def graph_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFram
             .distinct()
         )
         e = cut_lineage(e)
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from gridtally.operators.components import graph_components, label_runs, object_attributes, runs_from_pixels
 from gridtally.operators.ranks import first_n_per_group
 from gridtally.operators.spatial import box_rows, distance_pairs, point_in_region, points_in_box, run_overlaps
-from gridtally.session import cut_lineage, ratio
+from gridtally.session import cut_lineage, join_keys, ratio
 
 # ---- E1 -----------------------------------------------------------------------------------------
 
@@ -48,36 +49,56 @@ def gray(channels: Column) -> Column:
 
 # ---- E16-E19, E32: objects -----------------------------------------------------------------------
 
-MAX_MERGE_OBJECTS = 100_000
-SMALL_UNIT = 400
+MAX_MERGE_OBJECTS = 2_000_000
 OBJECT_COLS = ["obj_id", "cy", "cx", "y1", "x1", "y2", "x2", "area"]
 
 
 def merge_in_order(rows: list[tuple], dist: float) -> list[tuple]:
-    """Objects (id, cy, cx, y1, x1, y2, x2, area) after one greedy pass in the given order."""
-    left = list(rows)
+    """Objects (id, cy, cx, y1, x1, y2, x2, area) after one greedy pass in the given order.
+
+    Objects not yet merged lie in a grid of cells of side ``dist``; the next one to absorb is the first in order,
+    after the one absorbed last, among the nine cells around the centroid.
+    """
+    cell = lambda y, x: (math.floor(y / dist), math.floor(x / dist))
+    grid: dict[tuple[int, int], list[int]] = {}
+    for n, o in enumerate(rows):
+        grid.setdefault(cell(o[1], o[2]), []).append(n)
+    alive = [True] * len(rows)
     out = []
-    while left:
-        i, cy, cx, y1, x1, y2, x2, area = left[0]
-        rest = []
-        n = 1
-        for o in left[1:]:
-            if math.dist((cy, cx), (o[1], o[2])) < dist:
-                cy, cx = (cy + o[1]) / 2.0, (cx + o[2]) / 2.0
-                y1, x1, y2, x2 = min(y1, o[3]), min(x1, o[4]), max(y2, o[5]), max(x2, o[6])
-                area += o[7]
-                n += 1
-            else:
-                rest.append(o)
+    for start, (i, cy, cx, y1, x1, y2, x2, area) in enumerate(rows):
+        if not alive[start]:
+            continue
+        grid[cell(cy, cx)].remove(start)
+        alive[start] = False
+        last, n = start, 1
+        while True:
+            r, c = cell(cy, cx)
+            found = None
+            for key in ((r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+                near = grid.get(key, ())
+                for k in near[bisect_right(near, last) :]:
+                    if found is not None and k > found:
+                        break
+                    if math.dist((cy, cx), (rows[k][1], rows[k][2])) < dist:
+                        found = k
+                        break
+            if found is None:
+                break
+            o = rows[found]
+            grid[cell(o[1], o[2])].remove(found)
+            alive[found] = False
+            cy, cx = (cy + o[1]) / 2.0, (cx + o[2]) / 2.0
+            y1, x1, y2, x2 = min(y1, o[3]), min(x1, o[4]), max(y2, o[5]), max(x2, o[6])
+            area += o[7]
+            last, n = found, n + 1
         out.append((i, cy, cx, y1, x1, y2, x2, area, n))
-        left = rest
     return out
 
 
 def _merge_bin(keys: list[str], dist: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in pdf.sort_values("obj_id").groupby("_comp", sort=False):
+        for _, part in pdf.sort_values("obj_id").groupby([*keys, "_comp"], sort=False, dropna=False):
             head = tuple(part[k].iloc[0] for k in keys)
             out += [(*head, *r) for r in merge_in_order(list(part[OBJECT_COLS].itertuples(index=False, name=None)), dist)]
         return pd.DataFrame(out, columns=[*keys, *OBJECT_COLS, "n_merged"])
@@ -90,36 +111,27 @@ def merge_close_objects(objects: DataFrame, dist: float, keys: list[str], max_ob
 
     An absorbed object lies within ``dist`` of the moving centroid, which lies within ``dist / 2`` of the
     object absorbed last, so all merges stay inside components of the graph with edges below ``1.5 * dist``.
-    Units up to ``SMALL_UNIT`` objects take the ordered pass as a whole. In larger ones objects without an edge
-    pass through and components take the pass, packed into bins. Components above ``max_objects`` advance by
-    joins instead, one absorption per component and round.
+    Objects without an edge pass through; components take the pass inside tasks, packed into bins. A component above
+    ``max_objects`` advances by joins instead, with the same result.
     """
-    o = objects.select(*keys, "obj_id", "cy", "cx", "y1", "x1", "y2", "x2", F.col("area").cast("double").alias("area"))
-    units = o.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    o = cut_lineage(o.join(units, keys))
-    whole = min(SMALL_UNIT, max_objects)
-    group = o.where(F.col("_n") <= whole).withColumn("_comp", F.lit(0).cast("bigint"))
-    large = o.where(F.col("_n") > whole).drop("_n")
-    single = large.withColumn("n_merged", F.lit(1).cast("bigint"))
-    if not large.isEmpty():
-        a = large.select(*keys, "obj_id", "cy", "cx")
-        b = large.select(*keys, F.col("obj_id").alias("other"), F.col("cy").alias("ry"), F.col("cx").alias("rx"))
-        e = distance_pairs(a, b, keys, 1.5 * dist, strict=True).where("obj_id < other")
-        node = lambda c: F.struct(*keys, F.col(c).alias("id"))
-        roots = graph_components(e.select(node("obj_id").alias("a"), node("other").alias("b")))
-        comp = roots.select(*[F.col("node")[k].alias(k) for k in keys], F.col("node.id").alias("obj_id"), F.col("root.id").cast("bigint").alias("_comp"))
-        x = large.join(comp, [*keys, "obj_id"], "left")
-        single = x.where("_comp is null").drop("_comp").withColumn("n_merged", F.lit(1).cast("bigint"))
-        sizes = comp.groupBy(*keys, "_comp").agg(F.count(F.lit(1)).alias("_n"))
-        group = cut_lineage(group.unionByName(x.where("_comp is not null").join(sizes, [*keys, "_comp"])))
+    o = cut_lineage(objects.select(*keys, "obj_id", "cy", "cx", "y1", "x1", "y2", "x2", F.col("area").cast("double").alias("area")))
+    key = F.struct(*keys)
+    a = o.select(key.alias("_k"), "obj_id", "cy", "cx")
+    b = o.select(key.alias("_k"), F.col("obj_id").alias("other"), F.col("cy").alias("ry"), F.col("cx").alias("rx"))
+    e = distance_pairs(a, b, ["_k"], 1.5 * dist, strict=True).where("obj_id < other")
+    node = lambda c: F.struct("_k", F.col(c).alias("id"))
+    roots = graph_components(e.select(node("obj_id").alias("a"), node("other").alias("b")))
+    comp = roots.select(*[F.col("node._k")[k].alias(k) for k in keys], F.col("node.id").alias("obj_id"), F.col("root.id").cast("bigint").alias("_comp"))
+    x = join_keys(o, comp, [*keys, "obj_id"], "left")
+    single = x.where("_comp is null").drop("_comp").withColumn("n_merged", F.lit(1).cast("bigint"))
+    sizes = comp.groupBy(*keys, "_comp").agg(F.count(F.lit(1)).alias("_n"))
+    group = cut_lineage(join_keys(x.where("_comp is not null"), sizes, [*keys, "_comp"]))
     tally = group.agg(F.count(F.lit(1)).alias("n"), F.max("_n").alias("m")).first()
     bins = max(1, -(-tally["n"] // 50_000), min(tally["n"] // 500, 64))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in single.schema.fields)
-    ident = F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, "_comp"]])
     merged = (
         group.where(F.col("_n") <= max_objects)
         .withColumn("_bin", F.pmod(F.xxhash64(*keys, "_comp"), F.lit(bins)))
-        .withColumn("_comp", ident)
         .groupBy("_bin")
         .applyInPandas(_merge_bin(keys, float(dist)), schema)
     )
@@ -131,49 +143,6 @@ def merge_close_objects(objects: DataFrame, dist: float, keys: list[str], max_ob
     return out
 
 
-def split_large_predictions(pred: DataFrame, gt: DataFrame, keys: list[str], size: int = 10) -> DataFrame:
-    """A box that holds two or more truth centroids becomes one square per centroid."""
-    half = max(1, int(size) // 2)
-    p = pred.select(*keys, "obj_id", "y1", "x1", "y2", "x2")
-    g = gt.select(*keys, F.col("obj_id").alias("gt_id"), F.col("cy").alias("ry"), F.col("cx").alias("rx"))
-    held = points_in_box(p, g, keys).select(*keys, "obj_id", "gt_id", "ry", "rx")
-    many = held.groupBy(*keys, "obj_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").drop("_n")
-    ry, rx = F.rint("ry").cast("int"), F.rint("rx").cast("int")
-    squares = held.join(many, [*keys, "obj_id"]).select(
-        *keys, F.col("ry").alias("cy"), F.col("rx").alias("cx"), (ry - half).alias("y1"), (rx - half).alias("x1"), (ry + half).alias("y2"), (rx + half).alias("x2"),
-        F.lit(float(size * size)).alias("area"), F.lit(True).alias("is_split"), F.col("obj_id").alias("split_from"),
-    )
-    kept = pred.join(many, [*keys, "obj_id"], "left_anti").select(
-        *keys, "cy", "cx", "y1", "x1", "y2", "x2", F.col("area").cast("double").alias("area"), F.lit(False).alias("is_split"), F.lit(None).cast("bigint").alias("split_from")
-    )
-    return kept.unionByName(squares)
-
-
-def objects_to_pixels(boxes: DataFrame, frame: tuple[int, int], object_pixels: DataFrame | None = None, keys: list[str] = ["uid"]) -> DataFrame:
-    """Distinct pixels of the objects: their own pixels where given, else the clipped box."""
-    plain = boxes
-    if object_pixels is not None:
-        plain = boxes.join(object_pixels.select(*keys, "obj_id").distinct(), [*keys, "obj_id"], "left_anti")
-    filled = box_rows(plain.select(*keys, "y1", "x1", "y2", "x2"), frame).select(*keys, "y", F.explode(F.sequence("ax0", "ax1")).alias("x"))
-    if object_pixels is not None:
-        filled = filled.unionByName(object_pixels.select(*keys, "y", "x"))
-    return filled.distinct()
-
-
-def classify_by_region_mean(objects: DataFrame, cells: DataFrame, keys: list[str], value_min: float = 170.0, saturation_max: float = 50.0, labels: tuple[str, str] = ("bright", "coloured")) -> DataFrame:
-    """First label when the mean value exceeds its limit and the mean saturation stays below; empty boxes get the second."""
-    rows = box_rows(objects.select(*keys, "obj_id", "y1", "x1", "y2", "x2")).select(*keys, "obj_id", "y", "ax0", "ax1")
-    c = cells.select(*keys, "y", F.col("x").alias("bx0"), F.col("x").alias("bx1"), "v", "s")
-    means = run_overlaps(rows, c, keys).groupBy(*keys, "obj_id").agg(F.avg("v").alias("mean_v"), F.avg("s").alias("mean_s"))
-    label = F.when((F.col("mean_v") > value_min) & (F.col("mean_s") < saturation_max), labels[0]).otherwise(labels[1])
-    return objects.select(*keys, "obj_id").join(means, [*keys, "obj_id"], "left").withColumn("label", label)
-
-
-def label_counts(labelled: DataFrame, keys: list[str], labels: tuple[str, str] = ("bright", "coloured")) -> DataFrame:
-    """Objects per label and unit."""
-    return labelled.groupBy(*keys).agg(*[F.count_if(F.col("label") == v).alias(f"n_{v}") for v in labels])
-
-
 # ---- E20-E23: regions ----------------------------------------------------------------------------
 
 
@@ -268,12 +237,48 @@ def local_maxima(cells: DataFrame, threshold: float, r: int, border: int = 0, fr
     return got
 
 
-def greedy_nms(peaks: DataFrame, min_dist: float, keys: list[str] = ["uid"], max_points: int | None = None, max_rounds: int = 200) -> DataFrame:
+def _suppressed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The peaks that an ordered pass over whole components of the conflict graph drops; rows are (better, worse) pairs."""
+    ends = [list(zip(pdf["_root"], *(pdf[f"{e}_{c}"] for c in ("s", "y", "x")))) for e in ("a", "b")]
+    peaks = sorted({*ends[0], *ends[1]})
+    place = {p: n for n, p in enumerate(peaks)}
+    worse: list[list[int]] = [[] for _ in peaks]
+    for a, b in zip(*ends):
+        worse[place[a]].append(place[b])
+    lost = [False] * len(peaks)
+    for n, below in enumerate(worse):
+        if not lost[n]:
+            for m in below:
+                lost[m] = True
+    gone = pd.DataFrame([p for p, out in zip(peaks, lost) if out], columns=["_root", "b_s", "b_y", "b_x"])
+    first = pdf.drop_duplicates(["_root", "b_s", "b_y", "b_x"])
+    return first.merge(gone, on=["_root", "b_s", "b_y", "b_x"])[["_root", "_at"]]
+
+
+def _suppress_bins(edges: DataFrame, bin_edges: int) -> DataFrame:
+    """Nodes dropped among ``edges`` (better, worse, root); all edges of a root meet in one task."""
+    e = cut_lineage(edges.withColumn("_root", F.xxhash64("root")).withColumn("_at", F.xxhash64("worse")))
+    bins = max(1, -(-e.count() // bin_edges))
+    part = lambda end: [F.col(f"{end}.o.{c}").cast("double").alias(f"{'a' if end == 'better' else 'b'}_{c}") for c in ("s", "y", "x")]
+    flat = e.select("_root", "_at", *part("better"), *part("worse"), F.pmod("_root", F.lit(bins)).alias("_bin"))
+    lost = flat.groupBy("_bin").applyInPandas(_suppressed, "_root bigint, _at bigint")
+    return e.join(lost, ["_root", "_at"], "left_semi").select(F.col("worse").alias("n")).distinct()
+
+
+def _fitting(edges: DataFrame, task_edges: int) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (better, worse, root) of the roots that a task can hold, and the others."""
+    size = edges.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    sized = cut_lineage(edges.join(size, "root"))
+    return sized.where(F.col("_n") <= task_edges).drop("_n"), sized.where(F.col("_n") > task_edges).drop("_n")
+
+
+def greedy_nms(peaks: DataFrame, min_dist: float, keys: list[str] = ["uid"], max_points: int | None = None, rounds: int = 4, task_edges: int = 1_000_000) -> DataFrame:
     """By falling score, drop peaks closer than ``min_dist`` to a kept one; ties by row, then column.
 
-    The result of the ordered pass is found in rounds over all units at once: a peak without a better
-    undecided neighbour is kept and removes its neighbours. Each round is a join over the shrinking conflict
-    graph, and crowded units never meet in one task.
+    A peak without a better undecided neighbour is kept and removes its neighbours. A few rounds of this, joins over the
+    shrinking conflict graph of all units at once, settle the bulk. What is left are long chains: the ordered pass settles
+    them inside tasks, whole units where at most ``task_edges`` pairs are left, else whole components. Larger components go on in
+    rounds until they fit or are settled, so crowded units never meet in one task and no chain is too long.
     """
     kept = peaks
     if min_dist > 0:
@@ -283,20 +288,29 @@ def greedy_nms(peaks: DataFrame, min_dist: float, keys: list[str] = ["uid"], max
         node = lambda c: F.struct(*keys, F.col(c).alias("o"))
         e = distance_pairs(a, b, keys, float(min_dist), strict=True).where("a < b").select(node("a").alias("better"), node("b").alias("worse"))
         e = cut_lineage(e)
-        gone = []
-        for _ in range(max_rounds):
-            if e.isEmpty():
-                break
+        gone = e.select(F.col("worse").alias("n")).limit(0)
+        turn = 0
+        while not e.isEmpty():
+            if turn % rounds == 0 and turn:
+                small, large = _fitting(e.withColumn("root", F.struct(*[F.col("better")[k] for k in keys])), task_edges)
+                gone = gone.unionByName(_suppress_bins(small, task_edges))
+                e = large.drop("root")
+                if not e.isEmpty():
+                    comp = graph_components(e.select(F.col("better").alias("a"), F.col("worse").alias("b")))
+                    small, large = _fitting(e.join(comp, e["better"] == comp["node"]).drop("node"), task_edges)
+                    gone = gone.unionByName(_suppress_bins(small, task_edges))
+                    e = large.drop("root")
+                gone, e = cut_lineage(gone), cut_lineage(e)
+                turn += 1
+                continue
             free = e.select(F.col("better").alias("n")).distinct().join(e.select(F.col("worse").alias("n")).distinct(), "n", "left_anti")
             lost = cut_lineage(e.join(free, e["better"] == free["n"], "left_semi").select(F.col("worse").alias("n")).distinct())
-            gone.append(lost)
+            gone = gone.unionByName(lost)
             e = e.join(lost, e["worse"] == lost["n"], "left_anti")
             e = cut_lineage(e.join(lost, e["better"] == lost["n"], "left_anti"))
-        else:
-            raise RuntimeError(f"suppression not settled after {max_rounds} rounds")
-        for lost in gone:
-            drop = lost.select(*[F.col("n")[k].alias(k) for k in keys], F.col("n.o.y").alias("y"), F.col("n.o.x").alias("x"))
-            kept = kept.join(drop, [*keys, "y", "x"], "left_anti")
+            turn += 1
+        drop = gone.select(*[F.col("n")[k].alias(k) for k in keys], F.col("n.o.y").alias("y"), F.col("n.o.x").alias("x"))
+        kept = kept.join(drop, [*keys, "y", "x"], "left_anti")
     if max_points:
         kept = first_n_per_group(kept, keys, [F.desc("p"), "y", "x"], max_points)
     return kept
@@ -310,24 +324,19 @@ def gauss_weights(sigma: float, truncate: float = 4.0) -> list[float]:
 
 
 def kernel_sum(cells: DataFrame, weights: list[float], frame: tuple[int, int], keys: list[str] = ["uid"]) -> DataFrame:
-    """Smoothing of sparse cells by a separable kernel, one axis after the other.
+    """Smoothing of sparse cells by a separable symmetric kernel, one axis after the other.
 
-    Near the frame edge the weights are renormalised by the part of the kernel inside the frame, where an
-    array filter would mirror the image.
+    The image is mirrored at the frame edge: a tap that falls outside is folded back to where its mirror lies.
     """
     r = len(weights) // 2
-    cum = [0.0]
-    for w in weights:
-        cum.append(cum[-1] + w)
-    at = F.array(*[F.lit(v) for v in cum])
     taps = F.array(*[F.struct(F.lit(i - r).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(weights)])
 
     def blur(df: DataFrame, axis: str, n: int) -> DataFrame:
         other = "x" if axis == "y" else "y"
-        t = df.withColumn("_t", F.explode(taps)).select(*keys, other, (F.col(axis) + F.col("_t.d")).alias(axis), (F.col("p") * F.col("_t.w")).alias("p"))
-        t = t.where(F.col(axis).between(0, n - 1)).groupBy(*keys, "y", "x").agg(F.sum("p").alias("p"))
-        mass = F.element_at(at, (F.least(F.lit(n - 1) - F.col(axis), F.lit(r)) + r + 2).cast("int")) - F.element_at(at, (r - F.least(F.col(axis), F.lit(r)) + 1).cast("int"))
-        return t.withColumn("p", F.col("p") / mass)
+        m = F.pmod(F.col(axis) + F.col("_t.d"), F.lit(2 * n))
+        at = F.when(m < n, m).otherwise(2 * n - 1 - m)
+        t = df.withColumn("_t", F.explode(taps)).select(*keys, other, at.alias(axis), (F.col("p") * F.col("_t.w")).alias("p"))
+        return t.groupBy(*keys, "y", "x").agg(F.sum("p").alias("p"))
 
     return blur(blur(cells.select(*keys, "y", "x", "p"), "x", frame[1]), "y", frame[0])
 
@@ -339,6 +348,11 @@ def detect_points(
 
     Smoothed values are rounded to nine decimals, so that the order of a floating-point sum cannot break a plateau.
     """
+    for name, v in (("sigma", sigma), ("threshold", threshold), ("distance", nms_dist), ("border", border)):
+        if v < 0:
+            raise ValueError(f"negative {name}: {v}")
+    if r < 0:
+        raise ValueError(f"a window needs at least one cell, its radius is {r}")
     x = kernel_sum(cells, gauss_weights(sigma), frame, keys).withColumn("p", F.round("p", 9)) if sigma > 0 else cells
     if roi is not None:
         x = region_mask(x, roi, keys)

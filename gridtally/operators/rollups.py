@@ -403,15 +403,11 @@ def rank_combos(rows: DataFrame, key: str) -> DataFrame:
     return got.orderBy(F.desc("f1"), F.asc("n_capped"), F.asc("obj_fp"))
 
 
-# Limits beyond which a unit is scored zero in a parameter search.
-MAX_OBJECTS = 5_000
-MAX_PAIRS = 5_000_000
-
-
-def cap_penalty(rows: DataFrame, max_objects: int = MAX_OBJECTS, max_pairs: int = MAX_PAIRS) -> DataFrame:
-    """units above a limit keep a zero-score row with the reason (scores only, rows stay whole)."""
+def cap_penalty(rows: DataFrame, max_objects: int | None = None, max_pairs: int | None = None) -> DataFrame:
+    """units above a limit that the caller sets keep a zero-score row with the reason; without limits nothing changes."""
     pairs = F.col("pred_count").cast("bigint") * F.col("gt_count").cast("bigint")
-    reason = F.when(F.col("pred_count") > max_objects, "too_many_objects").when(pairs > max_pairs, "too_many_pairs")
+    above = lambda n, limit: F.lit(False) if limit is None else n > limit
+    reason = F.when(above(F.col("pred_count"), max_objects), "too_many_objects").when(above(pairs, max_pairs), "too_many_pairs")
     hit = F.col("cap_reason").isNotNull()
     return (
         rows.withColumn("cap_reason", reason)

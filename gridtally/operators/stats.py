@@ -20,9 +20,13 @@ from gridtally.session import cut_lineage, join_keys
 TIES = lambda: F.sum(F.pow(F.col("cnt").cast("double"), F.lit(3.0)) - F.col("cnt"))
 
 
+def finite(v: Column) -> Column:
+    return F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+
+
 def signed_rank_statistics(df: DataFrame, keys: list[str], diff: Column) -> DataFrame:
     """Everything the signed-rank test needs per group: pairs, non-zero pairs, rank sums, ties, z."""
-    x = df.select(*keys, diff.cast("double").alias("_d")).where(F.col("_d").isNotNull() & ~F.isnan("_d"))
+    x = df.select(*keys, diff.cast("double").alias("_d")).where(finite(F.col("_d")))
     x = cut_lineage(x.groupBy(*keys, "_d").agg(F.count(F.lit(1)).alias("_w")))
     base = x.groupBy(*keys).agg(
         F.sum("_w").alias("n_pairs"), F.sum(F.when(F.col("_d") == 0, F.col("_w")).otherwise(0)).alias("n_zero"), F.max(F.abs("_d")).alias("_top")
@@ -61,7 +65,7 @@ def friedman_statistics(df: DataFrame, keys: list[str], block: str, treatment: s
     """Tie-corrected chi-square over complete blocks; a block holds at most one row per treatment."""
     if k < 3:
         raise ValueError(f"at least 3 treatments are needed, got {k}")
-    x = df.where(F.col(value).isNotNull()).select(*keys, block, treatment, F.col(value).cast("double").alias("_v"))
+    x = df.where(finite(F.col(value).cast("double"))).select(*keys, block, treatment, F.col(value).cast("double").alias("_v"))
     per = W.partitionBy(*keys, block)
     tie = W.partitionBy(*keys, block, "_v")
     x = x.withColumn("_k", F.count(F.lit(1)).over(per)).where(F.col("_k") == k)
@@ -160,7 +164,7 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, is_a: Column, n_boo
     Each replicate costs two positions per arm whatever the sample size; the positions are looked up in the
     ranked histogram by a running maximum along the order.
     """
-    x = df.select(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("_key"), *keys, is_a.cast("int").alias("_arm"), F.col(value).cast("double").alias("_v"))
+    x = df.select(F.to_json(F.struct(*keys)).alias("_key"), *keys, is_a.cast("int").alias("_arm"), F.col(value).cast("double").alias("_v"))
     x = cut_lineage(x)
     names = x.groupBy("_key").agg(*[F.first(k).alias(k) for k in keys])
     h = ranked_histogram(x.select("_key", "_arm", "_v"), ["_key", "_arm"], "_v")

@@ -209,8 +209,8 @@ def _(spark, sf):
 
 @query("b20_name_problems", """with x as (select page_id, unnest(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda p: p <> '')) as part, generate_subscripts(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda p: p <> ''), 1) as i from pages),
  b as (select *, list_sort(list_distinct(regexp_extract_all(part, '[^A-Za-z0-9!\\-_.*''() ]'))) as bad from x),
- m as (select page_id, i, part, 1 as k, 'disallowed characters: ' || array_to_string(list_transform(bad, lambda c: '''' || c || ''''), ' ') as msg from b where len(bad) > 0
-  union all select page_id, i, part, 2, 'trailing whitespace' from b where rtrim(part) <> part union all select page_id, i, part, 3, 'contains a space (allowed, but avoid)' from b where contains(part, ' '))
+ m as (select page_id, i, part, 1 as k, 'characters not for file names: ' || array_to_string(list_transform(bad, lambda c: '''' || c || ''''), ' ') as msg from b where len(bad) > 0
+  union all select page_id, i, part, 2, 'blank at the end' from b where rtrim(part) <> part union all select page_id, i, part, 3, 'blank inside' from b where contains(part, ' '))
  select p.page_id, coalesce(string_agg(part || ': ' || msg, '; ' order by i, k), '') as problems from pages p left join m using (page_id) group by p.page_id""")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", K.name_problems(F.regexp_replace("url", "^[a-z]+://", "")).alias("problems"))

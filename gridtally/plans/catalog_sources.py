@@ -51,12 +51,6 @@ def _(spark, sf):
     return A.index_files(page_files(spark, sf), [".", ".html"])
 
 
-@query("a4_list_files")
-def _(spark, sf):
-    """The given data folder itself, one row per table file."""
-    return A.list_files(spark, sf).select(K.basename(F.col("path")).alias("name"), "size_bytes")
-
-
 @query("a5_duplicate_keys", KEYED + ", m as (select key, count(*) as n_files from kk group by key having count(*) > 1) select key, path, n_files from kk join m using (key)")
 def _(spark, sf):
     return A.duplicate_keys(page_files(spark, sf), [".", ".html"])

@@ -322,8 +322,8 @@ def _(spark, sf):
 KW = P.gauss_weights(1.0)
 KR = len(KW) // 2
 KV = ", ".join(f"({i - KR}, {w!r}::double)" for i, w in enumerate(KW))
-KERNEL = f"""k(d, w) as (values {KV}), mass as (select n, sum(w) as m from range(256) r(n) join k on n + d between 0 and 255 group by n),
- sm as (select uid, c.y + a.d as y, c.x + b.d as x, sum(p * a.w * b.w) / any_value(my.m * mx.m) as p from cell_view c cross join k a cross join k b join mass my on my.n = c.y + a.d join mass mx on mx.n = c.x + b.d group by 1, 2, 3)"""
+KERNEL = f"""k(d, w) as (values {KV}), f as (select n, d, case when n + d < 0 then -1 - (n + d) when n + d > 255 then 511 - (n + d) else n + d end as t, w from range(256) r(n) cross join k),
+ sm as (select uid, a.t as y, b.t as x, sum(p * a.w * b.w) as p from cell_view c join f a on a.n = c.y join f b on b.n = c.x group by 1, 2, 3)"""
 
 
 @query("e26_detect_points", ROI.replace("with ", "with recursive ", 1) + f""", cell_view as ({VIEW_SQL['cell_view']}), {KERNEL}, ms as (select uid, y, x, round(p, 9) as p from sm join rb using (uid, y, x)),

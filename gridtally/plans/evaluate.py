@@ -38,7 +38,8 @@ def score_units(
     for p in policies:
         X.check_parameters(d_max, min_iou, alpha, p)
     pred, gt, pairs = geometry_of(gt_pixels, pred_pixels, None, d_max, min_area)
-    rows = X.sweep_matching(cut_lineage(pairs), pred, gt, models, [d_max], [min_iou], policies, d_max, alpha)
+    pairs = cut_lineage(pairs)
+    rows = X.sweep_matching(pairs, pred, gt, models, [d_max], [min_iou], policies, d_max, alpha)
     valid = X.valid_pairs(pairs.withColumn("policy", F.explode(F.array(*[F.lit(p) for p in policies]))), d_max, min_iou, F.col("policy"))
     cand = X.candidate_stats(valid, ["uid", "model", "policy"])
     has = pred_pixels.select("uid", "model").distinct().withColumn("pred_exists", F.lit(1))
@@ -69,11 +70,14 @@ def _pixel_counts(pixels: DataFrame, units: DataFrame, models: list[str]) -> Dat
     return long.withColumn("pix_tn", F.col("h").cast("bigint") * F.col("w") - F.col("pix_tp") - F.col("pix_fp") - F.col("pix_fn")).drop("h", "w")
 
 
-def sweep(gt_pixels: DataFrame, pred_pixels: DataFrame, models: list[str], d_max: list[float], min_iou: list[float], policies: list[str] = ["OR", "AND"], alpha: float = X.ALPHA, min_area: int = 3) -> DataFrame:
-    """One row per unit, model and grid point, with the distance cap at the largest ``d_max``."""
+def sweep(gt_pixels: DataFrame, pred_pixels: DataFrame, models: list[str], d_max: list[float], min_iou: list[float], policies: list[str] = ["OR", "AND"], alpha: float = X.ALPHA, min_area: int = 3, units: DataFrame | None = None) -> DataFrame:
+    """One row per unit, model and grid point, with the distance cap at the largest ``d_max``.
+
+    ``units``: uid and columns to pass through, such as the split; units without any object then have rows too.
+    """
     cap = max(d_max)
     pred, gt, pairs = geometry_of(gt_pixels, pred_pixels, None, cap, min_area)
-    return X.sweep_matching(cut_lineage(pairs), pred, gt, models, d_max, min_iou, policies, cap, alpha)
+    return X.sweep_matching(cut_lineage(pairs), pred, gt, models, d_max, min_iou, policies, cap, alpha, units)
 
 
 # ---- K7 -----------------------------------------------------------------------------------------

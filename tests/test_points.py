@@ -155,3 +155,65 @@ def test_scoring_end_to_end(spark):
         assert (b["obj_tp"], b["obj_fn"], b["pix_fn"], b["pix_tn"], b["pred_exists"]) == (0, 1, 49, 64 * 64 - 49, 0)
     sw = EV.sweep(gt, pred, ["m"], [5.0, 10.0], [0.0, 0.5])
     assert sw.count() == 2 * 2 * 2 * 2
+
+
+def test_long_chain_of_falling_peaks(spark):
+    pts = [(5, 4 * i, 1.0 - i / 5_000) for i in range(2_000)]
+    got = P.greedy_nms(peak_table(spark, pts), 5.0).collect()
+    assert {r["x"] for r in got} == {8 * i for i in range(1_000)}
+
+
+def test_chains_above_the_task_limit_go_on_in_rounds(spark):
+    pts = [(5, 4 * i, 1.0 - i / 500) for i in range(24)] + [(50, 4 * i, 0.5 - i / 500) for i in range(9)]
+    got = P.greedy_nms(peak_table(spark, pts), 5.0, rounds=2, task_edges=10).collect()
+    assert {(r["y"], r["x"]) for r in got} == {(5, 8 * i) for i in range(12)} | {(50, 8 * i) for i in range(5)}
+
+
+def test_merge_of_a_large_component_equals_the_ordered_pass():
+    rnd = random.Random(3)
+    pts = [(rnd.uniform(0, 400), rnd.uniform(0, 400)) for _ in range(1_500)]
+    rows = [(i, y, x, y, x, y, x, 1.0) for i, (y, x) in enumerate(pts)]
+    assert [(r[0], round(r[1], 9), round(r[2], 9), r[8]) for r in P.merge_in_order(rows, 12.0)] == ordered_merge(pts, 12.0)
+    many = [(i, *(rnd.uniform(0, 1_500) for _ in range(2)), 0, 0, 0, 0, 1.0) for i in range(20_000)]
+    assert sum(r[8] for r in P.merge_in_order(many, 12.0)) == 20_000
+
+
+def test_merge_keeps_units_apart(spark):
+    rows = [(a, b, i, 10.0 * i, 0.0, 0.0, 0.0, 0.0, 0.0, 1) for a, b in (("a|b", "c"), ("a", "b|c"), (None, "c"), ("a", None)) for i in (0, 0.1, 5)]
+    df = spark.createDataFrame([(a, b, n % 3, *r) for n, (a, b, _, *r) in enumerate(rows)], "u string, v string, obj_id bigint, cy double, cx double, y1 double, x1 double, y2 double, x2 double, area long")
+    got = P.merge_close_objects(df, 5.0, ["u", "v"]).collect()
+    assert sorted((str(r["u"]), str(r["v"]), r["n_merged"]) for r in got) == sorted((str(a), str(b), n) for a, b in (("a|b", "c"), ("a", "b|c"), (None, "c"), ("a", None)) for n in (1, 2))
+
+
+@pytest.mark.parametrize("frame", [(9, 7), (3, 2)])
+def test_smoothing_mirrors_the_edge(spark, frame):
+    rnd = random.Random(1)
+    h, w = frame
+    image = [[rnd.random() if rnd.random() < 0.5 else 0.0 for _ in range(w)] for _ in range(h)]
+    weights = P.gauss_weights(1.2)
+    r = len(weights) // 2
+
+    def mirror(i, n):
+        i %= 2 * n
+        return i if i < n else 2 * n - 1 - i
+
+    def blur(rows):
+        return [[sum(k * row[mirror(x + d - r, len(row))] for d, k in enumerate(weights)) for x in range(len(row))] for row in rows]
+
+    both = list(zip(*blur(list(zip(*blur(image))))))
+    cells = spark.createDataFrame([("a", y, x, p) for y, row in enumerate(image) for x, p in enumerate(row) if p], "uid string, y int, x int, p double")
+    got = {(r_["y"], r_["x"]): r_["p"] for r_ in P.kernel_sum(cells, weights, frame).collect()}
+    assert all(abs(got.get((y, x), 0.0) - both[y][x]) < 1e-12 for y in range(h) for x in range(w))
+
+
+@pytest.mark.parametrize("bad", [{"sigma": -1.0}, {"threshold": -0.1}, {"nms_dist": -1.0}, {"border": -1}, {"r": -1}])
+def test_detection_parameters(spark, bad):
+    with pytest.raises(ValueError):
+        P.detect_points(peak_table(spark, [(1, 1, 1.0)]), (9, 9), **({"threshold": 0.1, "r": 1, "nms_dist": 2.0} | bad))
+
+
+def test_sweep_has_rows_for_units_without_objects(spark):
+    gt = spark.createDataFrame([("a", y, x) for y in range(5) for x in range(5)], "uid string, y int, x int")
+    units = spark.createDataFrame([("a", "val"), ("empty", "test")], "uid string, split string")
+    rows = EV.sweep(gt, gt.withColumn("model", F.lit("m")), ["m"], [5.0, 10.0], [0.1], units=units).collect()
+    assert len(rows) == 2 * 2 * 2 and {(r["uid"], r["split"], r["tp"], r["n_gt"]) for r in rows} == {("a", "val", 1, 1), ("empty", "test", 0, 0)}

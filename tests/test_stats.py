@@ -123,3 +123,39 @@ def test_unknown_group_raises(spark):
     df = spark.createDataFrame([("a", "g", "train")], "uid string, grp string, split string")
     with pytest.raises(Exception, match="not present"):
         L.leave_one_group_out(df, "zzz").collect() or L.leave_one_group_out(df, "zzz").count()
+
+
+@pytest.mark.parametrize("n1, n2", [(1, 5), (3, 4), (8, 9), (5, 40)])
+def test_rank_sum_tail_by_counting(n1, n2):
+    count = [[0] * (n1 * n2 + 1) for _ in range(n1 + 1)]
+    count[0][0] = 1
+    for v in range(1, n1 + n2 + 1):
+        for k in range(min(v, n1), 0, -1):
+            for u in range(n1 * n2, v - k - 1, -1):
+                count[k][u] += count[k - 1][u - (v - k)]
+    whole = sum(count[n1])
+    for top in range(n1 * n2 + 2):
+        assert PV.rank_sum_tail(n1, n2, top) == pytest.approx(sum(count[n1][top:]) / whole, abs=1e-13)
+
+
+def test_rank_sum_tail_of_a_long_sample_is_quick():
+    import time
+
+    t = time.time()
+    half = PV.rank_sum_tail(8, 1_000_000, 4_000_000)
+    assert 0.49 < half < 0.51 and time.time() - t < 5
+
+
+def test_infinite_and_missing_values_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([("g", v) for v in (1.0, 2.0, -3.0, nan, inf, -inf, None)], "k string, d double")
+    assert H.wilcoxon_signed_rank(df, ["k"], F.col("d")).first()["n_pairs"] == 3
+    rows = [(b, t, float(b * t % 5 + t)) for b in range(1, 6) for t in range(3)] + [(9, 0, nan), (9, 1, 1.0), (9, 2, 2.0), (10, 0, inf), (10, 1, 1.0), (10, 2, 2.0)]
+    got = H.friedman_test(spark.createDataFrame([("g", *r) for r in rows], "k string, b int, t int, v double"), ["k"], "b", "t", "v", 3).first()
+    assert got["n_used"] == 5
+
+
+def test_no_unit_is_zeroed_by_default(spark):
+    df = spark.createDataFrame([("u", 10**6, 10**6, 5, 6, 7, 8)], "uid string, pred_count bigint, gt_count bigint, obj_tp bigint, obj_fp bigint, obj_fn bigint, obj_ignored bigint")
+    r = R.cap_penalty(df).first()
+    assert (r["cap_reason"], r["obj_tp"]) == (None, 5) and R.cap_penalty(df, max_pairs=9).first()["cap_reason"] == "too_many_pairs"
