@@ -9,7 +9,9 @@ after window. Only the histogram (a fixed number of bins) reaches the driver; do
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +27,13 @@ from gridtally.session import ship_package
 WINDOW, END_ID = 4096, 2
 #: Tokens of one length bin; a window is this many bins long at most.
 GRAIN = 16
-#: Distinct words whose ids one Python worker remembers.
-WORD_CACHE = 500_000
-_words: dict[str, dict[bytes, bytes]] = {}
+#: Distinct words, and distinct letter runs of words, whose ids one Python worker remembers.
+WORD_CACHE, CORE_CACHE = 400_000, 600_000
+#: A run of letters, ASCII or precomposed Latin-1, and the punctuation after it: two separate units to the tokenizer.
+_CORE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+_known: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 _tokenizers: dict = {}
+_finals: dict[str, np.ndarray] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -41,7 +46,8 @@ class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its words one after
-    the other; ids of words met before are remembered by the worker.
+    the other; a plain word is a run of letters in lower case and the punctuation behind it. Ids met before are
+    remembered by the worker.
     """
 
     def __init__(self, path: str):
@@ -50,23 +56,63 @@ class Encoder:
             from tokenizers import Tokenizer
 
             _tokenizers[path] = Tokenizer.from_file(path)
-        self.tokenizer, self.known = _tokenizers[path], _words.setdefault(path, {})
+        self.tokenizer = _tokenizers[path]
+        self.known, self.cores = _known.setdefault(path, ({}, {}))
+        if path not in _finals:
+            vocabulary = self.tokenizer.get_vocab()
+            _finals[path] = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            _finals[path][[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.final = _finals[path]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Ids of new words, most of them put together from those of their parts."""
+        plain, parts, other = [], set(), []
+        for w in words:
+            m = _CORE.fullmatch(w)
+            if m:
+                core, mark = m[1].lower(), m[2]
+                plain.append((w, core, mark))
+                parts.add(core)
+                if mark:
+                    parts.add(mark)
+            else:
+                other.append(w)
+        if len(self.cores) > CORE_CACHE:
+            self.cores.clear()
+        new = [p for p in parts if p not in self.cores]
+        for at in range(0, len(new), 2_000):
+            self._learn_parts(new[at : at + 2_000])
+        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in other], add_special_tokens=False)):
+            self.known[w] = array("I", e.ids).tobytes()
+        cores = self.cores
+        for w, core, mark in plain:
+            self.known[w] = cores[core] + cores[mark] if mark else cores[core]
+
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        """Ids of parts that are one unit each, told apart by the tokens that end a unit."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(parts).decode("utf-8")], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (np.flatnonzero(self.final[ids]) + 1) * 4
+        if len(ends) != len(parts):
+            raise ValueError("the tokenizer does not mark the end of each word")
+        raw, at = ids.tobytes(), 0
+        for p, to in zip(parts, ends.tolist()):
+            self.cores[p] = raw[at:to]
+            at = to
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for t in texts:
-            words = (t or "").encode("utf-8").split()
-            known = self.known
-            if len(known) > WORD_CACHE:
-                known.clear()
-            new = list(set(words).difference(known))
-            if new:
-                for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        split = [(t or "").encode("utf-8").split() for t in texts]
+        if len(self.known) > WORD_CACHE:
+            self.known.clear()
+        new = set().union(*split).difference(self.known)
+        if new:
+            self._learn(new)
+        known = self.known
+        for words in split:
             yield b"".join(map(known.__getitem__, words)) + end
-            for w in new:
-                if len(w) > 64:
-                    del known[w]
+        for w in new:
+            if len(w) > 64:
+                del known[w]
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
@@ -79,8 +125,8 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         encode, part, row = Encoder(path), TaskContext.get().partitionId(), 0
         seen = np.zeros(WINDOW // GRAIN + 1, dtype=np.int64)
         for pdf in frames:
-            for at in range(0, len(pdf), 256):
-                some = pdf.iloc[at : at + 256]
+            for at in range(0, len(pdf), 128):
+                some = pdf.iloc[at : at + 128]
                 out = []
                 for doc_id, ids in zip(some["doc_id"], encode(list(some["text"]))):
                     n = len(ids) // 4
