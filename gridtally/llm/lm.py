@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import mix, stored
+from gridtally.llm.common import grouped, mix, stored
 from gridtally.llm.eliasfano import Trie, dequantise, quantise
 from gridtally.llm.features import PIECE, Words
 from gridtally.llm.warc import file_system
@@ -280,13 +280,17 @@ def score(docs: DataFrame, folder: str | None = None) -> DataFrame:
                 at += len(q)
                 held = unsqueeze(r["held"], "?")
                 sums = np.bincount(unsqueeze(r["doc"], "u4"), np.repeat(own, unsqueeze(r["width"], "u4")) * unsqueeze(r["times"], "u4"), minlength=len(held))
-                docs_ = np.flatnonzero(sums)
-                out.append(pd.DataFrame({"chunk": r["chunk"], "i": docs_, "part": sums[docs_]}))
-            yield pd.concat(out, ignore_index=True)
+                out.append((r["chunk"], squeeze(sums)))
+            yield pd.DataFrame(out, columns=["chunk", "sums"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = sum(unsqueeze(s, "f8") for s in pdf["sums"])
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "i": np.arange(len(part)), "part": part})
 
     sent = joined.mapInPandas(pairs, "shard int, chunk long, pair binary, contexts binary, code binary, width binary, doc binary, times binary, held binary")
-    answers = sent.repartitionById(shards, F.col("shard")).mapInPandas(answer, "chunk long, i long, part double")
-    parts = answers.groupBy("chunk", "i").agg(F.sum("part").alias("part"))
+    answers = sent.repartitionById(shards, F.col("shard")).mapInPandas(answer, "chunk long, sums binary")
+    dealt = answers.repartition("chunk").sortWithinPartitions("chunk")
+    parts = dealt.mapInPandas(lambda frames: grouped(frames, ["chunk"], add), "chunk long, i long, part double")
     each = joined.mapInPandas(plain, "chunk long, i long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rest double")
     return each.join(parts, ["chunk", "i"], "left").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", (F.col("rest") + F.coalesce("part", F.lit(0.0))).alias("score"),
