@@ -291,7 +291,7 @@ def greedy_nms(peaks: DataFrame, min_dist: float, keys: list[str] = ["uid"], max
         gone = e.select(F.col("worse").alias("n")).limit(0)
         turn = 0
         while not e.isEmpty():
-            if turn % rounds == 0 and turn:
+            if turn % (rounds + 1) == rounds:
                 small, large = _fitting(e.withColumn("root", F.struct(*[F.col("better")[k] for k in keys])), task_edges)
                 gone = gone.unionByName(_suppress_bins(small, task_edges))
                 e = large.drop("root")
