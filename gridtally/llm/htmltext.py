@@ -1,16 +1,18 @@
 """Main text of web pages by template deduction over the pages of a host (after Arasu and Garcia-Molina, 2003).
 
-Tags (with their class, id and role) and text segments are tokens. Tokens of a host that occur equally often on every page
-share an occurrence vector; such an equivalence class, found on most pages, is part of the template. The class of tokens that
-occur once on every page is the root and cuts a page into slots; the others nest in its slots. Fixed text of the template is
-dropped, and of the slots those are extracted that lie in the article, or, where a host has none, outside of menus, notices
-and the like.
+Tags (with their class, id and role, a closing tag with those of its element) and text segments are tokens. Tokens of a host that
+occur equally often on every page share an occurrence vector; such an equivalence class, found on most pages, is part of the
+template. Four passes over the pages: occurrence vectors; the root class, tokens that occur once on every page, less those out of order
+on some page; slots, the gaps between root tokens, with the other classes, kept when their tokens come in one order and all their instances
+nest in one gap of the same class; the text. A host's slots are chosen by their text: articles and main elements, text outside links,
+headings and the elements that the template shows around the text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +27,8 @@ from gridtally.session import ship_package
 
 #: Share of a host's pages, and pages at least, on which a class must occur to be part of the template.
 SHARE, PAGES = 0.5, 3
+#: A slot with this share of the text of the host's largest slot holds main text; elements of a smaller share are not the article.
+SLOT_SHARE, ELEMENT_SHARE = 0.1, 0.25
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<![^>]*>|<\?[^>]*>"
@@ -65,6 +69,20 @@ def tokens(page: str | None) -> Iterator[tuple[str, str, frozenset]]:
         yield "text", page[at:], frozenset()
 
 
+def paired(page: str | None) -> Iterator[tuple[str, str, frozenset]]:
+    """``tokens``, where the closing tag of a container has the words of the element that it closes."""
+    stack: list[tuple[str, frozenset]] = []
+    for kind, value, marks in tokens(page):
+        if kind == "open" and value in CONTAINERS:
+            stack.append((value, marks))
+        elif kind == "close" and value in CONTAINERS:
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == value), None)
+            if at is not None:
+                marks = stack[at][1]
+                del stack[at:]
+        yield kind, value, marks
+
+
 def signature(kind: str, value: str, marks: frozenset) -> int | None:
     """Hash of a token for occurrence counts; None for blank text."""
     if kind == "text":
@@ -75,7 +93,7 @@ def signature(kind: str, value: str, marks: frozenset) -> int | None:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """Per host and token: pages with it, occurrences, and two sums that fingerprint its occurrence vector."""
+    """Per host and token: pages with it, occurrences, two sums that fingerprint its occurrence vector, and its place on the first page by uid."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -83,31 +101,192 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 some = pdf.iloc[start : start + 1000]
                 found: dict[tuple[str, int], list[int]] = {}
                 for host, uid, page in zip(some["host"], some["uid"], some["html"]):
-                    for sig, n in Counter(s for t in tokens(page) if (s := signature(*t)) is not None).items():
+                    for at, (sig, n) in enumerate(Counter(s for t in paired(page) if (s := signature(*t)) is not None).items()):
                         mixed = xxhash.xxh64_intdigest(f"{uid} {n}")
-                        row = found.setdefault((host, sig), [0, 0, 0, 0])
+                        row = found.setdefault((host, sig), [0, 0, 0, 0, uid, at])
                         row[0] += 1
                         row[1] += n
                         row[2] += mixed >> 34
                         row[3] += mixed & 0x3FFFFFFF
-                yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["host", "token", "pages", "n", "f1", "f2"])
+                        if uid < row[4]:
+                            row[4:] = uid, at
+                yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["host", "token", "pages", "n", "f1", "f2", "uid", "at"])
+
+    return pages.mapInPandas(run, "host string, token long, pages long, n long, f1 long, f2 long, uid long, at long")
+
+
+class Template:
+    """The template of one host: slot n lies after the n-th root token, slot 0 before the first."""
+
+    def __init__(self, root=None, nested=None, slots=None, trusted=True):
+        self.root = {t: n + 1 for n, t in enumerate(root if root is not None else ())}
+        parts = [list(c) for c in nested] if nested is not None else []
+        self.part = {t: (c, n) for c, tokens_ in enumerate(parts) for n, t in enumerate(tokens_)}
+        self.size = [len(c) for c in parts]
+        self.fixed = frozenset([*self.root, *self.part])
+        self.slots = frozenset(int(n) for n in slots) if slots is not None else None
+        self.trusted = trusted is not False and trusted is not None
+
+
+def per_page(pages: DataFrame, made: DataFrame, columns: list[str], step, schema: str) -> DataFrame:
+    """``step(rows)`` over chunks of (Template, page row), the template kept while the pages of a host follow each other."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str | None, Template] = {}
+
+        def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
+            for row in pdf.itertuples(index=False):
+                if row.host not in known:
+                    if len(known) >= 500:
+                        known.clear()
+                    known[row.host] = Template(*(getattr(row, c) for c in columns))
+                yield known[row.host], row
+
+        for pdf in frames:
+            for start in range(0, len(pdf), 1000):
+                yield step(rows(pdf.iloc[start : start + 1000]))
+
+    return pages.join(made.select("host", *columns), "host", "left").select(*pages.columns, *columns).mapInPandas(run, schema)
+
+
+def misplaced(page: str | None, root: dict[int, int]) -> list[int]:
+    """The root tokens to leave out for the others to stand in the template's order on a page."""
+    found = [s for t in paired(page) if (s := signature(*t)) in root]
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for n, s in enumerate(found):
+        at = bisect_left(tails, root[s])
+        before.append(ends[at - 1] if at else -1)
+        tails[at : at + 1], ends[at : at + 1] = [root[s]], [n]
+    keep, n = set(), ends[-1] if ends else -1
+    while n >= 0:
+        keep.add(n)
+        n = before[n]
+    return [s for n, s in enumerate(found) if n not in keep]
+
+
+def survey(page: str | None, made: Template) -> Iterator[tuple[str, int, int, tuple]]:
+    """What a page says of its host's slots and classes.
 
-    return pages.mapInPandas(run, "host string, token long, pages long, n long, f1 long, f2 long")
+    ('slot', n, 0, (characters, of these in links, articles, main elements, headings)), ('pair', a, b, -) for an element that opens with
+    slot a and closes with slot b, ('bad', class, 0, -) for a class out of order or not nested, ('place', class, place, -) for where it nests.
+    """
+    slot, link, head = 0, 0, 0
+    opened: list[tuple[str, int]] = []
+    inside: list[list[int]] = []  # classes with an unfinished instance: [class, next token]
+    for kind, value, marks, place in walk(page):
+        sig = signature(kind, value, marks)
+        if sig in made.root:
+            slot = made.root[sig]
+            for c, _ in inside:
+                yield "bad", c, 0, ()
+            inside.clear()
+        elif sig in made.part:
+            c, n = made.part[sig]
+            at = next((i for i in range(len(inside) - 1, -1, -1) if inside[i][0] == c), None)
+            if at is None:
+                top = inside[-1] if inside else (-1, 0)
+                yield "place", c, (slot << 32) + ((top[0] + 1) << 12) + top[1], ()
+                inside.append([c, 0])
+                at = len(inside) - 1
+            for other, _ in inside[at + 1 :]:
+                yield "bad", other, 0, ()
+            del inside[at + 1 :]
+            if inside[at][1] != n:
+                yield "bad", c, 0, ()
+            inside[at][1] = n + 1
+            if n + 1 >= made.size[c]:
+                del inside[at]
+        if kind == "text":
+            if place != "drop" and (n := len(" ".join(html.unescape(value).split()))):
+                yield "slot", slot, 0, (n, n * (link > 0), n * (place == "article"), n * (place == "main"), n * (head > 0 and sig not in made.fixed))
+        elif value == "a":
+            link = 1 if kind == "open" else 0
+        elif re.fullmatch("h[1-6]", value):
+            head = 1 if kind == "open" else 0
+        elif value in CONTAINERS and value not in ("html", "body", "head"):
+            if kind == "open":
+                opened.append((value, made.root.get(sig, 0)))
+            else:
+                at = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == value), None)
+                if at is not None:
+                    if opened[at][1] and sig in made.root:
+                        yield "pair", opened[at][1], slot, ()
+                    del opened[at:]
+    for c, _ in inside:
+        yield "bad", c, 0, ()
+
+
+def surveyed(rows: Iterator[tuple]) -> pd.DataFrame:
+    found: dict[tuple, list[int]] = {}
+    for made, row in rows:
+        if made.root or made.part:
+            for kind, a, b, sums in survey(row.html, made):
+                own = found.setdefault((row.host, kind, a, b), [0] * 6)
+                own[0] += 1
+                for n, v in enumerate(sums, 1):
+                    own[n] += v
+    return pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["host", "kind", "a", "b", "n", "chars", "links", "article", "main", "head"])
+
+
+def choose(facts: list, pages: int) -> tuple[list[int], bool]:
+    """The slots to extract, and whether articles and main elements hold the text of the host."""
+    slots = {f["a"]: f for f in facts if f["kind"] == "slot"}
+    pairs = sorted(((f["a"], f["b"]) for f in facts if f["kind"] == "pair" and f["n"] == pages), key=lambda p: p[1] - p[0])
+    words = {n: f["chars"] - f["links"] for n, f in slots.items()}
+    element = "article" if any(f["article"] for f in slots.values()) else "main"
+    held = sum(f[element] for f in slots.values())
+    if held and held >= ELEMENT_SHARE * max(words[n] - f["article"] - f["main"] for n, f in slots.items()):
+        return [n for n, f in slots.items() if 2 * f[element] > f["chars"]], True
+    chosen = {n for n, f in slots.items() if f["head"] and 2 * f["links"] <= f["chars"]}
+    for n, f in slots.items():
+        if words[n] and words[n] >= SLOT_SHARE * max(words.values()) and 2 * f["links"] <= f["chars"]:
+            around = next((p for p in pairs if p[0] <= n < p[1]), None)
+            if around:
+                chosen.update(range(*around))
+            else:
+                chosen.update(m for m, g in slots.items() if 2 * g["links"] <= g["chars"] and not any(p[0] <= m < p[1] for p in pairs))
+    return sorted(chosen), not held
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Per host the tokens of its valid classes: (host, root, nested).
+    """Per host: the ordered root class, the ordered classes nested in it, the slots to extract, and whether elements hold the text.
 
-    A class is valid when it has at least two tokens, or occurs once on every page, and lies on enough of the host's pages.
+    A class is valid when it has at least two tokens, or occurs once on every page, lies on enough of the host's pages, and its
+    tokens stand in one order on all of them. A root token out of order leaves the root class; another class is valid or not as a whole.
     """
-    seen = stored(occurrences(pages).groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("f1").alias("f1"), F.sum("f2").alias("f2")).where(F.col("pages") >= PAGES), "occurrences")
+    seen = stored(occurrences(pages).groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "f1", "f2")], F.min(F.struct("uid", "at")).alias("first")).where(F.col("pages") >= PAGES), "occurrences")
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= PAGES)
     often = seen.join(hosts, "host").where(F.col("pages") >= SHARE * F.col("all"))
-    classes = often.groupBy("host", "f1", "f2", "pages", "n", "all").agg(F.collect_list("token").alias("tokens"))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("first.at").alias("at"), "token")))
+    classes = often.groupBy("host", "f1", "f2", "pages", "n", "all").agg(F.transform(ordered, lambda t: t["token"]).alias("tokens"))
     root = (F.col("pages") == F.col("all")) & (F.col("n") == F.col("all"))
-    return classes.where(root | (F.size("tokens") > 1)).groupBy("host").agg(
-        F.flatten(F.collect_list(F.when(root, F.col("tokens")))).alias("root"), F.flatten(F.collect_list(F.when(~root, F.col("tokens")))).alias("nested"),
+    made = classes.where(root | (F.size("tokens") > 1)).groupBy("host").agg(
+        F.first("all").alias("all"), F.flatten(F.collect_list(F.when(root, F.col("tokens")))).alias("root"), F.collect_list(F.when(~root, F.col("tokens"))).alias("nested")
     )
+    made = stored(made, "classes")
+
+    def out_of_order(rows: Iterator[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(list({(row.host, t) for t_, row in rows for t in misplaced(row.html, t_.root)}), columns=["host", "token"])
+
+    lost = per_page(pages, made, ["root"], out_of_order, "host string, token long").groupBy("host").agg(F.collect_set("token").alias("lost"))
+    made = stored(made.join(lost, "host", "left").withColumn("root", F.array_except("root", F.coalesce("lost", F.array().cast("array<bigint>")))).drop("lost"), "roots")
+    sums = ("n", "chars", "links", "article", "main", "head")
+    facts = per_page(pages, made, ["root", "nested"], surveyed, "host string, kind string, a long, b long, " + ", ".join(f"{c} long" for c in sums))
+    facts = facts.groupBy("host", "kind", "a", "b").agg(*[F.sum(c).alias(c) for c in sums]).groupBy("host").agg(F.collect_list(F.struct("kind", "a", "b", *sums)).alias("facts"))
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for host, pages_, own, nested, found in zip(pdf["host"], pdf["all"], pdf["root"], pdf["nested"], pdf["facts"]):
+                places = Counter(f["a"] for f in found if f["kind"] == "place")
+                bad = {f["a"] for f in found if f["kind"] == "bad"} | {c for c, n in places.items() if n > 1}
+                slots, trusted = choose(found, pages_) if any(f["kind"] == "slot" for f in found) else ([], True)
+                out.append((host, list(own), [list(c) for n, c in enumerate(nested) if n not in bad], slots, trusted))
+            yield pd.DataFrame(out, columns=["host", "root", "nested", "slots", "trusted"])
+
+    return made.join(facts, "host").mapInPandas(decide, "host string, root array<bigint>, nested array<array<bigint>>, slots array<bigint>, trusted boolean")
 
 
 def unwanted(name: str, marks: frozenset, in_article: bool) -> bool:
@@ -121,26 +300,15 @@ def unwanted(name: str, marks: frozenset, in_article: bool) -> bool:
     return name in DROPPED or bool(marks & MARKS)
 
 
-def main_text(page: str | None, fixed: frozenset) -> str:
-    """The text of the article; ``fixed`` are the signatures of the host's template."""
+def walk(page: str | None) -> Iterator[tuple[str, str, frozenset, str]]:
+    """``paired`` tokens with the place of a text: 'article', 'main', 'drop' in an unwanted element, or ''."""
     stack: list[tuple[str, str]] = []  # container name; '', 'main', 'article', 'drop' or 'comments'
-    out: dict[str, list[str]] = {"article": [], "main": [], "": []}
-    for kind, value, marks in tokens(page):
+    for kind, value, marks in paired(page):
         if kind == "text":
             roles = {r for _, r in stack}
-            if "drop" in roles or "comments" in roles:
-                continue
-            text = html.unescape(value)
-            if "article" in roles or "main" in roles:
-                out["main"].append(text)
-            if "article" in roles:
-                out["article"].append(text)
-            elif signature(kind, value, marks) not in fixed:
-                out[""].append(text)
+            yield kind, value, marks, "drop" if "drop" in roles or "comments" in roles else "article" if "article" in roles else "main" if "main" in roles else ""
             continue
-        if value not in INLINE:
-            for parts in out.values():
-                parts.append(" ")
+        yield kind, value, marks, ""
         if kind == "close":
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == value), None)
             if at is not None:
@@ -159,8 +327,40 @@ def main_text(page: str | None, fixed: frozenset) -> str:
             role = "article" if value == "article" else "main" if value == "main" or "main" in marks and value in CONTAINERS else ""
         if value in CONTAINERS or (role in ("drop", "comments") and value not in _VOID):
             stack.append((value, role))
+
+
+def main_text(page: str | None, fixed: frozenset, made: Template | None = None) -> str:
+    """The text of the article; ``fixed`` are the signatures of the host's template, ``made`` its slots.
+
+    Where elements hold the host's text, a page's article or main element bounds it, and the chosen slots serve the pages that have
+    none; else the chosen slots alone. A page with no text there gives what lies outside of unwanted elements.
+    """
+    made = made or Template()
+    out: dict[str, list[str]] = {"article": [], "main": [], "slots": [], "": []}
+    slot = 0
+    for kind, value, marks, place in walk(page):
+        sig = signature(kind, value, marks) if made.root or kind == "text" and place == "" else None
+        slot = made.root.get(sig, slot)
+        if kind != "text":
+            if value not in INLINE:
+                for parts in out.values():
+                    parts.append(" ")
+            continue
+        if place == "drop":
+            continue
+        text = html.unescape(value)
+        if place:
+            out["main"].append(text)
+        if place == "article":
+            out["article"].append(text)
+        if sig not in fixed:
+            if made.slots is not None and slot in made.slots:
+                out["slots"].append(text)
+            if not place:
+                out[""].append(text)
     joined = {k: " ".join("".join(v).split()) for k, v in out.items()}
-    return joined["article"] or joined["main"] or joined[""]
+    order = ("article", "main", "slots", "") if made.trusted else ("slots", "article", "main", "")
+    return next((joined[k] for k in order if joined[k]), "")
 
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr p li dt dd tr td th option".split())
@@ -175,16 +375,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
     ship_package(pages.sparkSession)
     host, _ = host_and_path(F.col("url"))
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
-    made = stored(templates(src.withColumn("uid", F.xxhash64("page_id", "url"))), "templates")
+    src = src.withColumn("uid", F.xxhash64("page_id", "url"))
+    made = stored(templates(src), "templates")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, fixed = None, frozenset()
-        for pdf in frames:
-            texts = []
-            for h, root, nested, page in zip(pdf["host"], pdf["root"], pdf["nested"], pdf["html"]):
-                if h != last:
-                    last, fixed = h, frozenset([*(root if root is not None else ()), *(nested if nested is not None else ())])
-                texts.append(main_text(page, fixed))
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    return src.join(made, "host", "left").select("page_id", "url", "html", "host", "root", "nested").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    def texts(rows: Iterator[tuple]) -> pd.DataFrame:
+        got = [(row.page_id, row.url, main_text(row.html, made_.fixed, made_)) for made_, row in rows]
+        out = pd.DataFrame([(i, u, t, len(t)) for i, u, t in got], columns=["page_id", "url", "text", "n_chars"])
+        return out.astype({"page_id": "Int64"})
+
+    return per_page(src, made, ["root", "nested", "slots", "trusted"], texts, "page_id long, url string, text string, n_chars long")
