@@ -32,7 +32,7 @@ SLOT_SHARE, ELEMENT_SHARE = 0.1, 0.25
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|math|object|select)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>",
     re.S | re.I,
@@ -42,6 +42,10 @@ _NAME = re.compile(r"[A-Za-z][a-z]*")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins del kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("html head body div section nav header footer aside form article main menu dialog ul ol dl table fieldset blockquote center".split())
 DROPPED = frozenset("head nav header footer aside form menu dialog button".split())
+#: Dropped outside of an article only.
+EMBEDDED = frozenset("svg object".split())
+#: Never dropped inside an article for their class, id or role.
+KEPT = frozenset("h1 h2 h3 h4 h5 h6 hgroup math".split())
 #: Words in a class, id or role that mark what is not part of the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menubar "
@@ -52,7 +56,7 @@ COMMENTS = frozenset("comment comments commentlist disqus reply replies respond"
 
 
 def tokens(page: str | None) -> Iterator[tuple[str, str, frozenset]]:
-    """('text', content, -), ('open' or 'close', tag name, words of its class, id and role) in page order."""
+    """('text', content, -), ('open' or 'close', tag name, words of its class, id and role, and their whole values after a dot) in page order."""
     page = page or ""
     at = 0
     for m in _TOKEN.finditer(page):
@@ -63,7 +67,8 @@ def tokens(page: str | None) -> Iterator[tuple[str, str, frozenset]]:
         if name:
             close = m["close"] if m["name"] else m["close2"]
             attrs = m["attrs"] if m["name"] else m["attrs2"]
-            marks = frozenset(w.lower() for a in _ATTR.findall(attrs) for w in _NAME.findall(a[1] or a[2] or a[3])) if attrs and not close else frozenset()
+            values = [a[1] or a[2] or a[3] for a in _ATTR.findall(attrs)] if attrs and not close else []
+            marks = frozenset([w.lower() for v in values for w in _NAME.findall(v)] + ["." + w.lower() for v in values for w in v.split()]) if values else frozenset()
             yield ("close" if close else "open"), name.lower(), marks
     if at < len(page):
         yield "text", page[at:], frozenset()
@@ -89,7 +94,7 @@ def signature(kind: str, value: str, marks: frozenset) -> int | None:
         value = " ".join(html.unescape(value).split())
         if not value:
             return None
-    return xxhash.xxh64_intdigest(f"{kind} {value} {' '.join(sorted(marks))}".encode("utf-8", "surrogatepass")) >> 1
+    return xxhash.xxh64_intdigest(f"{kind} {value} {' '.join(sorted(m for m in marks if m[0] != '.'))}".encode("utf-8", "surrogatepass")) >> 1
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -295,9 +300,12 @@ def unwanted(name: str, marks: frozenset, in_article: bool) -> bool:
         return False
     if name == "article":
         return bool(marks & COMMENTS)
-    if name == "header" and in_article:
-        return bool(marks & (MARKS - {"header"}))
-    return name in DROPPED or bool(marks & MARKS)
+    if in_article:
+        whole = frozenset(m[1:] for m in marks if m[0] == ".")
+        if name == "header":
+            return bool(whole & (MARKS - {"header"}))
+        return name not in KEPT and (name in DROPPED or bool(whole & MARKS))
+    return name in DROPPED or name in EMBEDDED or bool(marks & MARKS)
 
 
 def walk(page: str | None) -> Iterator[tuple[str, str, frozenset, str]]:
@@ -321,7 +329,7 @@ def walk(page: str | None) -> Iterator[tuple[str, str, frozenset, str]]:
             # an element that was left open before the article ends where the article begins
             first = next((i for i, s in enumerate(stack) if s[1] == "drop"), len(stack))
             del stack[first:]
-        if unwanted(value, marks, "article" in roles) and (value in CONTAINERS or value == "button" or marks):
+        if unwanted(value, marks, "article" in roles) and (value in CONTAINERS or value == "button" or value in EMBEDDED or marks):
             role = "comments" if marks & COMMENTS else "drop"
         else:
             role = "article" if value == "article" else "main" if value == "main" or "main" in marks and value in CONTAINERS else ""
