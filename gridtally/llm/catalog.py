@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import decontaminate, embeddings, htmltext, lm, minhash, packing, quality, toxicity, urlfilter, warc
+from gridtally.llm import bpe, decontaminate, embeddings, htmltext, lm, minhash, packing, periodic, quality, resample, toxicity, urlfilter, warc
 from gridtally.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,44 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def resampled_sql() -> str:
+    """The draw in SQL; crc32 is folded over the bytes of each distinct n-gram with a table made bit by bit."""
+    def words(name: str) -> str:
+        lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM {name}"
+
+    grams = "list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))"
+    return f"""
+WITH RECURSIVE bits AS (SELECT n, n AS v, 0 AS i FROM range(256) t(n)
+    UNION ALL SELECT n, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, i + 1 FROM bits WHERE i < 8),
+crc AS (SELECT list(v ORDER BY n) AS tab FROM bits WHERE i = 8),
+d AS (SELECT doc_id, {words("documents")}), b AS (SELECT {words("benchmark")}),
+dg AS (SELECT doc_id, unnest({grams}) AS g FROM d), bg AS (SELECT unnest({grams}) AS g FROM b),
+k AS (SELECT g, hex(encode(g)) AS x FROM (SELECT g FROM dg UNION SELECT g FROM bg)),
+u AS (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: ('0x' || x[i : i + 1])::BIGINT)),
+    lambda c, y: xor(c // 256, tab[1 + (xor(c, y) & 255)])), 4294967295) % 10000 AS bucket FROM k, crc),
+s AS (SELECT bucket, count(*) AS n FROM dg JOIN u USING (g) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM bg JOIN u USING (g) GROUP BY bucket),
+gain AS (SELECT r.b AS bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000))))::BIGINT AS g
+    FROM range(10000) r(b) LEFT JOIN s ON s.bucket = r.b LEFT JOIN t ON t.bucket = r.b),
+w AS (SELECT doc_id, count(*) AS n_features, sum(gain.g)::BIGINT AS weight FROM dg JOIN u USING (g) JOIN gain USING (bucket) GROUP BY doc_id),
+e AS (SELECT doc_id, len(ws) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS i, count(*) OVER () AS of FROM e WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN i <= of * 5 // 100 THEN i END AS rank FROM e LEFT JOIN o USING (doc_id)"""
+
+
+@query("op11_importance_resampling", resampled_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
