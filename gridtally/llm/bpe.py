@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gridtally.session import ship_package
 
 #: States, checked token pairs and matches that one Python worker remembers; beyond them it starts anew.
-STATES, PAIRS, MATCHES = 200_000, 1_000_000, 300_000
+STATES, PAIRS, MATCHES = 100_000, 400_000, 200_000
 #: Matches of a text encoded at once; longer matches than LONG bytes are not remembered.
 CHUNK, LONG = 20_000, 64
 #: Documents encoded between two batches of results.
