@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gridtally.session import ship_package
 
 #: States, checked token pairs and matches that one Python worker remembers; beyond them it starts anew.
-STATES, PAIRS, MATCHES = 100_000, 400_000, 200_000
+STATES, PAIRS, MATCHES = 250_000, 600_000, 150_000
 #: Matches of a text encoded at once; longer matches than LONG bytes are not remembered.
 CHUNK, LONG = 20_000, 64
 #: Documents encoded between two batches of results.
@@ -44,6 +44,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 BYTE = [bytes((b,)) for b in range(256)]
+NO_MOVES: dict = {}
 
 
 class State:
@@ -52,7 +53,7 @@ class State:
     __slots__ = ("readings", "moves")
 
     def __init__(self, readings: tuple):
-        self.readings, self.moves = readings, {}
+        self.readings, self.moves = readings, NO_MOVES
 
 
 class Transducer:
@@ -67,8 +68,8 @@ class Transducer:
         for t, i in ranks.items():
             self.tokens[i] = t
         more = {t[:n] for t in ranks for n in range(1, len(t))}
-        #: Every beginning of a token: the token it is (or -1) and whether a longer one begins with it.
-        self.beginnings = {p: (ranks.get(p, -1), p in more) for p in more.union(ranks)}
+        #: Every beginning of a token: the token it is (or -1), whether a longer one begins with it, and the one copy of its bytes.
+        self.beginnings = {p: (ranks.get(p, -1), p in more, p) for p in more.union(ranks)}
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
         self.halves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}
@@ -118,33 +119,39 @@ class Transducer:
         self.pairs[a * len(tokens) + b] = answer
         return answer
 
-    def _grow(self, state: State, byte: int) -> tuple[State, bytes]:
-        """The move from ``state`` by ``byte``: the next state and what is emitted."""
+    def _step(self, readings: tuple, byte: int) -> tuple[tuple, bytes]:
+        """The open readings after one more byte, and what all of them share and is emitted."""
         b, beginnings, pairs, width, on, ended = BYTE[byte], self.beginnings, self.pairs, len(self.tokens), [], False
-        for out, last, part in state.readings:
+        for out, last, part in readings:
             grown = part + b
             known = beginnings.get(grown)
             if known is None:
                 continue
-            token, more = known
+            token, more, grown = known
             if more:
                 on.append((out, last, grown))
             if token >= 0 and not ended:
                 fits = True if last < 0 else pairs.get(last * width + token)
                 if self.follows(last, token) if fits is None else fits:
-                    end, ended = (out + self.packed[token], token, b""), True
+                    end, ended = (out + self.packed[token] if out else self.packed[token], token, b""), True
         on.append(end)  # the one encoding of the bytes so far comes last
         first = on[0][0]
         n = min([len(r[0]) for r in on]) if first else 0
-        while n and any(not r[0].startswith(first[:n]) for r in on):
+        while n and any([not r[0].startswith(first[:n]) for r in on]):
             n -= 4
-        key = tuple([(out[n:], last, part) for out, last, part in on] if n else on)
-        found = self.states.get(key)
+        return tuple([(out[n:], last, part) for out, last, part in on] if n else on), first[:n]
+
+    def _grow(self, state: State, byte: int) -> tuple[State, bytes]:
+        """Adds the move from ``state`` by ``byte``."""
+        readings, emitted = self._step(state.readings, byte)
+        found = self.states.get(readings)
         if found is None:
             if len(self.states) >= STATES:
                 self._forget()
-            found = self.states[key] = State(key)
-        move = state.moves[byte] = (found, first[:n])
+            found = self.states[readings] = State(readings)
+        if state.moves is NO_MOVES:
+            state.moves = {}
+        move = state.moves[byte] = (found, emitted)
         return move
 
     def __call__(self, word: bytes) -> bytes:
@@ -161,17 +168,25 @@ class Transducer:
 
 
 class Matches(dict):
-    """Ids of the matches met before; the transducer gives those of new ones."""
+    """Ids of the matches met before, in two generations; the transducer gives those of new ones."""
 
     def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
     def __missing__(self, match: str) -> bytes:
-        ids = self.transducer(match.encode("utf-8"))
+        ids = self.older.get(match)
+        if ids is None:
+            ids = self.transducer(match.encode("utf-8"))
         if len(match) <= LONG:
             self[match] = ids
         return ids
 
+    def age(self) -> None:
+        """Keeps what was used lately once there are MATCHES of them."""
+        if len(self) > MATCHES:
+            self.older = dict(self)
+            self.clear()
+
 
 _encoders: dict[tuple[str, str], tuple] = {}
 
@@ -187,8 +202,7 @@ def encoder(path: str, pattern: str):
     def encode(text: str) -> Iterator[bytes]:
         found = (m[0] for m in split.finditer(text)) if len(text) > 8 * CHUNK else iter(split.findall(text))
         while some := list(islice(found, CHUNK)):
-            if len(known) > MATCHES:
-                known.clear()
+            known.age()
             yield b"".join(map(known.__getitem__, some))
 
     return encode
