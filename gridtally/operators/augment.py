@@ -1,80 +1,188 @@
-"""Exact fallbacks for components too large for one task.
+"""Assignment of components too large for one task (E11), and the ordered merge of such components.
 
-State lives in checkpointed tables and advances by joins. One path per component is augmented, or one object
-absorbed, per round; components advance side by side. Slow on purpose-built giant components, but exact, and
-nothing is ever collected into a task.
+State lives in checkpointed tables. The assignment is solved in regions of the graph side by side; regions grow
+until every search ends inside of one. Nothing is ever collected into a task beyond a stated number of pairs.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
-from gridtally.operators.matching import BIG_COST
+from gridtally.operators.matching import TIE_BITS, join_potential, local_graph, settle, split_potential
 from gridtally.operators.spatial import centroid_distance
-from gridtally.session import cut_lineage
+from gridtally.session import cut_lineage, join_keys
 
+#: Pairs of a region in the first round; each further round has regions GROWTH times as large, up to the pairs a task can hold.
+REGION_PAIRS, GROWTH, TASK_PAIRS = 20_000, 4, 2_000_000
+#: Rounds without a join between cells after which regions are taken as they are.
+IDLE = 8
+#: A missing pair as an exact decimal, above the sum of all costs of a component.
+ALONE = 10**37
+POTENTIAL = ["missing", "price", "tie"]
 
-def augment_by_joins(edges: DataFrame, comp: list[str]) -> DataFrame:
-    """Most pairs, then least cost, per component, as (comp, pred_id, gt_id).
 
-    Starts from the cheapest pair of each truth object that is also the cheapest of its prediction, which is
-    optimal for the predictions it covers: with potentials u(p) = min cost and v = 0 these pairs are tight. Then
-    predictions enter one per component and round, in id order, each by a cheapest path through the residual
-    graph (Bellman-Ford over joins), ending at a free truth object or leaving one prediction unmatched at
-    BIG_COST.
+def _contracted(links: DataFrame, cells: DataFrame, turn: int, most: int, host: int) -> tuple[DataFrame, DataFrame]:
+    """One round of joining cells: each cell without a coin joins the neighbour with a coin of least hash.
+
+    ``links``: distinct (n, a, b) between cells, both ways; ``cells``: (n, a, size). Cells of more than ``most`` pairs join none, and those
+    of more than ``host`` are joined by none. Returns the cells with their new name (n, a, size, to) and the links between new cells.
+    """
+    coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 1
+    hosts = cells.where(coin("a") & (F.col("size") <= host)).select("n", F.col("a").alias("b"))
+    guests = cells.where(~coin("a") & (F.col("size") <= most)).select("n", "a")
+    meet = links.where(~coin("a") & coin("b")).join(guests, ["n", "a"], "left_semi").join(hosts, ["n", "b"], "left_semi")
+    joined = meet.groupBy("n", "a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), "b")).alias("m")).select("n", "a", F.col("m.b").alias("to"))
+    names = cut_lineage(cells.join(joined, ["n", "a"], "left").select("n", "a", "size", F.coalesce("to", "a").alias("to")))
+    ends = names.select("n", F.col("a").alias("b"), F.col("to").alias("to_b"))
+    new = links.join(names.drop("size"), ["n", "a"]).join(ends, ["n", "b"]).where("to <> to_b").select("n", F.col("to").alias("a"), F.col("to_b").alias("b")).distinct()
+    return names, cut_lineage(new)
+
+
+def _settle_region(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Lets the waiting predictions of one region enter; returns the state of its objects, predictions first."""
+    preds, gts, g_at, p_at, rows = local_graph(pdf)
+    mate, owner = [-1] * len(preds), [-1] * len(gts)
+    u, v, inside, done = [0] * len(preds), [0] * len(gts), [False] * len(gts), [False] * len(preds)
+    for p, g, held, taken, own, fixed, a, b in zip(
+        p_at, g_at, pdf["held"].tolist(), pdf["taken"].tolist(), pdf["own"].tolist(), pdf["done"].tolist(), pdf[[f"u_{c}" for c in POTENTIAL]].itertuples(index=False, name=None), pdf[[f"v_{c}" for c in POTENTIAL]].itertuples(index=False, name=None)
+    ):
+        u[p], v[g], done[p], inside[g] = join_potential(*map(int, a)), join_potential(*map(int, b)), fixed, own
+        if held:
+            mate[p], owner[g] = g, p
+        elif taken and owner[g] < 0:
+            owner[g] = -2
+    put_off = set(settle(rows, [p for p in range(len(preds)) if not done[p]], mate, owner, u, v, inside))
+    n = pdf["n"].iloc[0]
+    out = [(n, preds[p], gts[g] if g >= 0 else None, *split_potential(u[p]), p not in put_off) for p, g in enumerate(mate)]
+    out += [(n, None, gts[g], *split_potential(x), True) for g, x in enumerate(v) if inside[g]]
+    return pd.DataFrame(out, columns=["n", "pred_id", "gt_id", *POTENTIAL, "done"], dtype=object)
+
+
+def match_by_regions(
+    edges: DataFrame, comp: list[str], potentials: bool = False, region_pairs: int = REGION_PAIRS, task_pairs: int = TASK_PAIRS,
+) -> DataFrame:
+    """The best assignment of each component as (comp, pred_id, gt_id), whatever its size.
+
+    ``edges``: comp, pred_id, gt_id, _c, _h. Predictions enter along cheapest paths in any order, so all regions of the graph work at the
+    same time, each in one task and on its own objects; a search that leaves its region waits for the next round. Searches in
+    different regions do not disturb each other: they raise potentials of their own predictions and lower those of their
+    own truth only, which no other pair can violate. Regions are made by joining neighbouring cells at random and
+    grow by GROWTH a round, from ``region_pairs`` on. Predictions whose search is still open in regions of ``task_pairs`` enter by joins,
+    and potentials are not known then.
+    """
+    numbers = cut_lineage(edges.select(*comp).distinct().withColumn("n", F.monotonically_increasing_id()))
+    e = cut_lineage(join_keys(edges, numbers, comp).select("n", "pred_id", "gt_id", "_c", "_h"))
+    zero = [F.lit(0).cast("bigint").alias(c) for c in POTENTIAL]
+    cell = lambda side, c: F.xxhash64(F.lit(side), F.col("n"), F.col(c))
+    no_mate = F.lit(None).cast(e.schema["gt_id"].dataType).alias("mate")
+    preds = cut_lineage(e.groupBy("n", "pred_id").agg(F.count(F.lit(1)).alias("size")).select("n", "pred_id", "size", no_mate, *zero, F.lit(False).alias("done"), cell(0, "pred_id").alias("a")))
+    gts = cut_lineage(e.select("n", "gt_id").distinct().select("n", "gt_id", *zero, cell(1, "gt_id").alias("a")))
+    links = e.select("n", cell(0, "pred_id").alias("a"), cell(1, "gt_id").alias("b"))
+    links = cut_lineage(links.unionByName(links.select("n", F.col("b").alias("a"), F.col("a").alias("b"))))
+    sizes = preds.select("n", "a", "size").unionByName(gts.select("n", "a", F.lit(0).cast("bigint").alias("size")))
+    cells = sizes.groupBy("n", "a").agg(F.sum("size").alias("size"))
+    all_pairs, n_cells, n_links = e.count(), cells.count(), links.count()
+    turn, target, was_left = 0, min(region_pairs, task_pairs), None
+    while True:
+        idle, turned = 0, False
+        while n_links and idle < IDLE and all_pairs < target * n_cells:
+            names, links = _contracted(links, cells, turn, min(target, task_pairs // GROWTH), task_pairs // GROWTH)
+            cells = names.groupBy("n", F.col("to").alias("a")).agg(F.sum("size").alias("size"))
+            preds, gts = (df.join(names.drop("size"), ["n", "a"]).drop("a").withColumnRenamed("to", "a") for df in (preds, gts))
+            before, n_cells, n_links = n_cells, cells.count(), links.count()
+            idle, turn, turned = idle + 1 if n_cells == before else 0, turn + 1, True
+        if turned:
+            preds, gts = cut_lineage(preds), cut_lineage(gts)
+        weight = preds.groupBy("n", "a").agg(F.sum("size").alias("pairs"), F.count_if(~F.col("done")).alias("waiting"))
+        ready = weight.where((F.col("waiting") > 0) & (F.col("pairs") <= task_pairs)).select("n", "a")
+        mine = preds.join(ready, ["n", "a"], "left_semi").select("n", "pred_id", F.col("a").alias("region"), "mate", "done", *[F.col(c).alias(f"u_{c}") for c in POTENTIAL])
+        owned = preds.where("mate is not null").select("n", F.col("mate").alias("gt_id"), F.lit(True).alias("taken"))
+        truth = gts.select("n", "gt_id", F.col("a").alias("gt_region"), *[F.col(c).alias(f"v_{c}") for c in POTENTIAL]).join(owned, ["n", "gt_id"], "left")
+        x = e.join(mine, ["n", "pred_id"]).join(truth, ["n", "gt_id"]).select(
+            "n", "region", "pred_id", "gt_id", "_c", "_h", F.coalesce(F.col("mate") == F.col("gt_id"), F.lit(False)).alias("held"), F.coalesce("taken", F.lit(False)).alias("taken"),
+            (F.col("gt_region") == F.col("region")).alias("own"), "done", *[f"u_{c}" for c in POTENTIAL], *[f"v_{c}" for c in POTENTIAL],
+        )
+        kinds = {f.name: f.dataType.simpleString() for f in e.schema.fields}
+        schema = f"n bigint, pred_id {kinds['pred_id']}, gt_id {kinds['gt_id']}, missing bigint, price bigint, tie bigint, done boolean"
+        news = cut_lineage(x.groupBy("n", "region").applyInPandas(_settle_region, schema))
+        preds = cut_lineage(_renewed(preds, news.where("pred_id is not null").withColumn("mate", F.col("gt_id")), "pred_id", ["mate", *POTENTIAL, "done"]))
+        gts = cut_lineage(_renewed(gts, news.where("pred_id is null"), "gt_id", POTENTIAL))
+        left = preds.where(~F.col("done")).count()
+        if not left:
+            break
+        if not n_links or (target >= task_pairs and left == was_left):
+            preds = _enter_by_joins(e, preds)
+            if potentials:
+                raise RuntimeError("potentials are known only where every search ends inside of a region")
+            break
+        target, was_left = min(target * GROWTH, task_pairs), left
+    back = lambda df: df.join(numbers, "n")
+    if not potentials:
+        return back(preds.where("mate is not null").select("n", "pred_id", F.col("mate").alias("gt_id"))).select(*comp, "pred_id", "gt_id")
+    no_pred = F.lit(None).cast(e.schema["pred_id"].dataType).alias("pred_id")
+    both = preds.select("n", "pred_id", F.col("mate").alias("gt_id"), *POTENTIAL).unionByName(gts.select("n", no_pred, "gt_id", *POTENTIAL))
+    return back(both).select(*comp, "pred_id", "gt_id", *POTENTIAL)
+
+
+def _renewed(state: DataFrame, news: DataFrame, node: str, columns: list[str]) -> DataFrame:
+    """``state`` with ``columns`` replaced wherever ``news`` has the node."""
+    fresh = news.select("n", node, F.struct(*columns).alias("_new"))
+    x = state.join(fresh, ["n", node], "left")
+    return x.select(*[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in state.columns])
+
+
+def _enter_by_joins(edges: DataFrame, preds: DataFrame) -> DataFrame:
+    """The predictions that still wait enter one per component and round, in id order, along cheapest paths found by joins.
+
+    A path is sought through the residual graph (Bellman-Ford), ending at a free truth object or leaving one prediction alone.
     """
-    e = cut_lineage(edges.select(*comp, "pred_id", "gt_id", "cost"))
-    pk, gk = [*comp, "pred_id"], [*comp, "gt_id"]
-    first = e.groupBy(*pk).agg(F.min(F.struct("cost", "gt_id")).alias("b")).select(*pk, F.col("b.gt_id").alias("gt_id"))
-    match = cut_lineage(first.groupBy(*gk).agg(F.min("pred_id").alias("pred_id")).join(e, [*gk, "pred_id"]).select(*pk, "gt_id", "cost"))
-    waiting = cut_lineage(e.select(*pk).distinct().join(match, pk, "left_anti"))
+    exact = lambda c: c.cast(DecimalType(38, 0))
+    e = cut_lineage(edges.select("n", "pred_id", "gt_id", exact(F.col("_c").cast(DecimalType(18, 0)) * F.lit(str(1 << TIE_BITS)).cast(DecimalType(20, 0)) + F.col("_h")).alias("cost")))
+    pk, gk = ["n", "pred_id"], ["n", "gt_id"]
+    match = cut_lineage(preds.where("mate is not null").select("n", "pred_id", F.col("mate").alias("gt_id")).join(e, [*pk, "gt_id"]))
+    waiting = cut_lineage(preds.where(~F.col("done")).select(*pk))
+    alone = exact(F.lit(str(ALONE)))
     while True:
-        start = cut_lineage(waiting.groupBy(*comp).agg(F.min("pred_id").alias("pred_id")))
+        start = cut_lineage(waiting.groupBy("n").agg(F.min("pred_id").alias("pred_id")))
         if start.isEmpty():
-            return match.select(*pk, "gt_id")
+            break
         # dist: cheapest alternating path from the start to each truth object, with the prediction before it.
-        reach = start.join(e, pk).select(*gk, F.col("pred_id").alias("via"), F.col("cost").alias("d"))
-        dist = cut_lineage(reach)
+        dist = cut_lineage(start.join(e, pk).select(*gk, F.col("pred_id").alias("via"), F.col("cost").alias("d")))
         while True:
             held = match.select(*gk, "pred_id", F.col("cost").alias("back"))
-            step = dist.join(held, gk).select(*comp, "pred_id", (F.col("d") - F.col("back")).alias("base"))
-            more = step.join(e, pk).select(*gk, F.col("pred_id").alias("via"), (F.col("base") + F.col("cost")).alias("d"))
+            step = dist.join(held, gk).select("n", "pred_id", exact(F.col("d") - F.col("back")).alias("base"))
+            more = step.join(e, pk).select(*gk, F.col("pred_id").alias("via"), exact(F.col("base") + F.col("cost")).alias("d"))
             better = more.groupBy(*gk).agg(F.min(F.struct("d", "via")).alias("m")).select(*gk, F.col("m.via").alias("via"), F.col("m.d").alias("d"))
             old = dist.select(*gk, F.col("via").alias("via0"), F.col("d").alias("d0"))
-            both = cut_lineage(old.join(better, gk, "full_outer").withColumn("wins", F.col("d0").isNull() | F.coalesce(F.col("d") < F.col("d0") - 1e-12, F.lit(False))))
-            dist = both.select(*gk, F.when(F.col("wins"), F.col("via")).otherwise(F.col("via0")).alias("via"), F.when(F.col("wins"), F.col("d")).otherwise(F.col("d0")).alias("d"))
+            both = cut_lineage(old.join(better, gk, "full_outer").withColumn("wins", F.col("d0").isNull() | F.coalesce(F.col("d") < F.col("d0"), F.lit(False))))
+            pick = lambda c: F.when(F.col("wins"), F.col(c)).otherwise(F.col(f"{c}0")).alias(c)
+            dist = both.select(*gk, pick("via"), pick("d"))
             if both.where("wins").isEmpty():
                 break
         dist = cut_lineage(dist)
         # Ends: a free truth object, or a prediction on the tree that gives up its partner.
-        free = dist.join(match, gk, "left_anti").select(*comp, F.col("d").alias("total"), F.lit(0).alias("kind"), F.col("gt_id").alias("at"))
-        drop = dist.join(match.select(*gk, F.col("cost").alias("back")), gk).select(*comp, (F.col("d") - F.col("back") + BIG_COST).alias("total"), F.lit(1).alias("kind"), F.col("gt_id").alias("at"))
-        skip = start.select(*comp, F.lit(BIG_COST).alias("total"), F.lit(2).alias("kind"), F.lit(None).cast(e.schema["gt_id"].dataType).alias("at"))
-        end = free.unionByName(drop).unionByName(skip).groupBy(*comp).agg(F.min(F.struct("total", "kind", "at")).alias("m"))
-        end = cut_lineage(end.select(*comp, F.col("m.kind").alias("kind"), F.col("m.at").alias("at")))
+        free = dist.join(match, gk, "left_anti").select("n", F.col("d").alias("total"), F.lit(0).alias("kind"), F.col("gt_id").alias("at"))
+        drop = dist.join(match.select(*gk, F.col("cost").alias("back")), gk).select("n", exact(F.col("d") - F.col("back") + alone).alias("total"), F.lit(1).alias("kind"), F.col("gt_id").alias("at"))
+        skip = start.select("n", alone.alias("total"), F.lit(2).alias("kind"), F.lit(None).cast(e.schema["gt_id"].dataType).alias("at"))
+        end = free.unionByName(drop).unionByName(skip).groupBy("n").agg(F.min(F.struct("total", "kind", "at")).alias("m"))
+        end = cut_lineage(end.select("n", F.col("m.kind").alias("kind"), F.col("m.at").alias("gt_id")))
         # A prediction that gives up its partner is out; otherwise its truth object is re-assigned along the path.
-        lost = end.where("kind = 1").join(match, (F.col("at") == match["gt_id"]) & _same(end, match, comp)).select(*[match[c] for c in comp], match["pred_id"])
+        lost = end.where("kind = 1").join(match, gk).select(*pk)
         match = cut_lineage(match.join(lost, pk, "left_anti"))
-        cursor = cut_lineage(end.where("kind < 2").select(*comp, F.col("at").alias("gt_id")))
+        cursor = cut_lineage(end.where("kind < 2").select(*gk))
         while not cursor.isEmpty():
             pairs = cursor.join(dist.select(*gk, F.col("via").alias("pred_id")), gk)
             now = cut_lineage(pairs.join(e, [*pk, "gt_id"]).select(*pk, "gt_id", "cost"))
             old = match.select(*pk, F.col("gt_id").alias("gt_old"))
-            nxt = cut_lineage(now.select(*pk).join(old, pk).select(*comp, F.col("gt_old").alias("gt_id")))
+            cursor = cut_lineage(now.select(*pk).join(old, pk).select("n", F.col("gt_old").alias("gt_id")))
             match = cut_lineage(match.join(now.select(*pk), pk, "left_anti").select(*pk, "gt_id", "cost").unionByName(now))
-            cursor = nxt
         waiting = cut_lineage(waiting.join(start, pk, "left_anti"))
-
-
-def _same(a: DataFrame, b: DataFrame, cols: list[str]):
-    cond = None
-    for c in cols:
-        one = a[c].eqNullSafe(b[c])
-        cond = one if cond is None else cond & one
-    return cond
+    return preds.drop("mate").join(match.select(*pk, F.col("gt_id").alias("mate")), pk, "left")
 
 
 def merge_by_joins(objects: DataFrame, comp: list[str], dist: float) -> DataFrame:

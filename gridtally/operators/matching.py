@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +14,13 @@ from gridtally.operators.spatial import distance_pairs, pairwise_geometry, point
 from gridtally.session import cut_lineage, join_keys
 
 # Matching parameters.
-D_MAX, IOU_MIN, ALPHA, BIG_COST = 20.0, 0.1, 0.5, 1.0e6
+D_MAX, IOU_MIN, ALPHA = 20.0, 0.1, 0.5
 
+#: Pairs of one unit or component that a task solves at once; larger components are solved region by region.
 MAX_SOLVER_EDGES = 200_000
 BIN_EDGES = 50_000
+#: Costs count in units of 1e-9; the tie number of a pair comes below the cost, a missing pair above all costs.
+COST_UNITS, TIE_BITS, MISSING = 1e9, 64, 1 << 160
 
 
 def check_parameters(d_max: float, min_iou: float, alpha: float, policy: str, cap: float | None = None) -> None:
@@ -52,70 +56,117 @@ def candidate_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def cheapest_matching(edges: list[list[tuple[int, float]]], n_gt: int) -> list[int | None]:
-    """Partner of each prediction: most pairs first, then the smallest total cost.
+def exact_costs(pairs: DataFrame) -> DataFrame:
+    """``_c``, the cost in units of 1e-9, and ``_h``, a number from the digest of the ids that decides between equal sums.
 
-    Every prediction may also take a private stand-in at BIG_COST, so the cheapest complete assignment is the
-    one sought. Shortest augmenting paths with potentials; ``edges[p]`` lists (truth, cost).
+    Comparing (number of pairs, sum of ``_c``, sum of ``_h``) makes the best assignment unique, so that every way to find it
+    names the same partners on every run.
     """
-    of_gt: list[int | None] = [None] * n_gt
-    of_pred: list[int | None] = [None] * len(edges)
-    u, v = [0.0] * len(edges), [0.0] * n_gt
-    for start in range(len(edges)):
-        dist: dict[int, float] = {}
+    digest = F.md5(F.concat(F.col("pred_id").cast("string"), F.lit(":"), F.col("gt_id").cast("string")))
+    return pairs.withColumn("_c", F.rint(F.col("cost") * F.lit(COST_UNITS)).cast("bigint")).withColumn("_h", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"))
+
+
+def settle(
+    edges: list[list[tuple[int, int]]], sources: list[int], mate: list[int], owner: list[int], u: list[int], v: list[int], inside: list[bool] | None = None,
+) -> list[int]:
+    """Let predictions enter one by one, each along a cheapest alternating path; returns those that could not be settled here.
+
+    ``edges[p]`` lists (truth, cost) with integer costs. Every prediction may also stay alone at the cost MISSING, so most pairs come
+    first. ``mate`` and ``owner`` hold partners (-1: none, owner -2: a prediction that is not here), ``u`` and ``v`` potentials
+    with u + v <= cost for every pair, equality for matched ones and v = 0 for free truth; all four are updated. A search
+    that would leave the region, by a truth that is not ``inside`` or is owned elsewhere, changes nothing and is put off.
+    """
+    put_off = []
+    for start in sources:
+        dist: dict[int, int] = {}
         came: dict[int, int] = {}
-        done: dict[int, float] = {}
-        heap: list[tuple[float, int]] = []
-        p, base, stand_in, stand_at = start, 0.0, float("inf"), start
-        end = None
+        done: dict[int, int] = {}
+        heap: list[tuple[int, int]] = []
+        p, base, alone, alone_at, end, left = start, 0, None, start, -1, False
         while True:
-            if base + BIG_COST - u[p] < stand_in:
-                stand_in, stand_at = base + BIG_COST - u[p], p
+            stay = base + MISSING - u[p]
+            if alone is None or stay < alone:
+                alone, alone_at = stay, p
+            gap = base - u[p]
             for g, c in edges[p]:
-                d = base + c - u[p] - v[g]
-                if g not in done and d < dist.get(g, float("inf")):
+                d = gap + c - v[g]
+                if g not in done and (g not in dist or d < dist[g]):
                     dist[g], came[g] = d, p
                     heapq.heappush(heap, (d, g))
             while heap and (heap[0][1] in done or heap[0][0] > dist[heap[0][1]]):
                 heapq.heappop(heap)
-            if not heap or heap[0][0] >= stand_in:
-                total = stand_in
+            if not heap or heap[0][0] >= alone:
+                total = alone
                 break
             base, g = heapq.heappop(heap)
-            if of_gt[g] is None:
+            if (inside is not None and not inside[g]) or owner[g] == -2:
+                left = True
+                break
+            if owner[g] < 0:
                 total, end = base, g
                 break
             done[g] = base
-            p = of_gt[g]
+            p = owner[g]
+        if left:
+            put_off.append(start)
+            continue
         u[start] += total
         for g, d in done.items():
             v[g] -= total - d
-            u[of_gt[g]] += total - d
-        if end is None:
-            end, of_pred[stand_at] = of_pred[stand_at], None
-            if stand_at == start:
+            u[owner[g]] += total - d
+        if end < 0:
+            end, mate[alone_at] = mate[alone_at], -1
+            if alone_at == start:
                 continue
         while True:
             p = came[end]
-            of_gt[end] = p
-            end, of_pred[p] = of_pred[p], end
+            owner[end] = p
+            end, mate[p] = mate[p], end
             if p == start:
                 break
-    return of_pred
+    return put_off
+
+
+def split_potential(x: int) -> tuple[int, int, int]:
+    """A potential as (missing pairs, cost, tie) with x = missing * MISSING + cost * 2 ** TIE_BITS + tie."""
+    missing = (x + (MISSING >> 1)) // MISSING
+    x -= missing * MISSING
+    cost = (x + (1 << (TIE_BITS - 1))) >> TIE_BITS
+    return missing, cost, x - (cost << TIE_BITS)
+
+
+def join_potential(missing: int, cost: int, tie: int) -> int:
+    return missing * MISSING + (cost << TIE_BITS) + tie
+
+
+def local_graph(part: pd.DataFrame) -> tuple:
+    """(prediction ids, truth ids, truth index of each row, prediction index of each row, pairs of each prediction) of a table of pairs."""
+    p_at, preds = pd.factorize(part["pred_id"].to_numpy(), sort=True)
+    g_at, gts = pd.factorize(part["gt_id"].to_numpy(), sort=True)
+    rows: list[list[tuple[int, int]]] = [[] for _ in preds]
+    p_at, g_at = p_at.tolist(), g_at.tolist()
+    for p, g, c, h in zip(p_at, g_at, part["_c"].tolist(), part["_h"].tolist()):
+        rows[p].append((g, (c << TIE_BITS) + h))
+    return preds, gts, g_at, p_at, rows
 
 
-def _solve_bin(keys: list[str]):
+def _solve_bin(keys: list[str], potentials: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in pdf.groupby([*keys, "_comp"], sort=False, dropna=False):
-            preds, p_at = pd.factorize(part["pred_id"].to_numpy(), sort=True)
-            gts, g_at = pd.factorize(part["gt_id"].to_numpy(), sort=True)
-            rows: list[list[tuple[int, float]]] = [[] for _ in p_at]
-            for p, g, c in zip(preds.tolist(), gts.tolist(), part["cost"].tolist()):
-                rows[p].append((g, c))
+            preds, gts, _, _, rows = local_graph(part)
+            mate, owner, u, v = [-1] * len(preds), [-1] * len(gts), [0] * len(preds), [0] * len(gts)
+            settle(rows, list(range(len(preds))), mate, owner, u, v)
             head = [part[k].iloc[0] for k in keys]
-            out += [(*head, p_at[p], g_at[g]) for p, g in enumerate(cheapest_matching(rows, len(g_at))) if g is not None]
-        return pd.DataFrame(out, columns=[*keys, "pred_id", "gt_id"])
+            if potentials:
+                out += [(*head, preds[p], gts[g] if g >= 0 else None, *split_potential(u[p])) for p, g in enumerate(mate)]
+                out += [(*head, None, gts[g], *split_potential(x)) for g, x in enumerate(v)]
+            else:
+                out += [(*head, preds[p], gts[g]) for p, g in enumerate(mate) if g >= 0]
+        if not potentials:
+            return pd.DataFrame(out, columns=[*keys, "pred_id", "gt_id"])
+        found = pd.DataFrame(out, columns=[*keys, "pred_id", "gt_id", "missing", "price", "tie"], dtype=object)  # ids may be None
+        return found.assign(**{k: found[k].infer_objects() for k in keys})
 
     return run
 
@@ -133,28 +184,37 @@ def _component_labels(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def assign_one_to_one(pairs: DataFrame, keys: list[str], max_solver_edges: int = MAX_SOLVER_EDGES) -> DataFrame:
-    """(keys, pred_id, gt_id) with most valid pairs first, then the smallest total cost.
+    """(keys, pred_id, gt_id) with most valid pairs first, then the smallest total cost to nine decimals, then the tie numbers.
 
-    Both goals separate over the components of the graph of assignable pairs. Components that are a star
-    around one object need only its cheapest pair and are settled by aggregates, whatever their size. Units with
-    up to ``max_solver_edges`` remaining pairs are packed into bins and solved inside tasks. Larger units are
-    first split into their components; a component that is still larger is augmented path by path as Spark
-    joins, never inside one task.
+    These goals separate over the components of the graph of assignable pairs and have one best answer, whatever the way to
+    it. Components that are a star around one object need only its cheapest pair and are settled by aggregates,
+    whatever their size. Units with up to ``max_solver_edges`` remaining pairs are packed into bins and solved inside tasks. Larger
+    units are first split into their components; a component that is still larger is solved in regions, side by
+    side, that grow until every search ends inside of one.
     """
-    e = pairs.where("valid and cost is not null").select(*keys, "pred_id", "gt_id", "cost")
+    e = exact_costs(pairs.where("valid and cost is not null").select(*keys, "pred_id", "gt_id", "cost")).drop("cost")
     pk, gk = [*keys, "pred_id"], [*keys, "gt_id"]
     p_deg = e.groupBy(*pk).agg(F.count(F.lit(1)).alias("pd"))
     e1 = join_keys(e, p_deg, pk)
-    by_gt = e1.groupBy(*gk).agg(F.count(F.lit(1)).alias("gd"), F.max("pd").alias("gt_max"), F.min(F.struct("cost", "pred_id")).alias("gt_best"))
+    by_gt = e1.groupBy(*gk).agg(F.count(F.lit(1)).alias("gd"), F.max("pd").alias("gt_max"), F.min(F.struct("_c", "_h", "pred_id")).alias("gt_best"))
     e2 = join_keys(e1, by_gt.select(*gk, "gd", "gt_max"), gk)
-    by_pred = e2.groupBy(*pk).agg(F.max("gd").alias("pred_max"), F.first("pd").alias("pd"), F.min(F.struct("cost", "gt_id")).alias("pred_best"))
+    by_pred = e2.groupBy(*pk).agg(F.max("gd").alias("pred_max"), F.first("pd").alias("pd"), F.min(F.struct("_c", "_h", "gt_id")).alias("pred_best"))
     gt_stars = by_gt.where("gt_max = 1").select(*keys, F.col("gt_best.pred_id").alias("pred_id"), "gt_id")
     pred_stars = by_pred.where("pred_max = 1 and pd > 1").select(*keys, "pred_id", F.col("pred_best.gt_id").alias("gt_id"))
     stars = gt_stars.unionByName(pred_stars)
-    rest = join_keys(e2.where("gt_max > 1"), by_pred.where("pred_max > 1").select(*pk, F.lit(True).alias("_open")), pk).select(*keys, "pred_id", "gt_id", "cost")
-    rest = cut_lineage(rest)
+    rest = join_keys(e2.where("gt_max > 1"), by_pred.where("pred_max > 1").select(*pk, F.lit(True).alias("_open")), pk).select(*keys, "pred_id", "gt_id", "_c", "_h")
+    solved = solve_pairs(cut_lineage(rest), keys, max_solver_edges)
+    return stars if solved is None else stars.unionByName(solved)
+
+
+def solve_pairs(rest: DataFrame, keys: list[str], max_solver_edges: int = MAX_SOLVER_EDGES, potentials: bool = False) -> DataFrame | None:
+    """The best assignment of pairs (keys, pred_id, gt_id, _c, _h), which should be stored; None without pairs.
+
+    With ``potentials`` all objects are returned, predictions with their partner or NULL, truth with a NULL prediction, and their
+    potential as ``missing``, ``price`` and ``tie`` (see ``split_potential``).
+    """
     if rest.isEmpty():
-        return stars
+        return None
     units = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     labelled = join_keys(rest, units, keys).withColumn("_comp", F.lit(0).cast("bigint"))
     tally = units.agg(F.sum("_n").alias("n"), F.max("_n").alias("m")).first().asDict()
@@ -164,19 +224,54 @@ def assign_one_to_one(pairs: DataFrame, keys: list[str], max_solver_edges: int =
         tally["m"] = labelled.agg(F.max("_n").alias("m")).first()["m"]
     bins = max(1, -(-tally["n"] // BIN_EDGES), min(tally["n"] // 2000, 64))
     kinds = {f.name: f.dataType.simpleString() for f in labelled.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "pred_id", "gt_id"])
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "pred_id", "gt_id"]) + (", missing bigint, price bigint, tie bigint" if potentials else "")
     solved = (
         labelled.where(F.col("_n") <= max_solver_edges)
-        .select(*keys, "pred_id", "gt_id", "cost", "_comp", F.pmod(F.xxhash64(*keys, "_comp"), F.lit(bins)).alias("_bin"))
+        .select(*keys, "pred_id", "gt_id", "_c", "_h", "_comp", F.pmod(F.xxhash64(*keys, "_comp"), F.lit(bins)).alias("_bin"))
         .groupBy("_bin")
-        .applyInPandas(_solve_bin(keys), schema)
+        .applyInPandas(_solve_bin(keys, potentials), schema)
     )
-    out = stars.unionByName(solved)
     if tally["m"] > max_solver_edges:
-        from gridtally.operators.augment import augment_by_joins
+        from gridtally.operators.augment import match_by_regions
+
+        large = match_by_regions(labelled.where(F.col("_n") > max_solver_edges), [*keys, "_comp"], potentials)
+        solved = solved.unionByName(large.select(*solved.columns))
+    return solved
 
-        out = out.unionByName(augment_by_joins(labelled.where(F.col("_n") > max_solver_edges), [*keys, "_comp"]).select(*keys, "pred_id", "gt_id"))
-    return out
+
+def assignment_certificate(pairs: DataFrame, keys: list[str], max_solver_edges: int = MAX_SOLVER_EDGES) -> DataFrame:
+    """Proof per unit that the assignment is the best one.
+
+    ``n_pairs`` and ``cost`` (sum of costs to nine decimals, in units of 1e-9) describe the assignment. It is the best if no pair costs
+    less than the potentials of its ends (``below``), matched pairs cost as much (``loose``), free truth has potential 0
+    (``free_truth``) and predictions without a partner that of a missing pair (``unmatched``): all four counts are 0. ``gap`` is
+    the assignment's cost less the sum of potentials, 0 in both parts.
+    """
+    e = cut_lineage(exact_costs(pairs.where("valid and cost is not null").select(*keys, "pred_id", "gt_id", "cost")).drop("cost"))
+    solved = solve_pairs(e, keys, max_solver_edges, potentials=True)
+    if solved is None:
+        counts = ", ".join(f"cast(0 as bigint) as {c}" for c in ("n_pairs", "cost", "below", "loose", "free_truth", "unmatched", "gap"))
+        return e.select(*keys).distinct().selectExpr(*[f"`{k}`" for k in keys], *counts.split(", "))
+    solved = cut_lineage(solved)
+    p = solved.where("pred_id is not null").select(*keys, "pred_id", F.col("gt_id").alias("_mate"), *[F.col(c).alias(f"_u{i}") for i, c in enumerate(("missing", "price", "tie"))])
+    g = solved.where("pred_id is null").select(*keys, "gt_id", *[F.col(c).alias(f"_v{i}") for i, c in enumerate(("missing", "price", "tie"))])
+    x = join_keys(join_keys(e, p, [*keys, "pred_id"]), g, [*keys, "gt_id"])
+    m, c, h = -F.col("_u0") - F.col("_v0"), F.col("_c") - F.col("_u1") - F.col("_v1"), F.col("_h") - F.col("_u2") - F.col("_v2")
+    held = F.coalesce(F.col("_mate") == F.col("gt_id"), F.lit(False))
+    zero = (m == 0) & (c == 0) & (h == 0)
+    on_pairs = x.groupBy(*keys).agg(
+        F.count_if(held).alias("n_pairs"), F.coalesce(F.sum(F.when(held, F.col("_c"))), F.lit(0)).alias("cost"),
+        F.count_if((m < 0) | ((m == 0) & ((c < 0) | ((c == 0) & (h < 0))))).alias("below"), F.count_if(held & ~zero).alias("loose"),
+        F.count(F.lit(1)).alias("_all"),
+    )
+    alone = (F.col("missing") == 1) & (F.col("price") == 0) & (F.col("tie") == 0)
+    taken = p.where("_mate is not null").select(*keys, F.col("_mate").alias("gt_id"), F.lit(True).alias("_taken"))
+    free = join_keys(g, taken, [*keys, "gt_id"], "left").where("_taken is null").groupBy(*keys).agg(F.count_if(F.expr("_v0 <> 0 or _v1 <> 0 or _v2 <> 0")).alias("free_truth"))
+    on_preds = solved.where("pred_id is not null").groupBy(*keys).agg(F.count_if(F.col("gt_id").isNull() & ~alone).alias("unmatched"), F.count_if(F.col("gt_id").isNull()).alias("_out"))
+    sums = solved.groupBy(*keys).agg(F.sum("price").alias("_price"), F.sum("missing").alias("_missing"))
+    rows = join_keys(join_keys(join_keys(on_pairs, free, keys, "left"), on_preds, keys), sums, keys)
+    gap = (F.col("cost") - F.col("_price")) + (F.col("_out") - F.col("_missing"))
+    return rows.select(*keys, "n_pairs", "cost", "below", "loose", F.coalesce("free_truth", F.lit(0)).alias("free_truth"), "unmatched", gap.alias("gap"))
 
 
 def bucket_predictions(pred: DataFrame, gt: DataFrame, pairs: DataFrame, matches: DataFrame, keys: list[str], gt_keys: list[str]) -> DataFrame:
@@ -237,7 +332,7 @@ def match_objects(
 def match_boxes_to_points(pred: DataFrame, points: DataFrame, models: list[str], d_max: float, require_inside: bool = True) -> DataFrame:
     """Boxes against points; a pair must be within ``d_max`` and, on request, inside the box."""
     if d_max <= 0:
-        raise ValueError(f"d_max must be > 0, got {d_max}")
+        raise ValueError(f"distance gate {d_max} is not positive")
     p = pred.select("uid", "model", F.col("obj_id").alias("pred_id"), "cy", "cx", "y1", "x1", "y2", "x2")
     g = points.select("uid", F.col("obj_id").alias("gt_id"), F.col("cy").alias("ry"), F.col("cx").alias("rx"))
     pairs = distance_pairs(p, g, ["uid"], d_max)
@@ -248,11 +343,124 @@ def match_boxes_to_points(pred: DataFrame, points: DataFrame, models: list[str],
     return bucket_predictions(pred, per_model(points, models), pairs, matches, ["uid", "model"], ["uid"])
 
 
-def sweep_matching(pairs: DataFrame, pred: DataFrame, gt: DataFrame, models: list[str], d_max: list[float], min_iou: list[float], policies: list[str], cap: float, alpha: float = ALPHA, units: DataFrame | None = None) -> DataFrame:
+def enlarge(neighbours: list[list[int]], mate: list[int], owner: list[int]) -> None:
+    """Makes the matching (``mate`` of each prediction, ``owner`` of each truth, -1: none) one of most pairs.
+
+    Each turn seeks disjoint augmenting paths from all free predictions and marks a truth once; the last turn finds none.
+    """
+    grown = True
+    while grown:
+        grown, seen = False, set()
+        for start, free in enumerate(mate):
+            if free >= 0 or not neighbours[start]:
+                continue
+            path, tries = [(start, -1)], [iter(neighbours[start])]
+            while path:
+                g = next(tries[-1], None)
+                if g is None:
+                    path.pop()
+                    tries.pop()
+                elif g not in seen:
+                    seen.add(g)
+                    if owner[g] < 0:
+                        for p, back in reversed(path):
+                            mate[p], owner[g] = g, p
+                            g = back
+                        grown = True
+                        break
+                    path.append((owner[g], g))
+                    tries.append(iter(neighbours[owner[g]]))
+
+
+def _sweep_bin(keys: list[str], points: list[tuple[float, float, str]]):
+    """Counts of each part of the graph at each grid point, from the tightest to the loosest gate.
+
+    A pair that passes a gate passes every looser one, so the matching of a tighter gate is a start for the next.
+    """
+    order = sorted(range(len(points)), key=lambda i: (points[i][2] != "AND", points[i][0], -points[i][1]))
+
+    def tighter(i: int, done: dict) -> tuple | None:
+        d, o, policy = points[i]
+        inner = [done[j] for j in done if points[j][0] <= d and points[j][1] >= o and points[j][2] in ("AND", policy)]
+        return max(inner, key=lambda m: m[2], default=None)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.groupby([*keys, "_comp"], sort=False, dropna=False):
+            p_at, preds = pd.factorize(part["pred_id"].to_numpy())
+            g_at, gts = pd.factorize(part["gt_id"].to_numpy())
+            dist, overlap, hit = part["dist"].to_numpy("float64", na_value=np.nan), part["overlap"].to_numpy("float64", na_value=np.nan), part["hit"].to_numpy(bool)
+            head, done = [part[k].iloc[0] for k in keys], {}
+            for i in order:
+                d, o, policy = points[i]
+                near, over = dist <= d, hit & (overlap >= o)
+                valid = near | over if policy == "OR" else near & over
+                if not valid.any():
+                    continue
+                usable = valid & ~np.isnan(dist)
+                neighbours: list[list[int]] = [[] for _ in preds]
+                for p, g in zip(p_at[usable].tolist(), g_at[usable].tolist()):
+                    neighbours[p].append(g)
+                start = tighter(i, done)
+                mate, owner = (start[0][:], start[1][:]) if start else ([-1] * len(preds), [-1] * len(gts))
+                enlarge(neighbours, mate, owner)
+                done[i] = (mate, owner, sum(g >= 0 for g in mate))
+                out.append((*head, i, done[i][2], int(valid.sum()), len(np.unique(p_at[valid])), len(np.unique(g_at[valid]))))
+        return pd.DataFrame(out, columns=[*keys, "_point", "tp", "cand_pairs", "cand_preds", "cand_gts"])
+
+    return run
+
+
+def sweep_counts(
+    pairs: DataFrame, d_max: list[float], min_iou: list[float], policies: list[str], keys: list[str] = ["uid", "model"], max_solver_edges: int = MAX_SOLVER_EDGES,
+) -> DataFrame:
+    """(keys, d_max, min_iou, policy, tp, cand_pairs, cand_preds, cand_gts) where a pair passes the gates.
+
+    Every pair is sent once, whatever the number of grid points: the gates are thresholds on one list of pairs, and all points of a
+    unit, or of a component of a larger unit, are counted in its task. ``pairs`` should be stored. Only components of more than
+    ``max_solver_edges`` pairs are matched per grid point, by ``assign_one_to_one``.
+    """
+    points = [(float(d), float(o), p) for d in d_max for o in min_iou for p in policies]
+    near = F.coalesce(F.col("dist") <= max(float(d) for d in d_max), F.lit(False))
+    over = F.col("hit") & (F.col("overlap") >= min(float(o) for o in min_iou))
+    some = pairs.where(near | over if "OR" in policies else near & over).select(*keys, "pred_id", "gt_id", "dist", "overlap", "hit")
+    sizes = cut_lineage(some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    tally = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.max("_n"), F.lit(0)).alias("m")).first().asDict()
+    parts = join_keys(some, sizes, keys).withColumn("_comp", F.lit(0).cast("bigint"))
+    if tally["m"] > max_solver_edges:
+        small = parts.where(F.col("_n") <= max_solver_edges)
+        parts = cut_lineage(small.unionByName(_component_labels(parts.where(F.col("_n") > max_solver_edges).drop("_n", "_comp"), keys)))
+        tally["m"] = parts.agg(F.max("_n").alias("m")).first()["m"]
+    bins = max(1, -(-tally["n"] // BIN_EDGES), min(tally["n"] // 500, 64))
+    kinds = {f.name: f.dataType.simpleString() for f in some.schema.fields}
+    counts = ["tp", "cand_pairs", "cand_preds", "cand_gts"]
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _point int, " + ", ".join(f"{c} bigint" for c in counts)
+    found = (
+        parts.where(F.col("_n") <= max_solver_edges)
+        .select(*keys, "pred_id", "gt_id", "dist", "overlap", "hit", "_comp", F.pmod(F.xxhash64(*keys, "_comp"), F.lit(bins)).alias("_bin"))
+        .groupBy("_bin")
+        .applyInPandas(_sweep_bin(keys, points), schema)
+    )
+    table = F.array(*[F.struct(F.lit(d).alias("d_max"), F.lit(o).alias("min_iou"), F.lit(p).alias("policy")) for d, o, p in points])
+    if tally["m"] > max_solver_edges:
+        large = parts.where(F.col("_n") > max_solver_edges).select("*", F.posexplode(table).alias("_point", "_g"))
+        large = pair_cost(valid_pairs(large, F.col("_g.d_max"), F.col("_g.min_iou"), F.col("_g.policy")), ALPHA, F.col("_g.d_max")).where("valid")
+        large = cut_lineage(large.select(*keys, "_comp", "_point", "pred_id", "gt_id", "valid", "cost"))
+        at = [*keys, "_comp", "_point"]
+        tp = assign_one_to_one(large, at, max_solver_edges).groupBy(*at).agg(F.count(F.lit(1)).alias("tp"))
+        more = join_keys(candidate_stats(large, at), tp, at, "left").select(*keys, "_point", F.coalesce("tp", F.lit(0)).alias("tp"), *counts[1:])
+        found = found.unionByName(more)
+    total = found.groupBy(*keys, "_point").agg(*[F.sum(c).alias(c) for c in counts])
+    return total.withColumn("_g", table[F.col("_point")]).select(*keys, "_g.*", *counts)
+
+
+def sweep_matching(
+    pairs: DataFrame, pred: DataFrame, gt: DataFrame, models: list[str], d_max: list[float], min_iou: list[float], policies: list[str], cap: float, alpha: float = ALPHA, units: DataFrame | None = None,
+) -> DataFrame:
     """The parameter sweep: one row per unit, model and grid point, from pairs computed once.
 
-    The grid point is part of the key, so all cells share the same stages. ``units`` (uid and columns to pass through) names
-    all units; one without any object has a row of zero counts. Without it only units with objects have rows.
+    ``units`` (uid and columns to pass through) names all units; one without any object has a row of zero counts. Without it only
+    units with objects have rows.
     """
     for d in d_max:
         for i in min_iou:
@@ -261,25 +469,19 @@ def sweep_matching(pairs: DataFrame, pred: DataFrame, gt: DataFrame, models: lis
     from gridtally.operators.joins import cross_grid
 
     axes = {"d_max": [float(d) for d in d_max], "min_iou": [float(i) for i in min_iou], "policy": policies}
-    keys = ["uid", "model", *axes]
-    x = cross_grid(pairs, **axes)
-    x = pair_cost(valid_pairs(x, F.col("d_max"), F.col("min_iou"), F.col("policy")), alpha, F.col("d_max")).where("valid")
-    x = cut_lineage(x)
-    matches = assign_one_to_one(x, keys)
-    tp = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("tp"))
-    cand = x.groupBy(*keys).agg(F.countDistinct("pred_id").alias("n_cand"))
+    keys, counts = ["uid", "model", *axes], ["tp", "cand_pairs", "cand_preds", "cand_gts"]
+    found = sweep_counts(pairs, d_max, min_iou, policies)
     n_gt = gt.groupBy("uid").agg(F.count(F.lit(1)).alias("n_gt"))
     n_pred = pred.groupBy("uid", "model").agg(F.count(F.lit(1)).alias("n_pred"))
     units = per_model(units if units is not None else pred.select("uid").union(gt.select("uid")).distinct(), models)
     units = units.join(n_pred, ["uid", "model"], "left").join(n_gt, ["uid"], "left").fillna(0, ["n_pred", "n_gt"])
-    rows = cross_grid(units, **axes).join(tp, keys, "left").join(cand, keys, "left").fillna(0, ["tp", "n_cand"])
+    rows = cross_grid(units, **axes).join(found, keys, "left").fillna(0, counts)
     from gridtally.functions.metrics import object_metrics_from_counts
 
     rows = (
-        rows.withColumn("ignored", F.col("n_cand") - F.col("tp"))
-        .withColumn("fp", F.col("n_pred") - F.col("n_cand"))
+        rows.withColumn("ignored", F.col("cand_preds") - F.col("tp"))
+        .withColumn("fp", F.col("n_pred") - F.col("cand_preds"))
         .withColumn("fn", F.col("n_gt") - F.col("tp"))
-        .drop("n_cand")
     )
     m = object_metrics_from_counts(F.col("tp"), F.col("fp"), F.col("fn"))
     return rows.select("*", *[c.alias(n) for n, c in m.items()])

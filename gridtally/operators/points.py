@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -280,80 +281,87 @@ def local_maxima(cells: DataFrame, threshold: float, r: int, border: int = 0, fr
     return got
 
 
-def _suppressed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The peaks that an ordered pass over whole components of the conflict graph drops; rows are (better, worse) pairs."""
-    ends = [list(zip(pdf["_root"], *(pdf[f"{e}_{c}"] for c in ("s", "y", "x")))) for e in ("a", "b")]
-    peaks = sorted({*ends[0], *ends[1]})
-    place = {p: n for n, p in enumerate(peaks)}
-    worse: list[list[int]] = [[] for _ in peaks]
-    for a, b in zip(*ends):
-        worse[place[a]].append(place[b])
-    lost = [False] * len(peaks)
-    for n, below in enumerate(worse):
-        if not lost[n]:
-            for m in below:
-                lost[m] = True
-    gone = pd.DataFrame([p for p, out in zip(peaks, lost) if out], columns=["_root", "b_s", "b_y", "b_x"])
-    first = pdf.drop_duplicates(["_root", "b_s", "b_y", "b_x"])
-    return first.merge(gone, on=["_root", "b_s", "b_y", "b_x"])[["_root", "_at"]]
-
-
-def _suppress_bins(edges: DataFrame, bin_edges: int) -> DataFrame:
-    """Nodes dropped among ``edges`` (better, worse, root); all edges of a root meet in one task."""
-    e = cut_lineage(edges.withColumn("_root", F.xxhash64("root")).withColumn("_at", F.xxhash64("worse")))
-    bins = max(1, -(-e.count() // bin_edges))
-    part = lambda end: [F.col(f"{end}.o.{c}").cast("double").alias(f"{'a' if end == 'better' else 'b'}_{c}") for c in ("s", "y", "x")]
-    flat = e.select("_root", "_at", *part("better"), *part("worse"), F.pmod("_root", F.lit(bins)).alias("_bin"))
-    lost = flat.groupBy("_bin").applyInPandas(_suppressed, "_root bigint, _at bigint")
-    return e.join(lost, ["_root", "_at"], "left_semi").select(F.col("worse").alias("n")).distinct()
-
-
-def _fitting(edges: DataFrame, task_edges: int) -> tuple[DataFrame, DataFrame]:
-    """``edges`` (better, worse, root) of the roots that a task can hold, and the others."""
-    size = edges.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
-    sized = cut_lineage(edges.join(size, "root"))
-    return sized.where(F.col("_n") <= task_edges).drop("_n"), sized.where(F.col("_n") > task_edges).drop("_n")
-
-
-def greedy_nms(peaks: DataFrame, min_dist: float, keys: list[str] = ["uid"], max_points: int | None = None, rounds: int = 4, task_edges: int = 1_000_000) -> DataFrame:
+#: Side of a suppression tile in multiples of the distance, and its least side in cells.
+TILE_REACH, TILE_LEAST = 8, 128
+#: Rows that the tiles of one task hold together, as far as whole tiles allow.
+TILE_ROWS = 50_000
+
+
+def settle_peaks(rows: list[tuple[float, float, float, bool, bool]], dist: float) -> list[int]:
+    """State of each peak (s, y, x, own, kept) of a tile and its rim, given in order: 1 kept, 0 open, -1 dropped.
+
+    A peak near a better kept one is dropped. One near a better open peak stays open, and so does a peak of the rim, whose
+    other neighbours are not here. All others are kept. Kept and open peaks lie in a grid of cells of side ``dist``.
+    """
+    held: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    unsure: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+
+    def near(grid: dict, y: float, x: float) -> bool:
+        r, c = math.floor(y / dist), math.floor(x / dist)
+        return any(math.sqrt((y - v) * (y - v) + (x - w) * (x - w)) < dist for a, b in around for v, w in grid.get((r + a, c + b), ()))
+
+    out = []
+    for _, y, x, own, kept in rows:
+        state = 1 if kept else -1 if near(held, y, x) else 0 if not own or near(unsure, y, x) else 1
+        if state >= 0:
+            (held if state else unsure).setdefault((math.floor(y / dist), math.floor(x / dist)), []).append((y, x))
+        out.append(state)
+    return out
+
+
+def _settle_tiles(keys: list[str], dist: float):
+    columns = [*keys, "y", "x", "s", "kept"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.sort_values(["s", "y", "x"]).groupby([*keys, "_ty", "_tx"], sort=False, dropna=False):
+            if not part["own"].any():
+                continue
+            state = settle_peaks(list(part[["s", "y", "x", "own", "kept"]].itertuples(index=False, name=None)), dist)
+            mine = part.assign(kept=[v > 0 for v in state])[[v >= 0 for v in state]]
+            out.append(mine[mine["own"]][columns])
+        return pd.concat(out) if out else pdf.iloc[:0][columns]
+
+    return run
+
+
+def greedy_nms(peaks: DataFrame, min_dist: float, keys: list[str] = ["uid"], max_points: int | None = None, tile: float | None = None) -> DataFrame:
     """By falling score, drop peaks closer than ``min_dist`` to a kept one; ties by row, then column.
 
-    A peak without a better undecided neighbour is kept and removes its neighbours. A few rounds of this, joins over the
-    shrinking conflict graph of all units at once, settle the bulk. What is left are long chains: the ordered pass settles
-    them inside tasks, whole units where at most ``task_edges`` pairs are left, else whole components. Larger components go on in
-    rounds until they fit or are settled, so crowded units never meet in one task and no chain is too long.
+    Of several peaks at one place only the best can stay, so they are reduced to it before anything is shuffled. Tiles
+    (of side ``tile``) then take the ordered pass inside tasks, each with a rim of ``min_dist``, and leave open what hangs on
+    an open peak of the rim. The next round has only the open peaks and the newly kept ones near a border, so no pair of
+    peaks ever becomes a row, and rounds are as many as a chain of falling scores crosses borders. A tile holds one peak per place at
+    most. Peaks without score or place are never compared and stay.
     """
     kept = peaks
     if min_dist > 0:
-        order = lambda s, y, x: F.struct((-s).alias("s"), y.alias("y"), x.alias("x"))
-        a = peaks.select(*keys, F.col("y").cast("double").alias("cy"), F.col("x").cast("double").alias("cx"), order(F.col("p"), F.col("y"), F.col("x")).alias("a"))
-        b = peaks.select(*keys, F.col("y").cast("double").alias("ry"), F.col("x").cast("double").alias("rx"), order(F.col("p"), F.col("y"), F.col("x")).alias("b"))
-        node = lambda c: F.struct(*keys, F.col(c).alias("o"))
-        e = distance_pairs(a, b, keys, float(min_dist), strict=True).where("a < b").select(node("a").alias("better"), node("b").alias("worse"))
-        e = cut_lineage(e)
-        gone = e.select(F.col("worse").alias("n")).limit(0)
-        turn = 0
-        while not e.isEmpty():
-            if turn % (rounds + 1) == rounds:
-                small, large = _fitting(e.withColumn("root", F.struct(*[F.col("better")[k] for k in keys])), task_edges)
-                gone = gone.unionByName(_suppress_bins(small, task_edges))
-                e = large.drop("root")
-                if not e.isEmpty():
-                    comp = graph_components(e.select(F.col("better").alias("a"), F.col("worse").alias("b")))
-                    small, large = _fitting(e.join(comp, e["better"] == comp["node"]).drop("node"), task_edges)
-                    gone = gone.unionByName(_suppress_bins(small, task_edges))
-                    e = large.drop("root")
-                gone, e = cut_lineage(gone), cut_lineage(e)
-                turn += 1
-                continue
-            free = e.select(F.col("better").alias("n")).distinct().join(e.select(F.col("worse").alias("n")).distinct(), "n", "left_anti")
-            lost = cut_lineage(e.join(free, e["better"] == free["n"], "left_semi").select(F.col("worse").alias("n")).distinct())
-            gone = gone.unionByName(lost)
-            e = e.join(lost, e["worse"] == lost["n"], "left_anti")
-            e = cut_lineage(e.join(lost, e["better"] == lost["n"], "left_anti"))
-            turn += 1
-        drop = gone.select(*[F.col("n")[k].alias(k) for k in keys], F.col("n.o.y").alias("y"), F.col("n.o.x").alias("x"))
-        kept = kept.join(drop, [*keys, "y", "x"], "left_anti")
+        dist, side = float(min_dist), float(tile or max(TILE_LEAST, TILE_REACH * min_dist))
+        place = [*keys, "y", "x"]
+        others = [c for c in peaks.columns if c not in place]
+        known = F.col("y").isNotNull() & F.col("x").isNotNull() & F.col("p").isNotNull()
+        best = peaks.where(known).groupBy(*place).agg(F.max_by(F.struct(*others), F.struct("p", F.xxhash64(*others))).alias("_o"))
+        best = cut_lineage(best.select(*place, *[F.col("_o")[c].alias(c) for c in others]))
+        kinds = {f.name: f.dataType.simpleString() for f in best.schema.fields}
+        schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", y double, x double, s double, kept boolean"
+        at = lambda c: F.floor(F.col(c) / F.lit(side))
+        reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.lit(dist)) / F.lit(side)), F.floor((F.col(c) + F.lit(dist)) / F.lit(side))))
+        rows = best.select(*keys, F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), (-F.col("p")).cast("double").alias("s"), F.lit(False).alias("kept"))
+        done, n = [], best.count()
+        while n:
+            seen = rows.withColumn("_ty", reach("y")).withColumn("_tx", reach("x")).withColumn("own", (F.col("_ty") == at("y")) & (F.col("_tx") == at("x")) & ~F.col("kept"))
+            seen = seen.where(F.col("own") | (F.col("_ty") != at("y")) | (F.col("_tx") != at("x")))
+            bins = max(1, -(-n // TILE_ROWS), min(n // 500, 64))
+            state = cut_lineage(seen.withColumn("_bin", F.pmod(F.xxhash64(*keys, "_ty", "_tx"), F.lit(bins))).groupBy("_bin").applyInPandas(_settle_tiles(keys, dist), schema))
+            done.append(state.where("kept"))
+            if len(done) == 16:  # a plan of bounded size, however many rounds there are
+                done = [cut_lineage(reduce(DataFrame.unionByName, done))]
+            rows, n = state, state.where(~F.col("kept")).count()
+        if done:
+            stay = reduce(DataFrame.unionByName, done).select(*keys, F.col("y").cast(kinds["y"]).alias("y"), F.col("x").cast(kinds["x"]).alias("x"), F.lit(True).alias("_stay"))
+            best = join_keys(best, stay, place).drop("_stay")
+        kept = best.select(*peaks.columns).unionByName(peaks.where(~known))
     if max_points:
         kept = first_n_per_group(kept, keys, [F.desc("p"), "y", "x"], max_points)
     return kept
@@ -404,8 +412,8 @@ def detect_points(
 
 def rasterise_points(points: DataFrame, sigma: float, frame: tuple[int, int], merge: str = "max", normalise: bool = True, keys: list[str] = ["uid"]) -> DataFrame:
     """Gaussian stamps of radius int(3 sigma) + 1 around points (x, y), combined by max or sum."""
-    if sigma <= 0:
-        raise ValueError(f"sigma must be > 0, got {sigma}")
+    if not sigma > 0:
+        raise ValueError(f"a stamp of width {sigma} has no cells")
     r = int(3 * sigma) + 1
     span = F.sequence(F.lit(-r), F.lit(r))
     cy, cx = F.col("cy"), F.col("cx")

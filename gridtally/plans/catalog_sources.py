@@ -9,8 +9,8 @@ from gridtally.operators import quality as Q
 from gridtally.operators import rollups as R
 from gridtally.plans import evaluate as EV
 from gridtally.plans.catalog_keys import U
-from gridtally.plans.catalog_rollups import AGG
-from gridtally.plans.catalog_spatial import CC, images
+from gridtally.plans.catalog_rollups import AGG, BIN, E, PIX_SQL, ok
+from gridtally.plans.catalog_spatial import CC, CONF, DIST, images, match_sql
 from gridtally.plans.registry import query
 from gridtally.session import scratch_path
 from gridtally.sources import tables as A
@@ -175,15 +175,51 @@ def scored_units(spark, sf):
     return u.withColumn("split", s).withColumn("grp", F.concat(F.lit("g"), (F.col("uid") % 5).cast("string")))
 
 
-@query("f1_score_units")
+# Pairs of labelled objects in SQL: the pixels of each component, its centroid distance, box hits and overlap.
+LABELLED = CC + f""", {CONF}, ob as (select * from obj where area >= 3), ol as (select lr.uid, lr.layer, lr.comp as obj_id, lr.y, unnest(range(lr.x0, lr.x1 + 1)) as x from lr join ob on lr.uid = ob.uid and lr.layer = ob.layer and lr.comp = ob.obj_id),
+ p as (select * from ob where layer = 'pred'), g as (select * from ob where layer = 'gt'), og as (select * from ol where layer = 'gt'),
+ near as (select p.uid, p.obj_id as pred_id, g.obj_id as gt_id, {DIST} as dist from p join g on p.uid = g.uid where {DIST} <= 20),
+ inbox as (select p.uid, p.obj_id as pred_id, og.obj_id as gt_id, count(*) as px from p join og on p.uid = og.uid and og.y >= p.y1 and og.y < p.y2 and og.x >= p.x1 and og.x < p.x2 group by 1, 2, 3),
+ shared as (select a.uid, a.obj_id as pred_id, og.obj_id as gt_id, count(*) as inter from ol a join og on a.uid = og.uid and a.y = og.y and a.x = og.x where a.layer = 'pred' group by 1, 2, 3),
+ ks as (select uid, pred_id, gt_id from near union select uid, pred_id, gt_id from inbox),
+ pa as (select ks.*, dist, case when inter > 0 then cast(inter as double) / (p.area + coalesce(px, 0) - inter) else 0.0 end as overlap, coalesce(px, 0) > 0 as hit
+  from ks left join near using (uid, pred_id, gt_id) left join inbox using (uid, pred_id, gt_id) left join shared using (uid, pred_id, gt_id) join p on p.uid = ks.uid and p.obj_id = ks.pred_id),
+ un as (select uid, 256 as h, 256 as w, case when uid % 20 < 14 then 'train' when uid % 20 < 17 then 'val' else 'test' end as split, 'g' || (uid % 5) as grp from im)"""
+
+
+def gates_sql(points: list[tuple[float, float, str]]) -> str:
+    """CTEs ending in tl: counts of every unit at every grid point, from pairs valid there and the largest matching."""
+    grid = ", ".join(f"({i}, {d}::double, {o}::double, '{p}')" for i, (d, o, p) in enumerate(points))
+    return f"""gp(pt, d_max, min_iou, policy) as (values {grid}),
+ pg as (select uid * 64 + pt as u, uid, pt, pred_id, gt_id, dist from pa cross join gp where case when policy = 'OR' then coalesce(dist <= d_max, false) or (hit and overlap >= min_iou) else coalesce(dist <= d_max, false) and hit and overlap >= min_iou end),
+ {match_sql('pg', 'u', '0.0')}, tp as (select u, count(*) as tp from mt group by u),
+ cd as (select u, count(*) as cand_pairs, count(distinct pred_id) as cand_preds, count(distinct gt_id) as cand_gts from pg group by u),
+ np as (select uid, count(*) as n_pred from p group by uid), ng as (select uid, count(*) as n_gt from g group by uid),
+ tl as (select un.*, d_max, min_iou, policy, coalesce(tp, 0) as tp, coalesce(cand_preds, 0) - coalesce(tp, 0) as ignored, coalesce(n_pred, 0) - coalesce(cand_preds, 0) as fp, coalesce(n_gt, 0) - coalesce(tp, 0) as fn, coalesce(n_pred, 0) as n_pred, coalesce(n_gt, 0) as n_gt,
+  coalesce(cand_pairs, 0) as cand_pairs, coalesce(cand_preds, 0) as cand_preds, coalesce(cand_gts, 0) as cand_gts from un cross join gp left join tp on tp.u = uid * 64 + pt left join cd on cd.u = uid * 64 + pt left join np using (uid) left join ng using (uid))"""
+
+
+SCORED = LABELLED + f""", {gates_sql([(20.0, 0.1, "OR"), (20.0, 0.1, "AND")])}, px as (select uid, count(*) filter (where g and p) as a, count(*) filter (where p and not g) as b, count(*) filter (where g and not p) as c, max(cast(p as int)) as e from per group by uid),
+ fa as (select uid, h, w, split, grp, 'm' as model, policy, tp as obj_tp, fp as obj_fp, fn as obj_fn, ignored as obj_ignored, n_pred as pred_count, n_gt as gt_count, cand_pairs, cand_preds, cand_gts,
+  coalesce(a, 0) as pix_tp, coalesce(b, 0) as pix_fp, coalesce(c, 0) as pix_fn, 65536 - coalesce(a + b + c, 0) as pix_tn, coalesce(e, 0) as pred_exists from tl left join px using (uid))
+ select *, cast(obj_tp as double) / (obj_tp + obj_fp + 1e-9) as obj_precision, cast(obj_tp as double) / (obj_tp + obj_fn + 1e-9) as obj_recall, {ok('2 * obj_tp', '(2 * obj_tp + obj_fp + obj_fn)')} as obj_f1,
+ {PIX_SQL}, {BIN} as density_bin, cast(abs({E}) as double) as count_abs_error, case when gt_count <> 0 then 100.0 * abs({E}) / gt_count end as count_ape from fa"""
+
+
+@query("f1_score_units", SCORED)
 def _(spark, sf):
     px = pixel_view(spark, sf)
     pred = px.where("layer = 'pred'").select("uid", F.lit("m").alias("model"), "y", "x")
     return EV.score_units(scored_units(spark, sf), px.where("layer = 'gt'").select("uid", "y", "x"), pred, ["m"])
 
 
-@query("f25_sweep")
+GRID = [(d, o, p) for d in (5.0, 10.0, 20.0) for o in (0.0, 0.1, 0.3) for p in ("OR", "AND")]
+
+
+@query("f25_sweep", LABELLED + f""", {gates_sql(GRID)}, s as (select 'm' as model, split, policy, d_max, min_iou, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, cast(sum(ignored) as bigint) as ignored from tl group by 2, 3, 4, 5)
+ select *, {ok('tp', '(tp + fp)')} as precision, {ok('tp', '(tp + fn)')} as recall, {ok('2 * tp', '(2 * tp + fp + fn)')} as f1 from s""")
 def _(spark, sf):
     px = pixel_view(spark, sf)
     pred = px.where("layer = 'pred'").select("uid", F.lit("m").alias("model"), "y", "x")
-    return R.sweep_summary(EV.sweep(px.where("layer = 'gt'").select("uid", "y", "x"), pred, ["m"], [5.0, 10.0, 20.0], [0.0, 0.1, 0.3]))
+    units = scored_units(spark, sf).select("uid", "split")
+    return R.sweep_summary(EV.sweep(px.where("layer = 'gt'").select("uid", "y", "x"), pred, ["m"], [5.0, 10.0, 20.0], [0.0, 0.1, 0.3], units=units))

@@ -187,13 +187,51 @@ def _(spark, sf):
     return X.candidate_stats(X.valid_pairs(geometry(spark, sf), 20.0, 0.1, "OR"), ["uid"])
 
 
-@query("e11_assign_one_to_one")
+def match_sql(source: str, pair: str = "uid", cost: str = COST) -> str:
+    """The best assignment in SQL, as CTEs ending in mt(u, pred_id, gt_id) over the pairs of ``source``; ``pair`` names the unit.
+
+    Predictions of a component are visited in id order; for each set of truth taken so far the best way to take it is
+    carried on, compared by cost in units of 1e-9 and then by tie number, which make one whole number.
+    """
+    tie = "('0x' || left(md5(pred_id || ':' || gt_id), 8))::bigint"
+    return f"""m_e as (select {pair} as u, pred_id as p, gt_id as g, cast(({cost}) * 1e9 as hugeint) * 18446744073709551616::hugeint + {tie} as z from {source} where dist is not null),
+ m_pp as (select distinct a.u, a.p as a, b.p as b from m_e a join m_e b using (u, g)), m_cl as (select u, a, b from m_pp union select m_cl.u, m_cl.a, m_pp.b from m_cl join m_pp on m_cl.u = m_pp.u and m_cl.b = m_pp.a),
+ m_co as (select u, a as p, min(b) as comp from m_cl group by 1, 2), m_pr as (select u, comp, p, row_number() over (partition by u, comp order by p) as k, count(*) over (partition by u, comp) as n from m_co),
+ m_op as (select u, p, g, z from m_e union all select distinct u, p, null, null from m_e),
+ m_st as (select distinct u, comp, n, 0::bigint as k, []::bigint[] as used, []::struct(p bigint, g bigint)[] as got, 0::hugeint as z from m_pr
+  union all select u, comp, n, k, used, arg_min(got, z), min(z) from (
+   select m_st.u, m_st.comp, m_st.n, m_pr.k, case when o.g is null then m_st.used else list_sort(list_append(m_st.used, o.g)) end as used, case when o.g is null then m_st.got else list_append(m_st.got, struct_pack(p := m_pr.p, g := o.g)) end as got, m_st.z + coalesce(o.z, 0) as z
+   from m_st join m_pr on m_pr.u = m_st.u and m_pr.comp = m_st.comp and m_pr.k = m_st.k + 1 join m_op o on o.u = m_pr.u and o.p = m_pr.p where o.g is null or not list_contains(m_st.used, o.g)) group by 1, 2, 3, 4, 5),
+ m_fi as (select u, comp, arg_min(got, z - len(got)::hugeint * 1000000000000000000000000000000000::hugeint) as got from m_st where k = n group by 1, 2),
+ mt as (select u, q.p as pred_id, q.g as gt_id from (select u, unnest(got) as q from m_fi))"""
+
+
+def buckets_sql(source: str, preds: str = "p", truth: str = "g") -> str:
+    """CTE bk: all objects with their bucket, from the assignment mt and the valid pairs of ``source``."""
+    return f"""bk as (select o.uid, 'm' as model, 'pred' as side, o.obj_id, case when mt.gt_id is not null then 'tp' when c.pred_id is not null then 'ignored' else 'fp' end as bucket, mt.gt_id as partner_id
+  from {preds} o left join mt on mt.u = o.uid and mt.pred_id = o.obj_id left join (select distinct uid, pred_id from {source}) c on c.uid = o.uid and c.pred_id = o.obj_id
+  union all select o.uid, 'm', 'gt', o.obj_id, case when mt.pred_id is not null then 'tp' else 'fn' end, mt.pred_id from {truth} o left join mt on mt.u = o.uid and mt.gt_id = o.obj_id)"""
+
+
+RGEO = GEO.replace("with ", "with recursive ", 1)
+OR_PAIRS = f"{RGEO}, va as (select * from pa where {VALID.format(op='or')}), {match_sql('va')}"
+AND_PAIRS = f"{RGEO}, va as (select * from pa where {VALID.format(op='and')}), {match_sql('va')}"
+
+
+@query("e11_assign_one_to_one", OR_PAIRS + " select u as uid, 'm' as model, pred_id, gt_id from mt")
 def _(spark, sf):
     pairs = X.pair_cost(X.valid_pairs(geometry(spark, sf), 20.0, 0.1, "OR"), 0.5, 20.0).where("valid")
     return X.assign_one_to_one(cut_lineage(pairs), ["uid", "model"])
 
 
-@query("e12_bucket_predictions")
+@query("e11_assignment_certificate", OR_PAIRS + f""", c as (select uid, pred_id, gt_id, cast(({COST}) * 1e9 as bigint) as c from va)
+ select u as uid, count(*) as n_pairs, cast(sum(c) as bigint) as cost, 0::bigint as below, 0::bigint as loose, 0::bigint as free_truth, 0::bigint as unmatched, 0::bigint as gap from mt join c on uid = u and c.pred_id = mt.pred_id and c.gt_id = mt.gt_id group by u""")
+def _(spark, sf):
+    pairs = X.pair_cost(X.valid_pairs(geometry(spark, sf), 20.0, 0.1, "OR"), 0.5, 20.0)
+    return X.assignment_certificate(pairs, ["uid"])
+
+
+@query("e12_bucket_predictions", AND_PAIRS + f", {buckets_sql('va')} select * from bk")
 def _(spark, sf):
     pred, gt = boxes(spark, sf, "pred"), boxes(spark, sf, "gt")
     pairs = cut_lineage(X.pair_cost(X.valid_pairs(geometry(spark, sf), 20.0, 0.1, "AND"), 0.5, 20.0).where("valid"))
@@ -201,13 +239,17 @@ def _(spark, sf):
     return X.bucket_predictions(pred, X.per_model(gt, ["m"]), pairs, m, ["uid", "model"], ["uid"])
 
 
-@query("e13_match_objects")
+@query("e13_match_objects", OR_PAIRS + f""", {buckets_sql('va')} select uid, model, count(*) filter (where side = 'pred' and bucket = 'tp') as tp, count(*) filter (where bucket = 'fp') as fp, count(*) filter (where bucket = 'fn') as fn,
+ count(*) filter (where bucket = 'ignored') as ignored, count(*) filter (where side = 'pred') as n_pred, count(*) filter (where side = 'gt') as n_gt from bk group by uid, model""")
 def _(spark, sf):
     b = X.match_objects(pred_with_area(spark, sf), boxes(spark, sf, "gt"), ["m"], d_max=20.0, policy="or", gt_runs=object_runs(spark, sf, "gt"), pred_runs=object_runs(spark, sf, "pred"), frame=FR)
     return X.bucket_counts(b, ["uid", "model"])
 
 
-@query("e14_match_boxes_to_points")
+INSIDE = f"""va as (select p.uid, p.obj_id as pred_id, g.obj_id as gt_id, {DIST} as dist from p join g on p.uid = g.uid where {DIST} <= 20 and g.cy between p.y1 and p.y2 and g.cx between p.x1 and p.x2)"""
+
+
+@query("e14_match_boxes_to_points", with_views("box_view", recursive=True) + f", {BP}, {INSIDE}, {match_sql('va', cost='(dist / 20.0)')}, {buckets_sql('va')} select * from bk")
 def _(spark, sf):
     return X.match_boxes_to_points(boxes(spark, sf, "pred"), boxes(spark, sf, "gt"), ["m"], 20.0)
 

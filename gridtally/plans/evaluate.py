@@ -21,9 +21,15 @@ def objects_of(pixels: DataFrame, keys: list[str], min_area: int = 3) -> tuple[D
 
 
 def geometry_of(gt_pixels: DataFrame, pred_pixels: DataFrame, frame: tuple[int, int] | None, cap: float, min_area: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Prediction objects, truth objects and their pairs. ``gt_pixels``: uid, y, x; ``pred_pixels``: uid, model, y, x."""
-    gt, gt_runs = objects_of(gt_pixels, ["uid"], min_area)
-    pred, pred_runs = objects_of(pred_pixels, ["uid", "model"], min_area)
+    """Prediction objects, truth objects and their pairs. ``gt_pixels``: uid, y, x; ``pred_pixels``: uid, model, y, x.
+
+    Truth and predictions are labelled in one pass, as layers of their unit.
+    """
+    truth = gt_pixels.select("uid", F.lit(0).alias("side"), F.lit("").alias("model"), "y", "x")
+    both = truth.unionByName(pred_pixels.select("uid", F.lit(1).alias("side"), "model", "y", "x"))
+    objects, runs = objects_of(both, ["uid", "side", "model"], min_area)
+    gt, gt_runs = (df.where("side = 0").drop("side", "model") for df in (objects, runs))
+    pred, pred_runs = (df.where("side = 1").drop("side") for df in (objects, runs))
     return pred, gt, SP.pairwise_geometry(pred, gt, cap, gt_runs, pred_runs, frame)
 
 
@@ -40,18 +46,17 @@ def score_units(
     pred, gt, pairs = geometry_of(gt_pixels, pred_pixels, None, d_max, min_area)
     pairs = cut_lineage(pairs)
     rows = X.sweep_matching(pairs, pred, gt, models, [d_max], [min_iou], policies, d_max, alpha)
-    valid = X.valid_pairs(pairs.withColumn("policy", F.explode(F.array(*[F.lit(p) for p in policies]))), d_max, min_iou, F.col("policy"))
-    cand = X.candidate_stats(valid, ["uid", "model", "policy"])
     has = pred_pixels.select("uid", "model").distinct().withColumn("pred_exists", F.lit(1))
     both = gt_pixels.select("uid", "y", "x", F.lit(None).cast("string").alias("model")).unionByName(pred_pixels.select("uid", "y", "x", "model"))
     conf = _pixel_counts(both, units, models)
     facts = X.per_model(units, models).withColumn("policy", F.explode(F.array(*[F.lit(p) for p in policies])))
     zero = ["obj_tp", "obj_fp", "obj_fn", "obj_ignored", "pred_count", "gt_count", "cand_pairs", "cand_preds", "cand_gts", "pred_exists"]
     m = rows.select(
-        "uid", "model", "policy", F.col("tp").alias("obj_tp"), F.col("fp").alias("obj_fp"), F.col("fn").alias("obj_fn"), F.col("ignored").alias("obj_ignored"), F.col("n_pred").alias("pred_count"), F.col("n_gt").alias("gt_count")
+        "uid", "model", "policy", F.col("tp").alias("obj_tp"), F.col("fp").alias("obj_fp"), F.col("fn").alias("obj_fn"), F.col("ignored").alias("obj_ignored"), F.col("n_pred").alias("pred_count"), F.col("n_gt").alias("gt_count"),
+        "cand_pairs", "cand_preds", "cand_gts",
     )
     k = ["uid", "model", "policy"]
-    facts = facts.join(m, k, "left").join(cand, k, "left").join(conf, ["uid", "model"], "left").join(has, ["uid", "model"], "left").fillna(0, zero)
+    facts = facts.join(m, k, "left").join(conf, ["uid", "model"], "left").join(has, ["uid", "model"], "left").fillna(0, zero)
     return R.unit_metrics(facts)
 
 

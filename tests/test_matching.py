@@ -1,6 +1,8 @@
 """Matching: invariants, policies, brute force and the join fallback."""
 
+import hashlib
 import itertools
+import math
 import random
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridtally.operators import matching as X
 from gridtally.operators import spatial as SP
-from gridtally.operators.augment import augment_by_joins
+from gridtally.operators.augment import match_by_regions
 
 
 def objects(spark, rows, half=2):
@@ -64,19 +66,6 @@ def test_partition_of_objects(spark):
         assert c["tp"] + c["fp"] + c["ignored"] == 25 and c["tp"] + c["fn"] == 20
 
 
-def best(edges, n_pred, n_gt):
-    """Most pairs, then least cost, by trying every assignment."""
-    cost = {(p, g): c for p, g, c in edges}
-    top = (0, 0.0)
-    gts = list(range(n_gt)) + [None] * n_pred
-    for pick in set(itertools.permutations(gts, n_pred)):
-        got = [(p, g) for p, g in enumerate(pick) if g is not None]
-        if all(k in cost for k in got):
-            key = (-len(got), sum(cost[k] for k in got))
-            top = min(top, key)
-    return -top[0], top[1]
-
-
 def random_graphs(n, seed):
     rnd = random.Random(seed)
     out = []
@@ -87,52 +76,110 @@ def random_graphs(n, seed):
     return out
 
 
-def total(rows, graphs):
-    got = {}
-    costs = {(u, p, g): c for u, _, _, e in graphs for p, g, c in e}
-    for r in rows:
-        n, c = got.get(r["uid"], (0, 0.0))
-        got[r["uid"]] = (n + 1, c + costs[(r["uid"], r["pred_id"], r["gt_id"])])
-    return got
-
-
 def edge_table(spark, graphs):
     return spark.createDataFrame([(u, p, g, c, True) for u, _, _, e in graphs for p, g, c in e], "uid int, pred_id bigint, gt_id bigint, cost double, valid boolean")
 
 
-def test_solver_against_enumeration():
-    for _, a, b, e in random_graphs(400, 1):
-        rows = [[(g, c) for p2, g, c in e if p2 == p] for p in range(a)]
-        got = [(p, g) for p, g in enumerate(X.cheapest_matching(rows, b)) if g is not None]
-        cost = {(p, g): c for p, g, c in e}
-        n, c = best(e, a, b)
-        assert len(got) == n and len({g for _, g in got}) == n
-        assert abs(sum(cost[k] for k in got) - c) < 1e-6
+def best_pairs(edges, n_pred, n_gt):
+    """The one best set of pairs: most pairs, least cost in units of 1e-9, least sum of tie numbers."""
+    cost = {(p, g): (round(c * 1e9), tie(p, g)) for p, g, c in edges}
+    gts = list(range(n_gt)) + [None] * n_pred
+    found = []
+    for pick in set(itertools.permutations(gts, n_pred)):
+        got = [(p, g) for p, g in enumerate(pick) if g is not None]
+        if all(k in cost for k in got):
+            found.append((-len(got), sum(cost[k][0] for k in got), sum(cost[k][1] for k in got), got))
+    return sorted(min(found)[3])
+
+
+def tie(p, g):
+    return int(hashlib.md5(f"{p}:{g}".encode()).hexdigest()[:8], 16)
+
+
+def solved(edges, n_pred, n_gt, order=None):
+    rows = [[(g, (round(c * 1e9) << X.TIE_BITS) + tie(p, g)) for p2, g, c in edges if p2 == p] for p in range(n_pred)]
+    mate, owner, u, v = [-1] * n_pred, [-1] * n_gt, [0] * n_pred, [0] * n_gt
+    assert X.settle(rows, order or list(range(n_pred)), mate, owner, u, v) == []
+    return rows, mate, owner, u, v
+
+
+def test_solver_against_enumeration_in_any_order():
+    rnd = random.Random(9)
+    for _, a, b, e in random_graphs(300, 1):
+        order = rnd.sample(range(a), a)
+        rows, mate, owner, u, v = solved(e, a, b, order)
+        assert [(p, g) for p, g in enumerate(mate) if g >= 0] == best_pairs(e, a, b)
+        for p, pairs in enumerate(rows):
+            assert u[p] <= X.MISSING and all(c >= u[p] + v[g] for g, c in pairs)
+            assert mate[p] < 0 or dict(pairs)[mate[p]] == u[p] + v[mate[p]]
+        assert all(v[g] == 0 for g in range(b) if owner[g] < 0) and all(u[p] == X.MISSING for p in range(a) if mate[p] < 0)
+
+
+def test_searches_that_leave_the_region_change_nothing():
+    rows = [[(0, 5), (1, 9)], [(0, 4)]]
+    mate, owner, u, v = [-1, -1], [-1, -2], [0, 0], [0, 0]
+    assert X.settle(rows, [0, 1], mate, owner, u, v) == [1]  # the way on would be by truth 1, owned elsewhere
+    assert (mate, owner, u, v) == ([0, -1], [0, -2], [5, 0], [0, 0])
+    assert X.settle(rows, [1], mate, [0, -1], u, v, [True, False]) == [1]
+    owner[1] = -1
+    assert X.settle(rows, [1], mate, owner, u, v) == [] and mate == [1, 0]
+
+
+@pytest.mark.parametrize("x", [0, 5, -5, X.MISSING, X.MISSING - 3, -X.MISSING + (7 << 64) - 9, (1 << 64) - 1, -(1 << 63), (123 << 64) + (1 << 62)])
+def test_potentials_survive_splitting(x):
+    assert X.join_potential(*X.split_potential(x)) == x
+    assert all(-(1 << 63) <= part < 1 << 63 for part in X.split_potential(x))
 
 
 def test_assignment_against_enumeration(spark):
     graphs = random_graphs(120, 2)
     rows = X.assign_one_to_one(edge_table(spark, graphs), ["uid"]).collect()
-    got = total(rows, graphs)
-    for u, a, b, e in graphs:
-        n, c = best(e, a, b)
-        assert got.get(u, (0, 0.0))[0] == n and abs(got.get(u, (0, 0.0))[1] - c) < 1e-6
-
-
-def test_join_fallback_against_enumeration(spark):
-    graphs = random_graphs(25, 5)
-    rows = augment_by_joins(edge_table(spark, graphs), ["uid"]).collect()
-    got = total(rows, graphs)
-    for u, a, b, e in graphs:
-        n, c = best(e, a, b)
-        assert got.get(u, (0, 0.0))[0] == n and abs(got.get(u, (0, 0.0))[1] - c) < 1e-6
-
-
-def test_oversize_components_take_the_fallback(spark):
-    graphs = random_graphs(12, 8)
-    a = X.assign_one_to_one(edge_table(spark, graphs), ["uid"]).collect()
-    b = X.assign_one_to_one(edge_table(spark, graphs), ["uid"], max_solver_edges=3).collect()
-    assert {u: (n, round(c, 6)) for u, (n, c) in total(a, graphs).items()} == {u: (n, round(c, 6)) for u, (n, c) in total(b, graphs).items()}
+    want = sorted((u, p, g) for u, a, b, e in graphs for p, g in best_pairs(e, a, b))
+    assert sorted((r["uid"], r["pred_id"], r["gt_id"]) for r in rows) == want
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Predictions and truth objects in one tangle, with many equal costs, and its best pairs."""
+    rnd = random.Random(6)
+    a, b = 70, 64
+    at = [(rnd.random(), rnd.random()) for _ in range(a + b)]
+    e = [(p, g, round(10 * math.dist(at[p], at[a + g]), 1)) for p in range(a) for g in range(b) if math.dist(at[p], at[a + g]) < 0.2]
+    _, mate, _, _, _ = solved(e, a, b)
+    table = edge_table(spark, [(1, a, b, e)])
+    return table, sorted((p, g) for p, g in enumerate(mate) if g >= 0)
+
+
+@pytest.mark.parametrize("region_pairs, task_pairs", [(100, 1 << 30), (60, 240)])
+def test_regions_of_any_size_give_the_same_pairs(spark, crowd, region_pairs, task_pairs):
+    table, want = crowd
+    e = X.exact_costs(table).drop("cost", "valid")
+    rows = match_by_regions(e, ["uid"], region_pairs=region_pairs, task_pairs=task_pairs).collect()
+    assert sorted((r["pred_id"], r["gt_id"]) for r in rows) == want
+
+
+def test_oversize_components_give_the_same_pairs(spark, crowd):
+    table, want = crowd
+    for limit in (100, 10**9):
+        rows = X.assign_one_to_one(table, ["uid"], max_solver_edges=limit).collect()
+        assert sorted((r["pred_id"], r["gt_id"]) for r in rows) == want
+
+
+def test_predictions_enter_by_joins(spark):
+    graphs = [(u, a, b, e) for u, a, b, e in random_graphs(8, 5) if e and a < 4][:3]
+    e = X.exact_costs(edge_table(spark, graphs)).drop("cost", "valid")
+    rows = match_by_regions(e, ["uid"], region_pairs=1, task_pairs=1).collect()
+    assert sorted((r["uid"], r["pred_id"], r["gt_id"]) for r in rows) == sorted((u, p, g) for u, a, b, e in graphs for p, g in best_pairs(e, a, b))
+
+
+def test_certificate(spark, crowd):
+    table, want = crowd
+    costs = {(r["pred_id"], r["gt_id"]): round(r["cost"] * 1e9) for r in table.collect()}
+    for limit in (100, 10**9):
+        row = X.assignment_certificate(table, ["uid"], max_solver_edges=limit).first()
+        assert (row["n_pairs"], row["cost"]) == (len(want), sum(costs[k] for k in want))
+        assert [row[c] for c in ("below", "loose", "free_truth", "unmatched", "gap")] == [0] * 5
+    assert X.assignment_certificate(table.limit(0), ["uid"]).collect() == []
 
 
 def test_pair_without_distance_is_candidate_but_never_matched(spark):

@@ -163,12 +163,38 @@ def test_long_chain_of_falling_peaks(spark):
     assert {r["x"] for r in got} == {8 * i for i in range(1_000)}
 
 
-def test_chains_above_the_task_limit_go_on_in_rounds(spark):
+@pytest.mark.parametrize("tile", [6.0, 17.0])
+def test_chains_across_tiles_go_on_in_rounds(spark, tile):
     pts = [(5, 4 * i, 1.0 - i / 500) for i in range(12)] + [(50, 4 * i, 0.5 - i / 500) for i in range(7)]
-    got = P.greedy_nms(peak_table(spark, pts), 5.0, rounds=1, task_edges=6).collect()
+    got = P.greedy_nms(peak_table(spark, pts), 5.0, tile=tile).collect()
     assert {(r["y"], r["x"]) for r in got} == {(5, 8 * i) for i in range(6)} | {(50, 8 * i) for i in range(4)}
 
 
+def ordered_suppression(points, dist):
+    """The kept (y, x, p) of one unit, by the ordered pass over a grid of kept peaks."""
+    held = {}
+    for p, y, x in sorted((-p, y, x) for y, x, p in points):
+        r, c = int(y // dist), int(x // dist)
+        if not any((y - v) ** 2 + (x - w) ** 2 < dist * dist for a in (-1, 0, 1) for b in (-1, 0, 1) for v, w, _ in held.get((r + a, c + b), ())):
+            held.setdefault((r, c), []).append((y, x, -p))
+    return {k for ks in held.values() for k in ks}
+
+
+def test_crowded_unit_equals_the_ordered_pass(spark):
+    """Most peaks share their place with others, and neighbouring tiles hang on each other."""
+    rnd = random.Random(8)
+    pts = [(rnd.randrange(200), rnd.randrange(200), round(rnd.random(), 3)) for _ in range(60_000)]
+    extra = [(None, 3, 0.5), (4, 4, None)]
+    got = P.greedy_nms(peak_table(spark, pts + extra), 6.0, tile=30.0).collect()
+    assert {(r["y"], r["x"], r["p"]) for r in got} - set(extra) == ordered_suppression(pts, 6.0)
+    assert len(got) == len(ordered_suppression(pts, 6.0)) + 2
+
+
+def test_open_peaks_of_the_rim_leave_others_open():
+    rows = [(-0.9, 0.0, 0.0, False, False), (-0.8, 3.0, 0.0, True, False), (-0.7, 6.0, 0.0, True, False), (-0.6, 30.0, 0.0, True, False), (-0.5, 32.0, 0.0, True, False), (-0.4, 60.0, 0.0, False, True), (-0.3, 61.0, 0.0, True, False)]
+    assert P.settle_peaks(rows, 5.0) == [0, 0, 0, 1, -1, 1, -1]
+
+
 def test_merge_of_a_large_component_equals_the_ordered_pass():
     rnd = random.Random(3)
     pts = [(rnd.uniform(0, 400), rnd.uniform(0, 400)) for _ in range(1_500)]
