@@ -20,7 +20,7 @@ from gridtally.session import cut_lineage, join_keys
 #: Pairs of a region in the first round; each further round has regions GROWTH times as large, up to the pairs a task can hold.
 REGION_PAIRS, GROWTH, TASK_PAIRS = 20_000, 4, 2_000_000
 #: Rounds without a join between cells after which regions are taken as they are.
-IDLE = 8
+IDLE = 4
 #: A missing pair as an exact decimal, above the sum of all costs of a component.
 ALONE = 10**37
 POTENTIAL = ["missing", "price", "tie"]
@@ -80,9 +80,13 @@ def match_by_regions(
     zero = [F.lit(0).cast("bigint").alias(c) for c in POTENTIAL]
     cell = lambda side, c: F.xxhash64(F.lit(side), F.col("n"), F.col(c))
     no_mate = F.lit(None).cast(e.schema["gt_id"].dataType).alias("mate")
-    preds = cut_lineage(e.groupBy("n", "pred_id").agg(F.count(F.lit(1)).alias("size")).select("n", "pred_id", "size", no_mate, *zero, F.lit(False).alias("done"), cell(0, "pred_id").alias("a")))
-    gts = cut_lineage(e.select("n", "gt_id").distinct().select("n", "gt_id", *zero, cell(1, "gt_id").alias("a")))
-    links = e.select("n", cell(0, "pred_id").alias("a"), cell(1, "gt_id").alias("b"))
+    # A component that fits a first region is one from the start; elsewhere every object is a cell of its own.
+    whole = e.groupBy("n").agg((F.count(F.lit(1)) <= region_pairs).alias("whole"))
+    home = lambda side, c: F.when(F.col("whole"), F.xxhash64("n")).otherwise(cell(side, c)).alias("a")
+    preds = e.groupBy("n", "pred_id").agg(F.count(F.lit(1)).alias("size")).join(whole, "n")
+    preds = cut_lineage(preds.select("n", "pred_id", "size", no_mate, *zero, F.lit(False).alias("done"), home(0, "pred_id")))
+    gts = cut_lineage(e.select("n", "gt_id").distinct().join(whole, "n").select("n", "gt_id", *zero, home(1, "gt_id")))
+    links = e.join(whole.where("not whole"), "n").select("n", cell(0, "pred_id").alias("a"), cell(1, "gt_id").alias("b"))
     links = cut_lineage(links.unionByName(links.select("n", F.col("b").alias("a"), F.col("a").alias("b"))))
     sizes = preds.select("n", "a", "size").unionByName(gts.select("n", "a", F.lit(0).cast("bigint").alias("size")))
     cells = sizes.groupBy("n", "a").agg(F.sum("size").alias("size"))

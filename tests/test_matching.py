@@ -150,11 +150,11 @@ def crowd(spark):
     return table, sorted((p, g) for p, g in enumerate(mate) if g >= 0)
 
 
-@pytest.mark.parametrize("region_pairs, task_pairs", [(100, 1 << 30), (60, 240)])
-def test_regions_of_any_size_give_the_same_pairs(spark, crowd, region_pairs, task_pairs):
+def test_growing_regions_give_the_same_pairs(spark, crowd):
     table, want = crowd
     e = X.exact_costs(table).drop("cost", "valid")
-    rows = match_by_regions(e, ["uid"], region_pairs=region_pairs, task_pairs=task_pairs).collect()
+    assert e.count() > 400
+    rows = match_by_regions(e, ["uid"], region_pairs=100).collect()
     assert sorted((r["pred_id"], r["gt_id"]) for r in rows) == want
 
 
@@ -166,7 +166,7 @@ def test_oversize_components_give_the_same_pairs(spark, crowd):
 
 
 def test_predictions_enter_by_joins(spark):
-    graphs = [(u, a, b, e) for u, a, b, e in random_graphs(8, 5) if e and a < 4][:3]
+    graphs = [(7, 3, 2, [(0, 0, 0.1), (1, 0, 0.2), (1, 1, 0.9), (2, 0, 0.15)])]
     e = X.exact_costs(edge_table(spark, graphs)).drop("cost", "valid")
     rows = match_by_regions(e, ["uid"], region_pairs=1, task_pairs=1).collect()
     assert sorted((r["uid"], r["pred_id"], r["gt_id"]) for r in rows) == sorted((u, p, g) for u, a, b, e in graphs for p, g in best_pairs(e, a, b))
