@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import LOWER, UPPER
+from gridtally.llm.common import LOWER, UPPER, unused
 from gridtally.session import cut_lineage
 
 WIDTH, PERCENT = 5, 80
@@ -79,6 +79,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, perc
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that contain an item, columns unchanged; each row is judged by its own text."""
     found = _matches(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), width, percent)
-    bad = cut_lineage(found.select(F.col("doc_id").alias("_bad_id"), F.col("_mark").alias("_bad_mark")).distinct())
+    bad_id, bad_mark = unused(docs, "_bad_id"), unused(docs, "_bad_mark")
+    bad = cut_lineage(found.select(F.col("doc_id").alias(bad_id), F.col("_mark").alias(bad_mark)).distinct())
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (mark == F.col("_bad_mark")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (mark == F.col(bad_mark)), "left_anti")

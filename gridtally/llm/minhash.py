@@ -14,10 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import grouped, mix, stored
+from gridtally.llm.common import grouped, mix, stored, unused
 from gridtally.llm.shingles import shingle_sets
 from gridtally.operators.components import graph_components, smallest_labels
 from gridtally.session import cut_lineage, ship_package
@@ -278,9 +277,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one of smallest id, all columns unchanged.
 
-    Of rows that share an id one stays; rows with a null id all stay.
+    Every row is judged by its own text: rows that share an id are documents of their own, and of equal ones the first stored
+    stays. Rows with a null id and documents without words all stay.
     """
-    keep = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    one = docs.join(keep, F.col("doc_id") == F.col("_kept_id"))
-    one = one.withColumn("_row", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))).where("_row = 1")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    row = unused(docs, "_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(rows.select(F.when(F.col("doc_id").isNotNull(), F.col(row)).alias("doc_id"), "text"), width, percent)
+    member = near.where("doc_id is not null").select(F.col("doc_id").alias(row), "component_id")
+    named = member.join(rows.select(row, F.col("doc_id").alias("doc_id")), row)
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(F.col("first")[row].alias(row))
+    stay = first.unionByName(rows.where("doc_id is null").select(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)
