@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import product
+from math import perm
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtally.functions import keys as K
 from gridtally.operators.ranks import first_n_per_group
-from gridtally.session import join_keys
+from gridtally.session import cut_lineage, join_keys
 
 SPLIT_ORDER = ["train", "val", "test"]
 
@@ -166,30 +167,46 @@ def match_by_tokens(ids: DataFrame, files: DataFrame, uid: str = "uid", path: st
     return ids.join(got.withColumnRenamed("u", uid), uid, "left")
 
 
+#: Letters of a piece in the index of names.
+GRAM = 3
+
+
 def match_unique_contained(ids: DataFrame, stems: DataFrame, uid: str = "uid", stem: str = "stem") -> DataFrame:
     """Exact stem if single, else the only stem that contains the uid; ambiguity is reported.
 
-    Stems are cut into the substrings whose lengths occur among the uids, which turns containment into an
-    equi-join; name lengths bound the number of cuts per stem.
+    An inverted index of the stems' GRAM-letter pieces is probed by each uid's rarest piece, and the hits are verified, so
+    only pieces of one length are written and common ones are not probed. A uid of up to GRAM letters is a piece itself: the stems that hold it
+    are only counted, with partial counts on the map side, so one that is in every stem stays cheap. An empty uid is contained in nothing.
     """
     s = stems.groupBy(F.col(stem).alias("k")).agg(F.count(F.lit(1)).alias("n_files"))
     u = ids.select(F.col(uid).alias("u")).distinct()
     exact = u.join(s, F.col("u") == F.col("k")).select(
         "u", F.when(F.col("n_files") == 1, F.col("k")).alias("matched"), F.when(F.col("n_files") == 1, "exact").otherwise("ambiguous-exact").alias("status")
     )
-    left = u.join(exact.select("u"), "u", "left_anti")
-    lens = left.select(F.length("u").alias("l")).distinct().agg(F.collect_set("l").alias("_l")).scalar()
-    cuts = F.flatten(
-        F.transform(
-            F.filter("_l", lambda x: (x <= F.length("k")) & (x > 0)),
-            lambda x: F.transform(F.sequence(F.lit(1), F.length("k") - x + 1), lambda i: F.substring(F.col("k"), i, x)),
-        )
-    )
-    parts = s.withColumn("_l", lens).select("k", "n_files", F.explode(F.array_distinct(cuts)).alias("u"))
-    inside = left.join(parts, "u").groupBy("u").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("k"), F.min("n_files").alias("n_files"))
+    left = cut_lineage(u.join(exact.select("u"), "u", "left_anti").where(F.length("u") > 0))
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n)))
+    counted = lambda g: g.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("k"), F.min("n_files").alias("n_files"))
+    found, lengths = [], {r[0] for r in left.select(F.least(F.length("u"), F.lit(GRAM + 1))).distinct().collect()}  # GRAM + 1 rows at most
+    for n in sorted(lengths & set(range(1, GRAM + 1))):
+        whole = left.where(F.length("u") == n).withColumnRenamed("u", "g")
+        index = s.where(F.length("k") >= n).select("k", "n_files", F.explode(pieces("k", n)).alias("g"))
+        found.append(counted(index.join(whole, "g", "left_semi")).withColumnRenamed("g", "u"))
+    if GRAM + 1 in lengths:
+        long = left.where(F.length("u") > GRAM).select("u", F.explode(pieces("u", GRAM)).alias("g"))
+        index = s.where(F.length("k") > GRAM).select("k", "n_files", F.explode(pieces("k", GRAM)).alias("g"))
+        held = index.join(long.select("g").distinct(), "g", "left_semi")
+        sizes = held.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+        # A piece that no stem has settles the uid: it is missing.
+        rarest = long.join(sizes, "g", "left").groupBy("u").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "g")).alias("m"))
+        probes = rarest.where("m.size > 0").select("u", F.col("m.g").alias("g"))
+        hits = held.join(probes, "g").where(F.contains("k", "u")).select("k", "n_files", F.col("u").alias("g"))
+        found.append(counted(hits).withColumnRenamed("g", "u"))
+    if not found:
+        found.append(counted(s.limit(0).select("k", "n_files", F.col("k").alias("g"))).withColumnRenamed("g", "u"))
+    inside = reduce(DataFrame.unionByName, found)
     only = (F.col("c") == 1) & (F.col("n_files") == 1)
-    found = inside.select("u", F.when(only, F.col("k")).alias("matched"), F.when(only, "contained").otherwise("ambiguous").alias("status"))
-    got = exact.unionByName(found).withColumnRenamed("u", uid)
+    told = inside.select("u", F.when(only, F.col("k")).alias("matched"), F.when(only, "contained").otherwise("ambiguous").alias("status"))
+    got = exact.unionByName(told).withColumnRenamed("u", uid)
     return ids.join(got, uid, "left").withColumn("status", F.coalesce("status", F.lit("missing")))
 
 
@@ -266,23 +283,34 @@ def cross_grid(units: DataFrame, **axes: list) -> DataFrame:
 def grid_permutations(ops: DataFrame, min_len: int, max_len: int, limit: int | None = None) -> DataFrame:
     """Ordered arrangements of distinct operations, in input order, as ``combo`` arrays.
 
-    ``ops`` has ``op`` and its position ``ord``. The operation list is a handful of names; each step adds
-    one name to every arrangement, as an explode of the broadcast list.
+    ``ops`` has ``op`` and its position ``ord``: a short list of names, whose arrangements are numbered. A range of numbers is dealt
+    to the tasks, and each number is turned into its arrangement by division, so tasks are even and a ``limit`` makes no
+    more rows than it asks for.
     """
-    names = ops.agg(F.sort_array(F.collect_list(F.struct("ord", "op"))).alias("_ops"))
-    step = names.select("_ops", F.array().cast("array<struct<ord:int,op:string>>").alias("c"))
+    names = ops.orderBy("ord").collect()  # the parameter list, one row per operation
+    n, lengths, total = len(names), [], 0
+    for k in range(min_len, max_len + 1):
+        count = perm(n, k) if k else 1
+        if limit is not None:
+            count = min(count, limit - total)
+        if count > 0:
+            lengths.append((k, count))
+        total += max(count, 0)
+    spark = ops.sparkSession
+    table = F.array(*[F.lit(r["op"]) for r in names]) if n else F.array().cast("array<string>")
     parts = []
-    for k in range(1, max_len + 1):
-        step = step.select(
-            "_ops", "c", F.explode("_ops").alias("n")
-        ).where(~F.array_contains(F.transform("c", lambda x: x["ord"]), F.col("n.ord")))
-        step = step.select("_ops", F.concat("c", F.array(F.struct(F.col("n.ord").alias("ord"), F.col("n.op").alias("op")))).alias("c"))
-        if k >= min_len:
-            parts.append(
-                step.select(
-                    F.lit(k).alias("k"), F.transform("c", lambda x: x["ord"]).alias("ords"), F.transform("c", lambda x: x["op"]).alias("combo")
-                )
-            )
-    got = reduce(lambda a, b: a.unionByName(b), parts).orderBy("k", "ords")
-    got = got if limit is None else got.limit(limit)
+    for k, count in lengths:
+        free, combo, rest = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>"), [], F.col("id")
+        picks = spark.range(count)
+        for i in range(k):  # digit i chooses among the n - i names that are left
+            block = perm(n - i - 1, k - i - 1)
+            at = F.floor(rest / F.lit(block)).cast("int")
+            picks = picks.withColumn(f"at{i}", at).withColumn("free", free).withColumn(f"pick{i}", F.element_at("free", F.col(f"at{i}") + 1))
+            picks = picks.withColumn("left", F.array_remove("free", F.col(f"pick{i}"))).withColumn("rest", F.pmod(rest, F.lit(block)))
+            free, rest = F.col("left"), F.col("rest")
+            combo.append(F.element_at(table, F.col(f"pick{i}") + 1))
+        parts.append(picks.select(F.lit(k).alias("k"), (F.array(*combo) if combo else F.array().cast("array<string>")).alias("combo")))
+    if not parts:
+        return spark.range(0).select(F.lit(0).alias("k"), F.array().cast("array<string>").alias("combo"), F.lit("").alias("combo_id"))
+    got = reduce(DataFrame.unionByName, parts)
     return got.select("k", "combo", K.combo_id(F.col("combo")).alias("combo_id"))
