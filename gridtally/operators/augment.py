@@ -6,6 +6,7 @@ until every search ends inside of one. Nothing is ever collected into a task bey
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from gridtally.operators.matching import TIE_BITS, join_potential, local_graph, settle, split_potential
-from gridtally.operators.spatial import centroid_distance
 from gridtally.session import cut_lineage, join_keys
 
 #: Pairs of a region in the first round; each further round has regions GROWTH times as large, up to the pairs a task can hold.
@@ -189,39 +189,102 @@ def _enter_by_joins(edges: DataFrame, preds: DataFrame) -> DataFrame:
     return preds.drop("mate").join(match.select(*pk, F.col("gt_id").alias("mate")), pk, "left")
 
 
-def merge_by_joins(objects: DataFrame, comp: list[str], dist: float) -> DataFrame:
-    """Greedy merge in id order per component, one absorption or one finished object per component and round."""
-    left = cut_lineage(objects)
-    cols = ["obj_id", "cy", "cx", "y1", "x1", "y2", "x2", "area"]
-    done = []
-    cur = None
-    while True:
-        if cur is None:
-            if left.isEmpty():
-                break
-            head = left.groupBy(*comp).agg(F.min(F.struct(*cols)).alias("h"))
-            cur = cut_lineage(head.select(*comp, *[F.col(f"h.{c}").alias(c) for c in cols], F.col("h.obj_id").alias("last"), F.lit(1).cast("bigint").alias("n_merged")))
-            left = cut_lineage(left.join(cur.select(*comp, "obj_id"), [*comp, "obj_id"], "left_anti"))
-        cand = left.select(*comp, F.struct(*cols).alias("o")).join(cur.select(*comp, F.col("cy").alias("_cy"), F.col("cx").alias("_cx"), "last"), comp)
-        near = (F.col("o.obj_id") > F.col("last")) & (centroid_distance(F.col("o.cy"), F.col("o.cx"), F.col("_cy"), F.col("_cx")) < dist)
-        take = cut_lineage(cand.where(near).groupBy(*comp).agg(F.min("o").alias("o")))
-        closed = cut_lineage(cur.join(take.select(*comp), comp, "left_anti").drop("last"))
-        done.append(closed)
-        if len(done) == 16:  # a plan of bounded size, however many rounds there are
-            done = [cut_lineage(reduce(DataFrame.unionByName, done))]
-        o = lambda c: F.col(f"o.{c}")
-        grown = cur.join(take, comp).select(
-            *comp, "obj_id", ((F.col("cy") + o("cy")) / 2.0).alias("cy"), ((F.col("cx") + o("cx")) / 2.0).alias("cx"),
-            F.least("y1", o("y1")).alias("y1"), F.least("x1", o("x1")).alias("x1"), F.greatest("y2", o("y2")).alias("y2"), F.greatest("x2", o("x2")).alias("x2"),
-            (F.col("area") + o("area")).alias("area"), o("obj_id").alias("last"), (F.col("n_merged") + 1).alias("n_merged"),
-        )
-        taken = take.select(*comp, F.col("o.obj_id").alias("obj_id"))
-        left = left.join(taken, [*comp, "obj_id"], "left_anti")
-        # Components whose object is finished start their next one.
-        fresh = left.join(closed.select(*comp), comp, "left_semi").groupBy(*comp).agg(F.min(F.struct(*cols)).alias("h"))
-        fresh = fresh.select(*comp, *[F.col(f"h.{c}").alias(c) for c in cols], F.col("h.obj_id").alias("last"), F.lit(1).cast("bigint").alias("n_merged"))
-        cur = cut_lineage(grown.unionByName(fresh))
-        left = cut_lineage(left.join(cur.select(*comp, "obj_id"), [*comp, "obj_id"], "left_anti"))
-        if cur.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, done)
+#: Side of a merging tile in multiples of the merge distance, and objects that the tiles of one task hold together.
+TILE_REACH, TILE_OBJECTS = 40, 50_000
+OBJECT = ["cy", "cx", "y1", "x1", "y2", "x2", "area"]
+MERGED = [f"m_{c}" for c in OBJECT]
+
+
+def merge_in_view(rows: list[tuple], dist: float) -> list[tuple | None]:
+    """What becomes of the objects of a tile and its rim, given in id order as (id, object, own, start, merged, n).
+
+    ``start`` is the first object of the cluster that took the object, or None if that is not known; ``merged`` is the cluster's state from then on. An
+    object joins the cluster of first start whose centroid lies within ``dist``, as of the objects before it, else it starts one. Own
+    objects are decided unless an undecided earlier object lies within 3 ``dist``: closer ones decide about clusters that
+    may take this one, and those at most 1.5 ``dist`` from these about whether such a cluster has moved on. Returns (start, merged, n)
+    for newly decided objects, None for others.
+    """
+    cell = lambda y, x: (int(y // (3 * dist)), int(x // (3 * dist)))
+    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    open_: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    clusters: dict[tuple[int, int], dict] = {}  # the latest object of each cluster, by place: start -> (y, x, merged, n)
+    latest: dict = {}
+    out: list[tuple | None] = []
+    for i, obj, own, start, merged, n in rows:
+        y, x = obj[0], obj[1]
+        r, c = cell(y, x)
+        found = None
+        if start is None:
+            if not own or any(math.dist((y, x), o) < 3 * dist for a, b in around for o in open_.get((r + a, c + b), ())):
+                open_.setdefault((r, c), []).append((y, x))
+                out.append(None)
+                continue
+            near = [(s, m, k) for a, b in around for s, (m, k) in clusters.get((r + a, c + b), {}).items() if math.dist((y, x), m[:2]) < dist]
+            if near:
+                start, m, k = min(near, key=lambda t: t[0])
+                merged = ((m[0] + y) / 2.0, (m[1] + x) / 2.0, min(m[2], obj[2]), min(m[3], obj[3]), max(m[4], obj[4]), max(m[5], obj[5]), m[6] + obj[6])
+                n = k + 1
+            else:
+                start, merged, n = i, obj, 1
+            found = (start, merged, n)
+        if start in latest:
+            del clusters[latest[start]][start]
+        clusters.setdefault((r, c), {})[start] = (merged, n)
+        latest[start] = (r, c)
+        out.append(found)
+    return out
+
+
+def _merge_tiles(comp: list[str], dist: float, columns: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.sort_values("obj_id").groupby([*comp, "_ty", "_tx"], sort=False, dropna=False):
+            rows = [
+                (i, obj, own, start if known else None, merged, n)
+                for i, obj, own, known, start, merged, n in zip(
+                    part["obj_id"].tolist(), part[OBJECT].itertuples(index=False, name=None), part["own"].tolist(), part["known"].tolist(), part["start"].tolist(), part[MERGED].itertuples(index=False, name=None), part["n_merged"].tolist()
+                )
+            ]
+            done = merge_in_view(rows, dist)
+            at = [j for j, d in enumerate(done) if d is not None]
+            if at:
+                some = part.iloc[at].copy()
+                some["start"], some["n_merged"], some["known"] = [done[j][0] for j in at], [done[j][2] for j in at], True
+                some[MERGED] = [done[j][1] for j in at]
+                out.append(some[columns])
+        return pd.concat(out) if out else pdf.iloc[:0][columns]
+
+    return run
+
+
+def merge_by_tiles(objects: DataFrame, comp: list[str], dist: float, tile: float | None = None) -> DataFrame:
+    """The greedy merge in id order for components of any size, many absorptions per round.
+
+    The ordered pass is the same as visiting all objects once in id order, where each joins the cluster of first start that is near. So an
+    object can be decided as soon as the earlier objects around it are. Tiles decide what they can with a rim of 3 ``dist`` in
+    view; the next round has the undecided objects and the decided ones in their view.
+    """
+    side = float(tile or TILE_REACH * dist)
+    kind = {f.name: f.dataType.simpleString() for f in objects.schema.fields}
+    columns = [*comp, "obj_id", *OBJECT, "known", "start", *MERGED, "n_merged"]
+    schema = ", ".join(f"`{k}` {kind[k]}" for k in [*comp, "obj_id"]) + "".join(f", {c} double" for c in OBJECT) + f", known boolean, start {kind['obj_id']}" + "".join(f", {c} double" for c in MERGED) + ", n_merged bigint"
+    numbers = [F.col(c).cast("double").alias(c) for c in OBJECT]
+    left = objects.select(*comp, "obj_id", *numbers, F.lit(False).alias("known"), F.col("obj_id").alias("start"), *[F.lit(0.0).alias(c) for c in MERGED], F.lit(0).cast("bigint").alias("n_merged"))
+    left = cut_lineage(left)
+    parts = [left.limit(0)]
+    at = lambda c, d: F.floor((F.col(c) + F.lit(d)) / F.lit(side))
+    reach = lambda c: F.explode(F.sequence(at(c, -3 * dist), at(c, 3 * dist)))
+    n = left.count()
+    while n:
+        active = left.select(*comp, at("cy", 0).alias("_ty"), at("cx", 0).alias("_tx")).distinct()
+        seen = reduce(DataFrame.unionByName, [left, *parts]).withColumn("_ty", reach("cy")).withColumn("_tx", reach("cx"))
+        seen = join_keys(seen, active.withColumn("_on", F.lit(True)), [*comp, "_ty", "_tx"]).drop("_on").withColumn("own", (F.col("_ty") == at("cy", 0)) & (F.col("_tx") == at("cx", 0)))
+        bins = max(1, -(-n // TILE_OBJECTS), min(n // 500, 64))
+        news = cut_lineage(seen.withColumn("_bin", F.pmod(F.xxhash64(*comp, "_ty", "_tx"), F.lit(bins))).groupBy("_bin").applyInPandas(_merge_tiles(comp, dist, columns), schema))
+        left = cut_lineage(join_keys(left, news.select(*comp, "obj_id", F.lit(True).alias("_now")), [*comp, "obj_id"], "left").where("_now is null").drop("_now"))
+        parts.append(news)
+        if len(parts) == 16:  # a plan of bounded size, however many rounds there are
+            parts = [cut_lineage(reduce(DataFrame.unionByName, parts))]
+        n = left.count()
+    last = reduce(DataFrame.unionByName, parts).groupBy(*comp, "start").agg(F.max_by(F.struct(*MERGED, "n_merged"), "obj_id").alias("m"))
+    return last.select(*comp, F.col("start").alias("obj_id"), *[F.col(f"m.m_{c}").cast(kind[c]).alias(c) for c in OBJECT], F.col("m.n_merged").alias("n_merged"))

@@ -113,7 +113,7 @@ def merge_close_objects(objects: DataFrame, dist: float, keys: list[str], max_ob
     An absorbed object lies within ``dist`` of the moving centroid, which lies within ``dist / 2`` of the
     object absorbed last, so all merges stay inside components of the graph with edges below ``1.5 * dist``.
     Objects without an edge pass through; components take the pass inside tasks, packed into bins. A component above
-    ``max_objects`` advances by joins instead, with the same result.
+    ``max_objects`` is settled tile by tile instead, with the same result.
     """
     o = cut_lineage(objects.select(*keys, "obj_id", "cy", "cx", "y1", "x1", "y2", "x2", F.col("area").cast("double").alias("area")))
     key = F.struct(*keys)
@@ -138,9 +138,9 @@ def merge_close_objects(objects: DataFrame, dist: float, keys: list[str], max_ob
     )
     out = single.unionByName(merged)
     if tally["m"] is not None and tally["m"] > max_objects:
-        from gridtally.operators.augment import merge_by_joins
+        from gridtally.operators.augment import merge_by_tiles
 
-        out = out.unionByName(merge_by_joins(group.where(F.col("_n") > max_objects).drop("_n"), [*keys, "_comp"], float(dist)).select(*single.columns))
+        out = out.unionByName(merge_by_tiles(group.where(F.col("_n") > max_objects).drop("_n"), [*keys, "_comp"], float(dist)).select(*single.columns))
     return out
 
 

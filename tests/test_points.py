@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridtally.operators import components as C
 from gridtally.operators import points as P
+from gridtally.operators.augment import merge_in_view
 from gridtally.plans import evaluate as EV
 
 
@@ -204,6 +205,37 @@ def test_merge_of_a_large_component_equals_the_ordered_pass():
     assert sum(r[8] for r in P.merge_in_order(many, 12.0)) == 20_000
 
 
+def merged_in_tiles(rows, dist, side):
+    """The rounds of the merge over tiles, without Spark: every round each tile decides what it can from what it sees."""
+    known, spot = {r[0]: None for r in rows}, {r[0]: r[1:] for r in rows}
+    span = lambda v: range(int((v - 3 * dist) // side), int((v + 3 * dist) // side) + 1)
+    tiles = {}
+    for i in sorted(spot):
+        for ty in span(spot[i][0]):
+            for tx in span(spot[i][1]):
+                tiles.setdefault((ty, tx), []).append(i)
+    while None in known.values():
+        news = {}
+        for (ty, tx), ids in tiles.items():
+            view = [(i, spot[i], (spot[i][0] // side, spot[i][1] // side) == (ty, tx), *(known[i] or (None, None, 0))) for i in ids]
+            news |= {i: d for i, d in zip(ids, merge_in_view(view, dist)) if d is not None}
+        assert news
+        known |= news
+    return sorted({known[i][0]: (known[i][0], *known[i][1], known[i][2]) for i in sorted(known)}.values())
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_merge_in_tiles_equals_the_ordered_pass(seed):
+    """Ids in any order in space, clusters that wander over tile borders."""
+    rnd = random.Random(seed)
+    pts = [(rnd.uniform(0, 90), rnd.uniform(0, 90)) for _ in range(200)] + [(200.0, 3.0 * i) for i in range(40)]
+    if seed % 2:
+        rnd.shuffle(pts)
+    rows = [(i, y, x, y, x, y + 1, x + 1, 1.0) for i, (y, x) in enumerate(pts)]
+    flat = lambda found: [tuple(round(v, 9) for v in r) for r in found]
+    assert flat(merged_in_tiles(rows, 6.0, rnd.choice([25.0, 40.0, 70.0]))) == flat(sorted(P.merge_in_order(rows, 6.0)))
+
+
 def test_merge_keeps_units_apart(spark):
     rows = [(a, b, i, 10.0 * i, 0.0, 0.0, 0.0, 0.0, 0.0, 1) for a, b in (("a|b", "c"), ("a", "b|c"), (None, "c"), ("a", None)) for i in (0, 0.1, 5)]
     df = spark.createDataFrame([(a, b, n % 3, *r) for n, (a, b, _, *r) in enumerate(rows)], "u string, v string, obj_id bigint, cy double, cx double, y1 double, x1 double, y2 double, x2 double, area long")
