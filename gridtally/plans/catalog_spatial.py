@@ -300,7 +300,7 @@ def _(spark, sf):
     return P.pixel_confusion(pixel_view(spark, sf), im)
 
 
-@query("e21_region_mask", PX + " select uid, layer, y, x from pixel_view a where layer = 'gt' and exists (select 1 from pixel_view b where b.layer = 'pred' and a.uid = b.uid and a.y = b.y and a.x = b.x)")
+@query("e21_region_mask", PX + ", a as materialized (select * from pixel_view where layer = 'gt'), b as materialized (select uid, y, x from pixel_view where layer = 'pred') select uid, layer, y, x from a semi join b using (uid, y, x)")
 def _(spark, sf):
     px = pixel_view(spark, sf)
     return P.region_mask(px.where("layer = 'gt'"), px.where("layer = 'pred'")).select("uid", "layer", "y", "x")

@@ -91,8 +91,9 @@ def p_values(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("g"), p.alias("p"))
 
 
-@query("h4_benjamini_hochberg", PV + """, r as (select *, rank() over (partition by g order by p) + count(*) over (partition by g, p) - 1 as rk, count(*) over (partition by g) as m from pv), q as (select *, min(m / cast(rk as double) * p) over (partition by g order by p desc range unbounded preceding) as q from r where p is not null)
- select l_orderkey, l_linenumber, l_partkey, l_suppkey, g, p, least(1.0, q) as q_value, least(1.0, q) <= 0.05 as rejected from q union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, g, p, null, false from r where p is null""")
+@query("h4_benjamini_hochberg", PV + """, n as (select g, count(*) as m from pv group by g), h as (select g, p, count(*) as c from pv where p is not null group by g, p),
+ r as (select g, p, sum(c) over (partition by g order by p rows unbounded preceding) as rk from h), q as (select r.g, p, min(m / cast(rk as double) * p) over (partition by r.g order by p desc rows unbounded preceding) as q from r join n using (g))
+ select l_orderkey, l_linenumber, l_partkey, l_suppkey, pv.g, pv.p, case when q is not null then least(1.0, q) end as q_value, coalesce(q <= 0.05, false) as rejected from pv left join q on q.g = pv.g and q.p = pv.p""")
 def _(spark, sf):
     return H.benjamini_hochberg(p_values(spark, sf), ["g"], "p")
 
