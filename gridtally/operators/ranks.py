@@ -4,9 +4,9 @@ Everything here starts from a histogram: rows are pre-aggregated to one row per
 value held by many rows costs one row. The histogram is checkpointed, which means the source is read once
 however many results are taken from it. Groups up to ``BUCKET_ROWS`` distinct values are ranked by a plain
 window. When a group is larger, it is cut into ordered buckets at values picked by hash from the group
-itself: the cut depends on the data alone, so a lost task that is run again cuts at the same places. Windows
-then run per bucket; only the bucket totals (at most a few hundred rows per group) pass through a window
-over the whole group.
+itself: the cut depends on the data alone, so a lost task that is run again cuts at the same places. There are as many
+cuts as the group needs, and a row finds its bucket among them by binary search. Windows then run per bucket; only the
+bucket totals (one row per bucket) pass through a window over the whole group.
 """
 
 from __future__ import annotations
@@ -18,18 +18,19 @@ from pyspark.sql import functions as F
 from gridtally.session import cut_lineage, join_keys
 
 BUCKET_ROWS = 200_000
-MAX_BUCKETS = 512
+#: Steps of the binary search, largest first: enough for a group of 2 ** 24 cuts.
+STEPS = [1 << i for i in reversed(range(24))]
 
 
 def order_buckets(df: DataFrame, keys: list[str], value: str, bucket_rows: int | None = None) -> DataFrame:
     """Add ``_b``, an ordered bucket number: rows of bucket i have smaller values than rows of bucket i+1.
 
-    ``value`` may be any orderable column, also a struct. Rows with equal values share a bucket.
+    ``value`` may be any orderable column, also a struct. Rows with equal values share a bucket. Buckets of a large group hold half of
+    ``bucket_rows`` values on average, however large the group is.
     """
     bucket_rows = bucket_rows or BUCKET_ROWS
-    buckets = F.least(F.ceil(F.col("_n") / bucket_rows), F.lit(MAX_BUCKETS))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket_rows)
-    sizes = sizes.select(*keys, F.ceil(F.col("_n") / buckets).alias("_step"))
+    sizes = sizes.select(*keys, F.lit(max(1, bucket_rows // 2)).alias("_step"))
     narrow = df.select(*keys, value)
     stepped = join_keys(narrow, sizes, keys) if keys else narrow.withColumn("_step", sizes.scalar())
     cuts = (
@@ -38,7 +39,8 @@ def order_buckets(df: DataFrame, keys: list[str], value: str, bucket_rows: int |
         .agg(F.sort_array(F.collect_set(value)).alias("_cuts"))
     )
     out = join_keys(df, cuts, keys, "left") if keys else df.withColumn("_cuts", cuts.scalar())
-    below = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
+    fits = lambda at: F.coalesce(F.try_element_at("_cuts", at) <= F.col(value), F.lit(False))
+    below = F.aggregate(F.array(*[F.lit(i) for i in STEPS]), F.lit(0), lambda at, step: F.when(fits(at + step), at + step).otherwise(at))
     return out.withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
 
 
