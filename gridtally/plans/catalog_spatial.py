@@ -307,14 +307,14 @@ def _(spark, sf):
 
 
 # Regions derived from the objects: cells of the frame near a truth or predicted object, as blocks.
-ROI = PX + """, ra as (select distinct uid, 'a' as layer, y, x from (select uid, (cy // 32) * 32 as b_y, (cx // 32) * 32 as b_x from obj_view where side = 'gt' and obj_id % 3 = 0) cross join lateral (select unnest(range(b_y, b_y + 32)) as y) cross join lateral (select unnest(range(b_x, b_x + 32)) as x)),
- rb as (select distinct uid, 'b' as layer, y, x from (select uid, (cy // 32) * 32 as b_y, (cx // 32) * 32 as b_x from obj_view where side = 'pred' and obj_id % 3 = 0) cross join lateral (select unnest(range(b_y, b_y + 32)) as y) cross join lateral (select unnest(range(b_x, b_x + 32)) as x)),
+ROI = PX + """, ra as (select distinct uid, 'a' as layer, y, x from (select uid, (cy // 32) * 32 as b_y, (cx // 32) * 32 as b_x from obj_view where side = 'gt') cross join lateral (select unnest(range(b_y, b_y + 32)) as y) cross join lateral (select unnest(range(b_x, b_x + 32)) as x)),
+ rb as (select distinct uid, 'b' as layer, y, x from (select uid, (cy // 32) * 32 as b_y, (cx // 32) * 32 as b_x from obj_view where side = 'pred') cross join lateral (select unnest(range(b_y, b_y + 32)) as y) cross join lateral (select unnest(range(b_x, b_x + 32)) as x)),
  al as (select uid, layer, y, x from ra union all select uid, layer, y, x from rb union all select uid, layer, y, x from pixel_view where layer = 'gt')"""
 
 
 def roi_pixels(spark, sf, side, layer):
-    """Square blocks of the frame that hold chosen objects, as pixels of a region layer."""
-    o = obj_view(spark, sf).where((F.col("side") == side) & (F.col("obj_id") % 3 == 0))
+    """Square blocks of the frame that hold objects of a side, as pixels of a region layer."""
+    o = obj_view(spark, sf).where(F.col("side") == side)
     b = o.select("uid", F.floor(F.col("cy") / 32).alias("by"), F.floor(F.col("cx") / 32).alias("bx")).distinct()
     span = lambda c: F.explode(F.sequence(F.col(c) * 32, F.col(c) * 32 + 31))
     return b.withColumn("y", span("by")).withColumn("x", span("bx")).select("uid", F.lit(layer).alias("layer"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
