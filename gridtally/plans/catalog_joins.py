@@ -56,16 +56,14 @@ def _(spark, sf):
     return D.attach_authoritative_counts(m, doc_counts(spark, sf).drop("point_count"), lists, ["gt_count"])
 
 
-@query("d4_lookup_join", "select o_orderkey, c_mktsegment, c_nationkey from orders left join customer on o_custkey = c_custkey and c_acctbal > 0")
+@query("d4_lookup_join", "select d.doc_id, source, quality, toxic from documents d left join labels using (doc_id)")
 def _(spark, sf):
-    dim = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey")
-    return D.lookup_join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), dim, "o_custkey").drop("o_custkey")
+    return D.lookup_join(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id")
 
 
-@query("d4_unmapped", "select o_custkey, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0) group by 1")
+@query("d4_unmapped", "select doc_id, count(*) as n from documents where doc_id not in (select doc_id from labels) group by 1")
 def _(spark, sf):
-    dim = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return D.unmapped(table(spark, sf, "orders"), dim, "o_custkey")
+    return D.unmapped(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"), "doc_id")
 
 
 UIDS = N + """, ids as (select p_partkey, case p_partkey % 4 when 0 then upper(left(name, length(name) - 4)) when 1 then regexp_replace(name, '_B.*$', '') when 2 then 'none_' || p_partkey else name end as uid from name_view), files as (select 'dir/' || name as path, name from name_view)"""

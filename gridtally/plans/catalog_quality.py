@@ -126,9 +126,9 @@ def _(spark, sf):
     return Q.validate_listing(listing_lines(spark, sf), ["Files", "source", "size"], ["source"], "Files", ["m.", "www."], 100)
 
 
-@query("k9_foreign_key_check", "select o_custkey as value, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_nationkey < 20) group by 1")
+@query("k9_foreign_key_check", "select doc_id as value, count(*) as n from documents where doc_id not in (select doc_id from labels) group by 1")
 def _(spark, sf):
-    return Q.foreign_key_check(table(spark, sf, "orders"), table(spark, sf, "customer").where("c_nationkey < 20"), "o_custkey", "c_custkey")
+    return Q.foreign_key_check(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "doc_id")
 
 
 @query("k10_collision_check", "select l_partkey, count(distinct l_returnflag) as n_lists, min(l_returnflag) as first_list, max(l_returnflag) as last_list from lineitem group by 1 having count(distinct l_returnflag) > 1")
@@ -136,9 +136,9 @@ def _(spark, sf):
     return Q.collision_check(table(spark, sf, "lineitem"), "l_partkey", "l_returnflag")
 
 
-@query("k11_coverage_exactly_once", "with n as (select o_custkey as c_custkey, count(*) as n from orders where o_orderpriority = '1-URGENT' group by 1) select c.c_custkey, coalesce(n, 0) as n, case when n is null then 'uncovered' else 'covered_twice' end as problem from customer c left join n using (c_custkey) where coalesce(n, 0) <> 1")
+@query("k11_coverage_exactly_once", "with n as (select o_custkey as c_custkey, count(*) as n from orders group by 1) select c.c_custkey, coalesce(n, 0) as n, case when n is null then 'uncovered' else 'covered_twice' end as problem from customer c left join n using (c_custkey) where coalesce(n, 0) <> 1")
 def _(spark, sf):
-    return Q.coverage_exactly_once(table(spark, sf, "customer"), table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'"), "c_custkey", "o_custkey")
+    return Q.coverage_exactly_once(table(spark, sf, "customer"), table(spark, sf, "orders"), "c_custkey", "o_custkey")
 
 
 @query("k12_total_check", "select source, count(*) as n, case when source is null then count(*) = 1000 end as matches from documents group by rollup (source)")
@@ -146,9 +146,9 @@ def _(spark, sf):
     return Q.total_check(table(spark, sf, "documents").select("source"), "source", 1000)
 
 
-@query("k12_inventory_check", "select distinct o_custkey as k from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 1000)")
+@query("k12_inventory_check", "select distinct doc_id as k from documents where doc_id not in (select doc_id from labels)")
 def _(spark, sf):
-    return Q.inventory_check(table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf, "customer").where("c_acctbal > 1000").select(F.col("c_custkey").alias("k")), "k")
+    return Q.inventory_check(table(spark, sf, "documents").select(F.col("doc_id").alias("k")), table(spark, sf, "labels").select(F.col("doc_id").alias("k")), "k")
 
 
 @query("k13_build_listings", """select 'd/' || doc_id as path, doc_id as uid, source as top_dir, case source when 'web' then 'images' when 'books' then 'points' else 'unrouted' end as listing, n_chars as gt_count,

@@ -420,6 +420,24 @@ def _(spark, sf):
     return P.label_counts(P.classify_by_region_mean(boxes(spark, sf, "gt"), c, ["uid"]), ["uid"])
 
 
-@query("e33_keep_center_component")
+def runs_sql(source: str, name: str) -> str:
+    """CTE of the horizontal runs (uid, y, x0, x1) of a pixel table."""
+    return f"{name} as (select uid, y, min(x) as x0, max(x) as x1 from (select uid, y, x, x - row_number() over (partition by uid, y order by x) as k from {source}) group by uid, y, k)"
+
+
+def spread_sql(runs: str, seeds: str, name: str) -> str:
+    """CTE of the runs reached from ``seeds`` over shared edges."""
+    return f"""{name} as (select uid, y, x0, x1 from {seeds} union select b.uid, b.y, b.x0, b.x1 from {name} a cross join (values (-1), (1)) s(d) join {runs} b on b.uid = a.uid and b.y = a.y + s.d and b.x0 <= a.x1 and b.x1 >= a.x0)"""
+
+
+CENTER = ROI.replace("with ", "with recursive ", 1) + f""", {runs_sql('ra', 'fr')}, ed as (select uid, y, x0, x1 from fr union all select uid, y, 256, 256 from (select distinct uid from ra) cross join range(256) r(y)),
+ bg as (select * from (select uid, y, coalesce(lag(x1) over (partition by uid, y order by x0), -1) + 1 as x0, x0 - 1 as x1 from ed) where x1 >= x0), sd as (select * from bg where y in (0, 255) or x0 = 0 or x1 = 255), {spread_sql('bg', 'sd', 'op')},
+ ho as (select * from bg anti join op using (uid, y, x0, x1)), fi as (select uid, y, x from ra union select uid, y, unnest(range(x0, x1 + 1)) from ho), {runs_sql('fi', 'rr')},
+ mi as (select * from rr where y = 128 and 128 between x0 and x1), {spread_sql('rr', 'mi', 'ce')}, ke as (select * from ce union all select rr.* from rr anti join mi using (uid))
+ select uid, y, x0, x1 from ke"""
+
+
+@query("e33_keep_center_component", CENTER)
 def _(spark, sf):
-    return P.keep_center_component(roi_pixels(spark, sf, "gt", "a"), images(spark, sf))
+    """The kept pixels as runs."""
+    return C.runs_from_pixels(P.keep_center_component(roi_pixels(spark, sf, "gt", "a"), images(spark, sf)), ["uid"])
