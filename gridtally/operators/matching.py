@@ -445,8 +445,8 @@ def sweep_counts(
     if tally["m"] > max_solver_edges:
         large = parts.where(F.col("_n") > max_solver_edges).select("*", F.posexplode(table).alias("_point", "_g"))
         large = pair_cost(valid_pairs(large, F.col("_g.d_max"), F.col("_g.min_iou"), F.col("_g.policy")), ALPHA, F.col("_g.d_max")).where("valid")
-        large = cut_lineage(large.select(*keys, "_comp", "_point", "pred_id", "gt_id", "valid", "cost"))
-        at = [*keys, "_comp", "_point"]
+        large = cut_lineage(large.select(*keys, F.col("_comp").alias("_part"), "_point", "pred_id", "gt_id", "valid", "cost"))
+        at = [*keys, "_part", "_point"]
         tp = assign_one_to_one(large, at, max_solver_edges).groupBy(*at).agg(F.count(F.lit(1)).alias("tp"))
         more = join_keys(candidate_stats(large, at), tp, at, "left").select(*keys, "_point", F.coalesce("tp", F.lit(0)).alias("tp"), *counts[1:])
         found = found.unionByName(more)

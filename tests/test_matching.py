@@ -214,3 +214,38 @@ def test_units_with_like_joined_names_stay_apart(spark):
     df = spark.createDataFrame(rows, "uid string, model string, pred_id bigint, gt_id bigint, cost double, valid boolean")
     got = X.assign_one_to_one(df, ["uid", "model"]).collect()
     assert sorted((str(r["uid"]), str(r["model"]), r["pred_id"], r["gt_id"]) for r in got) == sorted((str(u), str(m), i, i) for u, m in units for i in (1, 2))
+
+
+def most_pairs(edges):
+    """Size of the largest matching, by trying augmenting paths one after the other."""
+    owner = {}
+
+    def grow(p, seen):
+        for q, g in edges:
+            if q == p and g not in seen:
+                seen.add(g)
+                if g not in owner or grow(owner[g], seen):
+                    owner[g] = p
+                    return True
+        return False
+
+    return sum(grow(p, set()) for p in sorted({p for p, _ in edges}))
+
+
+@pytest.mark.parametrize("limit", [200_000, 12])
+def test_sweep_counts_equal_plain_matching(spark, limit):
+    rnd = random.Random(12)
+    pairs = [(u, p, g, rnd.choice([None, rnd.uniform(0, 12)]), rnd.random(), rnd.random() < 0.7) for u in ("a", "b") for p in range(9) for g in range(8) if rnd.random() < (0.35 if u == "a" else 0.1)]
+    df = spark.createDataFrame([(u, "m", *r) for u, *r in pairs], "uid string, model string, pred_id bigint, gt_id bigint, dist double, overlap double, hit boolean").repartition(3)
+    got = {(r["uid"], r["d_max"], r["min_iou"], r["policy"]): (r["tp"], r["cand_pairs"], r["cand_preds"], r["cand_gts"]) for r in X.sweep_counts(df, [4.0, 9.0], [0.2, 0.6], ["OR", "AND"], max_solver_edges=limit).collect()}
+    want = {}
+    for u in ("a", "b"):
+        for d in (4.0, 9.0):
+            for o in (0.2, 0.6):
+                for policy in ("OR", "AND"):
+                    near = lambda r: r[3] is not None and r[3] <= d
+                    over = lambda r: r[5] and r[4] >= o
+                    valid = [r for r in pairs if r[0] == u and ((near(r) or over(r)) if policy == "OR" else (near(r) and over(r)))]
+                    if valid:
+                        want[u, d, o, policy] = (most_pairs([(r[1], r[2]) for r in valid if r[3] is not None]), len(valid), len({r[1] for r in valid}), len({r[2] for r in valid}))
+    assert got == want and len(want) > 10
