@@ -282,8 +282,16 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     """
     row = unused(docs, "_row")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    near = near_duplicates(rows.select(F.when(F.col("doc_id").isNotNull(), F.col(row)).alias("doc_id"), "text"), width, percent)
-    member = near.where("doc_id is not null").select(F.col("doc_id").alias(row), "component_id")
+    known = rows.select(F.col(row).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"))
+    named_rows = rows.select(F.col(row).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = cut_lineage(known.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if not shared.isEmpty():  # rows that share an id go by a number of their own, below all ids
+        least = known.agg(F.min("doc_id")).first()[0]
+        own = known.join(shared, "doc_id", "left_semi").select("_at", (F.lit(least - 1) - F.col("_at")).alias("_node"))
+        named_rows = named_rows.join(own, "_at", "left").select("_at", F.coalesce("_node", "doc_id").alias("doc_id"), "text")
+    near = near_duplicates(named_rows, width, percent)
+    by_node = named_rows.where("doc_id is not null").select(F.col("doc_id").alias("_node"), F.col("_at").alias(row))
+    member = near.where("doc_id is not null").select(F.col("doc_id").alias("_node"), "component_id").join(by_node, "_node")
     named = member.join(rows.select(row, F.col("doc_id").alias("doc_id")), row)
     first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(F.col("first")[row].alias(row))
     stay = first.unionByName(rows.where("doc_id is null").select(row))
