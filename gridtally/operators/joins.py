@@ -7,6 +7,7 @@ from itertools import product
 from math import perm
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridtally.functions import keys as K
@@ -93,17 +94,24 @@ def match_by_stem(ids: DataFrame, files: DataFrame, suffixes: list[str], uid: st
     return ids.join(hit.select(uid, "m.tier", "m.matched"), uid, "left")
 
 
-def _prefix_hits(uids: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs (uid, key) where the key starts with the uid, as an equi-join on cut keys.
+def _first_with_prefix(uids: DataFrame, index: DataFrame) -> DataFrame:
+    """The first key that starts with each uid (u, k, matched): a prefix is an interval whose first key is its successor.
 
-    Keys are cut only at lengths that occur among the uids; name lengths are bounded, so the array of
-    lengths is small whatever the number of uids.
+    Distinct uids and keys are put in one order by range, and every uid takes the nearest key not below it, from its own
+    range or the first key of a later one. No name is cut, and a uid that begins many keys costs one row.
     """
-    lens = uids.select(F.length("u").alias("l")).distinct().agg(F.collect_set("l").alias("_l")).scalar()
-    cut = keys.withColumn("_l", lens).select(
-        "k", F.explode(F.transform(F.filter("_l", lambda x: x <= F.length("k")), lambda x: F.substring(F.col("k"), F.lit(1), x))).alias("u")
-    )
-    return uids.join(cut, "u")
+    none = F.lit(None).cast("struct<k:string,matched:string>")
+    keys = index.where("k is not null").select(F.col("k").alias("o"), F.struct("k", "matched").alias("key"))
+    both = keys.unionByName(uids.where("u is not null").select(F.col("u").alias("o"), none.alias("key")))
+    dealt = cut_lineage(both.repartitionByRange(F.col("o")).withColumn("part", F.spark_partition_id()))
+    # downwards, so that the frame only looks back
+    down = W.partitionBy("part").orderBy(F.desc("o"), F.col("key").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    near = dealt.withColumn("next", F.last("key", True).over(down)).where("key is null")
+    firsts = dealt.groupBy("part").agg(F.min("key").alias("low"))
+    later = W.partitionBy(F.lit(0)).orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+    firsts = firsts.select("part", F.last("low", True).over(later).alias("later"))
+    hit = near.join(firsts, "part").select(F.col("o").alias("u"), F.coalesce("next", "later").alias("key"))
+    return hit.where(F.col("key.k").startswith(F.col("u"))).select("u", "key.k", "key.matched")
 
 
 def match_by_canonical_key(ids: DataFrame, files: DataFrame, uid: str = "uid", path: str = "path") -> DataFrame:
@@ -121,7 +129,7 @@ def match_by_canonical_key(ids: DataFrame, files: DataFrame, uid: str = "uid", p
     )
     direct = u.select(uid, F.explode(tries).alias("t")).select(uid, "t.*").join(index, "k").select(uid, "tier", "k", "matched")
     left = u.join(direct.select(uid).distinct(), uid, "left_anti").select(uid, F.lower(uid).alias("u"))
-    starts = _prefix_hits(left.select("u").distinct(), index.select("k")).join(index, "k").join(left, "u").select(uid, F.lit(3).alias("tier"), "k", "matched")
+    starts = _first_with_prefix(left.select("u").distinct(), index).join(left, "u").select(uid, F.lit(3).alias("tier"), "k", "matched")
     literal = (
         files.select(K.drop_extension(K.basename(F.col(path))).alias("_stem"), F.col(path).alias("matched"))
         .join(left.select(uid, F.concat(F.col(uid), F.lit("_LE")).alias("_stem")), "_stem")
@@ -136,29 +144,40 @@ def match_by_tokens(ids: DataFrame, files: DataFrame, uid: str = "uid", path: st
 
     Exact normalised names win. Otherwise the side tag and last number of the uid must agree and the token
     sets reach the Jaccard minimum. Sets too small to differ and still reach it are joined on equality;
-    larger ones on the tokens of their prefix, so that no pair outside the threshold is generated for them
-    beyond shared prefix tokens.
+    larger ones on their rarest tokens over both tables, as few as any partner must share one of, and only where the sizes
+    and the places of the shared token leave room for the minimum. Features are computed once per table.
     """
     t = float(jaccard_min)
 
     def features(df: DataFrame, src: str, name: str) -> DataFrame:
         x = df.select(F.col(src).alias(name)).distinct().withColumn("n", K.normalise_uid(F.col(name)))
-        toks = F.array_sort(F.array_distinct(K.tokens(F.col("n"))))
-        x = x.withColumn("toks", toks).withColumn("side", K.side_tag(F.col("n"))).withColumn("num", K.last_number(F.col("n")))
-        size = F.size("toks")
-        rigid = (F.floor(size / F.lit(t) + 1e-9) == size) & (F.ceil(size * F.lit(t) - 1e-9) == size)
-        prefix = F.slice("toks", F.lit(1), F.greatest((size - F.ceil(size * F.lit(t) - 1e-9) + 1).cast("int"), F.lit(1)))
-        return x.withColumn("sig", F.when(rigid, F.array(F.array_join("toks", " "))).otherwise(prefix))
-
-    a = features(ids, uid, "u")
-    b = features(files, path, "p").select("p", *[F.col(c).alias(f"f_{c}") for c in ("n", "toks", "side", "num", "sig")])
-    exact = a.join(b, F.col("n") == F.col("f_n")).groupBy("u").agg(F.min("p").alias("matched")).withColumn("score", F.lit(2.0))
+        x = x.withColumn("toks", F.array_sort(F.array_distinct(K.tokens(F.col("n"))))).withColumn("size", F.size("toks"))
+        return cut_lineage(x.withColumn("side", K.side_tag(F.col("n"))).withColumn("num", K.last_number(F.col("n"))))
+
+    size = F.col("size")
+    rigid = (F.floor(size / F.lit(t) + 1e-9) == size) & (F.ceil(size * F.lit(t) - 1e-9) == size)
+
+    def probes(x: DataFrame, name: str) -> DataFrame:
+        """(name, probe, place): the whole set of a rigid name, else its rarest tokens by place."""
+        whole = x.where(rigid).select(name, F.array_join("toks", " ").alias("probe"), F.lit(1).alias("place"))
+        each = x.where(~rigid).select(name, "size", F.explode("toks").alias("probe")).join(counts, "probe")
+        ranked = each.groupBy(name, "size").agg(F.array_sort(F.collect_list(F.struct("c", "probe"))).alias("o"))
+        prefix = F.slice("o", F.lit(1), F.greatest((size - F.ceil(size * F.lit(t) - 1e-9) + 1).cast("int"), F.lit(1)))
+        return whole.unionByName(ranked.select(name, F.posexplode(prefix)).select(name, F.col("col.probe").alias("probe"), (F.col("pos") + 1).alias("place")))
+
+    a, b = features(ids, uid, "u"), features(files, path, "p")
+    renamed = b.select("p", *[F.col(c).alias(f"f_{c}") for c in ("n", "toks", "side", "num", "size")])
+    exact = a.join(renamed, F.col("n") == F.col("f_n")).groupBy("u").agg(F.min("p").alias("matched")).withColumn("score", F.lit(2.0))
     rest = a.join(exact.select("u"), "u", "left_anti")
-    numbered = rest.where(F.col("num").isNotNull()).withColumn("s", F.explode("sig")).join(
-        b.withColumn("fs", F.explode("f_sig")), (F.col("s") == F.col("fs")) & (F.col("num") == F.col("f_num"))
-    )
-    bare = rest.where(F.col("num").isNull()).withColumn("s", F.explode("sig")).join(b.withColumn("fs", F.explode("f_sig")), F.col("s") == F.col("fs"))
-    cand = numbered.unionByName(bare).where(F.col("side").isNull() | (F.col("side") == F.col("f_side")))
+    held = [x.where(~rigid).select(F.explode("toks").alias("probe")) for x in (a, b)]
+    counts = cut_lineage(held[0].unionByName(held[1]).groupBy("probe").agg(F.count(F.lit(1)).alias("c")))
+    mine = rest.join(probes(rest, "u"), "u")
+    theirs = renamed.join(probes(b, "p").withColumnRenamed("place", "f_place"), "p")
+    least = lambda x, y: F.ceil((x + y) * F.lit(t / (1 + t)) - 1e-9)
+    room = F.least(F.col("size") - F.col("place"), F.col("f_size") - F.col("f_place")) + 1 >= least(F.col("size"), F.col("f_size"))
+    numbered = mine.where("num is not null").join(theirs.withColumnRenamed("f_num", "num"), ["probe", "num"])
+    bare = mine.where("num is null").drop("num").join(theirs.drop("f_num"), "probe")
+    cand = numbered.drop("num").unionByName(bare).where((rigid | room) & (F.col("side").isNull() | (F.col("side") == F.col("f_side"))))
     jac = F.size(F.array_intersect("toks", "f_toks")) / F.size(F.array_union("toks", "f_toks"))
     cand = cand.withColumn("jac", jac).where(F.col("jac") >= t)
     score = F.col("jac") - 0.01 * F.abs(F.length("f_n") - F.length("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridtally.functions import metrics as M
 from gridtally.operators.ranks import row_numbers
-from gridtally.session import join_keys, ratio
+from gridtally.session import cut_lineage, join_keys, ratio
 
 
 def leave_one_group_out(df: DataFrame, held: str, group: str = "grp", split: str = "split") -> DataFrame:
@@ -52,14 +52,37 @@ def seeded_hash(uid: str, seed: Column | int) -> Column:
     return F.md5(F.concat_ws(":", s, F.col(uid).cast("string")))
 
 
+#: Hexadecimal digits of a digest by which rows are counted to find how far a sample reaches.
+REACH_DIGITS = 4
+
+
+def lowest_digests(df: DataFrame, groups: list[str], quota: DataFrame | int, uid: str) -> DataFrame:
+    """The rows with the smallest (_h, uid) of each group, as many as its ``_quota``; ``quota`` is a number or one row per group.
+
+    Counts by the first digits of the digest tell where each group reaches its quota, so only rows up to there are numbered,
+    about a quota and one part in 65,536 of the group, and never the whole pool.
+    """
+    head = F.substring("_h", 1, REACH_DIGITS)
+    counts = df.groupBy(*groups, head.alias("_head")).agg(F.count(F.lit(1)).alias("_c"))
+    up = (W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))).orderBy("_head").rowsBetween(W.unboundedPreceding, 0)
+    # the heads before which the quota is not yet reached
+    counts = counts.withColumn("_before", F.sum("_c").over(up) - F.col("_c"))
+    if isinstance(quota, int):
+        reach = counts.where(F.col("_before") < quota).agg(F.max("_head")).scalar()
+        near = df.where(head <= reach).withColumn("_quota", F.lit(quota))
+    else:
+        reach = join_keys(counts, quota, groups).where("_before < _quota").groupBy(*groups).agg(F.max("_head").alias("_reach"), F.max("_quota").alias("_quota"))
+        near = join_keys(df, reach, groups).where(head <= F.col("_reach")).drop("_reach")
+    return row_numbers(cut_lineage(near), groups, ["_h", uid], "_rn").where("_rn <= _quota").drop("_h", "_rn", "_quota")
+
+
 def stratified_sample(df: DataFrame, n: int, seed: int, group: str = "grp", uid: str = "uid") -> DataFrame:
     """L2: exactly ``n`` rows, proportional to group size, the same rows for the same seed.
 
-    Rows are numbered by a seeded digest inside ordered buckets, so a large group is not sorted in one task.
+    The rows of a group with the smallest seeded digests are drawn.
     """
-    q = quotas(df.groupBy(group).agg(F.count(F.lit(1)).alias("cnt")), group, n).select(group, "quota")
-    x = row_numbers(df.withColumn("_h", seeded_hash(uid, seed)), [group], ["_h", uid], "_rn")
-    return join_keys(x, q, [group]).where(F.col("_rn") <= F.col("quota")).drop("_h", "_rn", "quota")
+    q = quotas(df.groupBy(group).agg(F.count(F.lit(1)).alias("cnt")), group, n).select(group, F.col("quota").alias("_quota"))
+    return lowest_digests(df.withColumn("_h", seeded_hash(uid, seed)), [group], q, uid)
 
 
 def size_matched_control(df: DataFrame, held: str, seed: int, group: str = "grp", uid: str = "uid") -> DataFrame:
@@ -73,8 +96,7 @@ def size_matched_control(df: DataFrame, held: str, seed: int, group: str = "grp"
     pos = F.row_number().over(W.partitionBy("split").orderBy(F.desc("_r"), group))
     q = x.select("split", group, (F.col("_q") + F.when(pos <= seats, 1).otherwise(0)).alias("_quota"))
     seeded = F.when(F.col("split") == "train", seed).otherwise(seed + 1)
-    numbered = row_numbers(pool.withColumn("_h", seeded_hash(uid, seeded)), ["split", group], ["_h", uid], "_rn")
-    fit = join_keys(numbered, q, ["split", group]).where(F.col("_rn") <= F.col("_quota")).withColumn("role", F.col("split")).drop("_h", "_rn", "_quota")
+    fit = lowest_digests(pool.withColumn("_h", seeded_hash(uid, seeded)), ["split", group], q, uid).withColumn("role", F.col("split"))
     test = df.where((F.col(group) == held) & (F.col("split") == "test")).withColumn("role", F.lit("eval"))
     return fit.unionByName(test)
 
@@ -159,5 +181,4 @@ def best_epoch(history: DataFrame, keys: list[str], metrics: list[str], loss: st
 
 def capped_sample(df: DataFrame, cap: int, seed: int, uid: str = "uid") -> DataFrame:
     """At most ``cap`` rows drawn without replacement, the same ones for the same seed."""
-    x = row_numbers(df.withColumn("_h", seeded_hash(uid, seed)), [], ["_h", uid], "_rn")
-    return x.where(F.col("_rn") <= cap).drop("_h", "_rn")
+    return lowest_digests(df.withColumn("_h", seeded_hash(uid, seed)), [], cap, uid)

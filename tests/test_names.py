@@ -1,9 +1,10 @@
-"""Containment in names and numbered arrangements against plain Python."""
+"""Name matching, numbered arrangements and samples against plain Python."""
 
 import itertools
 import random
 
 from gridtally.operators import joins as D
+from gridtally.operators import splits as S
 
 
 def test_contained_names_equal_plain_search(spark):
@@ -39,3 +40,57 @@ def test_arrangements_in_order(spark):
     for limit in (0, 1, 5, 30, 1000):
         assert [r["combo"] for r in D.grid_permutations(ops, 1, 4, limit).collect()] == want[:limit]
     assert D.grid_permutations(ops, 5, 6).collect() == []
+
+
+def test_first_key_with_prefix_equals_plain_search(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("ab_") for _ in range(n))
+    keys = sorted({word(rnd.randint(0, 9)) for _ in range(400)} | {"hot" + str(i) for i in range(3000)})
+    uids = sorted({word(rnd.randint(0, 7)) for _ in range(300)} | {"", "h", "hot", "hot2999", "hot29990", "zz"})
+    index = spark.createDataFrame([(k, f"dir/{k}") for k in keys], "k string, matched string").repartition(5)
+    got = D._first_with_prefix(spark.createDataFrame([(u,) for u in uids] + [(None,)], "u string"), index).collect()
+    want = {u: next((k for k in keys if k.startswith(u)), None) for u in uids}
+    assert {r["u"]: (r["k"], r["matched"]) for r in got} == {u: (k, f"dir/{k}") for u, k in want.items() if k is not None}
+    assert D._first_with_prefix(spark.createDataFrame([("a",)], "u string"), index.limit(0)).collect() == []
+
+
+def test_token_match_equals_plain_jaccard(spark):
+    rnd = random.Random(9)
+    words = ["common", "plate", "well"] + [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(4)]
+    name = lambda n: " ".join(["common", *rnd.sample(words[1:], n)])
+    files = [name(rnd.randint(0, 9)) for _ in range(150)]
+    uids = [name(rnd.randint(0, 9)) for _ in range(60)]
+    for f in rnd.sample(files, 60):
+        toks = f.split()
+        uids += [" ".join(rnd.sample(toks, len(toks))), " ".join(toks[:-1] or toks), f + " wxx"]
+    for least in (0.95, 0.8, 0.5):
+        got = D.match_by_tokens(
+            spark.createDataFrame([(u,) for u in dict.fromkeys(uids)], "uid string"), spark.createDataFrame([(f,) for f in files], "path string"), jaccard_min=least
+        ).collect()
+        for r in got:
+            if r["score"] == 2.0:
+                assert r["uid"].split() == r["matched"].split()
+                continue
+            a = set(r["uid"].split())
+            near = {f: len(a & set(f.split())) / len(a | set(f.split())) for f in files}
+            score = {f: j - 0.01 * abs(len(f) - len(r["uid"])) for f, j in near.items() if j >= least}
+            best = min(score, key=lambda f: (-round(score[f], 12), f), default=None)
+            assert (r["matched"] is None) == (best is None), r
+            if best is not None:
+                assert abs(r["score"] - score[best]) < 1e-9, r
+
+
+def test_samples_take_the_lowest_digests(spark):
+    import hashlib
+
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}", f"u{i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "grp string, uid string")
+    digest = lambda u: hashlib.md5(f"11:{u}".encode()).hexdigest()
+    for cap in (0, 1, 37, 5000):
+        got = sorted(r["uid"] for r in S.capped_sample(df, cap, 11).collect())
+        assert got == sorted(sorted((u for _, u in rows), key=digest)[:cap])
+    got = S.stratified_sample(df, 300, 11).collect()
+    assert len(got) == 300
+    for g in {g for g, _ in rows}:
+        mine = sorted(r["uid"] for r in got if r["grp"] == g)
+        assert mine == sorted(sorted((u for h, u in rows if h == g), key=digest)[: len(mine)])
