@@ -63,6 +63,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A join side that grows with the tables: the join sorts and merges, so it is never gathered on the driver.
+
+    Spark judges a side by the size of its compressed files, and rows made from short columns outgrow that many times.
+    """
+    return df.hint("merge")
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where NULL equals NULL, keeping one copy of each key column."""
     renamed = right

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+from gridtally.functions import keys as K
 from gridtally.operators import joins as D
 from gridtally.operators import splits as S
 
@@ -94,3 +95,22 @@ def test_samples_take_the_lowest_digests(spark):
     for g in {g for g, _ in rows}:
         mine = sorted(r["uid"] for r in got if r["grp"] == g)
         assert mine == sorted(sorted((u for h, u in rows if h == g), key=digest)[: len(mine)])
+
+
+def test_names_never_gather_a_table_on_the_driver(spark):
+    """Sides made from small files grow beyond any driver, so their joins must not be broadcasts."""
+    ids = spark.range(50).selectExpr("concat('a_b__', id) as uid")
+    files = spark.range(50).selectExpr("concat('dir/a_b__', id, '_dapi.tif') as path")
+    stems = spark.range(50).selectExpr("concat('a_b__', id, '_x') as stem")
+    owners = spark.range(50).selectExpr("concat('a_b__', id) as token")
+    results = {
+        "b12": K.longest_token_owner(ids, "uid", owners),
+        "d5": D.match_by_stem(ids, files, ["_dapi"]),
+        "d7": D.match_by_tokens(ids, files),
+        "d8": D.match_unique_contained(ids, stems),
+        "d9": D.resolve_unit_files(ids, {"dapi": (files, ["_dapi"])}),
+    }
+    for name, df in results.items():
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
