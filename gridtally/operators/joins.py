@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridtally.functions import keys as K
 from gridtally.operators.ranks import first_n_per_group
-from gridtally.session import cut_lineage, join_keys
+from gridtally.session import cut_lineage, join_keys, merged
 
 SPLIT_ORDER = ["train", "val", "test"]
 
@@ -160,30 +160,30 @@ def match_by_tokens(ids: DataFrame, files: DataFrame, uid: str = "uid", path: st
     def probes(x: DataFrame, name: str) -> DataFrame:
         """(name, probe, place): the whole set of a rigid name, else its rarest tokens by place."""
         whole = x.where(rigid).select(name, F.array_join("toks", " ").alias("probe"), F.lit(1).alias("place"))
-        each = x.where(~rigid).select(name, "size", F.explode("toks").alias("probe")).join(counts, "probe")
+        each = x.where(~rigid).select(name, "size", F.explode("toks").alias("probe")).join(merged(counts), "probe")
         ranked = each.groupBy(name, "size").agg(F.array_sort(F.collect_list(F.struct("c", "probe"))).alias("o"))
         prefix = F.slice("o", F.lit(1), F.greatest((size - F.ceil(size * F.lit(t) - 1e-9) + 1).cast("int"), F.lit(1)))
         return whole.unionByName(ranked.select(name, F.posexplode(prefix)).select(name, F.col("col.probe").alias("probe"), (F.col("pos") + 1).alias("place")))
 
     a, b = features(ids, uid, "u"), features(files, path, "p")
     renamed = b.select("p", *[F.col(c).alias(f"f_{c}") for c in ("n", "toks", "side", "num", "size")])
-    exact = a.join(renamed, F.col("n") == F.col("f_n")).groupBy("u").agg(F.min("p").alias("matched")).withColumn("score", F.lit(2.0))
-    rest = a.join(exact.select("u"), "u", "left_anti")
+    exact = a.join(merged(renamed), F.col("n") == F.col("f_n")).groupBy("u").agg(F.min("p").alias("matched")).withColumn("score", F.lit(2.0))
+    rest = a.join(merged(exact.select("u")), "u", "left_anti")
     held = [x.where(~rigid).select(F.explode("toks").alias("probe")) for x in (a, b)]
     counts = cut_lineage(held[0].unionByName(held[1]).groupBy("probe").agg(F.count(F.lit(1)).alias("c")))
-    mine = rest.join(probes(rest, "u"), "u")
-    theirs = renamed.join(probes(b, "p").withColumnRenamed("place", "f_place"), "p")
+    mine = rest.join(merged(probes(rest, "u")), "u")
+    theirs = renamed.join(merged(probes(b, "p").withColumnRenamed("place", "f_place")), "p")
     least = lambda x, y: F.ceil((x + y) * F.lit(t / (1 + t)) - 1e-9)
     room = F.least(F.col("size") - F.col("place"), F.col("f_size") - F.col("f_place")) + 1 >= least(F.col("size"), F.col("f_size"))
-    numbered = mine.where("num is not null").join(theirs.withColumnRenamed("f_num", "num"), ["probe", "num"])
-    bare = mine.where("num is null").drop("num").join(theirs.drop("f_num"), "probe")
+    numbered = mine.where("num is not null").join(merged(theirs.withColumnRenamed("f_num", "num")), ["probe", "num"])
+    bare = mine.where("num is null").drop("num").join(merged(theirs.drop("f_num")), "probe")
     cand = numbered.drop("num").unionByName(bare).where((rigid | room) & (F.col("side").isNull() | (F.col("side") == F.col("f_side"))))
     jac = F.size(F.array_intersect("toks", "f_toks")) / F.size(F.array_union("toks", "f_toks"))
     cand = cand.withColumn("jac", jac).where(F.col("jac") >= t)
     score = F.col("jac") - 0.01 * F.abs(F.length("f_n") - F.length("n"))
     best = cand.groupBy("u").agg(F.min(F.struct((-score).alias("s"), F.col("p"))).alias("m"))
     got = exact.select("u", "matched", "score").unionByName(best.select("u", F.col("m.p").alias("matched"), (-F.col("m.s")).alias("score")))
-    return ids.join(got.withColumnRenamed("u", uid), uid, "left")
+    return ids.join(merged(got.withColumnRenamed("u", uid)), uid, "left")
 
 
 #: Letters of a piece in the index of names.
