@@ -199,26 +199,26 @@ def match_unique_contained(ids: DataFrame, stems: DataFrame, uid: str = "uid", s
     """
     s = stems.groupBy(F.col(stem).alias("k")).agg(F.count(F.lit(1)).alias("n_files"))
     u = ids.select(F.col(uid).alias("u")).distinct()
-    exact = u.join(s, F.col("u") == F.col("k")).select(
+    exact = u.join(merged(s), F.col("u") == F.col("k")).select(
         "u", F.when(F.col("n_files") == 1, F.col("k")).alias("matched"), F.when(F.col("n_files") == 1, "exact").otherwise("ambiguous-exact").alias("status")
     )
-    left = cut_lineage(u.join(exact.select("u"), "u", "left_anti").where(F.length("u") > 0))
+    left = cut_lineage(u.join(merged(exact.select("u")), "u", "left_anti").where(F.length("u") > 0))
     pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n)))
     counted = lambda g: g.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("k"), F.min("n_files").alias("n_files"))
     found, lengths = [], {r[0] for r in left.select(F.least(F.length("u"), F.lit(GRAM + 1))).distinct().collect()}  # GRAM + 1 rows at most
     for n in sorted(lengths & set(range(1, GRAM + 1))):
         whole = left.where(F.length("u") == n).withColumnRenamed("u", "g")
         index = s.where(F.length("k") >= n).select("k", "n_files", F.explode(pieces("k", n)).alias("g"))
-        found.append(counted(index.join(whole, "g", "left_semi")).withColumnRenamed("g", "u"))
+        found.append(counted(index.join(merged(whole), "g", "left_semi")).withColumnRenamed("g", "u"))
     if GRAM + 1 in lengths:
         long = left.where(F.length("u") > GRAM).select("u", F.explode(pieces("u", GRAM)).alias("g"))
         index = s.where(F.length("k") > GRAM).select("k", "n_files", F.explode(pieces("k", GRAM)).alias("g"))
-        held = index.join(long.select("g").distinct(), "g", "left_semi")
+        held = index.join(merged(long.select("g").distinct()), "g", "left_semi")
         sizes = held.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
         # A piece that no stem has settles the uid: it is missing.
-        rarest = long.join(sizes, "g", "left").groupBy("u").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "g")).alias("m"))
+        rarest = long.join(merged(sizes), "g", "left").groupBy("u").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "g")).alias("m"))
         probes = rarest.where("m.size > 0").select("u", F.col("m.g").alias("g"))
-        hits = held.join(probes, "g").where(F.contains("k", "u")).select("k", "n_files", F.col("u").alias("g"))
+        hits = held.join(merged(probes), "g").where(F.contains("k", "u")).select("k", "n_files", F.col("u").alias("g"))
         found.append(counted(hits).withColumnRenamed("g", "u"))
     if not found:
         found.append(counted(s.limit(0).select("k", "n_files", F.col("k").alias("g"))).withColumnRenamed("g", "u"))
@@ -226,7 +226,7 @@ def match_unique_contained(ids: DataFrame, stems: DataFrame, uid: str = "uid", s
     only = (F.col("c") == 1) & (F.col("n_files") == 1)
     told = inside.select("u", F.when(only, F.col("k")).alias("matched"), F.when(only, "contained").otherwise("ambiguous").alias("status"))
     got = exact.unionByName(told).withColumnRenamed("u", uid)
-    return ids.join(got, uid, "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    return ids.join(merged(got), uid, "left").withColumn("status", F.coalesce("status", F.lit("missing")))
 
 
 def resolve_unit_files(ids: DataFrame, modalities: dict[str, tuple[DataFrame, list[str]]], uid: str = "uid") -> DataFrame:
