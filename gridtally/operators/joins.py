@@ -87,11 +87,11 @@ def match_by_stem(ids: DataFrame, files: DataFrame, suffixes: list[str], uid: st
     tries = F.array(*[F.struct(F.lit(i).alias("tier"), F.lower(F.concat(F.col(uid), F.lit(s))).alias("k")) for i, s in enumerate(["", *suffixes])])
     hit = (
         ids.select(uid).distinct().select(uid, F.explode(tries).alias("t")).select(uid, "t.tier", F.col("t.k").alias("_k"))
-        .join(stems, "_k")
+        .join(merged(stems), "_k")
         .groupBy(uid)
         .agg(F.min(F.struct("tier", "matched")).alias("m"))
     )
-    return ids.join(hit.select(uid, "m.tier", "m.matched"), uid, "left")
+    return ids.join(merged(hit.select(uid, "m.tier", "m.matched")), uid, "left")
 
 
 def _first_with_prefix(uids: DataFrame, index: DataFrame) -> DataFrame:
@@ -127,16 +127,16 @@ def match_by_canonical_key(ids: DataFrame, files: DataFrame, uid: str = "uid", p
             F.when(F.col("ck").rlike("_[abfs]$"), F.struct(F.lit(2).alias("tier"), F.regexp_replace("ck", "_[abfs]$", "").alias("k"))),
         )
     )
-    direct = u.select(uid, F.explode(tries).alias("t")).select(uid, "t.*").join(index, "k").select(uid, "tier", "k", "matched")
-    left = u.join(direct.select(uid).distinct(), uid, "left_anti").select(uid, F.lower(uid).alias("u"))
-    starts = _first_with_prefix(left.select("u").distinct(), index).join(left, "u").select(uid, F.lit(3).alias("tier"), "k", "matched")
+    direct = u.select(uid, F.explode(tries).alias("t")).select(uid, "t.*").join(merged(index), "k").select(uid, "tier", "k", "matched")
+    left = u.join(merged(direct.select(uid).distinct()), uid, "left_anti").select(uid, F.lower(uid).alias("u"))
+    starts = _first_with_prefix(left.select("u").distinct(), index).join(merged(left), "u").select(uid, F.lit(3).alias("tier"), "k", "matched")
     literal = (
         files.select(K.drop_extension(K.basename(F.col(path))).alias("_stem"), F.col(path).alias("matched"))
-        .join(left.select(uid, F.concat(F.col(uid), F.lit("_LE")).alias("_stem")), "_stem")
+        .join(merged(left.select(uid, F.concat(F.col(uid), F.lit("_LE")).alias("_stem"))), "_stem")
         .select(uid, F.lit(4).alias("tier"), F.col("_stem").alias("k"), "matched")
     )
     best = direct.unionByName(starts).unionByName(literal).groupBy(uid).agg(F.min(F.struct("tier", "k", "matched")).alias("m"))
-    return ids.join(best.select(uid, "m.tier", "m.matched"), uid, "left")
+    return ids.join(merged(best.select(uid, "m.tier", "m.matched")), uid, "left")
 
 
 def match_by_tokens(ids: DataFrame, files: DataFrame, uid: str = "uid", path: str = "path", jaccard_min: float = 0.95) -> DataFrame:
@@ -234,7 +234,7 @@ def resolve_unit_files(ids: DataFrame, modalities: dict[str, tuple[DataFrame, li
     got, keys = ids, ids.select(uid).distinct()
     for name, (files, suffixes) in modalities.items():
         hit = match_by_stem(keys, files, suffixes, uid).select(uid, F.col("matched").alias(f"{name}_path"))
-        got = got.join(hit, uid, "left")
+        got = got.join(merged(hit), uid, "left")
     return got.withColumn("grp", K.infer_group(F.col(uid)))
 
 
