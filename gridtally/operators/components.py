@@ -64,19 +64,51 @@ def graph_components(edges: DataFrame) -> DataFrame:
 # ---- pixels and runs ---------------------------------------------------------------------------
 
 
+WORD = 64
+
+
+def word_at(x: Column) -> Column:
+    """The word of an image row that holds column ``x``."""
+    return F.floor(x / F.lit(WORD))
+
+
+def has_bit(word: Column, x: Column) -> Column:
+    """Whether the word of column ``x`` has its pixel."""
+    return F.getbit(word, F.pmod(x, F.lit(WORD)).cast("int")) == 1
+
+
+def pixel_words(pixels: DataFrame, keys: list[str], **layers: Column) -> DataFrame:
+    """Sets of pixels as (keys, y, _w) rows with one word of 64 bits per layer, 0 where the layer has none.
+
+    A layer is a condition on the pixels. The words are made before the shuffle, so full rows cost a 64th of their pixels.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("x"), F.lit(WORD)).cast("int"))
+    return pixels.groupBy(*keys, "y", word_at(F.col("x")).alias("_w")).agg(*[F.bit_or(F.when(c, bit).otherwise(F.lit(0).cast("bigint"))).alias(n) for n, c in layers.items()])
+
+
+def merge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs that touch or overlap in an image row become one; the window is one row, which the frame width bounds."""
+    w = W.partitionBy(*keys, "y").orderBy("x0")
+    far = F.max("x1").over(w.rowsBetween(W.unboundedPreceding, -1))
+    marked = runs.select(*keys, "y", "x0", "x1", F.when(F.col("x0") <= far + 1, 0).otherwise(1).alias("_s"))
+    grouped = marked.withColumn("_g", F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return grouped.groupBy(*keys, "y", "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_g")
+
+
 def runs_from_pixels(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Maximal horizontal runs (x0, x1 inclusive) of distinct foreground pixels.
 
-    The window is one image row, which the frame width bounds.
+    Runs are read off words of 64 pixels and joined where they touch, so no pixel is shuffled.
     """
-    w = W.partitionBy(*keys, "y").orderBy("x")
-    return (
-        pixels.select(*keys, "y", "x").distinct()
-        .withColumn("_g", F.col("x") - F.row_number().over(w))
-        .groupBy(*keys, "y", "_g")
-        .agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-        .drop("_g")
-    )
+    kind = pixels.schema["x"].dataType
+    b = F.col("_b")
+    ends = lambda m: F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit(m, i) == 1)
+    first = ends(b.bitwiseAND(F.bitwise_not(F.shiftleft(b, 1))))
+    last = ends(b.bitwiseAND(F.bitwise_not(F.shiftrightunsigned(b, 1))))
+    words = pixel_words(pixels.where("x is not null"), keys, _b=F.lit(True))
+    parts = words.select(*keys, "y", "_w", F.explode(F.arrays_zip(first.alias("f"), last.alias("l"))).alias("r"))
+    at = lambda c: (F.col("_w") * WORD + F.col(c)).cast(kind)
+    return merge_runs(parts.select(*keys, "y", at("r.f").alias("x0"), at("r.l").alias("x1")), keys)
 
 
 def _label_tiles(tile_keys: list[str], k: int):
@@ -128,8 +160,9 @@ def label_runs(runs: DataFrame, keys: list[str], connectivity: int = 8, tile: in
     labelled = cut_lineage(labelled)
 
     on_edge = (F.col("y") % t).isin(0, tile - 1) | (F.col("x0") % t == 0) | (F.col("x1") % t == tile - 1)
-    cells = labelled.where(on_edge).select(*group, "node", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    cells = cells.where((F.col("y") % t).isin(0, tile - 1) | (F.col("x") % t).isin(0, tile - 1))
+    sides = F.array_distinct(F.array_compact(F.array(F.when(F.col("x0") % t == 0, F.col("x0")), F.when(F.col("x1") % t == tile - 1, F.col("x1")))))
+    border = F.when((F.col("y") % t).isin(0, tile - 1), F.sequence("x0", "x1")).otherwise(sides)
+    cells = labelled.where(on_edge).select(*group, "node", "y", F.explode(border).alias("x"))
     steps = [(0, 1), (1, 0), (1, 1), (1, -1)] if connectivity == 8 else [(0, 1), (1, 0)]
     look = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps]))
     seek = (

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridtally.operators.components import graph_components, label_runs, object_attributes, runs_from_pixels
+from gridtally.operators.components import graph_components, has_bit, label_runs, merge_runs, object_attributes, pixel_words, runs_from_pixels, word_at
 from gridtally.operators.ranks import first_n_per_group
-from gridtally.operators.spatial import box_rows, distance_pairs, point_in_region, points_in_box, run_overlaps
-from gridtally.session import cut_lineage, join_keys, ratio
+from gridtally.operators.spatial import box_rows, distance_pairs, points_in_box, points_in_words, run_overlaps
+from gridtally.session import cut_lineage, join_keys, merged, ratio
 
 # ---- E1 -----------------------------------------------------------------------------------------
 
@@ -218,14 +218,13 @@ def region_agreement(pixels: DataFrame, points: DataFrame, frame: tuple[int, int
 
     ``pixels`` holds the three layers a, b and gt; ``points`` the truth centroids.
     """
-    has = lambda s: F.max(F.col("layer") == s)
-    per = pixels.where(F.col("layer").isin(a, b, gt)).groupBy("uid", "y", "x").agg(has(a).alias("a"), has(b).alias("b"), has(gt).alias("g"))
-    c = F.count_if
+    is_ = lambda s: F.col("layer") == s
+    per = pixel_words(pixels.where(F.col("layer").isin(a, b, gt)), ["uid"], a=is_(a), b=is_(b), g=is_(gt))
+    c = lambda *of: F.sum(F.bit_count(reduce(Column.bitwiseAND, [F.col(v) for v in of]))).cast("bigint")
     n = per.groupBy("uid").agg(
-        c("a").alias("manual_px"), c("b").alias("pred_px"), c(F.col("a") & F.col("b")).alias("intersection_px"), c("g").alias("gt_fg_px"), c(F.col("g") & F.col("b")).alias("gt_fg_px_in_roi")
+        c("a").alias("manual_px"), c("b").alias("pred_px"), c("a", "b").alias("intersection_px"), c("g").alias("gt_fg_px"), c("g", "b").alias("gt_fg_px_in_roi")
     )
-    inside = lambda layer: pixels.where(F.col("layer") == layer)
-    pts = point_in_region(points, inside(a), inside(b), frame)
+    pts = points_in_words(points, pixel_words(pixels.where(F.col("layer").isin(a, b)), ["uid"], a=is_(a), b=is_(b)), frame)
     x = n.join(pts, "uid", "left")
     m, p, i = F.col("manual_px"), F.col("pred_px"), F.col("intersection_px")
     num = lambda name: F.coalesce(F.col(name), F.lit(0).cast("bigint"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridtally.operators.components import has_bit, pixel_words, word_at
+from gridtally.session import merged
+
 CELL = 64
 
 
@@ -159,13 +162,17 @@ def points_in_box(boxes: DataFrame, points: DataFrame, keys: list[str]) -> DataF
 
 def point_in_region(points: DataFrame, region_a: DataFrame, region_b: DataFrame, frame: tuple[int, int]) -> DataFrame:
     """Per unit, how many rounded and clipped points fall in A, B, both, only A, only B."""
+    layers = region_a.select("uid", "y", "x", F.lit(True).alias("_l")).unionByName(region_b.select("uid", "y", "x", F.lit(False).alias("_l")))
+    return points_in_words(points, pixel_words(layers, ["uid"], a=F.col("_l"), b=~F.col("_l")), frame)
+
+
+def points_in_words(points: DataFrame, words: DataFrame, frame: tuple[int, int]) -> DataFrame:
+    """D11 on regions as words of pixels ``a`` and ``b``."""
     clip = lambda c, n: F.least(F.greatest(F.rint(F.col(c)), F.lit(0)), F.lit(n - 1)).cast("int")
     p = points.select("uid", clip("cy", frame[0]).alias("y"), clip("cx", frame[1]).alias("x"))
     cells = p.groupBy("uid", "y", "x").agg(F.count(F.lit(1)).alias("n"))
-    a = region_a.select("uid", "y", "x").distinct().withColumn("_a", F.lit(True))
-    b = region_b.select("uid", "y", "x").distinct().withColumn("_b", F.lit(True))
-    x = cells.join(a, ["uid", "y", "x"], "left").join(b, ["uid", "y", "x"], "left")
-    ia, ib = F.coalesce("_a", F.lit(False)), F.coalesce("_b", F.lit(False))
+    x = cells.withColumn("_w", word_at(F.col("x"))).join(merged(words.select("uid", "y", "_w", "a", "b")), ["uid", "y", "_w"], "left")
+    ia, ib = [F.coalesce(has_bit(F.col(c), F.col("x")), F.lit(False)) for c in ("a", "b")]
     tot = lambda cond, name: F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("bigint").alias(name)
     return x.groupBy("uid").agg(
         F.sum("n").cast("bigint").alias("n_points"), tot(ia, "in_a"), tot(ib, "in_b"), tot(ia & ib, "in_both"), tot(ia & ~ib, "only_a"), tot(~ia & ib, "only_b")

@@ -313,9 +313,13 @@ ROI = PX + """, ra as (select distinct uid, 'a' as layer, y, x from (select uid,
 
 
 def roi_pixels(spark, sf, side, layer):
-    """Square blocks of the frame that hold objects of a side, as pixels of a region layer."""
+    """Square blocks of the frame that hold objects of a side, as pixels of a region layer.
+
+    The blocks are dealt to a fixed number of tasks, because a few bytes of them become a thousand pixels each.
+    """
     o = obj_view(spark, sf).where(F.col("side") == side)
-    b = o.select("uid", F.floor(F.col("cy") / 32).alias("by"), F.floor(F.col("cx") / 32).alias("bx")).distinct()
+    b = o.select("uid", F.floor(F.col("cy") / 32).alias("by"), F.floor(F.col("cx") / 32).alias("bx"))
+    b = b.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid", "by", "bx").distinct()
     span = lambda c: F.explode(F.sequence(F.col(c) * 32, F.col(c) * 32 + 31))
     return b.withColumn("y", span("by")).withColumn("x", span("bx")).select("uid", F.lit(layer).alias("layer"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
 

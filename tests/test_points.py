@@ -275,3 +275,45 @@ def test_sweep_has_rows_for_units_without_objects(spark):
     units = spark.createDataFrame([("a", "val"), ("empty", "test")], "uid string, split string")
     rows = EV.sweep(gt, gt.withColumn("model", F.lit("m")), ["m"], [5.0, 10.0], [0.1], units=units).collect()
     assert len(rows) == 2 * 2 * 2 and {(r["uid"], r["split"], r["tp"], r["n_gt"]) for r in rows} == {("a", "val", 1, 1), ("empty", "test", 0, 0)}
+
+
+def shuffled_by_pixel(df):
+    """How many shuffles of the plan deal out single pixels."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("hashpartitioning(" in line and " x#" in line.split("hashpartitioning(")[1] for line in plan.splitlines())
+
+
+def test_regions_are_shuffled_as_words(spark):
+    rnd = random.Random(4)
+    layer = lambda n: {(rnd.randrange(9), rnd.choice([0, 62, 63, 64, 65, 127, 128, 190]) + rnd.randrange(3)) for _ in range(n)}
+    a, b, g = layer(90), layer(90), layer(60)
+    table = lambda px: spark.createDataFrame([("u", y, x) for y, x in px for _ in range(2)], "uid string, y int, x int")
+    layers = [table(px).withColumn("layer", F.lit(n)) for n, px in (("a", a), ("b", b), ("gt", g))]
+    points = spark.createDataFrame([("u", float(y), float(x)) for y, x in sorted(g)], "uid string, cy double, cx double")
+    got = P.region_agreement(layers[0].unionByName(layers[1]).unionByName(layers[2]), points, (9, 256), "a", "b", "gt")
+    r = got.collect()[0]
+    assert (r["manual_px"], r["pred_px"], r["intersection_px"], r["gt_fg_px"], r["gt_fg_px_in_roi"]) == (len(a), len(b), len(a & b), len(g), len(g & b))
+    assert (r["gt_objects"], r["gt_objects_in_roi"], r["gt_objects_in_manual"], r["gt_objects_in_both"]) == (len(g), len(g & b), len(g & a), len(g & a & b))
+    units = spark.createDataFrame([("u", 9, 256, 9, 256)], "uid string, h int, w int, roi_h int, roi_w int")
+    kept = P.retention(units, table(g), table(b))
+    assert [(k["gt_px"], k["kept_px"]) for k in kept.collect()] == [(len(g), len(g & b))]
+    assert shuffled_by_pixel(got) <= 1 and not shuffled_by_pixel(kept)  # the points are counted by place
+
+
+def test_runs_are_read_off_words(spark):
+    rnd = random.Random(6)
+    px = {(rnd.randrange(4), x) for x in range(-130, 330) for _ in range(3)} | {(9, x) for x in range(-70, 200)}
+    runs = C.runs_from_pixels(spark.createDataFrame([("u", y, x) for y, x in px] * 2, "uid string, y int, x int"), ["uid"])
+    want = {(y, x, next(e for e in range(x, 999) if (y, e + 1) not in px)) for y, x in px if (y, x - 1) not in px}
+    got = [(r["y"], r["x0"], r["x1"]) for r in runs.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert not shuffled_by_pixel(runs)
+
+
+def test_a_region_is_not_broadcast(spark):
+    px = spark.createDataFrame([("u", y, x, 0.5) for y in range(4) for x in range(100)] + [(None, 1, 1, 0.5)], "uid string, y int, x int, p double")
+    roi = spark.createDataFrame([("u", y, x) for y in range(3) for x in range(60, 70)], "uid string, y int, x int")
+    got = P.region_mask(px, roi)
+    assert {(r["y"], r["x"]) for r in got.collect()} == {(y, x) for y in range(3) for x in range(60, 70)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
