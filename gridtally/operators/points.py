@@ -241,9 +241,9 @@ def retention(units: DataFrame, gt_pixels: DataFrame, roi_pixels: DataFrame) ->
 
     ``units``: uid, h, w, roi_h, roi_w (NULL without a region mask).
     """
-    tagged = gt_pixels.select("uid", "y", "x", F.lit(1).alias("g"), F.lit(0).alias("r")).unionByName(roi_pixels.select("uid", "y", "x", F.lit(0).alias("g"), F.lit(1).alias("r")))
-    per = tagged.groupBy("uid", "y", "x").agg(F.max("g").alias("g"), F.max("r").alias("r"))
-    n = per.groupBy("uid").agg(F.sum("g").cast("bigint").alias("gt_px"), F.sum(F.col("g") * F.col("r")).cast("bigint").alias("kept_px"))
+    tagged = gt_pixels.select("uid", "y", "x", F.lit(True).alias("_l")).unionByName(roi_pixels.select("uid", "y", "x", F.lit(False).alias("_l")))
+    per = pixel_words(tagged, ["uid"], g=F.col("_l"), r=~F.col("_l"))
+    n = per.groupBy("uid").agg(F.sum(F.bit_count("g")).cast("bigint").alias("gt_px"), F.sum(F.bit_count(F.col("g").bitwiseAND(F.col("r")))).cast("bigint").alias("kept_px"))
     x = units.join(n, "uid", "left").fillna(0, ["gt_px", "kept_px"])
     same = (F.col("h") == F.col("roi_h")) & (F.col("w") == F.col("roi_w"))
     status = (
