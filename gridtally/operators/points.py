@@ -467,7 +467,13 @@ def fill_holes(pixels: DataFrame, images: DataFrame) -> DataFrame:
 
     Background runs come from the gaps between foreground runs of a row, so no dense image is built.
     """
-    runs = runs_from_pixels(pixels, ["uid"])
+    full = _filled_runs(runs_from_pixels(pixels, ["uid"]), images)
+    return full.select("uid", F.col("y").cast(pixels.schema["y"].dataType).alias("y"), F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
+def _filled_runs(runs: DataFrame, images: DataFrame) -> DataFrame:
+    """The runs of ``fill_holes``."""
+    runs = cut_lineage(runs)
     rows = images.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).select("uid", "y", "h", "w")
     w = W.partitionBy("uid", "y").orderBy("x0")
     edge = rows.select("uid", "y", "w", F.col("w").alias("x0"), F.col("w").alias("x1")).unionByName(runs.join(images.select("uid", "w"), "uid").select("uid", "y", "w", "x0", "x1"))
@@ -475,15 +481,15 @@ def fill_holes(pixels: DataFrame, images: DataFrame) -> DataFrame:
     lab = label_runs(gaps, ["uid"], connectivity=4)
     touching = lab.join(images, "uid").withColumn("t", (F.col("y") == 0) | (F.col("y") == F.col("h") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("w") - 1))
     open_ = touching.groupBy("uid", "comp").agg(F.max("t").alias("t")).where("t").drop("t")
-    holes = lab.join(open_, ["uid", "comp"], "left_anti").select("uid", F.col("y").cast("int").alias("y"), F.explode(F.sequence("x0", "x1")).alias("x"))
-    return pixels.select("uid", "y", "x").unionByName(holes.select("uid", "y", F.col("x").cast("int").alias("x"))).distinct()
+    holes = lab.join(merged(open_), ["uid", "comp"], "left_anti").select("uid", "y", F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
+    return merge_runs(runs.select("uid", "y", "x0", "x1").unionByName(holes), ["uid"])
 
 
 def keep_center_component(pixels: DataFrame, images: DataFrame, fill: bool = True) -> DataFrame:
     """The edge-connected component that holds the image centre, or everything where it is background."""
-    px = fill_holes(pixels, images) if fill else pixels.select("uid", "y", "x")
-    lab = label_runs(runs_from_pixels(px, ["uid"]), ["uid"], connectivity=4)
+    runs = runs_from_pixels(pixels, ["uid"])
+    lab = label_runs(_filled_runs(runs, images) if fill else runs, ["uid"], connectivity=4)
     mid = images.select("uid", F.floor(F.col("h") / 2).alias("my"), F.floor(F.col("w") / 2).alias("mx"))
     center = lab.join(mid, "uid").where((F.col("y") == F.col("my")) & F.col("mx").between(F.col("x0"), F.col("x1"))).select("uid", F.col("comp").alias("_c"))
-    kept = lab.join(center, "uid", "left").where("_c is null or comp = _c")
+    kept = lab.join(merged(center), "uid", "left").where("_c is null or comp = _c")
     return kept.select("uid", F.col("y").cast("int").alias("y"), F.explode(F.sequence(F.col("x0").cast("int"), F.col("x1").cast("int"))).alias("x"))
