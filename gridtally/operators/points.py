@@ -209,8 +209,10 @@ def pixel_confusion(pixels: DataFrame, images: DataFrame, gt: str = "gt", pred:
 
 
 def region_mask(pixels: DataFrame, roi: DataFrame, keys: list[str] = ["uid"]) -> DataFrame:
-    """Pixels inside the region."""
-    return pixels.join(roi.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
+    """Pixels inside the region, which takes part as words of 64 pixels."""
+    r = merged(pixel_words(roi, keys, _b=F.lit(True)).select(*[F.col(c).alias(f"_r_{c}") for c in (*keys, "y", "_w")], F.col("_b").alias("_r_bits")))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_r_{k}") for k in (*keys, "y")])
+    return pixels.join(r, same & (word_at(F.col("x")) == F.col("_r__w")) & has_bit(F.col("_r_bits"), F.col("x")), "left_semi")
 
 
 def region_agreement(pixels: DataFrame, points: DataFrame, frame: tuple[int, int], a: str, b: str, gt: str) -> DataFrame:
