@@ -292,6 +292,44 @@ class StreamDecoder:
         return rest
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids, n_tokens) of batches of (doc_id, text)."""
+    tokens = encoder(path, pattern)
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            some = batch.slice(at, ROWS)
+            ids = [b"".join(tokens(t)) if t else b"" for t in some.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+
+
+def _decoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """The columns of ``_encoded`` with the decoded bytes and whether they are well-formed."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            some = batch.slice(at, ROWS)
+            decoded, valid = [], []
+            for ids in some.column("ids").to_pylist():
+                stream, out = StreamDecoder(path), []
+                ids = np.frombuffer(ids or b"", dtype="<u4")
+                for i in range(0, len(ids), CHUNK):
+                    out.append(stream.feed(ids[i : i + CHUNK]))
+                out.append(stream.close())
+                decoded.append(b"".join(out))
+                valid.append(stream.valid)
+            yield pa.RecordBatch.from_arrays(
+                [*(some.column(c) for c in ("doc_id", "ids", "n_tokens")), pa.array(decoded, pa.binary()), pa.array(valid, pa.bool_())], ["doc_id", "ids", "n_tokens", "decoded", "valid"]
+            )
+
+
+ENCODED = "doc_id long, ids binary, n_tokens long"
+DECODED = ENCODED + ", decoded binary, valid boolean"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    ship_package(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids, n_tokens) per row: ids of the whole text as little-endian unsigned 32-bit bytes.
 
@@ -301,47 +339,25 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     import public_tokenizers
 
     path, pattern = path or vocabulary_path(), pattern or public_tokenizers.PATTERN
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                ids = [b"".join(tokens(t)) if t else b"" for t in some.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())], ["doc_id", "ids", "n_tokens"]
-                )
-
-    ship_package(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
+    return _texts(docs).mapInArrow(lambda batches: _encoded(batches, path, pattern), ENCODED)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """``encode``'s rows with ``decoded`` (bytes) and ``valid`` (they are well-formed UTF-8); null ids decode to nothing."""
     path = path or vocabulary_path()
+    ship_package(tokens.sparkSession)
+    return tokens.select("doc_id", "ids", "n_tokens").mapInArrow(lambda batches: _decoded(batches, path), DECODED)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                decoded, valid = [], []
-                for ids in some.column("ids").to_pylist():
-                    stream, out = StreamDecoder(path), []
-                    ids = np.frombuffer(ids or b"", dtype="<u4")
-                    for i in range(0, len(ids), CHUNK):
-                        out.append(stream.feed(ids[i : i + CHUNK]))
-                    out.append(stream.close())
-                    decoded.append(b"".join(out))
-                    valid.append(stream.valid)
-                yield pa.RecordBatch.from_arrays(
-                    [*(some.column(c) for c in ("doc_id", "ids", "n_tokens")), pa.array(decoded, pa.binary()), pa.array(valid, pa.bool_())], ["doc_id", "ids", "n_tokens", "decoded", "valid"]
-                )
 
-    ship_package(tokens.sparkSession)
-    return tokens.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded binary, valid boolean")
+def encode_and_decode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``decode(encode(docs))`` within one worker: no second process and vocabulary per task, and the ids travel once."""
+    import public_tokenizers
+
+    path, pattern = path or vocabulary_path(), pattern or public_tokenizers.PATTERN
+    return _texts(docs).mapInArrow(lambda batches: _decoded(_encoded(batches, path, pattern), path), DECODED)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Digests of every text's ids and of the bytes they decode to."""
-    both = decode(encode(docs, path), path)
+    both = encode_and_decode(docs, path)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
