@@ -375,6 +375,23 @@ def gauss_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [v / sum(w) for v in w]
 
 
+#: Side of the tiles of a frame whose cells are made together, and cells that one task makes.
+CELL_TILE, TASK_CELLS = 64, 500_000
+
+
+def _dealt(points: DataFrame, keys: list[str], rows: Column, columns: Column, cells: int) -> DataFrame:
+    """``points`` copied to the tiles (_ty, _tx) they reach, given as lists, and dealt to as many tasks as their ``cells`` need.
+
+    Only points are shuffled: whatever is grouped by tile afterwards stays in its task.
+    """
+    copies = points.withColumn("_ty", F.explode(F.array_distinct(rows))).withColumn("_tx", F.explode(F.array_distinct(columns)))
+    return copies.repartition(max(1, -(-cells // TASK_CELLS)), *keys, "_ty", "_tx")
+
+
+def _tile(at: Column) -> Column:
+    return F.floor(at / F.lit(CELL_TILE))
+
+
 def kernel_sum(cells: DataFrame, weights: list[float], frame: tuple[int, int], keys: list[str] = ["uid"]) -> DataFrame:
     """Smoothing of sparse cells by a separable symmetric kernel, one axis after the other.
 
@@ -412,24 +429,34 @@ def detect_points(
 
 
 def rasterise_points(points: DataFrame, sigma: float, frame: tuple[int, int], merge: str = "max", normalise: bool = True, keys: list[str] = ["uid"]) -> DataFrame:
-    """Gaussian stamps of radius int(3 sigma) + 1 around points (x, y), combined by max or sum."""
+    """Gaussian stamps of radius int(3 sigma) + 1 around points (x, y), combined by max or sum.
+
+    Points, not cells, go to the tiles that their stamps reach; for the scale of a unit the stamps are made twice.
+    """
     if not sigma > 0:
         raise ValueError(f"a stamp of width {sigma} has no cells")
     r = int(3 * sigma) + 1
     span = F.sequence(F.lit(-r), F.lit(r))
     cy, cx = F.col("cy"), F.col("cx")
-    x = points.select(*keys, F.col("y").cast("double").alias("cy"), F.col("x").cast("double").alias("cx"))
-    x = x.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
-    x = x.withColumn("y", cy.cast("int") + F.col("dy")).withColumn("x", cx.cast("int") + F.col("dx"))
-    x = x.where(F.col("y").between(0, frame[0] - 1) & F.col("x").between(0, frame[1] - 1))
-    g = F.exp(-(F.pow(F.col("x") - cx, F.lit(2.0)) + F.pow(F.col("y") - cy, F.lit(2.0))) / F.lit(2.0 * sigma * sigma))
-    out = x.withColumn("g", g).groupBy(*keys, "y", "x").agg((F.max("g") if merge == "max" else F.sum("g")).alias("p"))
+    near = cy.cast("int").between(-r, frame[0] - 1 + r) & cx.cast("int").between(-r, frame[1] - 1 + r)
+    places = points.select(*keys, F.col("y").cast("double").alias("cy"), F.col("x").cast("double").alias("cx")).where(near)
+    places = cut_lineage(places.groupBy(*keys, "cy", "cx").agg(F.count(F.lit(1)).alias("_m")))
+    cells = places.count() * (2 * r + 1) ** 2
+    reached = lambda c, n: F.sequence(_tile(F.greatest(c.cast("int") - r, F.lit(0))), _tile(F.least(c.cast("int") + r, F.lit(n - 1))))
+
+    def stamped(src: DataFrame, *also: str) -> DataFrame:
+        x = _dealt(src, keys, reached(cy, frame[0]), reached(cx, frame[1]), cells)
+        x = x.withColumn("dy", F.explode(span)).withColumn("y", cy.cast("int") + F.col("dy")).where(F.col("y").between(0, frame[0] - 1) & (_tile(F.col("y")) == F.col("_ty")))
+        x = x.withColumn("dx", F.explode(span)).withColumn("x", cx.cast("int") + F.col("dx")).where(F.col("x").between(0, frame[1] - 1) & (_tile(F.col("x")) == F.col("_tx")))
+        g = F.exp(-(F.pow(F.col("x") - cx, F.lit(2.0)) + F.pow(F.col("y") - cy, F.lit(2.0))) / F.lit(2.0 * sigma * sigma))
+        return x.withColumn("g", g).groupBy(*keys, *also, "_ty", "_tx", "y", "x").agg((F.max("g") if merge == "max" else F.sum(F.col("g") * F.col("_m"))).alias("p"))
+
     if not normalise:
-        return out
-    lim = out.groupBy(*keys).agg(F.min("p").alias("_lo"), F.max("p").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    lim = lim.withColumn("_lo", F.when(F.col("_n") < frame[0] * frame[1], 0.0).otherwise(F.col("_lo")))
+        return stamped(places).select(*keys, "y", "x", "p")
+    lim = stamped(places).groupBy(*keys).agg(F.min("p").alias("_lo"), F.max("p").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    lim = lim.select(*keys, F.when(F.col("_n") < frame[0] * frame[1], 0.0).otherwise(F.col("_lo")).alias("_lo"), "_hi")
     scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("p") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    return out.join(lim, keys).select(*keys, "y", "x", scaled.alias("p"))
+    return stamped(places.join(merged(lim), keys), "_lo", "_hi").select(*keys, "y", "x", scaled.alias("p"))
 
 
 def render_diamonds(points: DataFrame, radius: int, frame: tuple[int, int], keys: list[str] = ["uid"]) -> DataFrame:
