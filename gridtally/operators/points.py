@@ -395,19 +395,28 @@ def _tile(at: Column) -> Column:
 def kernel_sum(cells: DataFrame, weights: list[float], frame: tuple[int, int], keys: list[str] = ["uid"]) -> DataFrame:
     """Smoothing of sparse cells by a separable symmetric kernel, one axis after the other.
 
-    The image is mirrored at the frame edge: a tap that falls outside is folded back to where its mirror lies.
+    The image is mirrored at the frame edge: a tap that falls outside is folded back to where its mirror lies. Cells go to
+    the tiles that their taps reach, and both axes are summed there.
     """
     r = len(weights) // 2
     taps = F.array(*[F.struct(F.lit(i - r).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(weights)])
+    tile = [*keys, "_ty", "_tx"]
+
+    def folded(at: Column, n: int) -> Column:
+        m = F.pmod(at, F.lit(2 * n))
+        return F.when(m < n, m).otherwise(2 * n - 1 - m)
+
+    def reached(axis: str, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda d: _tile(folded(F.col(axis) + d, n)))
 
     def blur(df: DataFrame, axis: str, n: int) -> DataFrame:
         other = "x" if axis == "y" else "y"
-        m = F.pmod(F.col(axis) + F.col("_t.d"), F.lit(2 * n))
-        at = F.when(m < n, m).otherwise(2 * n - 1 - m)
-        t = df.withColumn("_t", F.explode(taps)).select(*keys, other, at.alias(axis), (F.col("p") * F.col("_t.w")).alias("p"))
-        return t.groupBy(*keys, "y", "x").agg(F.sum("p").alias("p"))
+        t = df.withColumn("_t", F.explode(taps)).select(*tile, other, folded(F.col(axis) + F.col("_t.d"), n).alias(axis), (F.col("p") * F.col("_t.w")).alias("p"))
+        return t.where(_tile(F.col(axis)).eqNullSafe(F.col(f"_t{axis}"))).groupBy(*tile, "y", "x").agg(F.sum("p").alias("p"))
 
-    return blur(blur(cells.select(*keys, "y", "x", "p"), "x", frame[1]), "y", frame[0])
+    one = cut_lineage(cells.groupBy(*keys, "y", "x").agg(F.sum("p").alias("p")))
+    dealt = _dealt(one, keys, reached("y", frame[0]), reached("x", frame[1]), one.count() * len(weights) ** 2)
+    return blur(blur(dealt, "x", frame[1]), "y", frame[0]).select(*keys, "y", "x", "p")
 
 
 def detect_points(

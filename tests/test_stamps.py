@@ -20,6 +20,23 @@ def crossing(monkeypatch):
     monkeypatch.setattr(P, "TASK_CELLS", 100)
 
 
+CELLS = [(1, 0, 0, 0.5), (1, 0, 0, 0.25), (1, 9, 3, 1.0), (1, 2, 2, 0.125), (2, 9, 6, 2.0), (2, 5, 6, 0.0), (3, 4, 4, 1.0)]
+
+
+def test_kernel_sum_over_tiles_equals_folded_taps(spark, crossing):
+    frame, w = (10, 7), P.gauss_weights(1.0)
+    fold = lambda v, n: v % (2 * n) if v % (2 * n) < n else 2 * n - 1 - v % (2 * n)
+    want = defaultdict(float)
+    for uid, y, x, p in CELLS:
+        for i, a in enumerate(w):
+            for j, b in enumerate(w):
+                want[uid, fold(y + i - 4, 10), fold(x + j - 4, 7)] += p * a * b
+    out = P.kernel_sum(spark.createDataFrame(CELLS, "uid long, y int, x int, p double"), w, frame)
+    got = found(out)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-15) for k in want)
+    assert out.rdd.getNumPartitions() == 5  # six places of 81 cells each, 100 cells a task
+
+
 POINTS = [(1, 0.5, 0.25), (1, 0.5, 0.25), (1, 9.75, 3.0), (1, 3.0, 3.0), (2, -2.5, 6.0), (2, 30.0, 3.0), (3, 12.0, 9.0), (None, 3.0, 3.0), (4, None, 1.0)]
 
 
