@@ -11,9 +11,16 @@ from gridtally.functions import keys as K
 from gridtally.functions import metrics as M
 from gridtally.operators.joins import join_one_to_one
 from gridtally.operators.ranks import agg_with_quantiles, first_n_per_group, running
-from gridtally.session import join_keys, ratio
+from gridtally.session import join_keys, merged, ratio
 
 MODALITIES = ["rgb", "dapi", "roi", "gt"]
+#: Rows of each side that one task of an audit joins and sorts.
+TASK_ROWS = 500_000
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks among which so many rows are dealt, so that what one of them holds does not grow with the tables."""
+    return max(8, -(-rows // TASK_ROWS))
 
 
 def require_columns(df: DataFrame, cols: list[str], what: str = "table") -> DataFrame:
@@ -49,10 +56,16 @@ def file_audit(units: DataFrame, facts: DataFrame) -> DataFrame:
     ``units``: uid and one path column per modality. ``facts``: path, readable, h, w, nonzero (and
     masked_nonzero for the colour image inside the region).
     """
+    return _audited(units, facts, tasks_for(len(MODALITIES) * units.count()))
+
+
+def _audited(units: DataFrame, facts: DataFrame, tasks: int) -> DataFrame:
+    """``file_audit`` in so many tasks, by path and then by unit."""
     long = units.select(
         "uid", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"{m}_path").alias("path")) for m in MODALITIES])).alias("s")
     ).select("uid", "s.*")
-    seen = long.join(facts.withColumn("_e", F.lit(True)), "path", "left")
+    seen = long.repartition(tasks, "path").join(merged(facts.withColumn("_e", F.lit(True)).repartition(tasks, "path")), "path", "left")
+    seen = seen.select("uid", "m", "_e", "readable", "h", "w", "nonzero").repartition(tasks, "uid")
     ok = F.coalesce(F.col("readable"), F.lit(False))
     wide = seen.groupBy("uid").agg(
         *[F.max(F.when(F.col("m") == m, F.coalesce("_e", F.lit(False)))).alias(f"{m}_exists") for m in MODALITIES],

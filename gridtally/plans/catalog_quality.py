@@ -29,9 +29,11 @@ def order_units(spark, sf):
 
 
 def line_facts(spark, sf):
+    li = table(spark, sf, "lineitem")
     return (
-        table(spark, sf, "lineitem")
-        .groupBy(F.concat_ws("_", F.lit("f"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path"))
+        li.withColumn("path", F.concat_ws("_", F.lit("f"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+        .select("path", "l_discount", "l_partkey", "l_quantity").repartition(Q.tasks_for(li.count()), "path")
+        .groupBy("path")
         .agg(
             F.max(F.col("l_discount") < 0.09).alias("readable"), (100 + F.max(F.col("l_partkey") % 50).cast("int") / 49).cast("int").alias("h"),
             F.lit(100).alias("w"), F.greatest(F.max("l_quantity").cast("bigint") - 5, F.lit(0)).alias("nonzero"),
