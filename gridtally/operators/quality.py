@@ -107,15 +107,18 @@ def count_mismatches(master: DataFrame, counts: DataFrame, col: str = "gt_count"
 
 def run_qc(master: DataFrame, counts: DataFrame, facts: DataFrame) -> DataFrame:
     """K5: attach or cross-check the counts, then the file audit and the count/mask check."""
+    tasks = tasks_for(len(MODALITIES) * master.count())
     if "gt_count" in master.columns:
         bad = count_mismatches(master, counts).orderBy("uid").limit(10).collect()
         if bad:
             raise ValueError("counts disagree: " + ", ".join(f"{r['uid']} {r['master_count']} vs {r['table_count']}" for r in bad))
         full = master
     else:
-        full = join_one_to_one(master, counts, ["uid"])
-    audited = file_audit(full, facts)
-    return count_mask_consistency(join_keys(audited, full.select("uid", "gt_count"), ["uid"]), "gt_count", "gt_nonempty")
+        full = join_one_to_one(master.repartition(tasks, "uid"), merged(counts.repartition(tasks, "uid")), ["uid"])
+    unit = F.struct("uid")  # a null uid equals itself in it
+    audited = _audited(full, facts, tasks).withColumn("_u", unit).repartition(tasks, "_u")
+    counted = full.select(unit.alias("_u"), "gt_count").repartition(tasks, "_u")
+    return count_mask_consistency(audited.join(merged(counted), "_u").drop("_u"), "gt_count", "gt_nonempty")
 
 
 def coverage_check(status: DataFrame, tol: float = 0.10) -> DataFrame:

@@ -24,3 +24,14 @@ def test_tasks_of_an_audit_grow_with_its_rows(spark, tables, monkeypatch):
     out = Q.file_audit(units, facts)
     assert out.rdd.getNumPartitions() == 25  # 31 units of four paths, five to a task
     assert rows(out) == want
+
+
+def test_counts_of_a_null_unit_are_attached_in_as_many_tasks(spark, tables, monkeypatch):
+    units, facts = tables
+    counts = units.selectExpr("uid", "uid % 2 as gt_count")
+    own = units.join(counts, units["uid"].eqNullSafe(counts["uid"])).select(units["*"], "gt_count")
+    want = rows(Q.run_qc(own.where("uid is not null"), counts.where("uid is not null"), facts))
+    monkeypatch.setattr(Q, "TASK_ROWS", 5)
+    got = Q.run_qc(units.where("uid is not null"), counts.where("uid is not null"), facts)
+    assert rows(got) == want and len(want) == 30 and got.rdd.getNumPartitions() == 24
+    assert len(rows(Q.run_qc(units, counts.where("uid is not null"), facts))) == 31
