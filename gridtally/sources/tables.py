@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridtally.functions import keys as K
-from gridtally.session import cut_lineage
+from gridtally.functions.digests import Sha256, resumable
+from gridtally.session import cut_lineage, scratch_path, ship_package
 
 # Fields of an annotation document that hold its points.
 POINT_FIELDS = ["coords", "coordinates", "points", "centroids", "xy"]
@@ -169,12 +172,110 @@ def read_runs(spark: SparkSession, root: str, policy: str, schema: T.StructType
     return rows.join(best, "run").where("_rank = _best").withColumn("preferred", F.col("_rank") == 0).drop("_path", "_rank", "_best")
 
 
+#: Files above so many bytes are read in blocks by several tasks. A block is what Spark reads as one split.
+WHOLE_BYTES = 64 << 20
+#: Bytes of the pieces that a block is stored in.
+PIECE_BYTES = 1 << 20
+#: Files that Spark's text reader would unpack; they are read whole.
+PACKED = "(?i)\\.(gz|bz2|deflate|lz4|snappy|zst|zstd)$"
+BOM = b"\xef\xbb\xbf"
+
+
+def _whole() -> Column:
+    """Which files are read whole. It names properties of files only, so the others are not opened."""
+    meta = F.col("_metadata")
+    return (meta["file_size"] <= WHOLE_BYTES) | meta["file_path"].rlike(PACKED)
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, start, seq, bytes) from the lines of blocks: each line with its line feed, joined to pieces."""
+    at, seq, held, n = None, 0, [], 0
+
+    def piece() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]], pa.int64()), pa.array([seq], pa.int64()), pa.array([b"\n".join(held) + b"\n"], pa.binary())], ["path", "start", "seq", "bytes"])
+
+    for batch in batches:
+        for path, start, line in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "line"))):
+            if at != (path, start) or n > PIECE_BYTES:
+                if held:
+                    yield piece()
+                seq, held, n, at = (seq + 1 if at == (path, start) else 0), [], 0, (path, start)
+            held.append(line)
+            n += len(line) + 1
+    if held:
+        yield piece()
+
+
+def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, left, bytes): the states after a block, from rows sorted by path and seq whose first is the state before it."""
+    path = digest = None
+    left = 0
+
+    def state() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([left], pa.int64()), pa.array([digest.state], pa.binary())], ["path", "left", "bytes"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            p, seq, more, data = (batch.column(c)[i].as_py() for c in ("path", "seq", "left", "bytes"))
+            if seq < 0:
+                if path is not None:
+                    yield state()
+                path, left, digest = p, more, Sha256(data)
+            else:  # the last line of a file gets a line feed that the file may not have
+                digest.update(data[:left])
+                left -= min(left, len(data))
+    if path is not None:
+        yield state()
+
+
+def hash_in_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, sha256), by ``_metadata.file_path``, of the files above ``WHOLE_BYTES``: their blocks are read side by side, and the state of each digest goes from block to block.
+
+    A digest is a chain, so there are as many rounds as the largest file has blocks, but a round reads one block of each file only. Blocks hold
+    whole lines, as Spark's text reader cuts them; a stretch without a line feed is held by one task.
+    """
+    ship_package(spark)
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(folder)
+    lines = lines.where(~_whole())
+    lines = lines.select(meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), F.col("value").cast("binary").alias("line"))
+    root = scratch_path(spark, "blocks")
+    lines.mapInArrow(_pieces, "path string, start long, seq long, bytes binary").write.partitionBy("start").parquet(root)
+    pieces = spark.read.schema("path string, seq long, bytes binary, start long").parquet(root)
+    read = pieces.groupBy("path").agg(F.sum(F.length("bytes")).alias("_read"))
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(~_whole()).select(meta["file_path"].alias("path"), F.col("length").alias("size_bytes"))
+    # Spark's reader leaves out a byte order mark at the start of a file, which shows in the number of bytes; a last line may get a line feed.
+    size, got = F.col("size_bytes"), F.col("_read")
+    left = F.when(got.isin(size, size + 1), size).when(got.isin(size - 3, size - 2), size - 3)
+    left = F.coalesce(left, F.raise_error(F.concat(F.lit("changed while it was read: "), F.col("path"))).cast("long"))
+    begun = read.join(sizes, "path").select("path", left.alias("left"), F.udf(_begun, "binary")(got < size).alias("bytes"))
+    state = cut_lineage(begun)
+    files = max(1, state.count())
+    for (start,) in sorted(pieces.select("start").distinct().collect()):
+        block = pieces.where(F.col("start") == start).select("path", "seq", F.lit(0).cast("long").alias("left"), "bytes")
+        rows = block.unionByName(state.select("path", F.lit(-1).cast("long").alias("seq"), "left", "bytes"))
+        state = cut_lineage(rows.repartition(files, "path").sortWithinPartitions("path", "seq").mapInArrow(_hashed, "path string, left long, bytes binary"))
+    return state.select("path", F.udf(lambda b: Sha256(b).hexdigest(), "string")("bytes").alias("sha256"))
+
+
+def _begun(marked: bool) -> bytes:
+    digest = Sha256()
+    if marked:
+        digest.update(BOM)
+    return digest.state
+
+
 def build_manifest(spark: SparkSession, folder: str, suffixes: list[str] | None = None) -> DataFrame:
-    """Relative path, size and SHA-256 of every file, sorted by path."""
+    """Relative path, size and SHA-256 of every file, sorted by path; large files are hashed block by block."""
     root = folder.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    got = files.select(F.regexp_replace(path, "^.*?" + root.lstrip("/"), "").alias("relpath"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    rel = lambda p: F.regexp_replace(F.regexp_replace(p, "^file:/+", "/"), "^.*?" + root.lstrip("/"), "")
+    digested = lambda df: df.select(rel("path").alias("relpath"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    parts = [digested(files.where(_whole()) if resumable() else files)]
+    long = files.where(~_whole()).select("path", F.col("length").alias("size_bytes"), F.col("_metadata.file_path").alias("_at"))
+    if resumable() and not long.isEmpty():
+        parts.append(long.join(hash_in_blocks(spark, folder).withColumnRenamed("path", "_at"), "_at").select(rel("path").alias("relpath"), "size_bytes", "sha256"))
+    got = reduce(DataFrame.unionByName, parts)
     if suffixes is not None:
         got = got.where(F.concat(F.lit("."), K.extension(F.col("relpath"))).isin(*suffixes))
     return got.orderBy("relpath")
