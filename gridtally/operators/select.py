@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridtally.operators.ranks import exact_quantiles, first_n_per_group
-from gridtally.session import join_keys
+from gridtally.session import cut_lineage, join_keys
 
 
 def filter_split(df: DataFrame, split: str) -> DataFrame:
@@ -35,13 +35,19 @@ def filter_consistent(df: DataFrame, flag: str) -> DataFrame:
     return df.where(F.coalesce(F.col(flag), F.lit(False)))
 
 
+#: Keys whose group one task finds.
+GROUP_ROWS = 20_000
+
+
 def bucket_by_group(df: DataFrame, uid: str, group: Column, unknown: str | None = None) -> DataFrame:
     """C4: membership of keys in groups as (grp, uid, n_in_group) rows.
 
-    One row per member instead of one list per group: a group may hold a third of the data.
+    One row per member instead of one list per group: a group may hold a third of the data. Finding the group of a key is
+    most of the work, so it is dealt by rows and done once.
     """
     g = group if unknown is None else F.coalesce(group, F.lit(unknown))
-    rows = df.select(g.alias("grp"), F.col(uid).alias("uid")).where(F.col("grp").isNotNull())
+    dealt = df.repartition(max(8, -(-df.count() // GROUP_ROWS)))
+    rows = cut_lineage(dealt.select(g.alias("grp"), F.col(uid).alias("uid"))).where(F.col("grp").isNotNull())
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n_in_group"))
     return join_keys(rows, sizes, ["grp"])
 
