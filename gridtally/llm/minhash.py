@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridtally.llm.common import grouped, mix, stored, unused
 from gridtally.llm.shingles import shingle_sets
 from gridtally.operators.components import graph_components, smallest_labels
-from gridtally.session import cut_lineage, ship_package
+from gridtally.session import cut_lineage, merged, ship_package
 
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40, about 1e-7.
 BANDS, ROWS = 40, 5
@@ -253,7 +253,7 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     edges = stored(confirmed(first, sets, percent), "edges")
     roots = stored(graph_components(edges), "roots")
 
-    comp = held.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    comp = held.join(merged(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     more = stored(across_components(comp, nodes, docs, sets, width, percent), "edges")
     return sk, classes, graph_components(edges.unionByName(more))
 
@@ -267,9 +267,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     one document: a link of any of them is a link of all. Only doc_id and text are read.
     """
     sk, classes, roots = _linked(docs.select("doc_id", "text"), width, percent)
-    named = classes.join(roots, "node", "left").select("f1", "f2", "n", F.coalesce("root", "node").alias("root"))
+    named = classes.join(merged(roots), "node", "left").select("f1", "f2", "n", F.coalesce("root", "node").alias("root"))
     ids = sk.select("doc_id", "n", "f1", "f2")
-    found = ids.join(named, ["f1", "f2", "n"], "left")
+    found = ids.join(merged(named), ["f1", "f2", "n"], "left")
     component = F.coalesce("root", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -283,16 +283,15 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     row = unused(docs, "_row")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     known = rows.select(F.col(row).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"))
-    named_rows = rows.select(F.col(row).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named_rows = rows.select(F.col(row).alias("_at"), F.col("doc_id").alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = cut_lineage(known.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
     if not shared.isEmpty():  # rows that share an id go by a number of their own, below all ids
         least = known.agg(F.min("doc_id")).first()[0]
         own = known.join(shared, "doc_id", "left_semi").select("_at", (F.lit(least - 1) - F.col("_at")).alias("_node"))
-        named_rows = named_rows.join(own, "_at", "left").select("_at", F.coalesce("_node", "doc_id").alias("doc_id"), "text")
+        named_rows = named_rows.join(own, "_at", "left").select("_at", "_id", F.coalesce("_node", "doc_id").alias("doc_id"), "text")
     near = near_duplicates(named_rows, width, percent)
-    by_node = named_rows.where("doc_id is not null").select(F.col("doc_id").alias("_node"), F.col("_at").alias(row))
-    member = near.where("doc_id is not null").select(F.col("doc_id").alias("_node"), "component_id").join(by_node, "_node")
-    named = member.join(rows.select(row, F.col("doc_id").alias("doc_id")), row)
+    by_node = named_rows.where("doc_id is not null").select(F.col("doc_id").alias("_node"), F.col("_at").alias(row), F.col("_id").alias("doc_id"))
+    named = near.where("doc_id is not null").select(F.col("doc_id").alias("_node"), "component_id").join(merged(by_node), "_node")
     first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(F.col("first")[row].alias(row))
     stay = first.unionByName(rows.where("doc_id is null").select(row))
-    return rows.join(stay, row, "left_semi").select(*docs.columns)
+    return rows.join(merged(stay), row, "left_semi").select(*docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridtally.session import cut_lineage
+from gridtally.session import cut_lineage, merged
 
 TILE = 256
 BIN_RUNS = 60_000
@@ -30,32 +30,31 @@ def smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lab
 
 
+def unsettled(e: DataFrame) -> bool:
+    """Whether some component of the edges u > v is not yet a star around its smallest node, which a round would leave as it is."""
+    end = lambda c, up: F.struct(F.col(c).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+    found = e.select(F.inline(F.array(end("u", 1), end("v", 0)))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return bool(found.agg(F.max(F.expr("up + down > 1 and up > 0"))).first()[0])
+
+
 def graph_components(edges: DataFrame) -> DataFrame:
     """Component of every node of an edge table (a, b), as (node, root) with the smallest node as root.
 
     Alternates large-star and small-star rounds (Kiveris et al., 2014). Neighbourhoods are only ever
     reduced by ``min``, so a node of any degree stays an ordinary aggregate. Each round is checkpointed, and rounds go
-    on until nothing changes; their number grows with the logarithm of the diameter.
+    on until all components are stars; their number grows with the logarithm of the diameter. Both joins merge what is shuffled
+    anyway: gathered on the driver, the minima of every round would cost it a job and a table each.
     """
+    edge = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = cut_lineage(e)
-    seen = None
-    while True:
-        mark = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if (mark["n"], mark["h"]) == seen or mark["n"] == 0:
-            break
-        seen = (mark["n"], mark["h"])
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while unsettled(e):
+        both = e.select(F.inline(F.array(edge("u", "v"), edge("v", "u"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(merged(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = (
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        e = cut_lineage(e)
+        small = large.join(merged(low), "u")
+        e = cut_lineage(small.select(F.inline(F.array(edge("v", "m"), edge("u", "m")))).where("u <> v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
