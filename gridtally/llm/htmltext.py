@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -53,6 +54,19 @@ MARKS = frozenset(
     "subscribe subscription signup login search toolbar pagination pager skip widget".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Tags that a worker remembers, and characters of a tag's attributes up to which it does.
+KNOWN_TAGS, KNOWN_CHARS = 1 << 14, 300
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NONE: frozenset = frozenset()
+
+
+def marks_of(attrs: str) -> frozenset:
+    """The words of the class, id and role in an opening tag's attributes, and their whole values after a dot."""
+    values = [a[1] or a[2] or a[3] for a in _ATTR.findall(attrs)]
+    return frozenset([w.lower() for v in values for w in _NAME.findall(v)] + ["." + w.lower() for v in values for w in v.split()]) if values else _NONE
+
+
+_known_marks = lru_cache(KNOWN_TAGS)(marks_of)
 
 
 def tokens(page: str | None) -> Iterator[tuple[str, str, frozenset]]:
@@ -60,18 +74,20 @@ def tokens(page: str | None) -> Iterator[tuple[str, str, frozenset]]:
     page = page or ""
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            yield "text", page[at : m.start()], frozenset()
-        at = m.end()
-        name = m["name"] or m["name2"]
+        start, end = m.span()
+        if start > at:
+            yield "text", page[at:start], _NONE
+        at = end
+        _, close, name, attrs, close2, name2, attrs2 = m.groups()
+        if not name:
+            close, name, attrs = close2, name2, attrs2
         if name:
-            close = m["close"] if m["name"] else m["close2"]
-            attrs = m["attrs"] if m["name"] else m["attrs2"]
-            values = [a[1] or a[2] or a[3] for a in _ATTR.findall(attrs)] if attrs and not close else []
-            marks = frozenset([w.lower() for v in values for w in _NAME.findall(v)] + ["." + w.lower() for v in values for w in v.split()]) if values else frozenset()
-            yield ("close" if close else "open"), name.lower(), marks
+            if close:
+                yield "close", name.lower(), _NONE
+            else:
+                yield "open", name.lower(), (_known_marks if len(attrs) <= KNOWN_CHARS else marks_of)(attrs) if attrs else _NONE
     if at < len(page):
-        yield "text", page[at:], frozenset()
+        yield "text", page[at:], _NONE
 
 
 def paired(page: str | None) -> Iterator[tuple[str, str, frozenset]]:
@@ -88,13 +104,26 @@ def paired(page: str | None) -> Iterator[tuple[str, str, frozenset]]:
         yield kind, value, marks
 
 
+def flat(text: str) -> str:
+    """A text segment with its references decoded and white space as one space."""
+    return " ".join(html.unescape(text).split())
+
+
+def hashed(kind: str, value: str, marks: frozenset) -> int:
+    words = " ".join(sorted(m for m in marks if m[0] != ".")) if marks else ""
+    return xxhash.xxh64_intdigest(f"{kind} {value} {words}".encode("utf-8", "surrogatepass")) >> 1
+
+
+_known_hash = lru_cache(KNOWN_TAGS)(hashed)
+
+
 def signature(kind: str, value: str, marks: frozenset) -> int | None:
     """Hash of a token for occurrence counts; None for blank text."""
     if kind == "text":
-        value = " ".join(html.unescape(value).split())
-        if not value:
-            return None
-    return xxhash.xxh64_intdigest(f"{kind} {value} {' '.join(sorted(m for m in marks if m[0] != '.'))}".encode("utf-8", "surrogatepass")) >> 1
+        value = flat(value)
+        return hashed(kind, value, marks) if value else None
+    chars = len(value) + sum(map(len, marks)) if marks else len(value)
+    return (_known_hash if chars <= KNOWN_CHARS else hashed)(kind, value, marks)
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -106,8 +135,11 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 some = pdf.iloc[start : start + 1000]
                 found: dict[tuple[str, int], list[int]] = {}
                 for host, uid, page in zip(some["host"], some["uid"], some["html"]):
+                    mixes: dict[int, int] = {}
                     for at, (sig, n) in enumerate(Counter(s for t in paired(page) if (s := signature(*t)) is not None).items()):
-                        mixed = xxhash.xxh64_intdigest(f"{uid} {n}")
+                        mixed = mixes.get(n)
+                        if mixed is None:
+                            mixed = mixes[n] = xxhash.xxh64_intdigest(f"{uid} {n}")
                         row = found.setdefault((host, sig), [0, 0, 0, 0, uid, at])
                         row[0] += 1
                         row[1] += n
@@ -181,7 +213,11 @@ def survey(page: str | None, made: Template) -> Iterator[tuple[str, int, int, tu
     opened: list[tuple[str, int]] = []
     inside: list[list[int]] = []  # classes with an unfinished instance: [class, next token]
     for kind, value, marks, place in walk(page):
-        sig = signature(kind, value, marks)
+        if kind == "text":
+            value = flat(value)
+            sig = hashed(kind, value, marks) if value else None
+        else:
+            sig = signature(kind, value, marks)
         if sig in made.root:
             slot = made.root[sig]
             for c, _ in inside:
@@ -204,11 +240,11 @@ def survey(page: str | None, made: Template) -> Iterator[tuple[str, int, int, tu
             if n + 1 >= made.size[c]:
                 del inside[at]
         if kind == "text":
-            if place != "drop" and (n := len(" ".join(html.unescape(value).split()))):
+            if place != "drop" and (n := len(value)):
                 yield "slot", slot, 0, (n, n * (link > 0), n * (place == "article"), n * (place == "main"), n * (head > 0 and sig not in made.fixed))
         elif value == "a":
             link = 1 if kind == "open" else 0
-        elif re.fullmatch("h[1-6]", value):
+        elif value in _HEADINGS:
             head = 1 if kind == "open" else 0
         elif value in CONTAINERS and value not in ("html", "body", "head"):
             if kind == "open":
@@ -311,30 +347,36 @@ def unwanted(name: str, marks: frozenset, in_article: bool) -> bool:
 def walk(page: str | None) -> Iterator[tuple[str, str, frozenset, str]]:
     """``paired`` tokens with the place of a text: 'article', 'main', 'drop' in an unwanted element, or ''."""
     stack: list[tuple[str, str]] = []  # container name; '', 'main', 'article', 'drop' or 'comments'
+    roles: set[str] = set()
+    inside = ""
     for kind, value, marks in paired(page):
         if kind == "text":
-            roles = {r for _, r in stack}
-            yield kind, value, marks, "drop" if "drop" in roles or "comments" in roles else "article" if "article" in roles else "main" if "main" in roles else ""
+            yield kind, value, marks, inside
             continue
         yield kind, value, marks, ""
         if kind == "close":
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == value), None)
-            if at is not None:
-                del stack[at:]
-            continue
-        roles = {r for _, r in stack}
-        if value == "body":
-            stack = [s for s in stack if s[0] == "html"]
-        if value in ("article", "main") and "comments" not in roles:
-            # an element that was left open before the article ends where the article begins
-            first = next((i for i, s in enumerate(stack) if s[1] == "drop"), len(stack))
-            del stack[first:]
-        if unwanted(value, marks, "article" in roles) and (value in CONTAINERS or value == "button" or value in EMBEDDED or marks):
-            role = "comments" if marks & COMMENTS else "drop"
+            if at is None:
+                continue
+            del stack[at:]
         else:
-            role = "article" if value == "article" else "main" if value == "main" or "main" in marks and value in CONTAINERS else ""
-        if value in CONTAINERS or (role in ("drop", "comments") and value not in _VOID):
-            stack.append((value, role))
+            held = len(stack)
+            if value == "body":
+                stack = [s for s in stack if s[0] == "html"]
+            if value in ("article", "main") and "comments" not in roles:
+                # an element that was left open before the article ends where the article begins
+                first = next((i for i, s in enumerate(stack) if s[1] == "drop"), len(stack))
+                del stack[first:]
+            if unwanted(value, marks, "article" in roles) and (value in CONTAINERS or value == "button" or value in EMBEDDED or marks):
+                role = "comments" if marks & COMMENTS else "drop"
+            else:
+                role = "article" if value == "article" else "main" if value == "main" or "main" in marks and value in CONTAINERS else ""
+            if value in CONTAINERS or (role in ("drop", "comments") and value not in _VOID):
+                stack.append((value, role))
+            elif len(stack) == held:
+                continue
+        roles = {r for _, r in stack}
+        inside = "drop" if "drop" in roles or "comments" in roles else "article" if "article" in roles else "main" if "main" in roles else ""
 
 
 def main_text(page: str | None, fixed: frozenset, made: Template | None = None) -> str:
@@ -345,30 +387,36 @@ def main_text(page: str | None, fixed: frozenset, made: Template | None = None)
     """
     made = made or Template()
     out: dict[str, list[str]] = {"article": [], "main": [], "slots": [], "": []}
-    slot = 0
+    ends = dict.fromkeys(out, 0)
+    slot = block = 0
+
+    def put(where: str, text: str) -> None:
+        if ends[where] != block:
+            ends[where] = block
+            out[where].append(" ")
+        out[where].append(text)
+
     for kind, value, marks, place in walk(page):
         sig = signature(kind, value, marks) if made.root or kind == "text" and place == "" else None
         slot = made.root.get(sig, slot)
         if kind != "text":
             if value not in INLINE:
-                for parts in out.values():
-                    parts.append(" ")
+                block += 1
             continue
         if place == "drop":
             continue
         text = html.unescape(value)
         if place:
-            out["main"].append(text)
+            put("main", text)
         if place == "article":
-            out["article"].append(text)
+            put("article", text)
         if sig not in fixed:
             if made.slots is not None and slot in made.slots:
-                out["slots"].append(text)
+                put("slots", text)
             if not place:
-                out[""].append(text)
-    joined = {k: " ".join("".join(v).split()) for k, v in out.items()}
+                put("", text)
     order = ("article", "main", "slots", "") if made.trusted else ("slots", "article", "main", "")
-    return next((joined[k] for k in order if joined[k]), "")
+    return next((found for k in order if (found := " ".join("".join(out[k]).split()))), "")
 
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr p li dt dd tr td th option".split())
