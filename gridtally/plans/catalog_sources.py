@@ -14,7 +14,7 @@ from gridtally.plans.catalog_spatial import CC, CONF, DIST, images, match_sql
 from gridtally.plans.registry import query
 from gridtally.session import scratch_path
 from gridtally.sources import tables as A
-from gridtally.sources.views import page_files, pixel_view, table, unit_view, with_views
+from gridtally.sources.views import object_pixel_view, page_files, pixel_view, table, unit_view, with_views
 from gridtally.streaming.resume import skip_completed
 
 
@@ -208,7 +208,7 @@ SCORED = LABELLED + f""", {gates_sql([(20.0, 0.1, "OR"), (20.0, 0.1, "AND")])},
 
 @query("f1_score_units", SCORED)
 def _(spark, sf):
-    px = pixel_view(spark, sf)
+    px = object_pixel_view(spark, sf).withColumnRenamed("side", "layer")  # a pixel may repeat: words of pixels take it once
     pred = px.where("layer = 'pred'").select("uid", F.lit("m").alias("model"), "y", "x")
     return EV.score_units(scored_units(spark, sf), px.where("layer = 'gt'").select("uid", "y", "x"), pred, ["m"])
 
@@ -219,7 +219,7 @@ GRID = [(d, o, p) for d in (5.0, 10.0, 20.0) for o in (0.0, 0.1, 0.3) for p in (
 @query("f25_sweep", LABELLED + f""", {gates_sql(GRID)}, s as (select 'm' as model, split, policy, d_max, min_iou, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, cast(sum(ignored) as bigint) as ignored from tl group by 2, 3, 4, 5)
  select *, {ok('tp', '(tp + fp)')} as precision, {ok('tp', '(tp + fn)')} as recall, {ok('2 * tp', '(2 * tp + fp + fn)')} as f1 from s""")
 def _(spark, sf):
-    px = pixel_view(spark, sf)
+    px = object_pixel_view(spark, sf).withColumnRenamed("side", "layer")  # a pixel may repeat: words of pixels take it once
     pred = px.where("layer = 'pred'").select("uid", F.lit("m").alias("model"), "y", "x")
     units = scored_units(spark, sf).select("uid", "split")
     return R.sweep_summary(EV.sweep(px.where("layer = 'gt'").select("uid", "y", "x"), pred, ["m"], [5.0, 10.0, 20.0], [0.0, 0.1, 0.3], units=units))

@@ -61,13 +61,18 @@ def score_units(
 
 
 def _pixel_counts(pixels: DataFrame, units: DataFrame, models: list[str]) -> DataFrame:
-    """Pixel confusion of every unit and model from one aggregation over positions."""
-    has = [F.max(F.coalesce(F.col("model") == m, F.lit(False))).alias(f"p{i}") for i, m in enumerate(models)]
-    per = pixels.groupBy("uid", "y", "x").agg(F.max(F.col("model").isNull()).alias("g"), *has)
+    """Pixel confusion of every unit and model from one aggregation over words of 64 positions, so no pixel is shuffled.
+
+    Positions without a column are kept apart: each image row has one of them.
+    """
+    has = {f"p{i}": F.coalesce(F.col("model") == m, F.lit(False)) for i, m in enumerate(models)}
+    placed = pixels.withColumn("_lone", F.col("x").isNull()).withColumn("x", F.coalesce("x", F.lit(0)))
+    per = C.pixel_words(placed, ["uid", "_lone"], g=F.col("model").isNull(), **has)
+    count = lambda word: F.sum(F.bit_count(word)).cast("bigint")
     aggs = []
     for i, _ in enumerate(models):
         p, g = F.col(f"p{i}"), F.col("g")
-        aggs += [F.count_if(g & p).alias(f"tp{i}"), F.count_if(~g & p).alias(f"fp{i}"), F.count_if(g & ~p).alias(f"fn{i}")]
+        aggs += [count(g.bitwiseAND(p)).alias(f"tp{i}"), count(p.bitwiseAND(F.bitwise_not(g))).alias(f"fp{i}"), count(g.bitwiseAND(F.bitwise_not(p))).alias(f"fn{i}")]
     n = units.select("uid", "h", "w").join(per.groupBy("uid").agg(*aggs), "uid", "left").fillna(0)
     long = n.select("uid", "h", "w", F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(f"tp{i}").alias("pix_tp"), F.col(f"fp{i}").alias("pix_fp"), F.col(f"fn{i}").alias("pix_fn")) for i, m in enumerate(models)
