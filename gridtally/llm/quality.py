@@ -104,7 +104,9 @@ def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
         m = shared.value
         b, slope, offset = m["fitted"]
         for pdf in frames:
-            yield pdf.assign(**{name: logistic(slope * margins(list(pdf["text"]), quality_ngrams, m["weight"], m["ratio"], b) + offset)})
+            for at in range(0, len(pdf), 1000):  # whole batches of texts would stand in memory once more on their way back
+                part = pdf.iloc[at : at + 1000]
+                yield part.assign(**{name: logistic(slope * margins(list(part["text"]), quality_ngrams, m["weight"], m["ratio"], b) + offset)})
 
     kept = docs.drop(name).withColumn("text", F.col("text").cast("string"))
     return kept.mapInPandas(run, schema=kept.withColumn(name, F.lit(0.0)).schema)
