@@ -1,13 +1,15 @@
 """Near-duplicate vectors by iterative quantisation (Gong et al., 2013) and multi-index Hamming tables.
 
-A rotation learnt on a bounded sample turns each vector into a balanced binary code. The code is cut into
-substrings, one table each, and vectors whose substrings differ in at most one bit in some table are compared
-by their cosine in double precision. Equal vectors form one class first. Crowded buckets are cut into blocks of
-bounded size, and a block returns link counts and a spanning forest, never its pairs.
+Rotations learnt on a bounded sample turn each vector into a balanced binary code. The code is cut into substrings,
+one table each, and vectors with an equal substring in some table are compared by their cosine in double precision.
+Substrings lengthen with the logarithm of the largest label, so that chance company stays rare, and there are as many
+tables as pairs at the limit need to meet. Equal vectors form one class first. Crowded buckets are cut into blocks of
+bounded size, and a batch of blocks returns link counts and a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,17 +17,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import grouped, stored
+from gridtally.llm.common import stored
 from gridtally.operators.components import graph_components, smallest_labels
-from gridtally.session import cut_lineage, ship_package
+from gridtally.session import cut_lineage, merged, ship_package
 
-#: Classes the rotation is learnt from, picked by hash.
+#: Classes the rotations are learnt from, picked by hash.
 SAMPLE = 4_096
-BITS, TABLES, ROUNDS = 64, 4, 40
-SUB = BITS // TABLES
-#: Vectors of each side of a block.
-BLOCK = 512
-_ONES = np.array([bin(i).count("1") for i in range(1 << SUB)], dtype=np.uint8)
+#: Bits of one rotation and rounds of its learning; below LOW dimensions further rotations stay random, as learning would repeat the first.
+BITS, ROUNDS, LOW = 64, 40, 16
+#: Share of the pairs at the limit that may meet in no table.
+MISS = 0.001
+#: Cost of a vector sent to a bucket with company, and of a pair compared, in rows of a table.
+SENT, PAIR = 16, 0.04
+#: Vectors of each side of a block; blocks up to FEW rows are compared together.
+BLOCK, FEW = 512, 48
 
 
 def unit_rows(vectors: list) -> np.ndarray:
@@ -35,15 +40,15 @@ def unit_rows(vectors: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def rotation(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rotation(x: np.ndarray, seed: int = 3, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection (dimension x bits) of iterative quantisation; bits is at most the dimension."""
     mean = x.mean(axis=0)
     centred = x - mean
     _, axes = np.linalg.eigh(centred.T @ centred)
     axes = axes[:, ::-1][:, : min(BITS, x.shape[1])]
     v = centred @ axes
-    r, _ = np.linalg.qr(np.random.default_rng(3).standard_normal((axes.shape[1], axes.shape[1])))
-    for _ in range(ROUNDS):
+    r, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((axes.shape[1], axes.shape[1])))
+    for _ in range(rounds):
         left, _, right = np.linalg.svd(v.T @ np.where(v @ r >= 0, 1.0, -1.0))
         r = left @ right
     return mean, axes @ r
@@ -55,56 +60,137 @@ def codes(x: np.ndarray, mean: np.ndarray, project: np.ndarray) -> np.ndarray:
     return (on.astype(np.uint64) << np.arange(on.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    mean, project = rotation(unit_rows(list(pdf.sort_values("node")["vector"])))
-    return pd.DataFrame({"d": [int(pdf["d"].iloc[0])], "mean": [mean.tobytes()], "project": [project.tobytes()]})
+def agreement(x: np.ndarray, mean: np.ndarray, project: np.ndarray, cosine: float) -> float:
+    """Share of equal bits between rows and partners planted at the limit in random directions."""
+    away = np.random.default_rng(5).standard_normal(x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.maximum(np.sqrt((away * away).sum(axis=1, keepdims=True)), 1e-300)
+    partner = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * away
+    return float((((x - mean) @ project >= 0) == ((partner - mean) @ project >= 0)).mean())
 
 
-def learn(classes: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per dimension met in the sample, the mean and projection."""
+def layout(n: int, agree: float) -> tuple[int, int]:
+    """Substring width and number of tables for ``n`` vectors of a label, of the least cost that misses at most MISS."""
+    agree = min(max(agree, 0.5), 1 - 1e-9)
+
+    def tables(width: int) -> int:
+        return 1 if width == 0 else math.ceil(math.log(MISS) / math.log1p(-(agree**width)))
+
+    def cost(width: int) -> float:
+        company = n / 2**width
+        return tables(width) * (1 + SENT * min(1.0, company) + PAIR * company)
+
+    width = min(range(63), key=cost)
+    return width, tables(width)
+
+
+def model(x: np.ndarray, n: int, cosine: float) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Width, tables, mean and the projections of all tables side by side."""
+    mean, first = rotation(x)
+    width, tables = layout(n, agreement(x, mean, first, cosine))
+    turns = [first]
+    while len(turns) * first.shape[1] < width * tables:
+        turns.append(rotation(x, 3 + len(turns), ROUNDS if x.shape[1] >= LOW else 0)[1])
+    return width, tables, mean, np.hstack(turns)[:, : width * tables]
+
+
+def unlearnt(d: int, n: int, cosine: float) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """The model of a dimension that the sample did not meet: random rotations about the origin."""
+    width, tables = layout(n, 1 - math.acos(min(max(cosine, -1.0), 1.0)) / math.pi)
+    rng = np.random.default_rng(3)
+    turns = [np.linalg.qr(rng.standard_normal((d, d)))[0][:, :BITS] for _ in range(max(1, -(-width * tables // min(d, BITS))))]
+    return width, tables, np.zeros(d), np.hstack(turns)[:, : width * tables]
+
+
+def substrings(x: np.ndarray, width: int, tables: int, mean: np.ndarray, project: np.ndarray) -> np.ndarray:
+    """The substring of each row (rows x tables)."""
+    return np.stack([codes(x, mean, project[:, t * width : (t + 1) * width]) for t in range(tables)], axis=1).view(np.int64)
+
+
+def learn(classes: DataFrame, n: int, cosine: float, sample: int = SAMPLE) -> dict[int, tuple[int, int, np.ndarray, np.ndarray]]:
+    """Per dimension met in the sample, its model."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        width, tables, mean, project = model(unit_rows(list(pdf.sort_values("node")["vector"])), n, cosine)
+        return pd.DataFrame({"d": [int(pdf["d"].iloc[0])], "width": [width], "tables": [tables], "mean": [mean.tobytes()], "project": [project.tobytes()]})
+
     picks = classes.select("node", "d", "vector").orderBy(F.xxhash64("node"), "node").limit(sample)
-    rows = picks.groupBy("d").applyInPandas(lambda pdf: _fit(pdf), "d int, mean binary, project binary").collect()
-    return {r["d"]: (np.frombuffer(r["mean"]), np.frombuffer(r["project"]).reshape(r["d"], -1)) for r in rows}
+    rows = picks.groupBy("d").applyInPandas(fit, "d int, width int, tables int, mean binary, project binary").collect()
+    return {r["d"]: (r["width"], r["tables"], np.frombuffer(r["mean"]), np.frombuffer(r["project"]).reshape(r["d"], -1)) for r in rows}
+
+
+def _few_pairs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i < j) of rows within blocks of these sizes, which lie one after another."""
+    after = np.repeat(np.cumsum(size), size) - np.arange(size.sum()) - 1
+    i = np.repeat(np.arange(len(after)), after)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+
+
+def _unmet(subs: np.ndarray, t: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that meet in table t of their block and in none before."""
+    for k in range(int(t.max(initial=0))):
+        stay = (t[i] <= k) | (subs[i, k] != subs[j, k])
+        i, j = i[stay], j[stay]
+    return i, j
 
 
-def _block(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Link counts (a, n) and forest edges (a, b) of one block.
+def _links(pdf: pd.DataFrame, block: list[str], cosine: float) -> pd.DataFrame:
+    """Link counts (a, mark, n) and forest edges (a, b) of whole blocks of one dimension, which lie one after another.
 
-    ``side`` 0 and 1 are the two sides. Rows of side 0 meet each other if ``own``; a pair is counted in the first table where
-    its substrings differ in at most one bit.
+    ``side`` 0 and 1 are the two sides of a block. Rows of side 0 meet each other if ``own``; a pair is counted in the first
+    table that it shares.
     """
-    pdf = pdf.sort_values(["node", "side"], kind="stable").reset_index(drop=True)
-    x, code, node = unit_rows(list(pdf["vector"])), pdf["code"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
-    copies, side, t = pdf["copies"].to_numpy(), pdf["side"].to_numpy(), int(pdf["t"].iloc[0])
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    found = []
-    if len(right):
-        i, j = np.nonzero(x[left] @ x[right].T >= cosine)
-        found.append((left[i], right[j]))
-    if bool(pdf["own"].iloc[0]):
-        i, j = np.nonzero(np.triu(x[left] @ x[left].T >= cosine, 1))
-        found.append((left[i], left[j]))
-    if not found:
-        return _NONE
+    pdf = pdf.reset_index(drop=True)
+    x, subs, t = unit_rows(list(pdf["vector"])), np.stack(list(pdf["subs"])), pdf["t"].to_numpy()
+    node, mark, copies, side, own = (pdf[c].to_numpy() for c in ("node", "mark", "copies", "side", "own"))
+    start = np.flatnonzero((pdf[block] != pdf[block].shift()).any(axis=1).to_numpy())
+    size = np.diff(np.append(start, len(pdf)))
+    few = size <= FEW
+    at = np.flatnonzero(np.repeat(few, size))
+    i, j = _few_pairs(size[few])
+    i, j = at[i], at[j]
+    meet = own[i] | (side[i] != side[j])
+    i, j = _unmet(subs, t, i[meet], j[meet])
+    step = max(1, (1 << 20) // x.shape[1])
+    near = [np.einsum("ij,ij->i", x[i[k : k + step]], x[j[k : k + step]]) >= cosine for k in range(0, len(i), step)]
+    near = np.concatenate([*near, np.zeros(0, bool)])
+    found = [(i[near], j[near])]
+    for lo, n in zip(start[~few], size[~few]):
+        left, right = (lo + np.flatnonzero(side[lo : lo + n] == s) for s in (0, 1))
+        if own[lo]:
+            i, j = np.nonzero(np.triu(x[left] @ x[left].T >= cosine, 1))
+            found.append(_unmet(subs, t, left[i], left[j]))
+        if len(right):
+            i, j = np.nonzero(x[left] @ x[right].T >= cosine)
+            found.append(_unmet(subs, t, left[i], right[j]))
     i, j = (np.concatenate(p) for p in zip(*found))
-    away = code[i] ^ code[j]
-    first = (node[i] != node[j]) | (pdf["mark"].to_numpy()[i] != pdf["mark"].to_numpy()[j])
-    for k in range(t):
-        first &= _ONES[((away >> np.uint64(k * SUB)) & np.uint64((1 << SUB) - 1)).astype(np.int64)] > 1
-    i, j = i[first], j[first]
-    if not len(i):
-        return _NONE
     n = np.bincount(i, copies[j], len(pdf)) + np.bincount(j, copies[i], len(pdf))
     root = smallest_labels(len(pdf), i, j)
     at = np.flatnonzero(n > 0)
     edge = np.flatnonzero(root != np.arange(len(pdf)))
     return pd.DataFrame({
-        "a": np.concatenate([node[at], node[edge]]), "mark": np.concatenate([pdf["mark"].to_numpy()[at], np.zeros(len(edge), "int64")]),
+        "a": np.concatenate([node[at], node[edge]]), "mark": np.concatenate([mark[at], np.zeros(len(edge), "int64")]),
         "b": np.concatenate([np.full(len(at), -1), node[root[edge]]]), "n": np.concatenate([n[at].astype("int64"), np.zeros(len(edge), "int64")]),
     })
 
 
-_NONE = pd.DataFrame({"a": pd.Series(dtype="int64"), "mark": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
+def whole_blocks(frames: Iterator[pd.DataFrame], block: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted batches cut at block ends; only the open block is carried over."""
+    rest: list[pd.DataFrame] = []
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        last = int(np.flatnonzero((pdf[block] != pdf[block].shift()).any(axis=1).to_numpy())[-1])
+        goes_on = bool(rest) and (rest[-1][block].iloc[-1] == pdf[block].iloc[0]).all()
+        if goes_on and last == 0:
+            rest.append(pdf)
+            continue
+        done = [*rest, pdf.iloc[:last]] if last else rest
+        rest = [pdf.iloc[last:]]
+        if done:
+            yield pd.concat(done, ignore_index=True)
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
 
 
 def usable(vector: Column) -> Column:
@@ -132,50 +218,39 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMPLE)
     ship_package(vectors.sparkSession)
     rows, classes = _classes(vectors.select("vec_id", "label", "embedding"))
     classes = stored(classes, "vectors")
-    shared = vectors.sparkSession.sparkContext.broadcast(learn(classes, sample))
+    largest = classes.groupBy("label", "d").count().agg(F.max("count")).first()[0] or 1
+    shared = vectors.sparkSession.sparkContext.broadcast(learn(classes, largest, cosine, sample))
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = shared.value
         for pdf in frames:
-            code = np.zeros(len(pdf), np.uint64)
-            dims = pdf["d"].to_numpy()
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                mean, project = models.get(int(d)) or (np.zeros(d), np.linalg.qr(np.random.default_rng(3).standard_normal((d, d)))[0][:, :BITS])
-                code[at] = codes(unit_rows(list(pdf["vector"].iloc[at])), mean, project)
-            yield pdf.assign(code=code.view(np.int64))
-
-    coded = stored(classes.select("label", "d", "node", "mark", "copies", "vector").mapInPandas(encode, classes.select("label", "d", "node", "mark", "copies", "vector").withColumn("code", F.lit(0).cast("long")).schema), "codes")
-    sub = F.expr(f"cast(shiftright(code, t * {SUB}) & {(1 << SUB) - 1} as int)")
-    own = coded.select("label", "d", "node", "mark", "code", F.explode(F.array([F.lit(t) for t in range(TABLES)])).alias("t")).withColumn("sub", sub)
-    flips = F.filter(F.array([F.lit(1 << i) for i in range(SUB)]), lambda f: F.col("sub").bitwiseAND(f) == 0)
-    probe = own.withColumn("flip", F.explode(flips)).select("label", "d", "node", "mark", "t", F.col("sub").bitwiseOR(F.col("flip")).alias("sub"), F.lit(1).alias("side"))
-    both = stored(own.select("label", "d", "node", "mark", "t", "sub", F.lit(0).alias("side")).unionByName(probe), "tables")
+            parts = []
+            for d, part in pdf.groupby("d"):
+                if d not in models:
+                    models[d] = unlearnt(d, largest, cosine)
+                parts.append(part.assign(subs=list(substrings(unit_rows(list(part["vector"])), *models[d]))))
+            if parts:
+                yield pd.concat(parts)
+
+    plain = classes.select("label", "d", "node", "mark", "copies", "vector")
+    coded = stored(plain.mapInPandas(encode, plain.withColumn("subs", F.array(F.lit(0).cast("long"))).schema), "codes")
     key = ["label", "d", "t", "sub"]
-    size = both.groupBy(*key).agg(F.count(F.when(F.col("side") == 0, 1)).alias("ni"), F.count(F.when(F.col("side") == 1, 1)).alias("nq")).where("ni > 0 and ni + nq > 1")
-    size = size.withColumn("ci", F.ceil(F.col("ni") / BLOCK).cast("int")).withColumn("cq", F.ceil(F.col("nq") / BLOCK).cast("int"))
-    placed = both.join(size.select(*key, "ci", "cq"), key)
-    chunk = F.pmod(F.xxhash64("node", "mark"), F.when(F.col("side") == 0, F.col("ci")).otherwise(F.col("cq"))).cast("int")
-    placed = placed.withColumn("c", chunk)
-    # one block where a bucket fits; else chunk pairs (0: rows with rows, 1: rows with probes)
-    whole = (F.col("ci") == 1) & (F.col("cq") <= 1)
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    spot = lambda kind, i, j, side, own_: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"), own_.alias("own"))
-    zero, c = F.lit(0), F.col("c")
-    rows_pairs = F.transform(upto(F.col("ci")), lambda j: spot(0, F.least(c, j), F.greatest(c, j), F.when(c > j, 1).otherwise(0), c == j))
-    rows_probes = F.when(F.col("cq") > 0, F.transform(upto(F.greatest(F.col("cq"), F.lit(1))), lambda j: spot(1, c, j, zero, F.lit(False)))).otherwise(F.slice(F.array(spot(1, zero, zero, zero, F.lit(False))), 1, 0))
-    probes_rows = F.transform(upto(F.col("ci")), lambda i: spot(1, i, c, F.lit(1), F.lit(False)))
-    spots = (
-        F.when(whole, F.array(spot(2, zero, zero, F.col("side"), F.lit(True))))
-        .when(F.col("side") == 0, F.concat(rows_pairs, rows_probes)).otherwise(probes_rows)
-    )
-    sent = placed.select(*key, "node", "mark", F.explode(spots).alias("s")).select(*key, "node", "mark", "s.kind", "s.i", "s.j", "s.side", "s.own")
-    full = sent.join(coded.select("label", "d", "node", "mark", "copies", "vector", "code"), ["label", "d", "node", "mark"])
-    block = [*key, "kind", "i", "j"]
+    held = coded.select("label", "d", "node", "mark", F.posexplode("subs").alias("t", "sub"))
+    size = held.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    placed = held.join(merged(size), key).select(*key, "node", "mark", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks"))
+    full = placed.join(merged(coded), ["label", "d", "node", "mark"])
+    # a chunk meets itself and every other one, after the join: rows of one bucket are spread by then
+    c = F.pmod(F.xxhash64("node", "mark"), F.col("chunks")).cast("int")
+    spot = lambda j: F.struct(F.least(c, j).alias("i"), F.greatest(c, j).alias("j"), F.when(c > j, 1).otherwise(0).alias("side"), (c == j).alias("own"))
+    spots = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), spot))
+    block = [*key, "i", "j"]
+    full = full.select(*key, "node", "mark", "copies", "vector", "subs", spots.alias("s")).select("*", "s.i", "s.j", "s.side", "s.own").drop("s")
     dealt = full.repartition(*block).sortWithinPartitions(*block)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from grouped(frames, block, lambda pdf: _block(pdf, cosine))
+        for pdf in whole_blocks(frames, block):
+            for _, part in pdf.groupby("d"):
+                yield _links(part, block, cosine)
 
     found = stored(dealt.mapInPandas(run, "a long, mark long, b long, n long"), "links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("node"), "mark").agg(F.sum("n").alias("n"))
