@@ -29,8 +29,8 @@ BITS, ROUNDS, LOW = 64, 40, 16
 MISS = 0.001
 #: Cost of a vector sent to a bucket with company, and of a pair compared, in rows of a table.
 SENT, PAIR = 16, 0.04
-#: Vectors of each side of a block; blocks up to FEW rows are compared together.
-BLOCK, FEW = 512, 48
+#: Vectors of each side of a block, which STRIPE of them at a time are compared; blocks up to FEW rows are compared together.
+BLOCK, STRIPE, FEW = 2_048, 512, 48
 
 
 def unit_rows(vectors: list) -> np.ndarray:
@@ -154,18 +154,26 @@ def _links(pdf: pd.DataFrame, block: list[str], cosine: float) -> pd.DataFrame:
     step = max(1, (1 << 20) // x.shape[1])
     near = [np.einsum("ij,ij->i", x[i[k : k + step]], x[j[k : k + step]]) >= cosine for k in range(0, len(i), step)]
     near = np.concatenate([*near, np.zeros(0, bool)])
-    found = [(i[near], j[near])]
-    for lo, n in zip(start[~few], size[~few]):
-        left, right = (lo + np.flatnonzero(side[lo : lo + n] == s) for s in (0, 1))
-        if own[lo]:
-            i, j = np.nonzero(np.triu(x[left] @ x[left].T >= cosine, 1))
-            found.append(_unmet(subs, t, left[i], left[j]))
-        if len(right):
-            i, j = np.nonzero(x[left] @ x[right].T >= cosine)
-            found.append(_unmet(subs, t, left[i], right[j]))
-    i, j = (np.concatenate(p) for p in zip(*found))
-    n = np.bincount(i, copies[j], len(pdf)) + np.bincount(j, copies[i], len(pdf))
-    root = smallest_labels(len(pdf), i, j)
+    n, forest = np.zeros(len(pdf)), []
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        np.add(n, np.bincount(i, copies[j], len(pdf)) + np.bincount(j, copies[i], len(pdf)), out=n)
+        root = smallest_labels(len(pdf), i, j)
+        edge = np.flatnonzero(root != np.arange(len(pdf)))
+        forest.append((root[edge], edge))
+
+    take(i[near], j[near])
+    for lo, rows in zip(start[~few], size[~few]):
+        left, right = (lo + np.flatnonzero(side[lo : lo + rows] == s) for s in (0, 1))
+        for k in range(0, len(left), STRIPE):
+            part = left[k : k + STRIPE]
+            if own[lo]:
+                i, j = np.nonzero(np.triu(x[part] @ x[left].T >= cosine, k + 1))
+                take(*_unmet(subs, t, part[i], left[j]))
+            if len(right):
+                i, j = np.nonzero(x[part] @ x[right].T >= cosine)
+                take(*_unmet(subs, t, part[i], right[j]))
+    root = smallest_labels(len(pdf), *(np.concatenate(p) for p in zip(*forest)))
     at = np.flatnonzero(n > 0)
     edge = np.flatnonzero(root != np.arange(len(pdf)))
     return pd.DataFrame({

@@ -53,7 +53,8 @@ def counted(pdf):
     return out
 
 
-def test_many_blocks_in_batches():
+def test_many_blocks_in_batches(monkeypatch):
+    monkeypatch.setattr(embeddings, "STRIPE", 20)
     pdf = block_rows(np.random.default_rng(9), [2, 3, 1, 60, 2, 75, 1, 5, 4, 2, 2, 90, 3, 3])
     for batch in (1, 7, 64, 1_000):
         frames = [pdf.iloc[k : k + batch] for k in range(0, len(pdf), batch)]
