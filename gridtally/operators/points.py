@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridtally.operators.components import graph_components, has_bit, label_runs, merge_runs, object_attributes, pixel_words, runs_from_pixels, word_at
+from gridtally.operators.components import WORD, graph_components, has_bit, label_runs, merge_runs, object_attributes, pixel_words, runs_from_pixels, word_at
 from gridtally.operators.ranks import first_n_per_group
 from gridtally.operators.spatial import box_rows, distance_pairs, points_in_box, points_in_words, run_overlaps
 from gridtally.session import cut_lineage, join_keys, merged, ratio
@@ -269,9 +269,9 @@ def local_maxima(cells: DataFrame, threshold: float, r: int, border: int = 0, fr
     """Cells that equal the maximum of their (2r+1)-square window and reach the threshold; plateaus stay.
 
     Cells are copied to the 2r+1 rows their window reaches; the maximum along x is a range window over one
-    image row, so nothing is paired.
+    image row, so nothing is paired. A cell below the threshold is no maximum and exceeds none, so only the others are copied.
     """
-    copies = cells.select(*keys, "y", "x", "p", F.explode(F.sequence(F.lit(-r), F.lit(r))).alias("_d")).withColumn("_row", F.col("y") + F.col("_d"))
+    copies = cells.where(F.col("p") >= threshold).select(*keys, "y", "x", "p", F.explode(F.sequence(F.lit(-r), F.lit(r))).alias("_d")).withColumn("_row", F.col("y") + F.col("_d"))
     w = W.partitionBy(*keys, "_row").orderBy("x").rangeBetween(-r, r)
     top = copies.withColumn("_m", F.max("p").over(w)).where("_d = 0")
     got = top.where((F.col("p") == F.greatest("_m", F.lit(0.0))) & (F.col("p") >= threshold)).select(*keys, "y", "x", "p")
@@ -392,12 +392,26 @@ def _tile(at: Column) -> Column:
     return F.floor(at / F.lit(CELL_TILE))
 
 
-def kernel_sum(cells: DataFrame, weights: list[float], frame: tuple[int, int], keys: list[str] = ["uid"]) -> DataFrame:
-    """Smoothing of sparse cells by a separable symmetric kernel, one axis after the other.
+def _tiles(at: Column, rim: int) -> Column:
+    """The tiles that hold ``at`` within themselves or ``rim`` cells around."""
+    return F.array(*[_tile(at + o) for o in (*range(-rim, rim, CELL_TILE), rim)])
 
-    The image is mirrored at the frame edge: a tap that falls outside is folded back to where its mirror lies. Cells go to
-    the tiles that their taps reach, and both axes are summed there.
-    """
+
+def _held(at: Column, tile: Column, rim: int) -> Column:
+    """Whether ``tile`` with its rim holds ``at``; a missing place is held by the missing tile."""
+    return F.coalesce((at >= tile * CELL_TILE - rim) & (at < (tile + 1) * CELL_TILE + rim), at.isNull())
+
+
+def _own() -> Column:
+    return _tile(F.col("y")).eqNullSafe(F.col("_ty")) & _tile(F.col("x")).eqNullSafe(F.col("_tx"))
+
+
+def _places(cells: DataFrame, keys: list[str]) -> DataFrame:
+    return cut_lineage(cells.groupBy(*keys, "y", "x").agg(F.sum("p").alias("p")))
+
+
+def _smoothed(places: DataFrame, weights: list[float], frame: tuple[int, int], keys: list[str], cells: int, rim: int = 0) -> DataFrame:
+    """The smoothed cells of every tile (_ty, _tx) and of ``rim`` cells around it."""
     r = len(weights) // 2
     taps = F.array(*[F.struct(F.lit(i - r).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(weights)])
     tile = [*keys, "_ty", "_tx"]
@@ -407,16 +421,57 @@ def kernel_sum(cells: DataFrame, weights: list[float], frame: tuple[int, int], k
         return F.when(m < n, m).otherwise(2 * n - 1 - m)
 
     def reached(axis: str, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda d: _tile(folded(F.col(axis) + d, n)))
+        return F.flatten(F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda d: _tiles(folded(F.col(axis) + d, n), rim)))
 
     def blur(df: DataFrame, axis: str, n: int) -> DataFrame:
         other = "x" if axis == "y" else "y"
         t = df.withColumn("_t", F.explode(taps)).select(*tile, other, folded(F.col(axis) + F.col("_t.d"), n).alias(axis), (F.col("p") * F.col("_t.w")).alias("p"))
-        return t.where(_tile(F.col(axis)).eqNullSafe(F.col(f"_t{axis}"))).groupBy(*tile, "y", "x").agg(F.sum("p").alias("p"))
+        return t.where(_held(F.col(axis), F.col(f"_t{axis}"), rim)).groupBy(*tile, "y", "x").agg(F.sum("p").alias("p"))
+
+    dealt = _dealt(places, keys, reached("y", frame[0]), reached("x", frame[1]), cells)
+    return blur(blur(dealt, "x", frame[1]), "y", frame[0])
+
+
+def kernel_sum(cells: DataFrame, weights: list[float], frame: tuple[int, int], keys: list[str] = ["uid"]) -> DataFrame:
+    """Smoothing of sparse cells by a separable symmetric kernel, one axis after the other.
+
+    The image is mirrored at the frame edge: a tap that falls outside is folded back to where its mirror lies. Cells go to
+    the tiles that their taps reach, and both axes are summed there.
+    """
+    one = _places(cells, keys)
+    return _smoothed(one, weights, frame, keys, one.count() * len(weights) ** 2).select(*keys, "y", "x", "p")
 
-    one = cut_lineage(cells.groupBy(*keys, "y", "x").agg(F.sum("p").alias("p")))
-    dealt = _dealt(one, keys, reached("y", frame[0]), reached("x", frame[1]), one.count() * len(weights) ** 2)
-    return blur(blur(dealt, "x", frame[1]), "y", frame[0]).select(*keys, "y", "x", "p")
+
+def _region_boxes(roi: DataFrame, frame: tuple[int, int], keys: list[str]) -> DataFrame:
+    """A region as boxes (y1, x1, y2, x2 end-exclusive): its own, clipped to the frame, or the runs of its pixels."""
+    if "y1" not in roi.columns:
+        runs = runs_from_pixels(roi, keys)
+        return cut_lineage(runs.select(*keys, F.col("y").cast("bigint").alias("y1"), F.col("x0").alias("x1"), (F.col("y") + 1).cast("bigint").alias("y2"), (F.col("x1") + 1).alias("x2")))
+    low, high = (lambda c: F.greatest(F.col(c), F.lit(0)).alias(c)), (lambda c, n: F.least(F.col(c), F.lit(n)).alias(c))
+    whole = roi.dropna(subset=["y1", "x1", "y2", "x2"])
+    return whole.select(*keys, low("y1"), low("x1"), high("y2", frame[0]), high("x2", frame[1])).where("y2 > y1 and x2 > x1")
+
+
+def _in_region(cells: DataFrame, boxes: DataFrame, keys: list[str], n: int, rim: int) -> DataFrame:
+    """Cells of tiles with a rim that lie in the boxes, which are dealt like the cells and become words of pixels in the tile.
+
+    Only the tile is an equation for the join, so that it takes both sides as they were dealt; the place is a condition over the
+    few words of a tile.
+    """
+    tile = [*keys, "_ty", "_tx"]
+    reached = lambda a: F.sequence(_tile(F.col(f"{a}1") - rim), _tile(F.col(f"{a}2") - 1 + rim))
+    low = lambda a: F.greatest(F.col(f"{a}1"), F.col(f"_t{a}") * CELL_TILE - rim)
+    high = lambda a: F.least(F.col(f"{a}2"), (F.col(f"_t{a}") + 1) * CELL_TILE + rim) - 1
+    rows = _dealt(boxes, keys, reached("y"), reached("x"), n).select(*tile, F.explode(F.sequence(low("y"), high("y"))).alias("_y"), low("x").alias("_x0"), high("x").alias("_x1"))
+    words = rows.withColumn("_w", F.explode(F.sequence(word_at(F.col("_x0")), word_at(F.col("_x1")))))
+    shift = lambda way, by: F.call_function(way, F.lit(-1).cast("bigint"), by.cast("int"))
+    first, last = F.greatest(F.col("_x0") - F.col("_w") * WORD, F.lit(0)), F.least(F.col("_x1") - F.col("_w") * WORD, F.lit(WORD - 1))
+    bits = shift("shiftleft", first).bitwiseAND(shift("shiftrightunsigned", WORD - 1 - last))
+    words = words.groupBy(*tile, "_y", "_w").agg(F.bit_or(bits).alias("_bits"))
+    words = merged(words.select(*[F.col(k).alias(f"_r_{k}") for k in tile], "_y", "_w", "_bits"))
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"_r_{k}") for k in tile])
+    here = (F.col("y") - F.col("_y") == 0) & (word_at(F.col("x")) - F.col("_w") == 0) & has_bit(F.col("_bits"), F.col("x"))
+    return cells.join(words, same & here, "left_semi")
 
 
 def detect_points(
@@ -424,17 +479,31 @@ def detect_points(
 ) -> DataFrame:
     """Smooth, apply the region, find maxima, suppress neighbours, in this order.
 
-    Smoothed values are rounded to nine decimals, so that the order of a floating-point sum cannot break a plateau.
+    Smoothed values are rounded to nine decimals, so that the order of a floating-point sum cannot break a plateau. The region
+    is a table of pixels (y, x) or of boxes (y1, x1, y2, x2). Only unsmoothed cells and boxes are shuffled: a tile makes the smoothed cells of
+    itself and of ``r`` cells around it, and takes the region and the maxima in the same task.
     """
     for name, v in (("sigma", sigma), ("threshold", threshold), ("distance", nms_dist), ("border", border)):
         if v < 0:
             raise ValueError(f"negative {name}: {v}")
     if r < 0:
         raise ValueError(f"a window needs at least one cell, its radius is {r}")
-    x = kernel_sum(cells, gauss_weights(sigma), frame, keys).withColumn("p", F.round("p", 9)) if sigma > 0 else cells
+    weights = gauss_weights(sigma) if sigma > 0 else [1.0]
+    places = _places(cells, keys) if sigma > 0 else cut_lineage(cells.select(*keys, "y", "x", "p").where(F.col("p") >= threshold))
+    n = places.count() * len(weights) ** 2
+    if roi is not None:
+        boxes = _region_boxes(roi, frame, keys)
+        words = (F.col("y2") - F.col("y1")) * (word_at(F.col("x2") - 1) - word_at(F.col("x1")) + 1)
+        n += boxes.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
+        n = max(n, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")) * TASK_CELLS)  # a join deals fewer tasks anew
+    if sigma > 0:
+        x = _smoothed(places, weights, frame, keys, n, r).withColumn("p", F.round("p", 9))
+    else:
+        x = _dealt(places, keys, _tiles(F.col("y"), r), _tiles(F.col("x"), r), n)
     if roi is not None:
-        x = region_mask(x, roi, keys)
-    return greedy_nms(cut_lineage(local_maxima(x, threshold, r, border, frame, keys)), nms_dist, keys, max_points)
+        x = _in_region(x.where(F.col("p") >= threshold), boxes, keys, n, r)
+    peaks = local_maxima(x, threshold, r, border, frame, [*keys, "_ty", "_tx"]).where(_own()).select(*keys, "y", "x", "p")
+    return greedy_nms(cut_lineage(peaks), nms_dist, keys, max_points)
 
 
 def rasterise_points(points: DataFrame, sigma: float, frame: tuple[int, int], merge: str = "max", normalise: bool = True, keys: list[str] = ["uid"]) -> DataFrame:

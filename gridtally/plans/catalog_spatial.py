@@ -312,14 +312,25 @@ ROI = PX + """, ra as (select distinct uid, 'a' as layer, y, x from (select uid,
  al as (select uid, layer, y, x from ra union all select uid, layer, y, x from rb union all select uid, layer, y, x from pixel_view where layer = 'gt')"""
 
 
+def roi_blocks(spark, sf, side):
+    """Square blocks of the frame (by, bx) that hold objects of a side."""
+    o = obj_view(spark, sf).where(F.col("side") == side)
+    b = o.select("uid", F.floor(F.col("cy") / 32).alias("by"), F.floor(F.col("cx") / 32).alias("bx"))
+    return b.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid", "by", "bx").distinct()
+
+
+def roi_boxes(spark, sf, side):
+    """The blocks as boxes."""
+    lo, hi = (lambda c: F.col(c) * 32), (lambda c: F.col(c) * 32 + 32)
+    return roi_blocks(spark, sf, side).select("uid", lo("by").alias("y1"), lo("bx").alias("x1"), hi("by").alias("y2"), hi("bx").alias("x2"))
+
+
 def roi_pixels(spark, sf, side, layer):
-    """Square blocks of the frame that hold objects of a side, as pixels of a region layer.
+    """The blocks as pixels of a region layer.
 
-    The blocks are dealt to a fixed number of tasks, because a few bytes of them become a thousand pixels each.
+    They are dealt to a fixed number of tasks, because a few bytes of them become a thousand pixels each.
     """
-    o = obj_view(spark, sf).where(F.col("side") == side)
-    b = o.select("uid", F.floor(F.col("cy") / 32).alias("by"), F.floor(F.col("cx") / 32).alias("bx"))
-    b = b.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid", "by", "bx").distinct()
+    b = roi_blocks(spark, sf, side)
     span = lambda c: F.explode(F.sequence(F.col(c) * 32, F.col(c) * 32 + 31))
     return b.withColumn("y", span("by")).withColumn("x", span("bx")).select("uid", F.lit(layer).alias("layer"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
 
@@ -375,7 +386,7 @@ KERNEL = f"""k(d, w) as (values {KV}), f as (select n, d, case when n + d < 0 th
 @query("e26_detect_points", ROI.replace("with ", "with recursive ", 1) + f""", cell_view as ({VIEW_SQL['cell_view']}), {KERNEL}, ms as (select uid, y, x, round(p, 9) as p from sm join rb using (uid, y, x)),
  mx as (select a.uid, a.y, a.x, any_value(a.p) as p from ms a join ms b on a.uid = b.uid and b.y between a.y - 2 and a.y + 2 and b.x between a.x - 2 and a.x + 2 where a.p >= 0.02 group by a.uid, a.y, a.x having any_value(a.p) = max(b.p)), {nms_sql('mx', 6)} select * from kept""")
 def _(spark, sf):
-    return P.detect_points(cell_view(spark, sf), FR, 0.02, 2, 6.0, sigma=1.0, roi=roi_pixels(spark, sf, "pred", "b"))
+    return P.detect_points(cell_view(spark, sf), FR, 0.02, 2, 6.0, sigma=1.0, roi=roi_boxes(spark, sf, "pred"))
 
 
 @query("e27_kernel_sum", CE + f", {KERNEL} select * from sm")

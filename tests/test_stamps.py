@@ -66,3 +66,38 @@ def test_stamps_are_never_shuffled(spark):
     assert plan.count("RepartitionByExpression") == 2
     text = P.rasterise_points(points, 1.0, (256, 256), normalise=False)._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange ") + text.count("Exchange(") <= 1
+
+
+BOXES = [(1, 0, 0, 4, 4), (1, 2, 3, 10, 5), (1, -3, 5, 3, 90), (2, 0, 0, 10, 7), (2, 4, 4, 4, 7), (3, 5, 5, 7, 7), (3, None, 0, 9, 9), (None, 0, 0, 9, 9)]
+
+
+@pytest.mark.parametrize("sigma", [0.0, 1.0])
+@pytest.mark.parametrize("r", [0, 2, 5])
+def test_detection_over_tiles_equals_whole_frames(spark, crossing, sigma, r):
+    cells = [*CELLS, (1, 3, 4, 0.5), (2, 9, 1, 2.0), (None, 3, 3, 1.0), (2, 1, 1, None)]
+    table = spark.createDataFrame(cells, "uid long, y int, x int, p double")
+    smooth = P.kernel_sum(table, P.gauss_weights(sigma), (10, 7)) if sigma else table
+    boxes = spark.createDataFrame(BOXES, "uid long, y1 int, x1 int, y2 int, x2 int")
+    inside = {(u, y, x) for u, y1, x1, y2, x2 in BOXES if u is not None and y1 is not None for y in range(max(y1, 0), min(y2, 10)) for x in range(max(x1, 0), min(x2, 7))}
+    pixels = spark.createDataFrame(sorted(inside) + [(1, 0, 0), (None, 3, 3), (1, 11, 2)], "uid long, y int, x int")
+    for roi in (None, boxes, pixels):
+        rows = [(c["uid"], c["y"], c["x"], round(c["p"], 9)) for c in smooth.collect() if c["p"] is not None]
+        rows = [c for c in rows if roi is None or c[:3] in inside]
+        want = [c for c in rows if c[3] >= 0.02 and c[3] == max(o[3] for o in rows if o[0] == c[0] and abs(o[1] - c[1]) <= r and abs(o[2] - c[2]) <= r)]
+        got = P.detect_points(table, (10, 7), 0.02, r, 0.0, sigma, roi).collect()
+        key = lambda c: (c[0] is None, *map(str, c))
+        assert sorted(((c["uid"], c["y"], c["x"], round(c["p"], 9)) for c in got), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("sigma", [0.0, 1.0])
+@pytest.mark.parametrize("region", ["boxes", "pixels"])
+def test_detection_shuffles_cells_and_region_once(spark, monkeypatch, sigma, region):
+    plans = []
+    monkeypatch.setattr(P, "cut_lineage", lambda df, cut=P.cut_lineage: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    cells = spark.createDataFrame([(1, y, x, 0.5) for y in range(0, 256, 9) for x in range(0, 256, 9)], "uid long, y int, x int, p double")
+    roi = spark.createDataFrame([(1, y, 0, y + 16, 256) for y in range(0, 256, 32)], "uid long, y1 int, x1 int, y2 int, x2 int")
+    if region == "pixels":
+        roi = spark.createDataFrame([(1, y, x) for y in range(0, 256, 32) for x in range(256)], "uid long, y int, x int")
+    assert P.detect_points(cells, (256, 256), 0.02, 2, 0.0, sigma, roi).count()
+    dealt = [line for line in plans[-1].splitlines() if "Exchange " in line]
+    assert len(dealt) == 2 and all("_ty#" in line for line in dealt)
